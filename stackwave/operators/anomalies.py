@@ -10,10 +10,10 @@ entry are candidates. An exact check follows: a candidate stays a spike only
 while it is at least `factor` times every sound reading it is compared with
 (or, two-sided, at most 1 / factor of each); one that isn't becomes sound.
 
-Scale. A source enters as counts, minima and maxima per matrix entry and value
-bin, made before the shuffle, so the largest source gives a bounded number of
-rows. Stuck runs are found inside time cells of a bounded share of the largest
-source, and across cell borders from the few readings beside a border.
+Scale. A source goes to one task whole; the few with more than PART_ROWS rows
+are cut by time. Each of their parts gives counts, minima and maxima per matrix
+entry and value bin, a bounded number, and the readings at its first and last
+times, where runs across parts are settled. Only ids of cases leave a task.
 
 Defined cases: null and NaN are neither cases nor sound and end a run, as does
 a time at which the source lacks the value; a source of fewer than `least`
@@ -29,10 +29,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stackwave.plans.dist import arrow_schema, chunked_map
+from stackwave.plans.dist import arrow_schema, checkpointed, chunked_map, grouped_map
 
 ROWS, SLOTS = 64, 4  # of a daily profile matrix
 SITE_ROWS, SITE_SLOTS = 16, 24
@@ -40,7 +39,8 @@ VBINS = 20  # value bins per decade
 FINE = 32  # fine distance bins per factor of the distance window
 OFF = 0.9  # decades from the normal level that make a candidate
 HUGE = 1e30
-CELL_ROWS = 50_000
+PART_ROWS = 50_000  # rows beyond which a source is cut by time
+BUCKETS = 1 << 20
 RUN = 5
 
 
@@ -53,54 +53,6 @@ def impossible(v: Column, zero: bool) -> Column:
     return usable(v) & ((v < 0.0) | (v >= HUGE) | ((v == 0.0) if zero else F.lit(False)))
 
 
-def stuck_rows(rows: DataFrame, fields: list[str], cell_rows: int = CELL_ROWS, run: int = RUN) -> DataFrame:
-    """rows(id, source, t, fields...): adds stuck_<field> to the rows with a source and a time.
-
-    A field is NULL where it is no reading. A reading is stuck if its value
-    occurs at `run` or more consecutive different times of the source.
-    """
-    rows = rows.where("source is not null and t is not null")
-    per = rows.groupBy("source").agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))
-    top = per.agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
-    cells = max(1, -(-(top["n"] or 1) // cell_rows))
-    if cells == 1:
-        placed = rows.withColumn("cell", F.lit(0).cast("long"))
-    else:
-        placed = rows.withColumn("cell", F.floor((F.col("t") - top["lo"]) / ((top["hi"] - top["lo"]) // cells + 1)).cast("long"))
-    placed = placed.withColumn("r", F.dense_rank().over(W.partitionBy("source", "cell").orderBy("t")))
-    for f in fields:
-        placed = _runs(placed, ["source", "cell"], f, run)
-    if cells == 1:
-        return placed.drop("cell", "r")
-    # Runs across borders: only the times within run - 1 ranks of one
-    counts = placed.groupBy("source", "cell").agg(F.max("r").cast("long").alias("c"))
-    w = W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow)
-    counts = counts.withColumn("ahead", F.sum("c").over(w) - F.col("c")).withColumn("total", F.sum("c").over(W.partitionBy("source")))
-    keep = run - 1
-    edge = (
-        placed.join(counts, ["source", "cell"])
-        .where(((F.col("r") <= keep) & (F.col("ahead") > 0)) | ((F.col("r") > F.col("c") - keep) & (F.col("ahead") + F.col("c") < F.col("total"))))
-        .withColumn("R", F.col("ahead") + F.col("r"))
-    )
-    borders = counts.where("ahead > 0").select("source", F.col("ahead").alias("border"))  # first rank of a cell is border + 1
-    near = F.explode(F.sequence(F.col("border") - keep + 1, F.col("border") + keep)).alias("R")
-    found = edge.select("id", "source", "R", *fields).join(borders.select("source", "border", near), ["source", "R"]).withColumnRenamed("R", "r")
-    for f in fields:
-        found = _runs(found, ["source", "border"], f, run)
-    hit = found.groupBy("id").agg(*[F.max(F.col(f"stuck_{f}")).alias(f"_{f}") for f in fields]).where(" or ".join(f"_{f}" for f in fields))
-    out = placed.join(hit, "id", "left")
-    for f in fields:
-        out = out.withColumn(f"stuck_{f}", F.col(f"stuck_{f}") | F.coalesce(F.col(f"_{f}"), F.lit(False)))
-    return out.drop("cell", "r", *[f"_{f}" for f in fields])
-
-
-def _runs(df: DataFrame, keys: list[str], f: str, run: int) -> DataFrame:
-    """Adds stuck_<f>: the value's ranks r, consecutive, number `run` or more."""
-    df = df.withColumn("_i", F.col("r") - F.dense_rank().over(W.partitionBy(*keys, f).orderBy("r")))
-    w = W.partitionBy(*keys, f, "_i")
-    return df.withColumn(f"stuck_{f}", F.col(f).isNotNull() & (F.max("r").over(w) - F.min("r").over(w) + 1 >= run)).drop("_i")
-
-
 def pursuit(m: np.ndarray, seen: np.ndarray, steps: int = 25) -> np.ndarray:
     """Low-rank part of each matrix of m (batch, rows, columns): principal component pursuit, alternating multipliers; unseen entries are free."""
     lam = 1 / np.sqrt(max(m.shape[1:]))
@@ -200,70 +152,230 @@ def settle_near(vmin, vmax, dmin, dmax, cand, factor: float, width: float) -> np
     return case
 
 
+# What one task finds out: 0 a case (id, reason), 1 an entry of a source that is cut
+# into parts, 2 a reading beside a part's border, 3 a stuck value at a time.
+_NOTES = (
+    "kind int, field string, source string, id long, reason int, part long, head int, tail int, t long, value double, "
+    "row int, slot int, fbin int, vbin int, n long, rows long, vmin double, vmax double, dmin double, dmax double"
+)
+_NOTE_TYPES = arrow_schema(_NOTES)
+
+
+def _column(v, f: pa.Field, size: int) -> pa.Array:  # noqa: ANN001
+    if v is None:
+        return pa.nulls(size, f.type)
+    if isinstance(v, (pa.Array, pa.ChunkedArray)):
+        return v.cast(f.type)
+    return pa.array(np.full(size, v) if np.ndim(v) == 0 else v, f.type, from_pandas=True)  # NaN becomes null
+
+
+def _notes(size_: int, **given) -> pa.Table:  # noqa: ANN003
+    return pa.Table.from_arrays([_column(given.get(f.name), f, size_) for f in _NOTE_TYPES], schema=_NOTE_TYPES)
+
+
+def runs_of(group: np.ndarray, rank: np.ndarray, v: np.ndarray, run: int) -> np.ndarray:
+    """Which readings lie in a run: one value at `run` or more consecutive ranks of its group; NaN never does."""
+    at = np.flatnonzero(~np.isnan(v))
+    at = at[np.lexsort((rank[at], v[at], group[at]))]
+    out = np.zeros(len(v), bool)
+    if not len(at):
+        return out
+    new = np.r_[True, (group[at][1:] != group[at][:-1]) | (v[at][1:] != v[at][:-1]) | (np.diff(rank[at]) > 1)]
+    first = np.flatnonzero(new)
+    length = rank[at][np.r_[first[1:], len(at)] - 1] - rank[at][first] + 1
+    out[at] = (length >= run)[np.cumsum(new) - 1]
+    return out
+
+
+def spikes_of(source, total, row, slot, v1, v2, d1, d2, n, least: int, factor: float, both: bool, width: float | None) -> np.ndarray:  # noqa: ANN001
+    """Row numbers of the entries that are spikes; source sorted, total its number of rows, v1..v2 and d1..d2 the values and distances of an entry."""
+    use = np.flatnonzero(total >= least)
+    if not len(use):
+        return use
+    _, s = np.unique(source[use], return_inverse=True)
+    logv = (np.log10(v1[use]) + np.log10(v2[use])) / 2
+    row, slot = row[use].astype(np.int64), slot[use].astype(np.int64)
+    rows, slots = ROWS, SLOTS
+    if width is not None:  # matrix rows are distances, counted from the nearest one
+        rows, slots = SITE_SLOTS, SITE_ROWS
+        _, nearest = _weighted_rank(slot.astype(float), np.ones(len(slot)), s, 0.0)
+        none = np.isnan(d1[use])
+        x = np.log10(np.where(none, 1.0, d1[use]))
+        logv = logv - decay(x, logv, np.where(none, 1e-9, n[use]), s)
+        row, slot = np.clip(slot - nearest[s].astype(np.int64), 0, SITE_SLOTS - 1), row
+    cand = candidates(s, row, slot, logv, n[use].astype(float), rows, slots)
+    out: list[np.ndarray] = []
+    edges = np.r_[np.flatnonzero(np.r_[True, s[1:] != s[:-1]]), len(s)]
+    some = np.add.reduceat(cand, edges[:-1]) > 0
+    for a, b in zip(edges[:-1][some], edges[1:][some]):
+        u = use[a:b]
+        hit = settle(v1[u], v2[u], cand[a:b], factor, both) if width is None else settle_near(v1[u], v2[u], d1[u], d2[u], cand[a:b], factor, width)
+        out.append(u[hit])
+    return np.concatenate(out or [use[:0]])
+
+
+def _entries(field: str, t: pa.Table, src: np.ndarray, at: np.ndarray, c: dict, v: np.ndarray, vb: np.ndarray) -> pa.Table:
+    """Counts and bounds per source, matrix entry and value bin of the readings `at`."""
+    key = [vb[at], c["fbin"][at], c["slot"][at], c["row"][at], src[at]]
+    o = np.lexsort(key)
+    at, key = at[o], [k[o] for k in key]
+    new = np.zeros(len(at), bool)
+    for k in key:
+        new[1:] |= k[1:] != k[:-1]
+    new[:1] = True
+    first = np.flatnonzero(new)
+    f = lambda u, x: u.reduceat(x[at], first) if len(first) else x[:0]
+    pick = at[first]
+    return _notes(
+        len(first), kind=1, field=field, source=t["source"].take(pa.array(pick)), row=c["row"][pick], slot=c["slot"][pick], fbin=c["fbin"][pick], vbin=vb[pick],
+        n=np.diff(np.r_[first, len(at)]), rows=0, vmin=f(np.minimum, v), vmax=f(np.maximum, v), dmin=f(np.fmin, c["d"]), dmax=f(np.fmax, c["d"]),
+    )
+
+
+def _bins(v: np.ndarray) -> np.ndarray:
+    with np.errstate(all="ignore"):
+        return np.where(v > 0, np.floor(np.log10(np.where(v > 0, v, 1.0)) * VBINS), 0).astype(np.int64)
+
+
+def _first_pass(fields: list[str], two_sided: tuple[str, ...], least: int, factor: float, width: float | None, run: int):
+    def analyse(t: pa.Table) -> Iterator[pa.Table]:
+        t = t.combine_chunks()
+        c = {k: t[k].to_numpy(zero_copy_only=False) for k in ("part", "parts", "t", "d", "row", "slot", "fbin")}
+        ids = t["id"].to_numpy()
+        name = t["source"].combine_chunks().dictionary_encode()
+        src = (name if isinstance(name, pa.DictionaryArray) else name.combine_chunks()).indices.to_numpy().astype(np.int64)
+        src = np.cumsum(np.r_[0, src[1:] != src[:-1]])
+        group = np.cumsum(np.r_[0, (src[1:] != src[:-1]) | (np.diff(c["part"]) != 0)])
+        rank = np.cumsum(np.r_[0, (group[1:] != group[:-1]) | (np.diff(c["t"]) != 0)])
+        begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        end = np.r_[begin[1:], len(group)] - 1
+        head, tail = rank - rank[begin][group], rank[end][group] - rank
+        total = np.bincount(src)[src]
+        cut = c["parts"] > 1
+        edge = cut & ((head < run - 1) | (tail < run - 1))
+        for f in fields:
+            v, bad = t[f].to_numpy(zero_copy_only=False).astype(float), t[f"bad_{f}"].to_numpy(zero_copy_only=False).astype(bool)
+            stuck = runs_of(group, rank, v, run)
+            # beside a border a run may go on; it is settled there
+            sound = ~np.isnan(v) & ~bad & ~stuck
+            hit = np.flatnonzero(stuck)
+            yield _notes(len(hit), kind=0, field=f, id=ids[hit], reason=2)
+            whole = np.flatnonzero(sound & ~cut)
+            if len(whole):
+                w = spikes_of(src[whole], total[whole], c["row"][whole], c["slot"][whole], v[whole], v[whole], c["d"][whole], c["d"][whole], np.ones(len(whole)), least, factor, f in two_sided, width)
+                yield _notes(len(w), kind=0, field=f, id=ids[whole[w]], reason=3)
+            if not cut.any():
+                continue
+            vb = _bins(v)
+            yield _entries(f, t, src, np.flatnonzero(sound & cut & ~edge), c, v, vb)
+            first = np.flatnonzero(np.r_[True, src[1:] != src[:-1]] & cut)  # rows of a source, whatever they hold
+            yield _notes(len(first), kind=1, field=f, source=t["source"].take(pa.array(first)), row=0, slot=0, fbin=0, vbin=0, n=0, rows=np.bincount(src)[src[first]])
+            # equal values at one time (and place) beside a border need one note; every time beside one needs a note
+            b = np.flatnonzero(edge)
+            o = b[np.lexsort((c["fbin"][b], v[b], c["t"][b], group[b]))]
+            keep = np.r_[True, (group[o][1:] != group[o][:-1]) | (np.diff(c["t"][o]) != 0) | ~((v[o][1:] == v[o][:-1]) | (np.isnan(v[o][1:]) & np.isnan(v[o][:-1]))) | (np.diff(c["fbin"][o]) != 0)] if len(o) else np.zeros(0, bool)
+            first, n = np.flatnonzero(keep), np.diff(np.r_[np.flatnonzero(keep), len(o)])
+            k = o[first]
+            yield _notes(
+                len(k), kind=2, field=f, source=t["source"].take(pa.array(k)), reason=np.where(stuck[k], 2, np.where(bad[k], 1, 0)), part=c["part"][k], head=head[k], tail=tail[k], t=c["t"][k], value=v[k],
+                row=c["row"][k], slot=c["slot"][k], fbin=c["fbin"][k], vbin=vb[k], n=n, rows=0, dmin=c["d"][k], dmax=c["d"][k],
+            )
+
+    return analyse
+
+
+def _border_pass(run: int):
+    """Runs across the borders of parts; the readings beside a border that are in none become entries."""
+
+    def analyse(key: tuple, t: pa.Table) -> Iterator[pa.Table]:
+        t = t.combine_chunks()
+        c = {k: t[k].to_numpy(zero_copy_only=False) for k in ("part", "head", "tail", "t", "value", "row", "slot", "fbin", "vbin", "n", "reason", "own", "dmin")}
+        o = np.lexsort((c["t"], c["part"]))
+        t, c = t.take(pa.array(o)), {k: v[o] for k, v in c.items()}
+        step = np.r_[0, (np.diff(c["part"]) != 0) | (np.diff(c["t"]) != 0)]
+        # inside a part, what lies between its first and last times is absent: no run goes over it
+        step[1:] += (np.diff(c["part"]) == 0) & (np.diff(c["head"]) > 1)
+        rank = np.cumsum(step)
+        stuck = runs_of(np.zeros(len(rank), np.int64), rank, c["value"], run)
+        own = c["own"].astype(bool)
+        k = np.flatnonzero(stuck & own & (c["reason"] != 2))
+        yield _notes(len(k), kind=3, field=key[0], source=key[1], t=c["t"][k], value=c["value"][k])
+        k = np.flatnonzero(~stuck & own & (c["reason"] == 0) & ~np.isnan(c["value"]))
+        v = c["value"][k]
+        yield _notes(len(k), kind=1, field=key[0], source=key[1], row=c["row"][k], slot=c["slot"][k], fbin=c["fbin"][k], vbin=c["vbin"][k], n=c["n"][k], rows=0, vmin=v, vmax=v, dmin=c["dmin"][k], dmax=c["dmin"][k])
+
+    return analyse
+
+
 _SPIKES = "field string, source string, fbin int, vbin int"
 
 
-def _spikes(least: int, factor: float, two_sided: tuple[str, ...], width: float | None):
+def _cut_sources(two_sided: tuple[str, ...], least: int, factor: float, width: float | None):
+    """The spikes' bins of sources that were cut into parts, from their united entries."""
     schema = arrow_schema(_SPIKES)
 
     def run(t: pa.Table) -> Iterator[pa.Table]:
+        t = t.combine_chunks()
         c = {k: t[k].to_numpy(zero_copy_only=False) for k in ("row", "slot", "fbin", "vbin", "n", "rows", "vmin", "vmax", "dmin", "dmax")}
         field, src = t["field"].to_numpy(zero_copy_only=False), t["source"].to_numpy(zero_copy_only=False)
-        new = np.r_[True, (field[1:] != field[:-1]) | (src[1:] != src[:-1])]
-        source = np.cumsum(new) - 1
-        starts = np.r_[np.flatnonzero(new), len(source)]
-        total = np.add.reduceat(c["rows"], starts[:-1])
-        use = np.flatnonzero((total >= least)[source] & (c["n"] > 0))
-        if not len(use):
-            return
-        _, s = np.unique(source[use], return_inverse=True)
-        logv = (np.log10(c["vmin"][use]) + np.log10(c["vmax"][use])) / 2
-        rows, slots = (ROWS, SLOTS) if width is None else (SITE_SLOTS, SITE_ROWS)
-        row, slot = c["row"][use].astype(np.int64), c["slot"][use].astype(np.int64)
-        if width is not None:  # columns of a site matrix are distances, counted from the nearest one
-            _, first = _weighted_rank(slot.astype(float), np.ones(len(slot)), s, 0.0)
-            x = np.log10(np.where(np.isnan(c["dmin"][use]), 1.0, c["dmin"][use]))
-            logv = logv - decay(x, logv, np.where(np.isnan(c["dmin"][use]), 1e-9, c["n"][use]), s)
-            row, slot = np.minimum(slot - first[s].astype(np.int64), SITE_SLOTS - 1), row
-        cand = candidates(s, row, slot, logv, c["n"][use].astype(float), rows, slots)
-        out: list[int] = []
-        edges = np.r_[np.flatnonzero(np.r_[True, s[1:] != s[:-1]]), len(s)]
-        for a, b in zip(edges[:-1], edges[1:]):
-            if not cand[a:b].any():
+        source = np.cumsum(np.r_[0, (field[1:] != field[:-1]) | (src[1:] != src[:-1])])
+        total = np.bincount(source, c["rows"])[source]
+        for f in np.unique(field):
+            u = np.flatnonzero((field == f) & (c["n"] > 0))
+            if not len(u):
                 continue
-            u = use[a:b]
-            if width is None:
-                hit = settle(c["vmin"][u], c["vmax"][u], cand[a:b], factor, field[u[0]] in two_sided)
-            else:
-                hit = settle_near(c["vmin"][u], c["vmax"][u], c["dmin"][u], c["dmax"][u], cand[a:b], factor, width)
-            out += u[hit].tolist()
-        o = np.array(out, np.int64)
-        yield pa.Table.from_arrays([t["field"].take(pa.array(o)), t["source"].take(pa.array(o)), pa.array(c["fbin"][o].astype(np.int32)), pa.array(c["vbin"][o].astype(np.int32))], schema=schema)
+            k = u[spikes_of(source[u], total[u], c["row"][u], c["slot"][u], c["vmin"][u], c["vmax"][u], c["dmin"][u], c["dmax"][u], c["n"][u], least, factor, f in two_sided, width)]
+            yield pa.Table.from_arrays([t["field"].take(pa.array(k)), t["source"].take(pa.array(k)), pa.array(c["fbin"][k].astype(np.int32)), pa.array(c["vbin"][k].astype(np.int32))], schema=schema)
 
     return run
 
 
-def spike_bins(readings: DataFrame, least: int, factor: float, two_sided: tuple[str, ...], width: float | None = None) -> DataFrame:
-    """(field, source, fbin, vbin) of the value bins that hold spikes.
+SMALL = 100_000  # rows up to which a set of found keys is broadcast
+
+
+def _rows_with(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """rows whose keys occur in found (a checkpointed table): broadcast if it is small, else shuffled."""
+    return rows.join(F.broadcast(found) if found.count() <= SMALL else found, keys, "left_semi")
+
 
-    readings(field, source, row, slot, fbin, distance, value): value is NULL
-    where a row holds no reading that may be sound; such rows only count.
+def _anomalies(rows: DataFrame, fields: list[str], two_sided: tuple[str, ...], least: int, factor: float, width: float | None, part_rows: int, run: int = RUN) -> DataFrame:
+    """rows(id, source, t, d, row, slot, fbin, fields, bad_fields): (field, row_id, reason).
+
+    Sources enter one task whole, but for those in a bucket of more than
+    part_rows rows, which are cut by time.
     """
-    fill = F.col("value").isNotNull()
-    some = readings.withColumn("vbin", vbin(F.col("value")))
-    some = some.select("field", "source", *[F.when(fill, F.col(k)).otherwise(0).alias(k) for k in ("row", "slot", "fbin", "vbin")], "value", "distance")
-    entries = some.groupBy("field", "source", "row", "slot", "fbin", "vbin").agg(
-        F.count("*").alias("rows"), F.count("value").alias("n"), F.min("value").alias("vmin"), F.max("value").alias("vmax"),
-        F.min(F.when(fill, F.col("distance"))).alias("dmin"), F.max(F.when(fill, F.col("distance"))).alias("dmax"),
+    placed = rows.where("source is not null and t is not null").withColumn("bucket", F.pmod(F.xxhash64("source"), F.lit(BUCKETS)))
+    big = placed.groupBy("bucket").agg(F.count("*").alias("c"), F.min("t").alias("lo"), F.max("t").alias("hi")).where(F.col("c") > part_rows)
+    big = big.withColumn("parts", F.ceil(F.col("c") / part_rows).cast("long"))
+    placed = placed.join(F.broadcast(big.drop("c")), "bucket", "left")  # BUCKETS rows at most
+    part = F.floor((F.col("t") - F.col("lo")) / (F.floor((F.col("hi") - F.col("lo")) / F.col("parts")) + 1)).cast("long")
+    placed = placed.withColumn("part", F.coalesce(part, F.lit(0).cast("long"))).withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).drop("bucket", "lo", "hi")
+    notes = checkpointed(chunked_map(placed, ["source", "part"], _first_pass(fields, two_sided, least, factor, width, run), _NOTES, order=["t", "id"]))
+    out = notes.where("kind = 0").select("field", "id", "reason")
+    for f in fields:
+        out = out.unionByName(rows.where(F.col(f"bad_{f}")).select(F.lit(f).alias("field"), "id", F.lit(1).alias("reason")))
+    home = F.floor(F.col("part") / 1000)
+    edges = notes.where("kind = 2").withColumn("blk", F.explode(F.array_distinct(F.array(home, F.floor((F.col("part") - 10) / 1000), F.floor((F.col("part") + 10) / 1000)))))
+    edges = edges.withColumn("own", F.col("blk") == home).withColumn("blk", F.col("blk").cast("long"))
+    beside = checkpointed(grouped_map(edges, ["field", "source", "blk"], _border_pass(run), _NOTES))
+    entries = notes.where("kind = 1").unionByName(beside.where("kind = 1")).groupBy("field", "source", "row", "slot", "fbin", "vbin").agg(
+        F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax"), F.min("dmin").alias("dmin"), F.max("dmax").alias("dmax")
     )
-    return chunked_map(entries, ["field", "source"], _spikes(least, factor, two_sided, width), _SPIKES).distinct()
+    bins = checkpointed(chunked_map(entries, ["field", "source"], _cut_sources(two_sided, least, factor, width), _SPIKES).distinct())
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.when(~F.col(f"bad_{f}"), F.col(f)).alias("value")) for f in fields])).alias("x")
+    flat = rows.where("source is not null and t is not null").select("id", "source", "t", "fbin", each).select("id", "source", "t", "fbin", "x.*").where("value is not null").withColumn("vbin", vbin(F.col("value")))
+    out = out.unionByName(_rows_with(flat, bins, ["field", "source", "fbin", "vbin"]).select("field", "id", F.lit(3).alias("reason")))
+    held = beside.where("kind = 3").select("field", "source", "t", "value").distinct()
+    out = out.unionByName(_rows_with(flat, held, ["field", "source", "t", "value"]).select("field", "id", F.lit(2).alias("reason")))
+    why = F.element_at(F.array(*[F.lit(x) for x in ("impossible", "stuck", "spike")]), F.min("reason"))
+    return out.groupBy("field", F.col("id").alias("row_id")).agg(why.alias("reason"))
 
 
 def vbin(v: Column) -> Column:
-    return F.when(v > 0, F.floor(F.log10(v) * VBINS)).cast("int")
+    return F.when(v > 0, F.floor(F.log10(v) * VBINS)).otherwise(0).cast("int")
 
 
-def station_anomalies(rows: DataFrame, rid: str, source: str, time_us: Column, fields: dict[str, bool], least: int = 30, factor: float = 10.0, cell_rows: int = CELL_ROWS) -> DataFrame:
+def station_anomalies(rows: DataFrame, rid: str, source: str, time_us: Column, fields: dict[str, bool], least: int = 30, factor: float = 10.0, part_rows: int = PART_ROWS) -> DataFrame:
     """(field, row_id, reason) of the implausible readings of each source over time.
 
     fields names the columns; True where zero is impossible and a reading may
@@ -271,59 +383,32 @@ def station_anomalies(rows: DataFrame, rid: str, source: str, time_us: Column, f
     reason is impossible, stuck or spike, the first that holds.
     """
     base = rows.select(F.col(rid).cast("long").alias("id"), F.col(source).cast("string").alias("source"), time_us.alias("t"), *[F.col(f).cast("double").alias(f) for f in fields])
-    bad = {f: impossible(F.col(f), z) for f, z in fields.items()}
-    clean = base.select("id", "source", "t", *[F.when(usable(F.col(f), not z), F.col(f)).alias(f) for f, z in fields.items()])
-    stuck = stuck_rows(clean, list(fields), cell_rows)
     span = base.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
     day = 86_400_000_000
     first = (span["lo"] or 0) // day
     stride = max(1, -(-((span["hi"] or 0) // day - first + 1) // ROWS))
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.when(~F.col(f"stuck_{f}") & ~F.coalesce(bad[f], F.lit(False)), F.col(f)).alias("value"), F.col(f"stuck_{f}").alias("stuck")) for f in fields])).alias("x")
-    long = stuck.select("id", "source", "t", each).select("id", "source", "t", "x.*")
-    readings = long.select(
-        "field", "source", ((F.floor(F.col("t") / day) - first) / stride).cast("int").alias("row"), F.floor(F.pmod(F.col("t"), F.lit(day)) / (day // SLOTS)).cast("int").alias("slot"),
-        F.lit(0).alias("fbin"), F.lit(None).cast("double").alias("distance"), "value",
+    base = base.select(
+        "id", "source", "t", F.lit(None).cast("double").alias("d"),
+        F.coalesce(((F.floor(F.col("t") / day) - first) / stride).cast("int"), F.lit(0)).alias("row"), F.coalesce(F.floor(F.pmod(F.col("t"), F.lit(day)) / (day // SLOTS)).cast("int"), F.lit(0)).alias("slot"),
+        F.lit(0).alias("fbin"), *[F.when(usable(F.col(f), not z), F.col(f)).alias(f) for f, z in fields.items()], *[F.coalesce(impossible(F.col(f), z), F.lit(False)).alias(f"bad_{f}") for f, z in fields.items()],
     )
-    bins = spike_bins(readings, least, factor, tuple(f for f, z in fields.items() if z))
-    out = long.where("stuck").select("field", F.col("id").alias("row_id"), F.lit(2).alias("why"))
-    for f in fields:
-        out = out.unionByName(base.where(bad[f]).select(F.lit(f).alias("field"), F.col("id").alias("row_id"), F.lit(1).alias("why")))
-    flat = base.select("id", "source", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])).alias("x")).select("id", "source", "x.*")
-    flat = flat.where(usable(F.col("value")) & (F.col("value") < HUGE)).withColumn("vbin", vbin(F.col("value")))
-    out = out.unionByName(flat.join(bins.drop("fbin"), ["field", "source", "vbin"], "left_semi").select("field", F.col("id").alias("row_id"), F.lit(3).alias("why")))
-    return _reasons(out)
-
+    return _anomalies(base, list(fields), tuple(f for f, z in fields.items() if z), least, factor, None, part_rows)
 
-def _reasons(out: DataFrame) -> DataFrame:
-    why = F.element_at(F.array(*[F.lit(x) for x in ("impossible", "stuck", "spike")]), F.min("why"))
-    return out.groupBy("field", "row_id").agg(why.alias("reason"))
 
-
-def site_anomalies(rows: DataFrame, rid: str, source: str, field: str, distance: str, parts: list[str], least: int = 30, factor: float = 10.0, width: float = 1.5, cell_rows: int = CELL_ROWS) -> DataFrame:
+def site_anomalies(rows: DataFrame, rid: str, source: str, field: str, distance: str, parts: list[str], least: int = 30, factor: float = 10.0, width: float = 1.5, part_rows: int = PART_ROWS) -> DataFrame:
     """(field, row_id, reason) for readings whose normal level follows distance; record ids are the order of time.
 
-    A reading below one of its parts is impossible. Matrix rows are groups of
-    eight records, columns distances in steps of `width`.
+    A reading below one of its parts is impossible. Matrix columns are groups
+    of eight records, rows distances in steps of `width`.
     """
-    d = F.col(distance).cast("double")
-    base = rows.select(
-        F.col(rid).cast("long").alias("id"), F.col(source).cast("string").alias("source"), F.col(rid).cast("long").alias("t"), F.col(field).cast("double").alias("v"),
-        F.when(usable(d) & (d > 0), d).alias("d"), *[F.col(p).cast("double").alias(f"p{i}") for i, p in enumerate(parts)],
-    )
+    d, v = F.col(distance).cast("double"), F.col(field).cast("double")
     below = F.lit(False)
-    for i in range(len(parts)):
-        below = below | (usable(F.col(f"p{i}")) & (F.col("v") < F.col(f"p{i}")))
-    bad = impossible(F.col("v"), True) | (usable(F.col("v")) & below)
-    base = base.withColumn("bad", F.coalesce(bad, F.lit(False))).withColumn("v", F.when(usable(F.col("v")), F.col("v"))).select("id", "source", "t", "v", "d", "bad")
-    stuck = stuck_rows(base, ["v"], cell_rows)
-    step = float(np.log(width) / FINE)
-    fine = F.coalesce(F.floor(F.log(F.col("d")) / step), F.lit(0)).cast("int")
-    readings = stuck.select(
-        F.lit(field).alias("field"), "source", F.pmod(F.floor(F.col("id") / 8), F.lit(SITE_ROWS)).cast("int").alias("row"), F.floor(fine / FINE).cast("int").alias("slot"),
-        fine.alias("fbin"), F.col("d").alias("distance"), F.when(~F.col("stuck_v") & ~F.col("bad"), F.col("v")).alias("value"),
+    for p in parts:
+        below = below | (usable(F.col(p)) & (v < F.col(p)))
+    base = rows.select(
+        F.col(rid).cast("long").alias("id"), F.col(source).cast("string").alias("source"), F.col(rid).cast("long").alias("t"), F.when(usable(d) & (d > 0) & (d < HUGE), d).alias("d"),
+        F.when(usable(v), v).alias(field), F.coalesce(impossible(v, True) | (usable(v) & below), F.lit(False)).alias(f"bad_{field}"),
     )
-    bins = spike_bins(readings, least, factor, (field,), width)
-    named = lambda df, why: df.select(F.lit(field).alias("field"), F.col("id").alias("row_id"), F.lit(why).alias("why"))
-    flat = base.where("v is not null and d is not null and not bad").withColumn("vbin", vbin(F.col("v"))).withColumn("fbin", fine)
-    out = named(base.where("bad"), 1).unionByName(named(stuck.where("stuck_v"), 2))
-    return _reasons(out.unionByName(named(flat.join(bins.drop("field"), ["source", "fbin", "vbin"], "left_semi"), 3)))
+    fine = F.coalesce(F.floor(F.log(F.col("d")) / float(np.log(width) / FINE)), F.lit(0)).cast("int")
+    base = base.withColumn("fbin", fine).withColumn("slot", F.floor(F.col("fbin") / FINE).cast("int")).withColumn("row", F.coalesce(F.pmod(F.floor(F.col("id") / 8), F.lit(SITE_ROWS)).cast("int"), F.lit(0)))
+    return _anomalies(base, [field], (field,), least, factor, width, part_rows)
