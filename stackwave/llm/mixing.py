@@ -85,6 +85,7 @@ def settle(x: list[float], sizes: list[int], rng: random.Random) -> None:
         while end < len(order) and 2 * sizes[order[end]] > sizes[order[at]]:
             end += 1
         cls = order[at:end]
+        rng.shuffle(cls)
         shift = missed / rest if rest else 0.0
         y, s = [min(1.0, max(0.0, x[i] + shift)) for i in cls], [sizes[i] for i in cls]
         want = sum(sizes[i] * x[i] for i in cls)
