@@ -123,9 +123,10 @@ def travel_times(pairs: DataFrame, model: list[tuple], phases: dict[str, str], s
 
 
 def eikonal(slowness: np.ndarray, h: float, source: tuple[int, ...], sweeps: int = 4) -> np.ndarray:
-    """First-order travel times over a 2-d or 3-d grid by fast sweeping."""
+    """First-order travel times over a 2-d or 3-d grid by fast sweeping; straight rays within three cells of the source."""
     t = np.full(slowness.shape, 1e20)
-    t[source] = 0.0
+    far = np.sqrt(sum((np.arange(n).reshape([-1 if a == b else 1 for b in range(slowness.ndim)]) - source[a]) ** 2.0 for a, n in enumerate(slowness.shape)))
+    t = np.where(far <= 3, far * h * slowness[source], t)
     nd = slowness.ndim
     for _ in range(sweeps):
         before = t.copy()

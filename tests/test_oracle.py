@@ -2,10 +2,10 @@
 
 import pytest
 
-from stackwave.plans import catalog_queries, problems, signal_queries
+from stackwave.plans import catalog_queries, pipeline_queries, problems, signal_queries
 from tests.oracle import connect, form
 
-QUERIES = {k: (m.QUERIES[k], m.SQL[k]) for m in (problems, catalog_queries, signal_queries) for k in m.SQL}
+QUERIES = {k: (m.QUERIES[k], m.SQL[k]) for m in (problems, catalog_queries, signal_queries, pipeline_queries) for k in m.SQL}
 
 
 @pytest.mark.parametrize("name", QUERIES)
