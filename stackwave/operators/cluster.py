@@ -1,22 +1,27 @@
-"""Density clustering: neighbours on a grid, core points, components by label spreading.
+"""Density clustering: neighbours on a grid, core points, components by star contraction.
 
 Points within eps of a core point (one with at least least_points neighbours,
 itself included) belong to its cluster; a border point goes to the cluster of
-its nearest core point (the least id of equals). Label -1 is noise. Null or NaN
-coordinates are noise.
+its nearest core point (the least id of equals). The label is the least core id
+of the cluster, -1 is noise. Null or NaN coordinates are noise.
 
-Core points of one small cell (side eps / sqrt(3)) are mutually near, so they
-enter the components as one node; only links between cells count, and no pairs
-inside a cell are formed.
+Dense places never form their pairs. Core points of one cell (side eps / sqrt
+of the axes) are mutually near and enter the components as one node. Whether
+cells link, how many neighbours a point of a thin cell has, and which core
+point is nearest is decided on sub-cells with their bounds: a sub-cell wholly
+inside or outside eps needs none of its points; only the sub-cells that eps cuts
+are opened, and only where they decide. A cell has at most FINE ** axes of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackwave.plans.dist import checkpointed
 
+FINE = 12
+
 
 def components(links: DataFrame) -> DataFrame:
     """(id, root): the least id of each component of links(a, b); large-star and small-star rounds on checkpointed tables."""
@@ -29,50 +34,101 @@ def components(links: DataFrame) -> DataFrame:
         # small star: each node and its lesser neighbours go to the least of them
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(m.select("u", F.col("m").alias("v"))).distinct()
-        small = checkpointed(small)
-        if small.exceptAll(e).isEmpty() and e.exceptAll(small).isEmpty():
+        e = checkpointed(small)
+        # done when every node but the roots hangs on one root: then no round changes anything
+        roots = e.groupBy("u").agg(F.count("*").alias("n")).withColumnRenamed("u", "k")
+        if e.join(roots, e["v"] == roots["k"], "left_semi").isEmpty() and roots.where("n > 1").isEmpty():
             break
-        e = small
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
 def dbscan(points: DataFrame, key: str, axes: list[str], eps: float, least_points: int) -> DataFrame:
-    """(key, label): label is the least core id of the cluster, or -1."""
-    ok = points.select(F.col(key).cast("long").alias("id"), *[F.col(a).cast("double").alias(f"x{i}") for i, a in enumerate(axes)])
-    xs = [f"x{i}" for i in range(len(axes))]
-    ok = ok.where(" and ".join(f"{x} is not null and not isnan({x})" for x in xs))
-    side = eps / (len(axes) ** 0.5)
+    """(key, label) of every row of points; key is unique."""
+    n = len(axes)
+    xs, cs = [f"x{i}" for i in range(n)], [f"c{i}" for i in range(n)]
+    side = eps / n**0.5 * (1 - 1e-12)
     reach = int(-(-eps // side))
-    cells = [f"c{i}" for i in range(len(axes))]
-    p = ok.select("*", *[F.floor(F.col(x) / side).alias(c) for x, c in zip(xs, cells)])
-    size = p.groupBy(*cells).agg(F.count("*").alias("n"))
-    # a cell with least_points points makes all of them core; else the near cells are looked at
-    near = p
-    for c in cells:
-        near = near.withColumn(f"n{c}", F.explode(F.sequence(F.col(c) - reach, F.col(c) + reach)))
-    dense = p.join(size.where(F.col("n") >= least_points).select(*cells), cells, "left_semi").select("id")
-    other = p.select(F.col("id").alias("o_id"), *[F.col(x).alias(f"o_{x}") for x in xs], *[F.col(c).alias(f"n{c}") for c in cells])
-    dist = lambda: F.sqrt(sum((F.pow(F.col(x) - F.col(f"o_{x}"), 2.0) for x in xs), F.lit(0.0)))
-    sparse = near.join(dense, "id", "left_anti")
-    counted = sparse.join(other, [f"n{c}" for c in cells]).where(dist() <= eps).groupBy("id").agg(F.count("*").alias("n"))
-    core = checkpointed(dense.unionByName(counted.where(F.col("n") >= least_points).select("id")).join(p, "id"))
-    heads = core.groupBy(*cells).agg(F.min("id").alias("head"))
-    # links between cells: one pair of near core points is enough
-    c1 = core
-    for c in cells:
-        c1 = c1.withColumn(f"n{c}", F.explode(F.sequence(F.col(c) - reach, F.col(c) + reach)))
-    c1 = c1.join(heads, cells).where(" or ".join(f"n{c} > {c}" for c in cells))
-    c2 = core.join(heads.withColumnRenamed("head", "o_head"), cells).select("o_head", *[F.col(x).alias(f"o_{x}") for x in xs], *[F.col(c).alias(f"n{c}") for c in cells])
-    links = c1.join(c2, [f"n{c}" for c in cells]).where((F.col("head") != F.col("o_head")) & (dist() <= eps)).select(F.col("head").alias("a"), F.col("o_head").alias("b")).distinct()
+    p = points.select(F.col(key).cast("long").alias("id"), *[F.col(a).cast("double").alias(x) for a, x in zip(axes, xs)])
+    p = p.where(" and ".join(f"{x} is not null and not isnan({x})" for x in xs))
+    p = p.select("*", *[F.floor(F.col(x) / side).alias(c) for x, c in zip(xs, cs)], F.concat_ws(",", *[F.floor(F.col(x) / (side / FINE)).cast("string") for x in xs]).alias("sub"))
+
+    def subs(q: DataFrame) -> DataFrame:
+        """Sub-cells with their number and bounds, keyed by n<cell>."""
+        a = q.groupBy(*cs, "sub").agg(F.count("*").alias("n"), *[f(x).alias(f"{h}_{x}") for x in xs for h, f in (("lo", F.min), ("hi", F.max))])
+        for c in cs:
+            a = a.withColumnRenamed(c, f"n{c}")
+        return a
+
+    def around(q: DataFrame) -> DataFrame:
+        """Each row once for every cell within reach, as n<cell>."""
+        for c in cs:
+            q = q.withColumn(f"n{c}", F.explode(F.sequence(F.col(c) - reach, F.col(c) + reach)))
+        return q
+
+    def beside(cells: DataFrame) -> DataFrame:
+        """The coarse cells (side eps) in and around the given ones, with what they carry."""
+        for k in ks:
+            cells = cells.withColumn(k, F.explode(F.array(*[F.col(k) + i for i in (-1, 0, 1)])))
+        return cells
+
+    ks = [f"k{i}" for i in range(n)]
+    p = p.select("*", *[F.floor(F.col(x) / (eps * (1 + 1e-12))).alias(k) for x, k in zip(xs, ks)])
+    busy = beside(p.groupBy(*ks).agg(F.count("*").alias("n"))).groupBy(*ks).agg(F.sum("n").alias("n")).where(F.col("n") >= least_points).select(*ks)
+    ncs = [f"n{c}" for c in cs]
+    root = lambda parts: F.sqrt(sum(parts, F.lit(0.0)))
+    zero = F.lit(0.0)
+    nearest: Column = root(F.pow(F.greatest(F.col(f"lo_{x}") - F.col(x), F.col(x) - F.col(f"hi_{x}"), zero), 2.0) for x in xs)
+    farthest: Column = root(F.pow(F.greatest(F.abs(F.col(x) - F.col(f"lo_{x}")), F.abs(F.col(f"hi_{x}") - F.col(x))), 2.0) for x in xs)
+
+    def opened(q: DataFrame, of: DataFrame, more: list[str]) -> DataFrame:
+        """Pairs of q's rows with the points of the sub-cell that each names."""
+        o = of.select(F.col("id").alias("o_id"), *[F.col(x).alias(f"o_{x}") for x in xs], *[F.col(c).alias(f"n{c}") for c in cs], "sub", *more)
+        return q.join(o, [*ncs, "sub"]).withColumn("d", root(F.pow(F.col(x) - F.col(f"o_{x}"), 2.0) for x in xs))
+
+    # core points: all of a full cell; else by sub-cells inside eps, then by the points of those that eps cuts
+    full = p.groupBy(*cs).agg(F.count("*").alias("n")).where(F.col("n") >= least_points).select(*cs)
+    dense = p.join(full, cs, "left_semi")
+    thin = p.join(full, cs, "left_anti")
+    seen = around(thin.join(busy, ks, "left_semi").drop("sub", *ks)).join(subs(p), ncs).where(nearest <= eps).withColumn("sure", farthest <= eps)
+    bounds = seen.groupBy("id").agg(F.sum(F.when(F.col("sure"), F.col("n")).otherwise(0)).alias("least"), F.sum("n").alias("most"))
+    bounds = checkpointed(bounds.where(F.col("most") >= least_points))
+    open_ = seen.where("not sure").drop("n").join(bounds.where(F.col("least") < least_points).select("id", "least"), "id")
+    counted = opened(open_, p, []).where(F.col("d") <= eps).groupBy("id").agg((F.count("*") + F.first("least")).alias("k")).where(F.col("k") >= least_points)
+    ids = bounds.where(F.col("least") >= least_points).select("id").unionByName(counted.select("id"))
+    core = checkpointed(dense.unionByName(thin.join(ids, "id", "left_semi")))
+
+    # links of cells: two sub-cells wholly within eps, else a pair of points of two that eps cuts
+    heads = core.groupBy(*cs).agg(F.min("id").alias("head"))
+    boxes = subs(core)
+    mine = boxes
+    for c in cs:
+        mine = mine.withColumnRenamed(f"n{c}", c)
+    mine = around(mine.select(*cs, F.col("sub").alias("a_sub"), *[F.col(f"{h}_{x}").alias(f"{h}2_{x}") for x in xs for h in ("lo", "hi")])).where(" or ".join(f"(n{c} > {c}" + "".join(f" and n{d} = {d}" for d in cs[:i]) + ")" for i, c in enumerate(cs)))
+    b = mine.join(boxes, ncs)
+    gap = root(F.pow(F.greatest(F.col(f"lo_{x}") - F.col(f"hi2_{x}"), F.col(f"lo2_{x}") - F.col(f"hi_{x}"), zero), 2.0) for x in xs)
+    width = root(F.pow(F.greatest(F.col(f"hi_{x}") - F.col(f"lo2_{x}"), F.col(f"hi2_{x}") - F.col(f"lo_{x}")), 2.0) for x in xs)
+    b = b.withColumn("gap", gap).where(F.col("gap") <= eps).withColumn("sure", width <= eps)
+    sure = checkpointed(b.where("sure").select(*cs, *ncs).distinct())
+    cut = b.where("not sure").join(sure, [*cs, *ncs], "left_anti").select(*cs, *ncs, "a_sub", "sub")
+    a = core.select(*cs, F.col("sub").alias("a_sub"), *xs)
+    exact = opened(cut.join(a, [*cs, "a_sub"]), core, []).where(F.col("d") <= eps).select(*cs, *ncs).distinct()
+    other = heads.withColumnRenamed("head", "o_head")
+    for c in cs:
+        other = other.withColumnRenamed(c, f"n{c}")
+    links = sure.unionByName(exact).join(heads, cs).join(other, ncs).select(F.col("head").alias("a"), F.col("o_head").alias("b"))
     roots = components(links)
-    named = core.join(heads, cells).join(roots.withColumnRenamed("id", "head"), "head", "left").select("id", F.coalesce("root", "head").alias("label"), *[F.col(x) for x in xs], *cells)
-    rest = near.join(core.select("id"), "id", "left_anti")
-    lab = named.select("label", F.col("id").alias("o_id"), *[F.col(x).alias(f"o_{x}") for x in xs], *[F.col(c).alias(f"n{c}") for c in cells])
-    border = rest.join(lab, [f"n{c}" for c in cells]).where(dist() <= eps).groupBy("id").agg(F.min(F.struct(dist().alias("d"), "o_id", "label")).alias("m")).select("id", F.col("m.label").alias("label"))
-    found = named.select("id", "label").unionByName(border)
-    return points.select(F.col(key).cast("long").alias(key)).join(found.withColumnRenamed("id", key), key, "left").withColumn("label", F.coalesce("label", F.lit(-1).cast("long")))
+    named = core.join(heads, cs).join(roots.withColumnRenamed("id", "head"), "head", "left").withColumn("label", F.coalesce("root", "head"))
+
+    # border points: the nearest core point, looked for in the sub-cells that may hold it
+    rest = thin.join(beside(core.select(*ks).distinct()).distinct(), ks, "left_semi").join(core.select("id"), "id", "left_anti")
+    may = around(rest.drop("sub", *ks)).join(boxes.drop("n"), ncs).withColumn("near", nearest).where(F.col("near") <= eps).withColumn("far", farthest)
+    best = may.groupBy("id").agg(F.min("far").alias("far_best"))
+    may = may.join(best, "id").where("near <= far_best")
+    border = opened(may, named, ["label"]).where(F.col("d") <= eps).groupBy("id").agg(F.min(F.struct("d", "o_id", "label")).alias("m")).select("id", F.col("m.label").alias("label"))
+    found = named.select("id", "label").unionByName(border).withColumnRenamed("id", key)
+    return points.select(F.col(key).cast("long").alias(key)).join(found, key, "left").withColumn("label", F.coalesce("label", F.lit(-1).cast("long")))
 
 
-def colour_index(label: str, n: int = 10):  # noqa: ANN201
+def colour_index(label: str, n: int = 10) -> Column:
     """0..n-1 by label, -1 for noise."""
     return F.when(F.col(label) < 0, F.lit(-1)).otherwise(F.pmod(F.col(label), F.lit(n)).cast("int"))
