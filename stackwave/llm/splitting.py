@@ -75,8 +75,6 @@ def atoms(b: bytes, room: int) -> list[tuple[int, int, int]]:
             cut(at, m.end(), 1, CUE)
             at = m.end()
     cut(at, len(b), 1, CUE)
-    if len(out) == 1:
-        return out
     return out
 
 
