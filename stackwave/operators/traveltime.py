@@ -165,13 +165,20 @@ def with_delays(tt: DataFrame, delays: DataFrame) -> DataFrame:
     return tt.join(delays, ["nsl", "phase"], "left").withColumn("tt", F.col("tt") + F.coalesce("delay_s", F.lit(0.0))).drop("delay_s")
 
 
+def _beside(d: DataFrame, by: list[str], groups: DataFrame) -> DataFrame:
+    """d with the columns of its group; groups are nodes, few beside the rows, so d is not shuffled."""
+    g = groups.select(*[F.col(b).alias(f"_g{i}") for i, b in enumerate(by)], *[c for c in groups.columns if c not in by])
+    same = [F.col(b).eqNullSafe(F.col(f"_g{i}")) for i, b in enumerate(by)]
+    return d.join(F.broadcast(g), same).drop(*[f"_g{i}" for i in range(len(by))])
+
+
 def gaussian_weights(d: DataFrame, by: str, required: int, taper: float, waterlevel: float = 0.0) -> DataFrame:
     """Adds weight: 1 up to the required-th least distance of the group, then a Gaussian of full width `taper`, lifted by the water level."""
     w = W.partitionBy(by).orderBy("distance", "sta_idx")
-    n = d.withColumn("_k", F.row_number().over(w)).withColumn("_n", F.count("*").over(W.partitionBy(by)))
-    n = n.withColumn("_dk", F.max(F.when(F.col("_k") == F.least(F.lit(required).cast("long"), "_n"), F.col("distance"))).over(W.partitionBy(by)))
+    near = d.select(by, "distance", "sta_idx").withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= required)
+    n = _beside(d, [by], near.groupBy(by).agg(F.max("distance").alias("_dk")))
     x = F.when(F.col("distance") <= F.col("_dk"), F.lit(1.0)).otherwise(F.exp(-F.pow(F.col("distance") - F.col("_dk"), 2.0) / (2 * (taper / 2.355) ** 2)))
-    return n.withColumn("weight", (1 - waterlevel) * x + waterlevel).drop("_k", "_n", "_dk")
+    return n.withColumn("weight", (1 - waterlevel) * x + waterlevel).drop("_dk")
 
 
 def exponential_weight(distance: Column, radius: float, exponent: float, waterlevel: float) -> Column:
@@ -181,6 +188,6 @@ def exponential_weight(distance: Column, radius: float, exponent: float, waterle
 def normalise_weights(d: DataFrame, by: list[str], least: float = 1e-3) -> DataFrame:
     """Zero where the travel time is missing, divided by the group's sum, zero below `least` (not normalised again)."""
     x = d.withColumn("weight", F.when(F.col("tt").isNull() | F.isnan("tt"), F.lit(0.0)).otherwise(F.col("weight")))
-    s = F.sum("weight").over(W.partitionBy(*by))
-    y = F.coalesce(F.try_divide(F.col("weight"), s), F.lit(0.0))
-    return x.withColumn("_w", y).withColumn("weight", F.when(F.col("_w") < least, F.lit(0.0)).otherwise(F.col("_w"))).drop("_w")
+    x = _beside(x, by, x.groupBy(*by).agg(F.sum("weight").alias("_s")))
+    y = F.coalesce(F.try_divide(F.col("weight"), F.col("_s")), F.lit(0.0))
+    return x.withColumn("_w", y).withColumn("weight", F.when(F.col("_w") < least, F.lit(0.0)).otherwise(F.col("_w"))).drop("_w", "_s")

@@ -13,7 +13,7 @@ from stackwave.operators import catalog as cat
 from stackwave.operators import cluster, ingest, magnitude, octree, stack, traveltime
 from stackwave.functions import codes, geo, signal
 from stackwave.plans.catalog_queries import STS, sts
-from stackwave.plans.dist import micros, table
+from stackwave.plans.dist import micros, partitions, table
 
 QUERIES = {}
 SQL = {}
@@ -98,16 +98,30 @@ _PAIR = f"{_ROOT}, {STS}, sx as (select sta_idx, (sta_idx * 7919 % 20000) - 1000
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    s = sts(spark, d).where("sta_idx <= 60").select("sta_idx", (F.col("sta_idx") * 7919 % 20000 - 10000.0).alias("se"), (F.col("sta_idx") * 104729 % 20000 - 10000.0).alias("sn"))
+    """All nodes x all sanitised stations: the stations are spread over tasks, the fixed 500 nodes go to each."""
+    s = sts(spark, d).select("sta_idx", (F.col("sta_idx").cast("long") * 7919 % 20000 - 10000.0).alias("se"), (F.col("sta_idx").cast("long") * 104729 % 20000 - 10000.0).alias("sn")).repartition(partitions(spark), "sta_idx")
     n = octree.roots(spark, B, SIZE)
     dist = F.sqrt(F.pow(F.col("east") - F.col("se"), 2.0) + F.pow(F.col("north") - F.col("sn"), 2.0) + F.pow("depth", F.lit(2.0)))
-    # nodes x stations is what travel times are asked for; the station side is 60 rows
-    return n.crossJoin(F.broadcast(s)).select("node_id", "sta_idx", "depth", F.sqrt(F.pow(F.col("east") - F.col("se"), 2.0) + F.pow(F.col("north") - F.col("sn"), 2.0)).alias("offset"), dist.alias("distance"))
+    return s.crossJoin(F.broadcast(n)).select("node_id", "sta_idx", "depth", F.sqrt(F.pow(F.col("east") - F.col("se"), 2.0) + F.pow(F.col("north") - F.col("sn"), 2.0)).alias("offset"), dist.alias("distance"))
+
+
+_FIRST = "sta_idx <= 60"  # what the SQL of travel_time_span and distance_weights takes; their `_all` forms take every station
+_PAIR_ALL = _PAIR.replace(f" where {_FIRST}", "").replace("(sta_idx *", "(sta_idx::bigint *")
+
+
+def _span(p: DataFrame) -> DataFrame:
+    return traveltime.span(p.withColumn("tt", traveltime.constant(F.col("distance"), 5000.0)), ["node_id"]).select("node_id", F.round("first", 6).alias("first"), F.round("last", 6).alias("last"))
 
 
 @query(f"with {_PAIR} select node_id::bigint as node_id, round(min(distance / 5000.0), 6) as first, round(max(distance / 5000.0), 6) as last from pr group by 1")
 def travel_time_span(spark: SparkSession, d: str) -> DataFrame:
-    return traveltime.span(_pairs(spark, d).withColumn("tt", traveltime.constant(F.col("distance"), 5000.0)), ["node_id"]).select("node_id", F.round("first", 6).alias("first"), F.round("last", 6).alias("last"))
+    return _span(_pairs(spark, d).where(_FIRST))
+
+
+@query(f"with {_PAIR_ALL} select node_id::bigint as node_id, round(min(distance / 5000.0), 6) as first, round(max(distance / 5000.0), 6) as last from pr group by 1")
+def travel_time_span_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same over every station."""
+    return _span(_pairs(spark, d))
 
 
 _LAYERS = "ly as (select * from (values " + ", ".join(f"({t}, {b if np.isfinite(b) else 1e30}, {p}, {s})" for t, b, p, s, _, _ in traveltime.layers()) + ") as t(top, bottom, vp, vs))"
@@ -126,10 +140,20 @@ def layered_travel_times(spark: SparkSession, d: str) -> DataFrame:
     return traveltime.travel_times(p, traveltime.layers(), {"cake:P": "vp", "cake:S": "vs"})
 
 
+def _weights(p: DataFrame) -> DataFrame:
+    w = traveltime.gaussian_weights(p, "node_id", 5, 20_000.0, 0.1).withColumn("tt", F.col("distance") / 5000.0)
+    return traveltime.normalise_weights(w, ["node_id"]).select("node_id", "sta_idx", F.round("weight", 6).alias("weight"))
+
+
 @query(f"with {_PAIR}, k as (select *, row_number() over (partition by node_id order by distance, sta_idx) as k from pr), dk as (select *, max(case when k = 5 then distance end) over (partition by node_id) as dk from k), w as (select node_id, sta_idx, 0.9 * (case when distance <= dk then 1.0 else exp(-pow(distance - dk, 2) / (2 * pow(20000.0 / 2.355, 2))) end) + 0.1 as w from dk), n as (select node_id, sta_idx, w / sum(w) over (partition by node_id) as w from w) select node_id::bigint as node_id, sta_idx, round(case when w < 0.001 then 0 else w end, 6) as weight from n")
 def distance_weights(spark: SparkSession, d: str) -> DataFrame:
-    w = traveltime.gaussian_weights(_pairs(spark, d), "node_id", 5, 20_000.0, 0.1).withColumn("tt", F.col("distance") / 5000.0)
-    return traveltime.normalise_weights(w, ["node_id"]).select("node_id", "sta_idx", F.round("weight", 6).alias("weight"))
+    return _weights(_pairs(spark, d).where(_FIRST))
+
+
+@query(f"with {_PAIR_ALL}, k as (select *, row_number() over (partition by node_id order by distance, sta_idx) as k from pr), dk as (select *, max(case when k = 5 then distance end) over (partition by node_id) as dk from k), w as (select node_id, sta_idx, 0.9 * (case when distance <= dk then 1.0 else exp(-pow(distance - dk, 2) / (2 * pow(20000.0 / 2.355, 2))) end) + 0.1 as w from dk), n as (select node_id, sta_idx, w / sum(w) over (partition by node_id) as w from w) select node_id::bigint as node_id, sta_idx, round(case when w < 0.001 then 0 else w end, 6) as weight from n")
+def distance_weights_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same over every station: the fifth-nearest and the sum are of all."""
+    return _weights(_pairs(spark, d))
 
 
 @query(f"with {STS} select sta_idx, round(2 * 6371000 * asin(sqrt(least(1, pow(sin((radians(lat) - radians(12.5)) / 2), 2) + cos(radians(lat)) * cos(radians(12.5)) * pow(sin(radians(lon - 44.5) / 2), 2)))) / 1000, 4) as km, round(degrees(atan2(sin(radians(lon - 44.5)) * cos(radians(lat)), cos(radians(12.5)) * sin(radians(lat)) - sin(radians(12.5)) * cos(radians(lat)) * cos(radians(lon - 44.5)))), 5) as azimuth from st")
