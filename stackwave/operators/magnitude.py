@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stackwave.plans.dist import arrow_schema, checkpointed, partitions
+
 
 def network_magnitude(stations: DataFrame, k: float = 2.0, least: int = 3) -> DataFrame:
     """(event_uid, n, average, error): valid stations within k population deviations of the mean, median of at least `least`.
@@ -39,6 +44,87 @@ def modelled_amplitudes(wanted: DataFrame, library: DataFrame, value: str, k: in
     return j.groupBy("q_id", "k").agg(F.count("*").alias("n"), F.round(F.log10(F.avg("v")), 6).alias("log_mean"), F.round(F.log10(m), 6).alias("log_median"), F.round(F.median(F.abs(F.col("v") - F.col("med"))) / m, 6).alias("rel_mad"))
 
 
+_NEAR = "amp_id long, q_id long, n long, mean double, med double, mad double"
+_EDGE = "part long, side long, q_id long, distance double, amp_id long, v double"
+
+
+def modelled_for_all(library: DataFrame, value: str, k: int = 25) -> DataFrame:
+    """The same statistics for every amplitude of the library, (amp_id, q_id, n, log_mean, log_median, rel_mad).
+
+    The rows are sorted by collection and distance over all tasks, and each task
+    sees 2 k candidates beyond its ends, so a large collection is cut into many.
+    Of equal distances only the k least amp_ids can be among the nearest. Rows
+    without a distance neither ask nor answer; a collection without values has no row.
+    """
+    has = F.col("v").isNotNull()
+    r = library.select(F.col("collection_id").cast("long").alias("q_id"), F.col("distance_epi").cast("double").alias("distance"), F.col("amp_id").cast("long").alias("amp_id"), F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("v")).where("distance is not null and not isnan(distance)")
+    r = r.withColumn("v", F.when(has & (F.row_number().over(W.partitionBy("q_id", "distance", has).orderBy("amp_id")) <= k), F.col("v")))
+    # fixed by the checkpoint, as the ends must be those of the very parts that are read again
+    r = checkpointed(r.repartitionByRange(partitions(library.sparkSession), "q_id", "distance", "amp_id").sortWithinPartitions("q_id", "distance", "amp_id"))
+    reach = 2 * k
+    edge, near = arrow_schema(_EDGE), arrow_schema(_NEAR)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> tuple[int, list[np.ndarray]]:
+        from pyspark import TaskContext
+
+        t = pa.Table.from_batches(list(batches), schema=pa.schema([("q_id", pa.int64()), ("distance", pa.float64()), ("amp_id", pa.int64()), ("v", pa.float64())]))
+        q, d, a, v = (t[c].to_numpy() for c in ("q_id", "distance", "amp_id", "v"))
+        return TaskContext.get().partitionId(), [q, d, a, v]
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, x = whole(batches)
+        x = [c[~np.isnan(x[3])] for c in x]
+        for side, cut in ((0, slice(0, reach)), (1, slice(-reach, None))):
+            n = len(x[0][cut])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(np.full(n, side)), *[pa.array(c[cut]) for c in x]], schema=edge)
+
+    # 4 k rows a task
+    e = {(int(p), int(s)): g.to_numpy() for (p, s), g in r.mapInArrow(ends, _EDGE).toPandas().groupby(["part", "side"])}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, (q, d, a, v) = whole(batches)
+        if not len(q):
+            return
+        before, after, at = [], [], part
+        for found, side, step, order in ((before, 1, -1, lambda x: x[::-1]), (after, 0, 1, lambda x: x)):
+            at = part + step
+            while sum(map(len, found)) < reach and any(x == at or (x - at) * step > 0 for x, _ in e):
+                if (at, side) in e:
+                    found.append(e[at, side])
+                at += step
+        none = np.zeros((0, 6))
+        before, after = np.concatenate([none, *before[::-1]]), np.concatenate([none, *after])
+        ok = ~np.isnan(v)
+        cq, cd, ca, cv = (np.concatenate([before[:, i].astype(c.dtype), c[ok], after[:, i].astype(c.dtype)]) for i, c in ((2, q), (3, d), (4, a), (5, v)))
+        # the first candidate not before each row
+        here = len(before) + np.r_[0, np.cumsum(ok)][np.arange(len(q))]
+        for lo in range(0, len(q), 4096):
+            s = slice(lo, lo + 4096)
+            at = here[s, None] + np.arange(-reach, reach)
+            inside = (at >= 0) & (at < len(cq))
+            at = np.clip(at, 0, max(0, len(cq) - 1))
+            if not len(cq):
+                return
+            inside &= cq[at] == q[s, None]
+            diff = np.where(inside, np.abs(cd[at] - d[s, None]), np.inf)
+            best = np.lexsort((ca[at], diff, ~inside), axis=1)[:, :k]
+            there = np.take_along_axis(inside, best, 1)
+            n = there.sum(1)
+            got, n = np.where(there, cv[np.take_along_axis(at, best, 1)], np.nan)[n > 0], n[n > 0]
+            row = np.arange(len(n))
+
+            def median(x: np.ndarray, n: np.ndarray = n, row: np.ndarray = row) -> np.ndarray:
+                x = np.sort(x, axis=1)  # NaN at the end
+                return (x[row, (n - 1) // 2] + x[row, n // 2]) / 2
+
+            med = median(got)
+            keep = there.any(1)
+            yield pa.RecordBatch.from_arrays([pa.array(a[s][keep]), pa.array(q[s][keep]), pa.array(n), pa.array(np.nansum(got, axis=1) / n), pa.array(med), pa.array(median(np.abs(got - med[:, None])))], schema=near)
+
+    j = r.mapInArrow(run, _NEAR)
+    return j.select("amp_id", "q_id", "n", F.round(F.log10("mean"), 6).alias("log_mean"), F.round(F.log10("med"), 6).alias("log_median"), F.round(F.try_divide("mad", "med"), 6).alias("rel_mad"))
+
+
 def moment_magnitude(reference: Column, observed: Column, modelled: Column) -> Column:
     return reference + F.log10(observed / modelled)
 

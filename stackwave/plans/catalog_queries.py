@@ -398,3 +398,9 @@ def modelled_amplitudes(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "site_amplitudes")
     q = cat.number_in(s, ["collection_id"], ["amp_id"], "k").where("k <= 2").select(F.col("collection_id").alias("q_id"), F.col("distance_epi").alias("q_dist"), "k")
     return mag.modelled_amplitudes(q, s, "peak_horizontal", 25)
+
+
+@query("with j as (select q.amp_id, q.collection_id as q_id, s.peak_horizontal as v, row_number() over (partition by q.amp_id order by abs(s.distance_epi - q.distance_epi), s.amp_id) as n from site_amplitudes q join site_amplitudes s on s.collection_id = q.collection_id where s.peak_horizontal is not null and not isnan(s.peak_horizontal)), m as (select *, median(v) over (partition by amp_id) as med from j where n <= 25) select amp_id, any_value(q_id) as q_id, count(*) as n, round(log10(avg(v)), 6) as log_mean, round(log10(any_value(med)), 6) as log_median, round(median(abs(v - med)) / any_value(med), 6) as rel_mad from m group by 1")
+def modelled_amplitudes_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same for every amplitude."""
+    return mag.modelled_for_all(table(spark, d, "site_amplitudes"), "peak_horizontal", 25)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stackwave.functions import attenuation, codes, geo, signal
 from stackwave.functions.statistics import detection_density, emr_fit, gaussian_density
-from stackwave.operators import cluster, ingest, octree, stack, traveltime
+from stackwave.operators import cluster, ingest, magnitude, octree, stack, traveltime
 from stackwave.plans import catalog_queries, pipeline_queries, registry, signal_queries
 from stackwave.sources import archives, mseed, sinks
 from stackwave.streaming import live
@@ -309,3 +309,17 @@ def test_travel_times_and_weights_take_every_station(spark, tmp_path):
     assert got.columns.tolist() == ids.tolist() and np.allclose(got.to_numpy(), np.where(w < 1e-3, 0, w), atol=1e-6)
     tt = signal_queries.layered_travel_times(spark, at)
     assert sorted(r[0] for r in tt.select("sta_idx").distinct().collect()) == ids.tolist() and tt.count() == 2 * d.size
+
+
+def test_modelled_amplitudes_of_every_row(spark):
+    r = np.random.RandomState(5)
+    rows = [(i, int(min(r.geometric(0.5), 4)), float(r.choice([r.randint(0, 40) * 10.0, r.uniform(0, 400)])), None if r.rand() < 0.1 else math.nan if r.rand() < 0.1 else float(r.lognormal())) for i in range(700)]
+    rows += [(700 + i, 5, 70.0, float(i + 1)) for i in range(90)] + [(800, 6, 1.0, None), (801, 7, 3.0, 2.0)]
+    got = {x.amp_id: x for x in magnitude.modelled_for_all(spark.createDataFrame(rows, "amp_id long, collection_id long, distance_epi double, peak_horizontal double"), "peak_horizontal").collect()}
+    assert set(got) == {i for i, *_ in rows} - {800}
+    for i, c, dist, _ in rows:
+        if i != 800:
+            v = np.array([x[3] for x in sorted((x for x in rows if x[1] == c and x[3] is not None and not math.isnan(x[3])), key=lambda x: (abs(x[2] - dist), x[0]))[:25]])
+            m = np.median(v)
+            assert (got[i].q_id, got[i].n) == (c, len(v))
+            assert np.allclose([got[i].log_mean, got[i].log_median, got[i].rel_mad], [math.log10(v.mean()), math.log10(m), np.median(abs(v - m)) / m], atol=2e-6)
