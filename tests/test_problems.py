@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stackwave.functions.timetext import interpret
 from stackwave.operators import anomalies, intervals, proximity, quantiles, timestamps
+from stackwave.plans import problems
 
 # -- intervals
 
@@ -127,6 +128,15 @@ def test_percentiles_and_merge(spark):
     assert quantiles.percentiles(quantiles.sketch(df.where("false"), ["grp"], "v"), ["grp"], [0.5]).count() == 0
 
 
+def test_days_of_every_station_combine(spark):
+    at = "/root/testdata/sf0.01"
+    by = ["measure", "dim", "grp", "n", "q"]
+    days, whole = (q(spark, at).select(*by, "value", "rank_error").toPandas().sort_values(by).reset_index(drop=True) for q in (problems.p2_days_combined_all, problems.p2_percentiles))
+    assert set(days.dim) == {"station", "phase", "model"} and days[by].equals(whole[by])
+    exact = (days.rank_error == 0) & (whole.rank_error == 0)
+    assert exact[days.dim == "station"].all() and (days.value == whole.value)[exact].all()
+
+
 # -- anomalies
 
 
