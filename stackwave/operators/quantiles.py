@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackwave.plans.dist import arrow_schema, chunked_map
+from stackwave.plans.dist import arrow_schema, checkpointed, chunked_map
 
 K = 8192
 FAN = 8
@@ -186,7 +186,7 @@ def _merge(by: list[str], keys: list[str], k: int):
             sizes = np.r_[0, np.cumsum(n[at])].astype(np.int32)
             head = t.take(pa.array(first[at]))
             m = len(at)
-            yield pa.Table.from_arrays([*[head[b] for b in by], head["part"], pa.array(np.ones(m, np.int64)), pa.ListArray.from_arrays(pa.array(sizes), pa.array(v)), pa.array(np.zeros(m))], schema=schema)
+            yield pa.Table.from_arrays([*[head[b] for b in by], head["part"], pa.array(np.ones(m, np.int64)), pa.ListArray.from_arrays(pa.array(sizes), pa.array(v)), pa.array(np.add.reduceat(err, first)[at])], schema=schema)
         for i in np.flatnonzero(~small):
             s = Sketch(k)
             for r in range(first[i], ends[i]):
@@ -211,9 +211,13 @@ def sketch(df: DataFrame, by: list[str], value: str, k: int = K) -> DataFrame:
     return _meet(rows.mapInArrow(_scan(by, k), _ddl(by)), by, max(1, rows.rdd.getNumPartitions()), k)
 
 
-def merge_sketches(sketches: DataFrame, by: list[str], pieces: int, k: int = K) -> DataFrame:
-    """Unite stored sketches (of days, files, finer groups) into one for each group of by; pieces: how many a group may have."""
-    parts = sketches.select(*by, F.pmod(F.xxhash64("part", "w", "vals"), F.lit(max(1, pieces))).alias("part"), "w", "vals", "err")
+def merge_sketches(sketches: DataFrame, by: list[str], pieces: int | None = None, k: int = K) -> DataFrame:
+    """Unite stored sketches (of days, files, finer groups) into one for each group of by; pieces: how many a group may have, counted where it is not given."""
+    if pieces is None:
+        sketches = checkpointed(sketches)
+        pieces = sketches.groupBy(*by).count().agg(F.max("count")).first()[0] or 1
+    # buffers of one sketch may part: its error stays on one of them, and errors add up
+    parts = sketches.select(*by, F.pmod(F.xxhash64(*[c for c in sketches.columns if c not in by]), F.lit(max(1, pieces))).alias("part"), "w", "vals", "err")
     return _meet(parts, by, pieces, k)
 
 

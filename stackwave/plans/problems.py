@@ -83,7 +83,7 @@ def p2_days_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same per phase and model from sketches of single days, united."""
     by = ["measure", "dim", "grp"]
     days = quantiles.sketch(_measures(spark, sf_dir, day=True).where("dim <> 'station'"), ["measure", "dim", "grp", "day"], "value")
-    return quantiles.percentiles(quantiles.merge_sketches(days, by, quantiles.MEET), by, QS)
+    return quantiles.percentiles(quantiles.merge_sketches(days, by), by, QS)
 
 
 @query(_PERCENTILES % "")
@@ -91,7 +91,7 @@ def p2_days_combined_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same per station too: the sketches of all days of all groups, united."""
     by = ["measure", "dim", "grp"]
     days = quantiles.sketch(_measures(spark, sf_dir, day=True), [*by, "day"], "value")
-    return quantiles.percentiles(quantiles.merge_sketches(days, by, quantiles.MEET), by, QS)
+    return quantiles.percentiles(quantiles.merge_sketches(days, by), by, QS)
 
 
 _VALID = "v as (select nsl, epoch_us(starttime) as s, epoch_us(endtime) as e from seedlink_stations where endtime > starttime and nsl is not null), m as (select nsl, s, e, max(e) over (partition by nsl order by s, e rows between unbounded preceding and 1 preceding) as pe from v)"

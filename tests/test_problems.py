@@ -128,6 +128,14 @@ def test_percentiles_and_merge(spark):
     assert quantiles.percentiles(quantiles.sketch(df.where("false"), ["grp"], "v"), ["grp"], [0.5]).count() == 0
 
 
+@pytest.mark.parametrize("pieces", [None, 500])
+def test_merging_in_rounds_keeps_the_error(spark, pieces):
+    rows = [("a", [float(i), i + 0.5], 1, 0.5, i) for i in range(200)]
+    s = spark.createDataFrame(rows, "grp string, vals array<double>, w long, err double, part long").select("grp", "part", "w", "vals", "err")
+    merged = quantiles.merge_sketches(s, ["grp"], pieces).collect()
+    assert sum(x.err for x in merged) == 100 and sum(x.w * len(x.vals) for x in merged) == 400
+
+
 def test_days_of_every_station_combine(spark):
     at = "/root/testdata/sf0.01"
     by = ["measure", "dim", "grp", "n", "q"]
