@@ -2,11 +2,15 @@
 
 images(batch_id, sta_idx, phase, tmin_us, rate_hz, samples) hold probabilities.
 Each batch is one group; its state is the stack's maximum per sample and the
-small tree around its peaks, so a batch runs in one task and batches run apart.
-A batch's size is bounded by its length, not by the data.
+batch's tree, split around its peaks, so a batch runs in one task and batches
+run apart. A batch's size is bounded by its length, not by the data.
 
-Exact mode stacks, at every refinement, all leaves near the peak; incremental
-mode compares only new nodes with the value before, as cheaper pipelines do.
+After every split the threshold, the peaks of the whole batch and the nodes to
+split next are sought anew: each peak's node, the densest leaf at its sample
+and the leaves that touch them, until all of these are smallest.
+
+Exact mode takes the maximum over all leaves; incremental mode compares only
+new nodes with the value before, as cheaper pipelines do.
 """
 
 from __future__ import annotations
@@ -99,34 +103,61 @@ def search(images: DataFrame, stations: list[tuple[int, float, float, float]], s
                 we[:, k] = w * s.weights.get(p, 1.0)
             return sh, we
 
-        roots = root_nodes(b, s.root_size)
-        best, index = kernel(samples, offsets, *shifts(roots), 0, n, floor=0.0)
-        gate = 10 * float(np.median(np.abs(best - np.median(best)))) if s.threshold == "MAD" else float(s.threshold)
-        peaks = find_peaks(best, max(gate, 1e-9), max(1, int(s.blinding_s * rate)), gate)
+        def snapshot(at: int, nodes: np.ndarray) -> np.ndarray:
+            """The stack of some nodes at one sample."""
+            out = np.zeros(len(nodes))
+            for r, x in enumerate(samples):
+                i = at - offsets[r] - sh[nodes, r]
+                ok = (i >= 0) & (i < len(x))
+                out[ok] += we[nodes[ok], r] * x[i[ok]]
+            return out
+
+        def touching(k: int) -> np.ndarray:
+            """The other leaves that share a face, edge or corner with a node."""
+            far = np.abs(nodes - nodes[k]).max(1) - (sizes + sizes[k]) / 2
+            near = leaf & (far <= 1e-6 * s.root_size)
+            near[k] = False
+            return np.flatnonzero(near)
+
+        nodes = root_nodes(b, s.root_size)
+        sizes, level, leaf = np.full(len(nodes), float(s.root_size)), np.zeros(len(nodes), int), np.ones(len(nodes), bool)
+        sh, we = shifts(nodes)
+        best, index = kernel(samples, offsets, sh, we, 0, n, floor=0.0)
+        while True:
+            gate = 10 * float(np.median(np.abs(best - np.median(best)))) if s.threshold == "MAD" else float(s.threshold)
+            peaks = find_peaks(best, max(gate, 1e-9), max(1, int(s.blinding_s * rate)), gate)
+            wanted: set[int] = set()
+            for at in peaks:
+                k = int(index[at])
+                if not leaf[k]:  # incremental only: a split node keeps its value
+                    continue
+                leaves = np.flatnonzero(leaf)
+                dense = int(leaves[np.argmax(snapshot(int(at), leaves) / sizes[leaves] ** 3)])
+                for c in {k, dense}:
+                    wanted.update([c, *touching(c).tolist()])
+            parents = np.array(sorted(k for k in wanted if level[k] + 1 < s.levels), int)
+            if not len(parents):
+                break
+            old = len(nodes)
+            kids = np.concatenate([children(nodes[k : k + 1], sizes[k]) for k in parents])
+            leaf[parents] = False
+            ksh, kwe = shifts(kids)
+            nodes, sh, we = np.concatenate([nodes, kids]), np.concatenate([sh, ksh]), np.concatenate([we, kwe])
+            sizes, level, leaf = np.r_[sizes, np.repeat(sizes[parents] / 2, 8)], np.r_[level, np.repeat(level[parents] + 1, 8)], np.r_[leaf, np.ones(len(kids), bool)]
+            if s.incremental:
+                got, which = kernel(samples, offsets, ksh, kwe, 0, n, best=best)
+                index, best = np.where(got > best, old + which, index), got
+            else:
+                best, index = kernel(samples, offsets, sh, we, 0, n, skip=~leaf, floor=0.0)
         out = []
-        for k in peaks:
-            at, node, size, v = int(k), roots[index[k]], s.root_size, float(best[k])
-            near, vals = node[None], np.array([v])
-            for _ in range(s.levels - 1):
-                around = node + np.array([(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)], float) * size
-                inside = np.array([b.east[0] < p[0] < b.east[1] and b.north[0] < p[1] < b.north[1] and b.depth[0] < p[2] < b.depth[1] for p in around])
-                kids = children(around[inside], size)
-                size /= 2
-                lo, hi = max(0, at - int(s.blinding_s * rate)), min(n, at + int(s.blinding_s * rate) + 1)
-                got, which = kernel(samples, offsets, *shifts(kids), lo, hi, floor=0.0)
-                j = int(np.argmax(got))
-                if got[j] <= v and s.incremental:
-                    break
-                at, node, v = lo + j, kids[which[j]], float(got[j])
-                close = kids[(np.abs(kids - node) <= size * 1.01).all(1)]
-                sh, we = shifts(close)
-                vals = np.array([sum(we[q, r] * samples[r][at - offsets[r] - sh[q, r]] for r in range(len(rows)) if 0 <= at - offsets[r] - sh[q, r] < len(samples[r])) for q in range(len(close))])
-                near = close
-            place = node
+        for at in map(int, peaks):
+            k = int(index[at])
+            near = np.r_[k, touching(k)]
+            place, size = nodes[k], float(sizes[k])
             if len(near) > 4:
-                place, _ = refine_maximum(near, vals, node, size / 1.5)
+                place, _ = refine_maximum(nodes[near], snapshot(at, near), place, size / 1.5)
             edge = _border(place, b)
-            out.append((key[0], t0 + round(at / rate * 1e6), *map(float, place), v, len({i for i, *_ in rows}), edge, size, edge > s.border))
+            out.append((key[0], t0 + round(at / rate * 1e6), *map(float, place), float(best[at]), len({i for i, *_ in rows}), edge, size, edge > s.border))
         yield pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.nulls(0, f.type) for f in schema], schema=schema)
 
     return grouped_map(images, ["batch_id"], run, _FOUND, order=["sta_idx", "phase"])

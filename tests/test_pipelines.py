@@ -36,6 +36,24 @@ def test_planted_events_are_found(spark, incremental):
         assert f.n_stations == 16 and f.in_bounds
 
 
+@pytest.mark.parametrize("incremental", [False, True])
+def test_weak_event_beside_a_strong_one_is_found(spark, incremental):
+    # both lie at a corner of root nodes; the weak one passes the threshold only at the finer nodes split for the strong one
+    where, origins, rate, n = np.array([0.0, 0.0, 4_000.0]), ((8.0, 1.0), (20.0, 0.4)), 50.0, 1500
+    rows = []
+    for i, e, no, h in pipeline_queries.network():
+        for p, v in pipeline_queries.VELOCITIES.items():
+            tt = math.dist(where, (e, no, -h)) / v
+            x = sum(a * np.exp(-((np.arange(n) / rate - t - tt) ** 2) / (2 * 0.1**2)) for t, a in origins)
+            rows.append((0, i, p, pipeline_queries.START, rate, x.tolist()))
+    images = spark.createDataFrame(rows, "batch_id long, sta_idx long, phase string, tmin_us long, rate_hz double, samples array<double>")
+    found = sorted(pipeline_queries.srch.search(images, pipeline_queries.network(), pipeline_queries.settings(incremental=incremental)).collect(), key=lambda r: r.time_us)
+    assert len(found) == 2
+    for f, (t, a) in zip(found, origins):
+        assert abs((f.time_us - pipeline_queries.START) / 1e6 - t) < 0.15 and math.dist((f.east, f.north, f.depth), where) < 700 and f.semblance > 1.5 * a
+        assert f.node_size == 250
+
+
 def test_true_model_scores_best(spark, data):
     s = {r.model: r.score or 0 for r in pipeline_queries.velocity_model_scores(spark, data).collect()}
     assert s["true"] > s["slow"] and s["true"] > s["fast"]
