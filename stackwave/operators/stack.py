@@ -56,20 +56,20 @@ def local_maxima(maxima: DataFrame, height: float | None = None) -> DataFrame:
     return out if height is None else out.where(F.col("v") >= height)
 
 
-def kernel(samples: list[np.ndarray], offsets: np.ndarray, shifts: np.ndarray, weights: np.ndarray, first: int, last: int, skip: np.ndarray | None = None, best: np.ndarray | None = None, index: np.ndarray | None = None, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+def kernel(samples: list[np.ndarray], offsets: np.ndarray, shifts: np.ndarray, weights: np.ndarray, first: int, last: int, skip: np.ndarray | None = None, best: np.ndarray | None = None, index: np.ndarray | None = None, floor: float = -np.inf, absent: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """(best, index) over [first, last) for nodes x traces shifts and weights: never holds node x sample.
 
-    skip leaves nodes out; best and index resume from earlier nodes. Strictly
+    skip leaves nodes out; absent is a node's value where none of its traces reaches; best and index resume from earlier nodes. Strictly
     greater wins, so the least node number of equals stays.
     """
     n = last - first
     best = np.full(n, floor) if best is None else best.copy()
     index = np.zeros(n, np.int64) if index is None else index.copy()
-    row = np.empty(n)
+    row, met = np.empty(n), np.empty(n, bool)
     for node in range(len(shifts)):
         if skip is not None and skip[node]:
             continue
-        row[:] = 0.0
+        row[:], met[:] = 0.0, False
         for k, x in enumerate(samples):
             w = weights[node, k]
             if w == 0:
@@ -78,6 +78,9 @@ def kernel(samples: list[np.ndarray], offsets: np.ndarray, shifts: np.ndarray, w
             lo, hi = max(a, 0), min(a + len(x), n)
             if lo < hi:
                 row[lo:hi] += w * x[lo - a : hi - a]
+                met[lo:hi] = True
+        if absent != 0:
+            row[~met] = absent
         up = row > best
         best[up] = row[up]
         index[up] = node
@@ -90,8 +93,8 @@ _MAX = "batch_id long, tile long, first long, node_ids array<long>, v array<doub
 def stack_kernel(images: DataFrame, shifts: DataFrame, tile: int = 64) -> DataFrame:
     """(batch_id, t, v, node_id) by the array kernel: one task per batch and tile of nodes, then the maximum over tiles.
 
-    Samples that no shifted trace of any node reaches are absent; a node with
-    no trace at a sample counts 0 there.
+    Samples that no shifted trace of any node reaches are absent, and a node
+    with no trace at a sample does not count there.
     """
     spans = extent(images, shifts.where("weight <> 0"))
     s = shifts.withColumn("tile", F.floor(F.col("node_id") / tile)).groupBy("tile", "trace_id").agg(F.sort_array(F.collect_list(F.struct("node_id", "shift", "weight"))).alias("s"))
@@ -107,11 +110,12 @@ def stack_kernel(images: DataFrame, shifts: DataFrame, tile: int = 64) -> DataFr
             at = np.searchsorted(names, n)
             sh[at, k], we[at, k] = s_, w
         first, last = int(t["first"][0].as_py()), int(t["last"][0].as_py())
-        best, index = kernel([np.array(x) for x in t["samples"].to_pylist()], t["offset"].to_numpy(), sh, we, first, last)
+        best, index = kernel([np.array(x) for x in t["samples"].to_pylist()], t["offset"].to_numpy(), sh, we, first, last, absent=-np.inf)
         yield pa.Table.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([first], pa.int64()), pa.array([names[index].tolist()], pa.list_(pa.int64())), pa.array([best.tolist()], pa.list_(pa.float64()))], schema=schema)
 
     tiles = grouped_map(j, ["batch_id", "tile"], run, _MAX, order=["trace_id"])
     rows = tiles.select("batch_id", "first", F.posexplode(F.arrays_zip("v", "node_ids")).alias("k", "x"))
+    rows = rows.where(F.col("x.v") > float("-inf"))
     return reduce_max(rows.select("batch_id", (F.col("first") + F.col("k")).alias("t"), F.col("x.v").alias("v"), F.col("x.node_ids").alias("node_id")))
 
 

@@ -191,10 +191,16 @@ def stack_maximum(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_TR}, r as (select *, row_number() over (partition by batch_id, t order by v desc, node_id) as k from st) select batch_id::bigint as batch_id, t::bigint as t, round(v, 6) as v, node_id::bigint as node_id from r where k = 1 and t between 15 and 63")
 def stack_by_kernel(spark: SparkSession, d: str) -> DataFrame:
-    """The array kernel, where every node has every trace (elsewhere it counts absent samples as 0)."""
+    """The array kernel, where every node has every trace."""
     return stack.stack_kernel(*_traces(spark, d), tile=8).where("t between 15 and 63").select("batch_id", "t", F.round("v", 6).alias("v"), "node_id")
 
 
+@query(f"with {_TR}, r as (select *, row_number() over (partition by batch_id, t order by v desc, node_id) as k from st) select batch_id::bigint as batch_id, t::bigint as t, round(v, 6) as v, node_id::bigint as node_id from r where k = 1")
+def stack_by_kernel_all(spark: SparkSession, d: str) -> DataFrame:
+    """The array kernel over the whole extent."""
+    return stack.stack_kernel(*_traces(spark, d), tile=8).select("batch_id", "t", F.round("v", 6).alias("v"), "node_id")
+
+
 @query(f"with {_TR}, r as (select *, row_number() over (partition by batch_id, t order by v desc, node_id) as k from st) select batch_id::bigint as batch_id, t::bigint as t, round(v, 6) as v, node_id::bigint as node_id from r where k = 1")
 def stack_resumed(spark: SparkSession, d: str) -> DataFrame:
     """The running maximum of the first ten nodes, resumed with the rest."""

@@ -341,3 +341,10 @@ def test_modelled_amplitudes_of_every_row(spark):
             m = np.median(v)
             assert (got[i].q_id, got[i].n) == (c, len(v))
             assert np.allclose([got[i].log_mean, got[i].log_median, got[i].rel_mad], [math.log10(v.mean()), math.log10(m), np.median(abs(v - m)) / m], atol=2e-6)
+
+
+def test_kernel_leaves_absent_samples_out(spark):
+    images = spark.createDataFrame([(0, 0, 0, [-1.0, -2.0]), (0, 1, 0, [-4.0, -3.0])], "batch_id long, trace_id long, offset long, samples array<double>")
+    shifts = spark.createDataFrame([(0, 0, 0, 1.0), (0, 1, 0, 1.0), (1, 0, 1, 1.0), (1, 1, 5, 1.0)], "node_id long, trace_id long, shift long, weight double")
+    got, want = (sorted(map(tuple, x.select("t", "v", "node_id").collect())) for x in (stack.stack_kernel(images, shifts), stack.reduce_max(stack.stack_rows(images, shifts))))
+    assert got == want == [(0, -5.0, 0), (1, -1.0, 1), (2, -2.0, 1), (5, -4.0, 1), (6, -3.0, 1)]
