@@ -1,12 +1,13 @@
 """Implausible readings per source: ranges, stuck runs, and spikes by robust principal components.
 
 Spikes. The readings of a source that are neither impossible nor stuck form a
-daily profile matrix: rows are days (or, where there are more than ROWS, equal
-groups of days), columns the parts of a day, entries the median log10 reading.
-Principal component pursuit splits it into low-rank normal behaviour and
-sparse deviations (where levels follow distance, columns are distances and the
-robust line of decay is taken off first). Readings that stand off from the normal level of their
-entry are candidates. An exact check follows: a candidate stays a spike only
+daily profile matrix: rows are days (or equal groups of days, united further
+where they hold few readings), columns the parts of a day, entries the median
+log10 reading. Where levels follow distance, rows are distances and columns
+groups of records. Robust principal components split it into an offset (and a
+line of decay with distance), a low-rank part, the source's normal behaviour,
+and a sparse part. Readings further than OFF from the level of their entry are
+candidates. An exact check follows: a candidate stays a spike only
 while it is at least `factor` times every sound reading it is compared with
 (or, two-sided, at most 1 / factor of each); one that isn't becomes sound.
 
@@ -53,24 +54,47 @@ def impossible(v: Column, zero: bool) -> Column:
     return usable(v) & ((v < 0.0) | (v >= HUGE) | ((v == 0.0) if zero else F.lit(False)))
 
 
-def pursuit(m: np.ndarray, seen: np.ndarray, steps: int = 25) -> np.ndarray:
-    """Low-rank part of each matrix of m (batch, rows, columns): principal component pursuit, alternating multipliers; unseen entries are free."""
-    lam = 1 / np.sqrt(max(m.shape[1:]))
+def pursuit(m: np.ndarray, seen: np.ndarray, x: np.ndarray | None = None, steps: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Robust principal components of each matrix of m (batch, rows, columns): m = offset + slope * x + low + sparse.
+
+    low is of low rank, sparse of few entries; the offset (and the slope, where
+    x is given) are of no cost. Alternating multipliers from a least absolute
+    deviation fit; unseen entries are free. Returns offset, slope and low.
+    """
+    k, rows, columns = m.shape
+    lam = (1 / np.sqrt(np.maximum(seen.any(2).sum(1), columns)))[:, None, None]
+    w0 = seen.astype(float)
     m = np.where(seen, m, 0.0)
-    norm = np.sqrt(np.maximum(np.linalg.eigvalsh(np.swapaxes(m, 1, 2) @ m)[:, -1], 1e-12))[:, None, None]
-    y = m / np.maximum(norm, np.abs(m).max((1, 2), keepdims=True) / lam)
+    x = np.zeros_like(m) if x is None else np.where(seen, x, 0.0)
+    offset, slope = np.zeros((2, k, 1, 1))
+
+    def line(y: np.ndarray, w: np.ndarray) -> None:
+        nonlocal offset, slope
+        total = np.maximum(w.sum((1, 2), keepdims=True), 1e-12)
+        mx, my = (w * x).sum((1, 2), keepdims=True) / total, (w * y).sum((1, 2), keepdims=True) / total
+        dx = x - mx
+        slope = (w * dx * (y - my)).sum((1, 2), keepdims=True) / np.maximum((w * dx * dx).sum((1, 2), keepdims=True), 1e-9)
+        offset = my - slope * mx
+
+    line(m, w0)
+    for _ in range(12):
+        line(m, w0 / np.maximum(np.abs(m - offset - slope * x), 0.05))
+    d = np.where(seen, m - offset - slope * x, 0.0)
+    norm = np.sqrt(np.maximum(np.linalg.eigvalsh(np.swapaxes(d, 1, 2) @ d)[:, -1], 1e-12))[:, None, None]
+    y = d / np.maximum(norm, np.abs(d).max((1, 2), keepdims=True) / lam)
     mu, s, low = 1.25 / norm, np.zeros_like(m), np.zeros_like(m)
     for _ in range(steps):
-        a = m - s + y / mu
+        a = m - offset - slope * x - s + y / mu
         w, v = np.linalg.eigh(np.swapaxes(a, 1, 2) @ a)
         sv = np.sqrt(np.maximum(w, 1e-24))
         keep = np.maximum(sv - 1 / mu[:, 0], 0) / sv
         low = ((a @ v) * keep[:, None, :]) @ np.swapaxes(v, 1, 2)
-        r = m - low + y / mu
+        line(m - low - s + y / mu, w0)
+        r = m - offset - slope * x - low + y / mu
         s = np.where(seen, np.sign(r) * np.maximum(np.abs(r) - lam / mu, 0), r)
-        y = y + mu * (m - low - s)
+        y = y + mu * (m - offset - slope * x - low - s)
         mu = mu * 1.5
-    return low
+    return offset[:, 0, 0], slope[:, 0, 0], low
 
 
 def _weighted_rank(v: np.ndarray, n: np.ndarray, group: np.ndarray, q: float) -> tuple[np.ndarray, np.ndarray]:
@@ -84,26 +108,22 @@ def _weighted_rank(v: np.ndarray, n: np.ndarray, group: np.ndarray, q: float) ->
     return g[first], v[o][np.minimum(at, len(o) - 1)]
 
 
-def decay(x: np.ndarray, y: np.ndarray, n: np.ndarray, source: np.ndarray, steps: int = 12) -> np.ndarray:
-    """The line of least absolute deviation of y over x in each source (0..k-1), by reweighting; at each x."""
-    k, w = int(source[-1]) + 1, n.copy()
-    fit = np.zeros(len(x))
-    for _ in range(steps):
-        total = np.bincount(source, w, k)
-        mx, my = np.bincount(source, w * x, k) / total, np.bincount(source, w * y, k) / total
-        dx = x - mx[source]
-        slope = np.bincount(source, w * dx * (y - my[source]), k) / np.maximum(np.bincount(source, w * dx * dx, k), 1e-9)
-        fit = my[source] + slope[source] * dx
-        w = n / np.maximum(np.abs(y - fit), 0.05)
-    return fit
+def grouped_rows(source: np.ndarray, row: np.ndarray, n: np.ndarray, rows: int, fill: int = 8) -> np.ndarray:
+    """Rows of each source's matrix, neighbours united until each holds about `fill` readings."""
+    k = int(source[-1]) + 1
+    held = np.bincount(source * rows + row, n, k * rows).reshape(k, rows)
+    each = np.maximum(fill, held.sum(1, keepdims=True) / rows)
+    return ((np.cumsum(held, 1) - held) // each).astype(np.int64)[source, row]
+
 
+def candidates(source: np.ndarray, row: np.ndarray, slot: np.ndarray, logv: np.ndarray, n: np.ndarray, rows: int, slots: int, x: np.ndarray | None = None) -> np.ndarray:
+    """Which readings lie in the sparse part: further than OFF from their entry's low-rank level; source is 0..k-1, sorted.
 
-def candidates(source: np.ndarray, row: np.ndarray, slot: np.ndarray, logv: np.ndarray, n: np.ndarray, rows: int, slots: int) -> np.ndarray:
-    """Which entries stand off from the low-rank level of their source's matrix; source is 0..k-1, sorted."""
+    x is what levels fall with (log distance). A level that less than a fifth
+    of a source's readings share, on either side, is no normal behaviour: the
+    low-rank part is taken within those bounds.
+    """
     k = int(source[-1]) + 1
-    _, mid = _weighted_rank(logv, n, source, 0.5)
-    _, lo = _weighted_rank(logv, n, source, 0.2)
-    _, hi = _weighted_rank(logv, n, source, 0.8)
     out = np.zeros(len(source), bool)
     per = max(1, 2_000_000 // (rows * slots))
     cut = np.searchsorted(source, np.arange(0, k + per, per))
@@ -111,14 +131,27 @@ def candidates(source: np.ndarray, row: np.ndarray, slot: np.ndarray, logv: np.n
         if a == b:
             continue
         s0, s1 = int(source[a]), int(source[b - 1]) + 1
-        s = source[a:b] - s0
-        cell = (s * rows + row[a:b]) * slots + slot[a:b]
-        at, med = _weighted_rank(logv[a:b] - mid[source[a:b]], n[a:b], cell, 0.5)
+        s, v, w = source[a:b] - s0, logv[a:b], n[a:b]
+        r = row[a:b] if x is not None else grouped_rows(s, row[a:b], w, rows)
+        cell = (s * rows + r) * slots + slot[a:b]
+        at, med = _weighted_rank(v, w, cell, 0.5)
         m, seen = np.zeros((s1 - s0) * rows * slots), np.zeros((s1 - s0) * rows * slots, bool)
         m[at], seen[at] = med, True
-        low = pursuit(m.reshape(-1, rows, slots), seen.reshape(-1, rows, slots)).ravel()[cell]
-        level = np.clip(low + mid[source[a:b]], lo[source[a:b]], hi[source[a:b]])
-        out[a:b] = np.abs(logv[a:b] - level) > OFF
+        shape = (-1, rows, slots)
+        if x is None:
+            offset, _, low = pursuit(m.reshape(shape), seen.reshape(shape))
+            base = offset[s]
+        else:
+            xs = x[a:b]
+            mx = np.bincount(cell, w * xs, len(m)) / np.maximum(np.bincount(cell, w, len(m)), 1e-12)
+            offset, slope, low = pursuit(m.reshape(shape), seen.reshape(shape), mx.reshape(shape))
+            base = offset[s] + slope[s] * xs
+        low = low.ravel()[cell]
+        least, most = np.zeros((2, s1 - s0))
+        for bound, q in ((least, 0.2), (most, 0.8)):
+            g, value = _weighted_rank(low, w, s, q)
+            bound[g] = value
+        out[a:b] = np.abs(v - base - np.clip(low, least[s], most[s])) > OFF
     return out
 
 
@@ -137,15 +170,34 @@ def settle(vmin: np.ndarray, vmax: np.ndarray, cand: np.ndarray, factor: float,
     return case
 
 
+def _range_max(v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Greatest of v[lo:hi] for each pair of bounds (lo < hi), over a table of doubling spans."""
+    table = [v]
+    while 2 << (len(table) - 1) <= len(v):
+        step = 1 << (len(table) - 1)
+        table.append(np.maximum(table[-1][:-step], table[-1][step:]))
+    level = np.frexp((hi - lo).astype(float))[1] - 1
+    out = np.empty(len(lo))
+    for k in np.unique(level):
+        u = np.flatnonzero(level == k)
+        out[u] = np.maximum(table[k][lo[u]], table[k][hi[u] - (1 << k)])
+    return out
+
+
 def settle_near(vmin, vmax, dmin, dmax, cand, factor: float, width: float) -> np.ndarray:  # noqa: ANN001
-    """The same where readings compare at distances within a factor of width."""
+    """The same where readings compare at distances within a factor of width (or those without distance with none)."""
     case = cand & ~np.isnan(dmin)
+    o = np.flatnonzero(~np.isnan(dmin))
+    o = o[np.argsort(dmin[o], kind="stable")]
+    start, end = dmin[o], np.maximum.accumulate(dmax[o])
     while case.any():
-        sound = ~case
+        at = np.flatnonzero(case)
+        lo, hi = np.searchsorted(end * width, dmin[at], "left"), np.searchsorted(start, dmax[at] * width, "right")
+        sound = ~case[o]
+        top = _range_max(np.where(sound, vmax[o], -np.inf), lo, hi)
+        bottom = -_range_max(np.where(sound, -vmin[o], -np.inf), lo, hi)
         still = case.copy()
-        for i in np.flatnonzero(case):
-            near = sound & (dmax * width >= dmin[i]) & (dmin <= dmax[i] * width)
-            still[i] = near.any() and (vmin[i] >= factor * vmax[near].max() or vmax[i] <= vmin[near].min() / factor)
+        still[at] = np.isfinite(top) & ((vmin[at] >= factor * top) | (vmax[at] <= bottom / factor))
         if (still == case).all():
             break
         case = still
@@ -195,15 +247,18 @@ def spikes_of(source, total, row, slot, v1, v2, d1, d2, n, least: int, factor: f
     _, s = np.unique(source[use], return_inverse=True)
     logv = (np.log10(v1[use]) + np.log10(v2[use])) / 2
     row, slot = row[use].astype(np.int64), slot[use].astype(np.int64)
-    rows, slots = ROWS, SLOTS
-    if width is not None:  # matrix rows are distances, counted from the nearest one
-        rows, slots = SITE_SLOTS, SITE_ROWS
-        _, nearest = _weighted_rank(slot.astype(float), np.ones(len(slot)), s, 0.0)
+    if width is None:
+        cand = candidates(s, row, slot, logv, n[use].astype(float), ROWS, SLOTS)
+    else:  # matrix rows are distances, counted from the nearest one; readings without distance compare with none
         none = np.isnan(d1[use])
-        x = np.log10(np.where(none, 1.0, d1[use]))
-        logv = logv - decay(x, logv, np.where(none, 1e-9, n[use]), s)
-        row, slot = np.clip(slot - nearest[s].astype(np.int64), 0, SITE_SLOTS - 1), row
-    cand = candidates(s, row, slot, logv, n[use].astype(float), rows, slots)
+        _, nearest = _weighted_rank(np.where(none, np.inf, slot), np.ones(len(slot)), s, 0.0)
+        step = np.clip(slot - np.where(np.isfinite(nearest), nearest, 0).astype(np.int64)[s], 0, SITE_SLOTS - 1)
+        x = (np.log10(np.where(none, 1.0, d1[use])) + np.log10(np.where(none, 1.0, d2[use]))) / 2
+        cand = np.zeros(len(use), bool)
+        if not none.all():
+            u = np.flatnonzero(~none)
+            _, su = np.unique(s[u], return_inverse=True)
+            cand[u] = candidates(su, step[u], row[u], logv[u], n[use][u].astype(float), SITE_SLOTS, SITE_ROWS, x[u])
     out: list[np.ndarray] = []
     edges = np.r_[np.flatnonzero(np.r_[True, s[1:] != s[:-1]]), len(s)]
     some = np.add.reduceat(cand, edges[:-1]) > 0

@@ -200,6 +200,66 @@ def test_site_anomalies(spark, part_rows):
     assert got == {(40, "spike"), (41, "spike"), (60, "impossible")}
 
 
+def two_levels():
+    r = random.Random(9)
+    rows = [[i, "d", i * 10_800_000_000, 1e-6 * (40 if i % 8 >= 6 else 1) * 10 ** r.gauss(0, 0.1)] for i in range(600)]
+    rows[300][3] = 1e-2
+    return [tuple(x) for x in rows]
+
+
+@pytest.mark.parametrize("part_rows", [80, 100_000])
+def test_a_daily_profile_of_two_levels_is_normal(spark, part_rows):
+    df = spark.createDataFrame(two_levels(), "row_id long, nsl string, t long, amp double")
+    got = anomalies.station_anomalies(df, "row_id", "nsl", F.col("t"), {"amp": True}, part_rows=part_rows).collect()
+    assert [(x.row_id, x.reason) for x in got] == [(300, "spike")]
+
+
+@pytest.mark.parametrize("part", ["all of it", "the low-rank part"])
+def test_spikes_hang_on_the_principal_components(spark, monkeypatch, part):
+    def without(m, seen, x=None, steps=0):
+        offset, slope, low = fit(m, seen, x)
+        return (offset, slope, low * 0) if part == "the low-rank part" else (offset * 0, slope * 0, low * 0)
+
+    fit = anomalies.pursuit
+    rows = two_levels() if part == "the low-rank part" else anomaly_rows()[0]
+    df = spark.createDataFrame([x[:4] for x in rows], "row_id long, nsl string, t long, amp double")
+    found = lambda: sorted((x.row_id, x.reason) for x in anomalies.station_anomalies(df, "row_id", "nsl", F.col("t"), {"amp": True}).collect())
+    kept = found()
+    monkeypatch.setattr(anomalies, "pursuit", without)
+    assert found() != kept
+
+
+def test_pursuit_splits_profile_and_spikes():
+    r = np.random.RandomState(10)
+    day, part = r.normal(0, 0.3, 40), np.array([-0.6, 0.1, 0.8, -0.2])
+    m = -6 + np.outer(1 + day, part) + r.normal(0, 0.02, (40, 4))
+    seen = r.rand(40, 4) < 0.9
+    spikes = seen & (r.rand(40, 4) < 0.05)
+    offset, slope, low = anomalies.pursuit((m + 3 * spikes)[None], seen[None])
+    assert slope[0] == 0
+    off = np.abs(m + 3 * spikes - offset[0] - low[0])
+    assert (off > 0.9)[spikes].all() and np.mean((off < 0.9)[seen & ~spikes]) > 0.95 and np.median(off[seen & ~spikes]) < 0.1
+
+
+def test_settling_near_is_the_plain_check():
+    r = np.random.RandomState(11)
+    for _ in range(20):
+        n = r.randint(1, 60)
+        d = np.where(r.rand(n) < 0.1, np.nan, 10 ** r.uniform(3, 4, n))
+        v = 10 ** r.normal(0, 0.8, n)
+        cand = r.rand(n) < 0.3
+        case = cand & ~np.isnan(d)
+        while True:
+            still = case.copy()
+            for i in np.flatnonzero(case):
+                near = v[~case & (d * 1.5 >= d[i]) & (d <= d[i] * 1.5)]
+                still[i] = len(near) > 0 and (v[i] >= 10 * near.max() or v[i] <= near.min() / 10)
+            if (still == case).all():
+                break
+            case = still
+        assert (anomalies.settle_near(v, v, d, d, cand, 10.0, 1.5) == case).all()
+
+
 # -- time texts
 
 
