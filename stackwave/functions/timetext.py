@@ -5,9 +5,16 @@
 reading of the source's own clock, 'abbr' a clock reading with a zone
 abbreviation. order is 'dmy' or 'mdy' where day and month are open, else ''.
 
+Where only one of both orders names a day, the layout's name holds it.
+
 Defined cases: surrounding white space of any kind (also no-break spaces) does
 not matter; a date alone, an impossible date or time and any other text has no
-reading; 24:00:00 is the end of its day; fractions beyond microseconds are cut.
+reading; 24:00:00 is the end of its day; fractions of any length are cut to
+microseconds. A bare number counts from 1970, in seconds below 10^11 in size,
+else in milliseconds below 10^14, microseconds below 10^17 and nanoseconds
+below 10^20; but four digits are a year and eight that name a day are a date
+alone, and fourteen that name a day and time are that. Instants lie in the
+years 1 to 9999. Texts may have any length.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7,
 # Names of universal time.
 UNIVERSAL = ("Z", "UTC", "GMT")
 
-_CLOCK = r"(?P<H>\d{1,2}):(?P<M>\d{2})(?::(?P<S>\d{2})(?:[.,](?P<f>\d{1,9}))?)?(?:\s*(?P<ap>[AaPp][Mm]))?"
+_CLOCK = r"(?P<H>\d{1,2}):(?P<M>\d{2})(?::(?P<S>\d{2})(?:[.,](?P<f>\d+))?)?(?:\s*(?P<ap>[AaPp][Mm]))?"
 _ZONE = r"(?:\s*(?P<off>[+-]\d{2}(?::?\d{2})?)|\s*\(?(?P<abbr>[A-Za-z]{1,5})\)?)?(?:\[(?P<id>[\w/+-]+)\])?"
 _END = _CLOCK + _ZONE + r"$"
 _LAYOUTS = [
@@ -33,10 +40,11 @@ _LAYOUTS = [
     ("y-day", re.compile(r"(?P<y>\d{4})[-,.](?P<j>\d{3})(?:[T,]|\s+)" + _END)),
     ("d mon y", re.compile(r"(?:[A-Za-z]{3,9},?\s+)?(?P<d>\d{1,2})[ -](?P<mon>[A-Za-z]{3,9})[ -](?P<y>\d{4})\s+" + _END)),
     ("mon d, y", re.compile(r"(?P<mon>[A-Za-z]{3,9})\s+(?P<d>\d{1,2}),?\s+(?P<y>\d{4})\s+" + _END)),
-    ("compact", re.compile(r"(?P<y>\d{4})(?P<m>\d{2})(?P<d>\d{2})(?:T|\s)?(?P<H>\d{2})(?P<M>\d{2})(?P<S>\d{2})(?:[.,](?P<f>\d{1,9}))?(?P<ap>)" + _ZONE + r"$")),
+    ("compact", re.compile(r"(?P<y>\d{4})(?P<m>\d{2})(?P<d>\d{2})(?:T|\s)?(?P<H>\d{2})(?P<M>\d{2})(?P<S>\d{2})(?:[.,](?P<f>\d+))?(?P<ap>)" + _ZONE + r"$")),
 ]
-_COUNT = re.compile(r"-?(\d{9,10})(?:\.(\d{1,9}))?$")
-_UNITS = {13: 1000, 16: 1, 19: 0}
+_COUNT = re.compile(r"(-?)(\d{1,20})(?:\.(\d+))?$", re.ASCII)
+_BY_LETTER, _BY_DIGIT = [x for x in _LAYOUTS if "mon" in x[0]], [x for x in _LAYOUTS if x[0] != "mon d, y"]
+FIRST, LAST = -62_135_596_800_000_000, 253_402_300_799_999_999
 
 
 def _date(y: int, m: int, d: int) -> int | None:
@@ -60,20 +68,37 @@ def _time(g: dict) -> int | None:
     return ((h * 60 + m) * 60 + s) * 1_000_000 + f
 
 
+def _count(sign: str, digits: str, fraction: str) -> int | None:
+    n = int(digits)
+    if not sign and not fraction and (len(digits) == 4 or (len(digits) == 8 and _date(int(digits[:4]), int(digits[4:6]), int(digits[6:])) is not None)):
+        return None
+    if n < 10**17:
+        unit = 1_000_000 if n < 10**11 else 1000 if n < 10**14 else 1
+        v = n * unit + int((fraction or "0")[:6].ljust(6, "0")) * unit // 1_000_000
+    else:
+        v = n // 1000
+    v = -v if sign else v
+    return v if FIRST <= v <= LAST else None
+
+
 def interpret(text: str | None) -> list[tuple[str, str, str, int, str]]:
     if text is None:
         return []
     s = text.strip()
-    if not s or len(s) > 80:
+    if not s:
         return []
     out: list[tuple[str, str, str, int, str]] = []
-    if s.replace(".", "", 1).lstrip("-").isdecimal() and s.isascii():
-        if m := _COUNT.match(s):
-            v = int(m[1]) * 1_000_000 + int((m[2] or "0")[:6].ljust(6, "0"))
-            out.append(("count", "", "utc", -v if s[0] == "-" else v, ""))
-        elif s.isdecimal() and len(s) in _UNITS:
-            out.append(("count", "", "utc", int(s) * _UNITS[len(s)] if len(s) < 19 else int(s) // 1000, ""))
-    for name, pattern in _LAYOUTS:
+    if m := _COUNT.match(s):
+        v = _count(*m.groups())
+        if len(m[2]) == 14 and not m[1]:
+            out = _dated(s, _BY_DIGIT)
+        return out or ([("count", "", "utc", v, "")] if v is not None else [])
+    return _dated(s, _BY_DIGIT if s[0].isdecimal() else _BY_LETTER)
+
+
+def _dated(s: str, layouts: list) -> list[tuple[str, str, str, int, str]]:
+    out: list[tuple[str, str, str, int, str]] = []
+    for layout, pattern in layouts:
         m = pattern.match(s)
         if not m:
             continue
@@ -81,7 +106,7 @@ def interpret(text: str | None) -> list[tuple[str, str, str, int, str]]:
         t = _time(g)
         if t is None:
             continue
-        y = int(g["y"])
+        y, name = int(g["y"]), layout
         days: list[tuple[str, int | None]]
         if name in ("y-m-d", "compact"):
             days = [("", _date(y, int(g["m"]), int(g["d"])))]
@@ -97,8 +122,9 @@ def interpret(text: str | None) -> list[tuple[str, str, str, int, str]]:
             days = [("", _date(y, mon, int(g["d"])) if mon else None)]
         days = [(o, d) for o, d in days if d is not None]
         if len({d for _, d in days}) < len(days):
-            days = days[:1]  # both orders name the same day
+            days = [("", days[0][1])]  # both orders name the same day
         for order, d in days:
+            name = f"{layout} {order}".rstrip()
             order = order if len(days) > 1 else ""
             if g["off"]:
                 o = g["off"].replace(":", "")

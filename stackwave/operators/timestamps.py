@@ -2,17 +2,21 @@
 
 Each value becomes an array of valid interpretations (layout, order of day and
 month, zone, occurrence of a repeated clock reading). A source's values in
-record order form a chain; the path of least cost is chosen, where a reading
-against the source's stated date order costs more than any change of format
-and any backward jump beside it, and format changes and backward jumps cost 1.
+record order form a chain. Its state is an interpretation and the order of day
+and month last in use, which values without such an order hand on. The path of
+least cost is chosen: changes of layout and backward jumps cost 1, a change of
+order costs 2, and a reading against the source's stated order costs more than
+its neighbours can save.
 
-The chain is cut into blocks of record ids. A block also sees the records
-within `halo` ids of its edges. A value with one interpretation fixes the path
-there, so blocks agree wherever such a value lies in the halo; else the choice
-is the best within block and halo.
+Scale. Values of one interpretation need no path; they enter it only where
+they stand beside an open value or show an order. Chains are cut into blocks
+of record ids. Each block states the least costs from its first states to its
+last ones; where a value with one state lies between, both ends part. A pass
+over these statements (one row a block, and only from one such value to the
+next) fixes the states at all edges, so the path is that of the whole chain.
 
 Defined cases: null, empty or unparsable text has no instant; a source without
-date order is decided by its neighbours; one without a known zone has no clock
+date order is decided by its neighbours, ties by the earlier reading; one without a known zone has no clock
 readings; equal record ids are ordered by text; other columns are ignored.
 """
 
@@ -22,19 +26,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackwave.functions.timetext import interpret, offsets_at, standard_offset
-from stackwave.plans.dist import arrow_schema, grouped_map
+from stackwave.plans.dist import arrow_schema, checkpointed, grouped_map
 
-AGAINST_ORDER = 16.0  # more than two neighbours' switches and jumps together
+AGAINST_ORDER = 16.0  # more than the switches, jumps and changes of order on both sides together
 SWITCH = 1.0
 BACKWARD = 1.0
+REORDER = 2.0
+ORDERS = ("dmy", "mdy")
 NONE = np.iinfo(np.int64).min
 
-_CANDS = "rid long, field string, source string, epochs array<long>, layouts array<string>, costs array<double>, folds array<boolean>"
-_CHOSEN = "rid long, field string, source string, epoch_us long, layout string, n_readings int, repeated boolean, against boolean, own boolean"
+_CANDS = "rid long, field string, source string, epochs array<long>, layouts array<string>, costs array<double>, folds array<boolean>, orders array<int>"
+_CHOSEN = "rid long, field string, source string, epoch_us long, layout string, n_readings int, repeated boolean, against boolean"
 
 
 def _interpretations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,72 +90,137 @@ def _interpretations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             against = AGAINST_ORDER if order and want in ("dmy", "mdy", "ymd") and order != ("dmy" if want == "ymd" else want) else 0.0
             if early[j] != NONE:
                 twice = late[j] != early[j]
-                out[i].append((int(early[j]), f"{layout} {order}".strip(), against, bool(twice)))
+                shows = ORDERS.index(layout[-3:]) if layout[-3:] in ORDERS else -1
+                out[i].append((int(early[j]), layout, against, bool(twice), shows))
                 if twice:
-                    out[i].append((int(late[j]), f"{layout} {order}".strip(), against, True))
+                    out[i].append((int(late[j]), layout, against, True, shows))
         pick = lambda k: [[x[k] for x in r] for r in out]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(v, f.type) for v, f in zip([col["rid"], col["field"], col["source"], pick(0), pick(1), pick(2), pick(3)], schema)], schema=schema
+            [pa.array(v, f.type) for v, f in zip([col["rid"], col["field"], col["source"], pick(0), pick(1), pick(2), pick(3), pick(4)], schema)], schema=schema
         )
 
 
-def viterbi(epochs: list[list[int]], layouts: list[list[str]], costs: list[list[float]]) -> list[int]:
-    """Index of the chosen interpretation of each value of a chain (-1: none); ties go to the earlier listed one."""
-    n = len(epochs)
-    chosen = [-1] * n
-    live = [k for k in range(n) if epochs[k]]
-    at = 0
-    while at < len(live):
-        k = live[at]
-        if len(epochs[k]) == 1:
-            chosen[k] = 0
-            at += 1
-            continue
-        end = at
-        while end < len(live) and len(epochs[live[end]]) > 1:
-            end += 1
-        path = live[max(0, at - 1) : end + 1]  # with the fixed values on either side
-        best = list(costs[path[0]])
-        back: list[list[int]] = []
-        for a, b in zip(path, path[1:]):
-            step, from_ = [], []
-            for e, lay, c in zip(epochs[b], layouts[b], costs[b]):
-                options = [p + (lay != pl) * SWITCH + (e < pe) * BACKWARD for p, pl, pe in zip(best, layouts[a], epochs[a])]
-                j = min(range(len(options)), key=options.__getitem__)
-                step.append(options[j] + c)
-                from_.append(j)
-            best = step
-            back.append(from_)
-        j = min(range(len(best)), key=best.__getitem__)
-        for b, from_ in zip(reversed(path[1:]), reversed(back)):
-            chosen[b] = j
-            j = from_[j]
-        chosen[path[0]] = j
-        at = end
-    return chosen
+State = tuple[int, str, float, int, int]  # epoch, layout, cost, order in use, number of the reading
+
+
+def states(epochs: list[int], layouts: list[str], costs: list[float], orders: list[int]) -> list[State]:
+    return [(e, lay, c, o, j) for j, (e, lay, c, shows) in enumerate(zip(epochs, layouts, costs, orders)) for o in ((0, 1) if shows < 0 else (shows,))]
+
+
+def _step(best: list[float], a: list[State], b: list[State]) -> tuple[list[float], list[int]]:
+    """Least cost of each state of b after those of a, and where it comes from (the first of equals)."""
+    cost, back = [], []
+    for e, lay, c, o, _ in b:
+        options = [p + (lay != x[1]) * SWITCH + (e < x[0]) * BACKWARD + (o != x[3]) * REORDER for p, x in zip(best, a)]
+        j = options.index(min(options))
+        cost.append(options[j] + c)
+        back.append(j)
+    return cost, back
+
+
+def _costs(chain: list[list[State]], start: list[float]) -> list[float]:
+    best = start
+    for a, b in zip(chain, chain[1:]):
+        best, _ = _step(best, a, b)
+    return best
+
+
+def viterbi(chain: list[list[State]], entry: int | None = None, leave: int | None = None) -> list[int]:
+    """Number of the chosen reading at each place of a chain; entry and leave fix its first and last state."""
+    best = [x[2] if entry is None or k == entry else np.inf for k, x in enumerate(chain[0])]
+    backs: list[list[int]] = []
+    for a, b in zip(chain, chain[1:]):
+        best, back = _step(best, a, b)
+        backs.append(back)
+    k = best.index(min(best)) if leave is None else leave
+    at = [k]
+    for back in reversed(backs):
+        k = back[k]
+        at.append(k)
+    return [chain[i][k][4] for i, k in enumerate(reversed(at))]
+
+
+def _chain(t: pa.Table) -> list[list[State]]:
+    return [states(*x) for x in zip(*(t[c].to_pylist() for c in ("epochs", "layouts", "costs", "orders")))]
+
+
+_ENDS = (
+    "source string, field string, blk long, parted boolean, epochs array<long>, layouts array<string>, costs array<double>, orders array<int>, "
+    "epochs2 array<long>, layouts2 array<string>, costs2 array<double>, orders2 array<int>, between array<double>"
+)
+_EDGES = "source string, field string, blk long, entry int, leave int"
+
+
+def _ends(key: tuple, t: pa.Table) -> Iterator[pa.Table]:
+    """What a block costs from each first state to each last one; parted: to and from the single states between."""
+    chain = _chain(t)
+    single = [k for k, x in enumerate(chain) if len(x) == 1]
+    unit = lambda x, k: [x[i][2] if i == k else np.inf for i in range(len(x))]
+    if single:
+        head, tail = chain[: single[0] + 1], chain[single[-1] :]
+        between = [_costs(head, unit(head[0], k))[0] for k in range(len(head[0]))] + _costs(tail, [0.0])
+    else:
+        between = [x for k in range(len(chain[0])) for x in _costs(chain, unit(chain[0], k))]
+    first, last = ([list(c) for c in list(zip(*x))[:4]] for x in (chain[0], chain[-1]))
+    schema = arrow_schema(_ENDS)
+    yield pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip([*key, bool(single), *first, *last, between], schema)], schema=schema)
+
+
+def _link(key: tuple, t: pa.Table) -> Iterator[pa.Table]:
+    """The states at the edges between blocks, from one parted block to the next."""
+    rows = t.to_pylist()
+    side = lambda r, n: [(*x, 0) for x in zip(*(r[c + n] for c in ("epochs", "layouts", "costs", "orders")))]
+    first, last = [side(r, "") for r in rows], [side(r, "2") for r in rows]
+    best: list[float] = []
+    trail: list[tuple[list[int], list[list[int]]]] = []  # of each block: where its entries come from, which entry each last state has
+    for k, r in enumerate(rows):
+        na, nz = len(first[k]), len(last[k])
+        if k:
+            cost, back = _step(best, last[k - 1], first[k])
+            cost = [c - x[2] for c, x in zip(cost, first[k])]  # an entry's own cost lies in `between`
+        else:
+            cost, back = [0.0] * na, []
+        if r["parted"] and k == 0:
+            best, entry = r["between"][na:], [-1] * nz
+        elif r["parted"]:
+            best, entry = [min(c + x for c, x in zip(cost, r["between"]))], [min(range(na), key=lambda i: cost[i] + r["between"][i])]
+        else:
+            grid = np.array(r["between"]).reshape(na, nz) + np.array(cost)[:, None]
+            best, entry = grid.min(0).tolist(), grid.argmin(0).tolist()
+        trail.append((back, entry))
+    z = best.index(min(best))
+    out = []
+    for k in range(len(rows) - 1, -1, -1):
+        back, entry = trail[k]
+        a = entry[z]
+        out.append((rows[k]["source"], rows[k]["field"], rows[k]["blk"], a if k else None, z if k < len(rows) - 1 else None))
+        if k:
+            z = back[a]
+    schema = arrow_schema(_EDGES)
+    yield pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
 
 def _choose(key: tuple, t: pa.Table) -> Iterator[pa.Table]:
-    e, lay, c = t["epochs"].to_pylist(), t["layouts"].to_pylist(), t["costs"].to_pylist()
-    chosen = viterbi(e, lay, c)
-    own = t["own"].to_numpy(zero_copy_only=False)
-    folds = t["folds"].to_pylist()
+    edge = t.filter(pc.is_null(t["rid"]))
+    t = t.filter(pc.is_valid(t["rid"]))
+    fixed = [next((v for v in edge[c].to_pylist() if v is not None), None) for c in ("entry", "leave")]
+    n = pc.list_value_length(t["epochs"]).to_numpy()
+    chain = _chain(t)
+    # a value of one state parts the path
+    cuts = [0, *[k for k in range(1, len(chain) - 1) if len(chain[k]) == 1], len(chain) - 1]
+    chosen = [0] * len(chain)
+    for a, b in zip(cuts, cuts[1:] or cuts):
+        chosen[a : b + 1] = viterbi(chain[a : b + 1], fixed[0] if a == 0 else None, fixed[1] if b == len(chain) - 1 else None)
+    own = pa.array(n > 1)
+    at = [(x[j], lay[j], f[j], c[j]) for x, lay, f, c, j in zip(*(t[c].to_pylist() for c in ("epochs", "layouts", "folds", "costs")), chosen)]
     schema = arrow_schema(_CHOSEN)
+    e, lay, f, c = (list(x) for x in zip(*at))
     yield pa.Table.from_arrays(
-        [
-            t["rid"], t["field"], t["source"],
-            pa.array([x[j] if j >= 0 else None for x, j in zip(e, chosen)], pa.int64()),
-            pa.array([x[j] if j >= 0 else None for x, j in zip(lay, chosen)], pa.string()),
-            pa.array([len(x) for x in e], pa.int32()),
-            pa.array([x[j] if j >= 0 else False for x, j in zip(folds, chosen)], pa.bool_()),
-            pa.array([x[j] >= AGAINST_ORDER if j >= 0 else False for x, j in zip(c, chosen)], pa.bool_()),
-            pa.array(own),
-        ],
-        schema=schema,
-    ).filter(pa.array(own))
-
-
-def normalise_times(rows: DataFrame, sources: DataFrame, rid: str, source: str, fields: list[str], block: int = 20_000, halo: int = 5_000) -> DataFrame:
+        [t["rid"], t["field"], t["source"], pa.array(e, pa.int64()), pa.array(lay, pa.string()), pa.array(n.astype(np.int32)), pa.array(f, pa.bool_()), pa.array(np.array(c) >= AGAINST_ORDER)], schema=schema
+    ).filter(own)
+
+
+def normalise_times(rows: DataFrame, sources: DataFrame, rid: str, source: str, fields: list[str], block: int = 20_000) -> DataFrame:
     """(rid, field, source, epoch_us, layout, n_readings, repeated, against) for each text.
 
     rows holds the record id (long), the source and the text fields; sources
@@ -161,9 +233,24 @@ def normalise_times(rows: DataFrame, sources: DataFrame, rid: str, source: str,
         F.col(rid).cast("long").alias("rid"), F.col(source).alias("source"),
         F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x"),
     ).select("rid", "source", "x.field", "x.text")
-    cands = long.join(s, "source", "left").mapInArrow(_interpretations, _CANDS)
-    home = F.floor(F.col("rid") / block)
-    placed = cands.withColumn(
-        "blk", F.explode(F.array_distinct(F.array(home, F.floor((F.col("rid") - halo) / block), F.floor((F.col("rid") + halo) / block))))
-    ).withColumn("own", F.col("blk") == home).withColumn("blk", F.col("blk").cast("long"))
-    return grouped_map(placed, ["source", "field", "blk"], _choose, _CHOSEN, order=["rid", "epochs"]).drop("own")
+    cands = checkpointed(long.join(s, "source", "left").mapInArrow(_interpretations, _CANDS))
+    n = F.size("epochs")
+    one = lambda c: F.element_at(c, 1)
+    plain = cands.where(n < 2).select(
+        "rid", "field", "source", F.get("epochs", F.lit(0)).alias("epoch_us"), F.get("layouts", F.lit(0)).alias("layout"), n.alias("n_readings"), F.lit(False).alias("repeated"), F.coalesce(F.get("costs", F.lit(0)) >= AGAINST_ORDER, F.lit(False)).alias("against"),
+    )
+    blk = ["source", "field", "blk"]
+    w = Window.partitionBy(*blk).orderBy("rid", "epochs", "layouts")
+    open_ = F.col("open")
+    live = cands.where(n > 0).withColumn("blk", F.floor(F.col("rid") / block).cast("long")).withColumn("open", n > 1)
+    path = checkpointed(
+        live.withColumn("keep", open_ | (one("orders") >= 0) | F.coalesce(F.lag(open_).over(w), F.lit(True)) | F.coalesce(F.lead(open_).over(w), F.lit(True))).where("keep").drop("keep", "open")
+    )
+    order = ["rid", "epochs", "layouts"]
+    ends = grouped_map(path, blk, _ends, _ENDS, order=order)
+    # a parted block ends one stretch of blocks and begins the next
+    upto = F.sum(F.col("parted").cast("long")).over(Window.partitionBy("source", "field").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.withColumn("s", F.coalesce(upto, F.lit(0))).withColumn("stretch", F.explode(F.when(F.col("parted"), F.array("s", F.col("s") + 1)).otherwise(F.array("s")))).drop("s")
+    edges = grouped_map(ends, ["source", "field", "stretch"], _link, _EDGES, order=["blk"]).where("entry is not null or leave is not null")
+    both = path.withColumn("entry", F.lit(None).cast("int")).withColumn("leave", F.lit(None).cast("int")).unionByName(edges, allowMissingColumns=True)
+    return plain.unionByName(grouped_map(both, blk, _choose, _CHOSEN, order=order))

@@ -129,8 +129,9 @@ def p4_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _implausible(spark, sf_dir).groupBy("field", "reason").agg(F.count("*").alias("n"))
 
 
-def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timestamps.normalise_times(table(spark, sf_dir, "stream_lines"), table(spark, sf_dir, "servers"), "line_id", "server_id", ["starttime", "endtime"])
+def _times(spark: SparkSession, sf_dir: str, servers: DataFrame | None = None) -> DataFrame:
+    servers = table(spark, sf_dir, "servers") if servers is None else servers
+    return timestamps.normalise_times(table(spark, sf_dir, "stream_lines"), servers, "line_id", "server_id", ["starttime", "endtime"])
 
 
 @query()
@@ -143,3 +144,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many texts of each server were read in each layout."""
     return _times(spark, sf_dir).groupBy(F.col("source").alias("server_id"), "layout", "repeated").agg(F.count("*").alias("n"))
+
+
+@query()
+def p5_without_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The servers' date order withheld: how many texts that leave it open the chain alone reads as it states."""
+    servers = table(spark, sf_dir, "servers")
+    t = _times(spark, sf_dir, servers.withColumn("date_order", F.lit(None).cast("string"))).where("n_readings > 1 and not repeated and layout is not null")
+    stated = servers.select(F.col("server_id").alias("source"), F.when(F.col("date_order") == "mdy", "mdy").otherwise("dmy").alias("stated")).dropDuplicates(["source"])
+    return t.join(stated, "source").groupBy(F.col("source").alias("server_id")).agg(F.count("*").alias("n_open"), F.count_if(F.col("layout").endswith(F.col("stated"))).alias("n_right"))

@@ -281,6 +281,9 @@ CASES = [
     ("2021-10-31 02:30:00", "berlin", None), ("2021-03-28 02:30:00", "berlin", None), ("2021-02-30 01:01:01", "utc", None),
     ("2021-02-03", "utc", None), ("unknown", "utc", None), ("", "utc", None), (None, "utc", None), ("2021-03-04 05:06", "utc", us(2021, 3, 4, 5, 6)),
     ("2021-03-04 25:00:00", "utc", None), ("13:00 2021", "utc", None), ("2021-11-13T10:09:32-05:00[America/New_York]", "x", us(2021, 11, 13, 15, 9, 32)),
+    ("2024-01-01" + 75 * " " + "10:00:00", "utc", us(2024, 1, 1, 10)), ("2021-03-04T10:00:00.123456789012", "utc", us(2021, 3, 4, 10, 0, 0, 123456)),
+    ("86400000", "x", us(1972, 9, 27)), ("20210304", "utc", None), ("2021", "utc", None), ("-1.5", "x", -1500000), ("1614834367123.9", "x", 1614834367123900), ("1614834367123456789", "x", 1614834367123456),
+    ("20210304050607.25", "utc", us(2021, 3, 4, 5, 6, 7, 250000)), ("9" * 5000, "utc", None), ("7" * 21, "utc", None), ("1 " * 50_000, "utc", None),
     ("2021-03-04 05:06:07", "nowhere", None), ("2021-03-04 05:06:07", "odd", None), ("2021/03/04 05:06:07 EST", "berlin", None),
 ]
 
@@ -288,39 +291,76 @@ CASES = [
 def test_time_texts(spark):
     servers = spark.createDataFrame([("utc", "UTC", "ymd", None, None), ("berlin", "Europe/Berlin", "dmy", "CET", "CEST"), ("york", "America/New_York", "mdy", "EST", "EDT"), ("odd", "No/Zone", "dmy", None, None)], "sid string, tz_name string, date_order string, std_abbr string, dst_abbr string")
     rows = spark.createDataFrame([(i, s, t, "q") for i, (t, s, _) in enumerate(CASES)], "rid long, sid string, text string, source string")
-    out = timestamps.normalise_times(rows, servers, "rid", "sid", ["text"], block=10, halo=3).collect()
+    out = timestamps.normalise_times(rows, servers, "rid", "sid", ["text"], block=10).collect()
     got = {x.rid: x.epoch_us if not x.repeated and not x.against else None for x in out}
     assert {i: got[i] for i in range(len(CASES))} == {i: w for i, (_, _, w) in enumerate(CASES)}
     assert timestamps.normalise_times(rows.where("false"), servers, "rid", "sid", ["text"]).count() == 0
 
 
+NO_ORDER = ([("s", "UTC", None, None, None)], "sid string, tz_name string, date_order string, std_abbr string, dst_abbr string")
+
+
 def test_neighbours_decide_where_no_order_is_known(spark):
-    servers = spark.createDataFrame([("s", "UTC", None, None, None)], "sid string, tz_name string, date_order string, std_abbr string, dst_abbr string")
-    texts = ["13/02/2021 00:00:00", "03/04/2021 00:00:00", "15/04/2021 00:00:00"]
+    servers = spark.createDataFrame(*NO_ORDER)
+    texts = ["13/02/2021 00:00:00", "2020-01-01T00:00:00Z", "03/04/2021 00:00:00", "2022-01-01 00:00:00", "15/04/2021 00:00:00"]
     rows = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "rid long, sid string, text string")
-    got = {x.rid: x.epoch_us for x in timestamps.normalise_times(rows, servers, "rid", "sid", ["text"]).collect()}
-    assert got[1] == us(2021, 3, 4) or got[1] == us(2021, 4, 3)
-    assert len(interpret(texts[1])) == 2
+    for block in (1, 2, 100):
+        got = {x.rid: x.epoch_us for x in timestamps.normalise_times(rows, servers, "rid", "sid", ["text"], block=block).collect()}
+        assert got[2] == us(2021, 4, 3)
+    assert len(interpret(texts[2])) == 2
+
+
+def _least(chain):
+    return min(timestamps._costs(chain, [x[2] for x in chain[0]]))
+
+
+@pytest.mark.parametrize("block", [1, 3, 17])
+def test_the_path_is_that_of_the_whole_chain(spark, block):
+    r = random.Random(block)
+    servers = spark.createDataFrame(*NO_ORDER)
+    some = lambda hi: f"{r.randint(1, 12):02}/{r.randint(1, hi):02}/2021 00:00:00" if r.random() < 0.5 else f"{r.randint(1, hi):02}/{r.randint(1, 12):02}/2021 00:00:00"
+    texts = [some(13) if r.random() < 0.8 else f"2021-{r.randint(1, 12):02}-05 00:00:00" if r.random() < 0.7 else "none" for _ in range(400)]
+    rows = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "rid long, sid string, text string")
+    got = {x.rid: (x.epoch_us, x.layout) for x in timestamps.normalise_times(rows, servers, "rid", "sid", ["text"], block=block).collect()}
+    chain, bound = [], []
+    for i, t in enumerate(texts):
+        found = interpret(t)
+        if found:
+            order = [("dmy", "mdy").index(x[0][-3:]) if x[0][-3:] in ("dmy", "mdy") else -1 for x in found]
+            chain.append(timestamps.states([x[3] for x in found], [x[0] for x in found], [0.0] * len(found), order))
+            bound.append([x for x in chain[-1] if (x[0], x[1]) == got[i]])
+    assert all(bound) and sum(len(x) > 1 for x in chain) > 200
+    assert _least(bound) == _least(chain)
+
+
+def test_p5_hangs_on_the_path(spark, monkeypatch):
+    at = "/root/testdata/sf0.001"
+    found = lambda: set(map(tuple, problems.p5_found(spark, at).collect()))
+    kept = found()
+    monkeypatch.setattr(timestamps, "viterbi", lambda chain, entry=None, leave=None: [x[-1][4] for x in chain])
+    assert found() != kept
+
+
+def test_the_chain_finds_orders_that_are_withheld(spark):
+    rows = problems.p5_without_order(spark, "/root/testdata/sf0.01").collect()
+    n, right = sum(x.n_open for x in rows), sum(x.n_right for x in rows)
+    assert n > 50 and right >= 0.9 * n
 
 
 def test_viterbi_is_the_cheapest_path():
+    from itertools import product
+
     r = random.Random(8)
     for _ in range(60):
-        n = r.randrange(1, 7)
-        e = [[r.randrange(9) for _ in range(r.randrange(0, 4))] for _ in range(n)]
-        lay = [[r.choice("xy") for _ in x] for x in e]
-        c = [[r.choice([0.0, 16.0]) for _ in x] for x in e]
-        got = timestamps.viterbi(e, lay, c)
-        live = [k for k in range(n) if e[k]]
+        chain = []
+        for _ in range(r.randrange(1, 6)):
+            m = r.randrange(1, 4)
+            chain.append(timestamps.states([r.randrange(9) for _ in range(m)], [r.choice("xy") for _ in range(m)], [r.choice([0.0, 16.0]) for _ in range(m)], [r.choice([-1, 0, 1]) for _ in range(m)]))
 
         def cost(path):
-            t = sum(c[k][j] for k, j in zip(live, path))
-            for (a, i), (b, j) in zip(zip(live, path), zip(live[1:], path[1:])):
-                t += (lay[a][i] != lay[b][j]) + (e[b][j] < e[a][i])
-            return t
-
-        from itertools import product
+            return sum(x[2] for x in path) + sum((a[1] != b[1]) + (b[0] < a[0]) + 2 * (a[3] != b[3]) for a, b in zip(path, path[1:]))
 
-        best = min((cost(p) for p in product(*[range(len(e[k])) for k in live])), default=0)
-        assert cost([got[k] for k in live]) == best
-        assert all(got[k] == -1 for k in range(n) if not e[k])
+        best = min(cost(p) for p in product(*chain))
+        got = timestamps.viterbi(chain)
+        assert min(cost(p) for p in product(*[[x for x in c if x[4] == j] for c, j in zip(chain, got)])) == best
+        assert _least(chain) == best
