@@ -10,7 +10,9 @@ import os
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,11 +68,8 @@ def _streamed(keys: Sequence[str], func: Callable, schema: pa.Schema) -> Callabl
     return run
 
 
-def _starts(batch: pa.RecordBatch, keys: list[str]):
+def starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     """First row of each run of equal keys (null equals null)."""
-    import numpy as np
-    import pyarrow.compute as pc
-
     n = batch.num_rows
     change = np.zeros(n, dtype=bool)
     change[0] = True
@@ -84,7 +83,7 @@ def _starts(batch: pa.RecordBatch, keys: list[str]):
 
 
 def _runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-    at, n = _starts(batch, keys), batch.num_rows
+    at, n = starts(batch, keys), batch.num_rows
     for i, j in zip(at, [*at[1:], n]):
         yield tuple(batch.column(k)[int(i)].as_py() for k in keys), batch.slice(int(i), int(j - i))
 
@@ -121,7 +120,7 @@ def _chunked(keys: Sequence[str], func: Callable, schema: pa.Schema, rows: int)
             n += batch.num_rows
             if n >= limit:
                 whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                done = int(_starts(whole, keys)[-1])
+                done = int(starts(whole, keys)[-1])
                 if done:
                     yield from _out(func(pa.Table.from_batches([whole.slice(0, done)])), schema)
                 held, n = [whole.slice(done)], n - done

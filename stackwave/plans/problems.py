@@ -1,17 +1,16 @@
-"""The queries of the general large-scale problems p1 to p5 and their SQL."""
+"""The queries of the general large-scale problems p1, p3, p4 and p5 and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackwave.operators import anomalies, intervals, proximity, quantiles, timestamps
+from stackwave.operators import anomalies, intervals, proximity, timestamps
 from stackwave.plans.dist import micros, table
 
 QUERIES = {}
 SQL = {}
 NSL = "concat_ws('.', network, station, coalesce(location, ''))"
-QS = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 
 def query(sql: str | None = None):
@@ -52,48 +51,6 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs[0].unionByName(pairs[1]).unionByName(pairs[2])
 
 
-def _measures(spark: SparkSession, sf_dir: str, day: bool = False) -> DataFrame:
-    one = lambda measure, value, when, *dims: [F.struct(F.lit(measure).alias("measure"), F.lit(d).alias("dim"), F.expr(e).alias("grp"), F.col(value).alias("value"), F.date_format(when, "yyyy-MM-dd").alias("day") if day else F.lit("").alias("day")) for d, e in dims]
-    p = table(spark, sf_dir, "picks").select(F.explode(F.array(*one("station_delay_s", "station_delay_s", "model_time", ("station", NSL), ("phase", "phase")))).alias("x"))
-    m = table(spark, sf_dir, "station_magnitudes").select(F.explode(F.array(*one("magnitude", "magnitude", "event_time", ("station", "nsl"), ("model", "model")))).alias("x"))
-    return p.unionByName(m).select("x.*")
-
-
-_PERCENTILES = """
-with x as (
-  select 'station_delay_s' as measure, 'station' as dim, network || '.' || station || '.' || coalesce(location, '') as grp, station_delay_s as value from picks
-  union all select 'station_delay_s', 'phase', phase, station_delay_s from picks
-  union all select 'magnitude', 'station', nsl, magnitude from station_magnitudes
-  union all select 'magnitude', 'model', model, magnitude from station_magnitudes),
-g as (select measure, dim, grp, count(*) as n, list_sort(list(value)) as v from x where value is not null and not isnan(value) group by all),
-q as (select unnest([0.05, 0.25, 0.5, 0.75, 0.95])::double as q)
-select measure, dim, grp, n, q, v[greatest(1, ceil(q * n))::bigint] as value, 0.0::double as rank_error from g, q %s
-"""
-
-
-@query(_PERCENTILES % "")
-def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of delays and magnitudes per station, phase and model, with their rank error."""
-    by = ["measure", "dim", "grp"]
-    return quantiles.percentiles(quantiles.sketch(_measures(spark, sf_dir), by, "value"), by, QS)
-
-
-@query(_PERCENTILES % "where dim <> 'station'")
-def p2_days_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same per phase and model from sketches of single days, united."""
-    by = ["measure", "dim", "grp"]
-    days = quantiles.sketch(_measures(spark, sf_dir, day=True).where("dim <> 'station'"), ["measure", "dim", "grp", "day"], "value")
-    return quantiles.percentiles(quantiles.merge_sketches(days, by), by, QS)
-
-
-@query(_PERCENTILES % "")
-def p2_days_combined_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same per station too: the sketches of all days of all groups, united."""
-    by = ["measure", "dim", "grp"]
-    days = quantiles.sketch(_measures(spark, sf_dir, day=True), [*by, "day"], "value")
-    return quantiles.percentiles(quantiles.merge_sketches(days, by), by, QS)
-
-
 _VALID = "v as (select nsl, epoch_us(starttime) as s, epoch_us(endtime) as e from seedlink_stations where endtime > starttime and nsl is not null), m as (select nsl, s, e, max(e) over (partition by nsl order by s, e rows between unbounded preceding and 1 preceding) as pe from v)"
 
 

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import sqlite3
 import struct
+from datetime import date, timedelta
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackwave.functions import codes
+from stackwave.sources.mseed import encode
 
 
 def append_events(df: DataFrame, path: str) -> None:
@@ -105,18 +108,12 @@ def write_traces(segments: DataFrame, root: str) -> DataFrame:
     day = F.floor(F.col("tmin_us") / 86_400_000_000)
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        from datetime import date, timedelta
-
-        from stackwave.sources.mseed import encode
-
         pdf = pdf.sort_values("tmin_us")
         r = pdf.iloc[0]
         d = date(1970, 1, 1) + timedelta(days=int(r.day))
         name = f"{r.network}.{r.station}.{r.location}.{r.channel}.D.{d.year}.{d.timetuple().tm_yday:03d}"
         folder = Path(root, str(d.year), r.network, r.station, f"{r.channel}.D")
         folder.mkdir(parents=True, exist_ok=True)
-        import numpy as np
-
         data = b"".join(encode(r.network, r.station, r.location, r.channel, int(t), float(h), np.array(x)) for t, h, x in zip(pdf.tmin_us, pdf.rate_hz, pdf.samples))
         tmp = folder / f".{name}.part"
         tmp.write_bytes(data)
