@@ -1,11 +1,11 @@
-"""The queries of the text problems p6 to p8 and their SQL."""
+"""The queries of the problems p2 and p6 to p8 and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackwave.llm import mixing, packing, splitting
+from stackwave.llm import mixing, packing, quantiles, splitting
 from stackwave.plans.dist import table
 
 QUERIES = {}
@@ -22,6 +22,57 @@ def query(sql: str | None = None):
     return add
 
 
+NSL = "concat_ws('.', network, station, coalesce(location, ''))"
+QS = [0.05, 0.25, 0.5, 0.75, 0.95]
+BY = ["measure", "dim", "grp"]
+SMALL = 64  # values of a buffer in p2_small_buffers, so that small groups collapse too
+
+
+def _measures(spark: SparkSession, sf_dir: str, day: bool = False) -> DataFrame:
+    one = lambda measure, value, when, *dims: [F.struct(F.lit(measure).alias("measure"), F.lit(d).alias("dim"), F.expr(e).alias("grp"), F.col(value).alias("value"), F.date_format(when, "yyyy-MM-dd").alias("day") if day else F.lit("").alias("day")) for d, e in dims]
+    p = table(spark, sf_dir, "picks").select(F.explode(F.array(*one("station_delay_s", "station_delay_s", "model_time", ("station", NSL), ("phase", "phase")))).alias("x"))
+    m = table(spark, sf_dir, "station_magnitudes").select(F.explode(F.array(*one("magnitude", "magnitude", "event_time", ("station", "nsl"), ("model", "model")))).alias("x"))
+    return p.unionByName(m).select("x.*")
+
+
+_PERCENTILES = """
+with x as (
+  select 'station_delay_s' as measure, 'station' as dim, network || '.' || station || '.' || coalesce(location, '') as grp, station_delay_s as value from picks
+  union all select 'station_delay_s', 'phase', phase, station_delay_s from picks
+  union all select 'magnitude', 'station', nsl, magnitude from station_magnitudes
+  union all select 'magnitude', 'model', model, magnitude from station_magnitudes),
+g as (select measure, dim, grp, count(*) as n, list_sort(list(value)) as v from x where value is not null and not isnan(value) group by all),
+q as (select unnest([0.05, 0.25, 0.5, 0.75, 0.95])::double as q)
+"""
+_EXACT = _PERCENTILES + "select measure, dim, grp, n, q, v[greatest(1, ceil(q * n))::bigint] as value, 0.0::double as rank_error from g, q"
+
+
+@query(_EXACT)
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of delays and magnitudes per station, phase and model, with their rank error."""
+    return quantiles.percentiles(quantiles.sketch(_measures(spark, sf_dir), BY, "value"), BY, QS)
+
+
+@query(_EXACT)
+def p2_days_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the sketches of all days of all groups, united."""
+    days = quantiles.sketch(_measures(spark, sf_dir, day=True), [*BY, "day"], "value")
+    return quantiles.percentiles(quantiles.merge_sketches(days, BY), BY, QS)
+
+
+@query(_PERCENTILES + f"select measure, dim, grp, n, q, n >= {8 * SMALL} as collapsed, true as within from g, q")
+def p2_small_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bound put to the test: small buffers collapse, and each value's exact rank lies within its stated error."""
+    rows = _measures(spark, sf_dir).where("value is not null and not isnan(value)")
+    got = quantiles.percentiles(quantiles.sketch(rows, BY, "value", k=SMALL), BY, QS).withColumnRenamed("value", "v")
+    same = [F.col(f"r.{b}").eqNullSafe(F.col(f"g.{b}")) for b in BY]
+    j = rows.alias("r").join(got.alias("g"), same[0] & same[1] & same[2])
+    ranks = j.groupBy(*[F.col(f"g.{b}").alias(b) for b in BY], "n", "q", "rank_error").agg(F.count_if(F.col("value") < F.col("v")).alias("below"), F.count_if(F.col("value") <= F.col("v")).alias("upto"))
+    want = F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n")))
+    off = F.greatest(F.lit(0), F.col("below") + 1 - want, want - F.col("upto"))
+    return ranks.select(*BY, "n", "q", (F.col("rank_error") > 0).alias("collapsed"), (off <= F.col("rank_error")).alias("within"))
+
+
 @query()
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers of 8,192 tokens with their texts."""
