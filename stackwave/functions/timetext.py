@@ -142,6 +142,127 @@ def _dated(s: str, layouts: list) -> list[tuple[str, str, str, int, str]]:
     return out
 
 
+KINDS = ("utc", "clock", "abbr", "named")
+_SHAPE = {ord(c): "9" for c in "0123456789"}
+_FEW = 6  # texts of one shape that are read one by one
+
+
+def _shape(shape: str) -> list[tuple] | None:
+    """Layouts that texts of a shape (digits as 9) fit, with the places of their parts; None where digits beyond these parts matter."""
+    found = []
+    for layout, pattern in _BY_DIGIT if shape[0] == "9" else _BY_LETTER:
+        m = pattern.match(shape)
+        if m:
+            g = m.groupdict()
+            if g["id"] and "9" in g["id"]:
+                return None
+            found.append((layout, {k: m.span(k) for k, v in g.items() if v}, g))
+    return found
+
+
+def _days(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether the date exists, its days since 1970)."""
+    ok = (y >= 1) & (m >= 1) & (m <= 12) & (d >= 1)
+    month = (np.where(ok, y, 1970) - 1970) * 12 + np.where(ok, m, 1) - 1
+    first = month.astype("datetime64[M]").astype("datetime64[D]").astype(np.int64)
+    after = (month + 1).astype("datetime64[M]").astype("datetime64[D]").astype(np.int64)
+    return ok & (d <= after - first), first + d - 1
+
+
+def _alike(texts: list[str], layout: str, at: dict, g: dict):  # noqa: ANN202
+    """The readings of texts of one shape in one layout: (places, name, order, kind, micros, zone)."""
+    digits = np.array(texts, f"S{len(texts[0])}").view(np.uint8).reshape(len(texts), -1).astype(np.int64) - 48
+
+    def num(key: str) -> np.ndarray:
+        v = np.zeros(len(texts), np.int64)
+        for k in range(*at[key]) if key in at else ():
+            v = v * 10 + digits[:, k]
+        return v
+
+    h, mi, s = num("H"), num("M"), num("S")
+    f = np.zeros(len(texts), np.int64)
+    if "f" in at:
+        a, b = at["f"]
+        b = min(b, a + 6)
+        for k in range(a, b):
+            f = f * 10 + digits[:, k]
+        f = f * 10 ** (6 - (b - a))
+    ok = (mi <= 59) & (s <= 59)
+    if g["ap"]:
+        ok &= (h >= 1) & (h <= 12)
+        h = h % 12 + 12 * (g["ap"].lower() == "pm")
+    else:
+        ok &= (h <= 23) | ((h == 24) & (mi == 0) & (s == 0) & (f == 0))
+    t = ((h * 60 + mi) * 60 + s) * 1_000_000 + f
+    y = num("y")
+    if layout == "a/b/y":
+        a, b = num("a"), num("b")
+        (v1, d1), (v2, d2) = _days(y, b, a), _days(y, a, b)
+        same = v1 & v2 & (d1 == d2)
+        days = [(v1 & v2 & ~same, "a/b/y dmy", "dmy", d1), (v1 & v2 & ~same, "a/b/y mdy", "mdy", d2), (same, layout, "", d1), (v1 & ~v2, "a/b/y dmy", "", d1), (v2 & ~v1, "a/b/y mdy", "", d2)]
+    elif layout == "y-day":
+        v, first = _days(y, np.ones_like(y), np.ones_like(y))
+        j = num("j")
+        leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+        days = [(v & (j >= 1) & (j <= 365 + leap), layout, "", first + j - 1)]
+    else:
+        m = num("m") if "m" in at else np.full(len(texts), MONTHS.get(g["mon"][:3].lower(), 0))
+        days = [(*_days(y, m, num("d")), layout, "")]
+        days = [(v, name, order, d) for v, d, name, order in days]
+    kind, zone, east = "clock", "", 0
+    if g["off"]:
+        a, b = at["off"]
+        two = lambda k: digits[:, k] * 10 + digits[:, k + 1]
+        minutes = two(b - 2) if b - a > 3 else np.zeros(len(texts), np.int64)
+        east = two(a + 1) * 60 + minutes
+        ok &= (east <= 18 * 60) & (minutes < 60)
+        kind, east, suffix = "utc", np.where(digits[:, a] == ord("+") - 48, east, -east) * 60_000_000, " offset"
+    elif g["abbr"] in UNIVERSAL:
+        kind, suffix = "utc", " zone"
+    elif g["abbr"]:
+        kind, zone, suffix = "abbr", g["abbr"], " zone"
+    elif g["id"]:
+        kind, zone, suffix = "named", g["id"], " id"
+    else:
+        suffix = ""
+    for v, name, order, d in days:
+        hit = np.flatnonzero(v & ok)
+        if len(hit):
+            yield hit, name + suffix, order, kind, (d * DAY + t - east)[hit], zone
+
+
+def interpret_all(texts: list[str | None]):  # noqa: ANN201
+    """interpret() of many texts, those of one shape at once: yields (places, layout, order, kind, micros, zone); a text's readings come in order."""
+    groups: dict[str, list[int]] = {}
+    held: list[str] = []
+    for i, text in enumerate(texts):
+        x = text.strip() if text is not None else ""
+        held.append(x)
+        if x:
+            groups.setdefault(x.translate(_SHAPE), []).append(i)
+    rest: list[int] = []
+    for shape, places in groups.items():
+        if len(places) < _FEW or not shape.isascii() or len(shape) > 80 or not shape.strip("9.-"):
+            rest.extend(places)  # counts, rare and odd ones
+            continue
+        found = _shape(shape)
+        if found is None:
+            rest.extend(places)
+            continue
+        at = np.array(places)
+        for layout, spans, g in found:
+            for hit, *more in _alike([held[i] for i in places], layout, spans, g):
+                yield at[hit], *more
+    single: dict[tuple, tuple[list[int], list[int]]] = {}
+    for i in rest:
+        for layout, order, kind, v, zone in interpret(held[i]):
+            places, values = single.setdefault((layout, order, kind, zone), ([], []))
+            places.append(i)
+            values.append(v)
+    for (layout, order, kind, zone), (places, values) in single.items():
+        yield np.array(places), layout, order, kind, np.array(values), zone
+
+
 def offsets_at(tz: str, clock: np.ndarray, dst: bool) -> np.ndarray:
     """UTC micros of clock readings in tz; for one that occurs twice the earlier (dst) or later instant; NaT (min long) if skipped or the zone is unknown."""
     import pandas as pd

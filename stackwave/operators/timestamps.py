@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackwave.functions.timetext import interpret, offsets_at, standard_offset
+from stackwave.functions.timetext import KINDS, interpret_all, offsets_at, standard_offset
 from stackwave.plans.dist import arrow_schema, checkpointed, grouped_map
 
 AGAINST_ORDER = 16.0  # more than the switches, jumps and changes of order on both sides together
@@ -39,65 +39,81 @@ BACKWARD = 1.0
 REORDER = 2.0
 ORDERS = ("dmy", "mdy")
 NONE = np.iinfo(np.int64).min
+AT_ONCE = 50_000  # texts that a task reads together
 
 _CANDS = "rid long, field string, source string, epochs array<long>, layouts array<string>, costs array<double>, folds array<boolean>, orders array<int>"
 _CHOSEN = "rid long, field string, source string, epoch_us long, layout string, n_readings int, repeated boolean, against boolean"
 
 
+def _codes(c: pa.Array) -> tuple[np.ndarray, list]:
+    """Codes and vocabulary of a text column; a null is -1."""
+    d = c.dictionary_encode()
+    return pc.fill_null(d.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary.to_pylist()
+
+
+def _instants(kind: np.ndarray, v: np.ndarray, zone: np.ndarray, zones: list[str], row: np.ndarray, col: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Earlier and later instant of each reading; NONE where its zone has none."""
+    early, late = np.full(len(v), NONE), np.full(len(v), NONE)
+    utc = kind == 0
+    early[utc] = late[utc] = v[utc]
+    (tz, tzs), (std, stds), (dst, dsts) = (_codes(col[c]) for c in ("tz", "std", "dst"))
+    keys = np.stack([kind, np.where(kind == 3, -1, tz[row]), np.where(kind >= 2, zone, -1), np.where(kind == 2, std[row], -1), np.where(kind == 2, dst[row], -1)], 1)
+    at = np.flatnonzero(~utc)
+    kinds, which = np.unique(keys[at], axis=0, return_inverse=True)
+    order = np.argsort(which, kind="stable")
+    for (k, t, z, s, d), u in zip(kinds, np.split(at[order], np.searchsorted(which[order], np.arange(1, len(kinds))))):
+        name = tzs[t] if t >= 0 else None
+        if k == 2:
+            first = s >= 0 and stds[s] == zones[z]
+            if name and (first or (d >= 0 and dsts[d] == zones[z])):
+                off = standard_offset(name, v[u], not first)
+                if off is not None:
+                    early[u] = late[u] = v[u] - off
+            continue
+        name = zones[z] if k == 3 else name
+        if name:
+            early[u], late[u] = offsets_at(name, v[u], True), offsets_at(name, v[u], False)
+    return early, late
+
+
+def _readings(t: pa.Table, schema: pa.Schema) -> pa.RecordBatch:
+    col = {k: t[k].combine_chunks() for k in t.schema.names}
+    names: dict[str, int] = {}
+    zones: dict[str, int] = {}
+    parts = [
+        (at, np.full(len(at), names.setdefault(layout, len(names))), np.full(len(at), ("", *ORDERS).index(order)), np.full(len(at), KINDS.index(kind)), v, np.full(len(at), zones.setdefault(zone, len(zones))))
+        for at, layout, order, kind, v, zone in interpret_all(col["text"].to_pylist())
+    ]
+    row, name, order, kind, v, zone = (np.concatenate(x).astype(np.int64) for x in zip(*parts)) if parts else np.zeros((6, 0), np.int64)
+    o = np.argsort(row, kind="stable")
+    row, name, order, kind, v, zone = (x[o] for x in (row, name, order, kind, v, zone))
+    early, late = _instants(kind, v, zone, list(zones), row, col)
+    want, wants = _codes(col["date_order"])
+    wanted = np.array([*[{"dmy": 1, "ymd": 1, "mdy": 2}.get(x, 0) for x in wants], 0])[want[row]]
+    against = np.where((order > 0) & (wanted > 0) & (order != wanted), AGAINST_ORDER, 0.0)
+    ok = early != NONE
+    twice = early != late
+    again = np.repeat(np.flatnonzero(ok), 1 + twice[ok])  # a repeated clock reading is two
+    second = np.r_[False, again[1:] == again[:-1]] if len(again) else np.zeros(0, bool)
+    shows = np.array([next((i for i, x in enumerate(ORDERS) if x in n.split()), -1) for n in names] or [0])
+    offsets = pa.array(np.searchsorted(row[again], np.arange(t.num_rows + 1)).astype(np.int32))
+    lists = [np.where(second, late[again], early[again]), None, against[again], twice[again], shows[name[again]].astype(np.int32)]
+    values = [pa.array(list(names), pa.string()).take(pa.array(name[again])) if x is None else pa.array(x) for x in lists]
+    return pa.RecordBatch.from_arrays([col["rid"], col["field"], col["source"], *[pa.ListArray.from_arrays(offsets, x) for x in values]], schema=schema)
+
+
 def _interpretations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema(_CANDS)
+    held: list[pa.RecordBatch] = []
+    n = 0
     for batch in batches:
-        col = {k: batch.column(k).to_pylist() for k in batch.schema.names}
-        n = batch.num_rows
-        rows: list[int] = []
-        kinds: list[tuple] = []
-        memo: dict[str, list] = {}
-        for i, text in enumerate(col["text"]):
-            if text is None:
-                continue
-            found = memo.get(text)
-            if found is None:
-                found = memo[text] = interpret(text)
-            for x in found:
-                rows.append(i)
-                kinds.append(x)
-        early = np.full(len(rows), NONE)
-        late = np.full(len(rows), NONE)
-        groups: dict[tuple, list[int]] = {}
-        for j, (i, (_, _, kind, v, zone)) in enumerate(zip(rows, kinds)):
-            if kind == "utc":
-                early[j] = late[j] = v
-            elif kind == "abbr":
-                which = col["std"][i] == zone, col["dst"][i] == zone
-                if any(which):
-                    groups.setdefault(("abbr", col["tz"][i], not which[0]), []).append(j)
-            elif kind == "named":
-                groups.setdefault(("clock", zone, False), []).append(j)
-            elif col["tz"][i]:
-                groups.setdefault(("clock", col["tz"][i], False), []).append(j)
-        for (kind, tz, dst), at in groups.items():
-            at_ = np.array(at)
-            clock = np.array([kinds[j][3] for j in at], np.int64)
-            if kind == "abbr":
-                off = standard_offset(tz, clock, dst) if tz else None
-                if off is not None:
-                    early[at_] = late[at_] = clock - off
-            else:
-                early[at_], late[at_] = offsets_at(tz, clock, True), offsets_at(tz, clock, False)
-        out: list[list[tuple]] = [[] for _ in range(n)]
-        for j, (i, (layout, order, _, _, _)) in enumerate(zip(rows, kinds)):
-            want = col["date_order"][i]
-            against = AGAINST_ORDER if order and want in ("dmy", "mdy", "ymd") and order != ("dmy" if want == "ymd" else want) else 0.0
-            if early[j] != NONE:
-                twice = late[j] != early[j]
-                shows = ORDERS.index(layout[-3:]) if layout[-3:] in ORDERS else -1
-                out[i].append((int(early[j]), layout, against, bool(twice), shows))
-                if twice:
-                    out[i].append((int(late[j]), layout, against, True, shows))
-        pick = lambda k: [[x[k] for x in r] for r in out]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(v, f.type) for v, f in zip([col["rid"], col["field"], col["source"], pick(0), pick(1), pick(2), pick(3), pick(4)], schema)], schema=schema
-        )
+        held.append(batch)
+        n += batch.num_rows
+        if n >= AT_ONCE:
+            yield _readings(pa.Table.from_batches(held), schema)
+            held, n = [], 0
+    if n:
+        yield _readings(pa.Table.from_batches(held), schema)
 
 
 State = tuple[int, str, float, int, int]  # epoch, layout, cost, order in use, number of the reading

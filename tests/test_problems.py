@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stackwave.functions.timetext import interpret
+from stackwave.functions.timetext import interpret, interpret_all
 from stackwave.operators import anomalies, intervals, proximity, timestamps
 from stackwave.plans import problems
 
@@ -242,6 +242,19 @@ def test_time_texts(spark):
     assert timestamps.normalise_times(rows.where("false"), servers, "rid", "sid", ["text"]).count() == 0
 
 
+def test_texts_of_one_shape_are_read_as_single_ones():
+    r = random.Random(12)
+    some = [t for t, _, _ in CASES if t and len(t) < 200] + ["3/4/2021 1:02:03 pm", "2021-03-04 05:06:07 +05", "20210304T050607.5Z", "4 Mar 2021 05:06:07", "2021-03-04 05:06:07 (CET)", "2021-03-04T05:06:07[Etc/GMT+5]", "29/02/2020 24:00:00"]
+    texts = [None] + ["".join(r.choice("0123456789") if c.isdecimal() and r.random() < 0.3 else c for c in t) for t in some for _ in range(60)]
+    got = [[] for _ in texts]
+    for at, layout, order, kind, v, zone in interpret_all(texts):
+        for i, x in zip(at.tolist(), v.tolist()):
+            got[i].append((layout, order, kind, x, zone))
+    for t, g in zip(texts, got):
+        assert sorted(g) == sorted(interpret(t)), t
+        assert [x for x in g if x[1]] == [x for x in interpret(t) if x[1]]
+
+
 NO_ORDER = ([("s", "UTC", None, None, None)], "sid string, tz_name string, date_order string, std_abbr string, dst_abbr string")
 
 
