@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stackwave.operators import ordered
 from stackwave.operators.catalog import number_rows
 from stackwave.plans.dist import micros
 
@@ -66,9 +67,11 @@ def maximum_curvature(df: DataFrame, value: str, width: float = 0.1) -> DataFram
     return best.select(F.round(F.col("x.lo") - F.col("x.b") * width, 6).alias("mc"), F.col("x.n").alias("n"))
 
 
-def differences(df: DataFrame, value: str, order: list[str], by: list[str] = []) -> DataFrame:  # noqa: B006
-    """Adds diff: to the value before in the order (within by)."""
-    return df.withColumn("diff", F.col(value) - F.lag(value).over(W.partitionBy(*by or [F.lit(1)]).orderBy(*order)))
+def differences(df: DataFrame, value: str, order: list[str], by: list[str] = [], bounded: bool = False) -> DataFrame:  # noqa: B006
+    """Adds diff: to the value before in the order (within by); bounded where by's groups are known to be small."""
+    if bounded:
+        return df.withColumn("diff", F.col(value) - F.lag(value).over(W.partitionBy(*by).orderBy(*order)))
+    return ordered.previous(df, by, order, "_p", F.col(value)).withColumn("diff", F.col(value) - F.col("_p")).drop("_p")
 
 
 def b_positive(diffs: DataFrame, by: list[str] = [], dmc: float = 0.5, least_values: int = 0, least_diffs: int = 1) -> DataFrame:  # noqa: B006
@@ -90,20 +93,18 @@ def sliding_windows(df: DataFrame, order: list[str], size: int = 500, step: int
 
 
 def running_sum(df: DataFrame, value: Column, order: list[str], name: str) -> DataFrame:
-    """Running total over the whole order: inside days, shifted by the earlier days' totals."""
-    d = df.withColumn("_d", F.to_date(F.col(order[0]))).withColumn("_v", value)
-    w = W.partitionBy("_d").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    days = d.groupBy("_d").agg(F.coalesce(F.sum("_v"), F.lit(0.0)).alias("_s"))
-    days = days.withColumn("_a", F.sum("_s").over(W.partitionBy(F.lit(1)).orderBy("_d").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_s")).select("_d", "_a")
-    return d.withColumn("_r", F.coalesce(F.sum("_v").over(w), F.lit(0.0))).join(days, "_d").withColumn(name, F.col("_r") + F.col("_a")).drop("_d", "_v", "_r", "_a")
+    """Running total over the whole order; nulls add nothing."""
+    x = ordered.running(ordered.cells(df, [], order), [], order, name, value.cast("double"), "sum").drop(ordered.CELL)
+    return x.withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 
 def mad(df: DataFrame, value: str, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """(by..., med, mad): median and median absolute deviation."""
+    """(by..., med, mad): median and median absolute deviation, exact at any size of a group."""
     v = df.select(*by, real(value).alias("v")).where("v is not null")
-    med = v.groupBy(*by).agg(F.median("v").alias("med"))
+    med = ordered.median(v, by, "v", "med")
     j = v.join(med, by) if by else v.crossJoin(F.broadcast(med))  # one row
-    return j.groupBy(*by).agg(F.round(F.first("med"), 9).alias("med"), F.round(F.median(F.abs(F.col("v") - F.col("med"))), 9).alias("mad"))
+    off = ordered.median(j.withColumn("v", F.abs(F.col("v") - F.col("med"))), [*by, "med"], "v", "mad")
+    return off.select(*by, F.round("med", 9).alias("med"), F.round("mad", 9).alias("mad"))
 
 
 def weighted_median(df: DataFrame, value: str, weight: str, by: list[str], tie: list[str]) -> DataFrame:
@@ -119,5 +120,5 @@ def weighted_median(df: DataFrame, value: str, weight: str, by: list[str], tie:
 def clipped_residuals(df: DataFrame, value: str, by: list[str], group: str, lo: float = 0.02, hi: float = 0.98) -> DataFrame:
     """Rows within the [lo, hi] percentiles of their group over all sources."""
     v = df.withColumn("_v", real(value)).where("_v is not null")
-    lim = v.groupBy(group).agg(F.percentile("_v", F.array(F.lit(lo), F.lit(hi))).alias("p"))
-    return v.join(F.broadcast(lim.withColumnRenamed(group, "_g")), F.col(group) == F.col("_g")).where(F.col("_v").between(F.col("p")[0], F.col("p")[1])).drop("_g", "p", "_v")  # one row a phase
+    lim = ordered.quantiles(v, [group], "_v", {"_lo": lo, "_hi": hi}).drop("n").withColumnRenamed(group, "_g")
+    return v.join(lim, F.col(group) == F.col("_g")).where("_v between _lo and _hi").drop("_g", "_lo", "_hi", "_v")

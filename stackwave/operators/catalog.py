@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stackwave.operators import ordered
+
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each group of keys; null keys form a group."""
@@ -73,17 +75,9 @@ def tail(df: DataFrame, order: list[str], n: int) -> DataFrame:
     return df.orderBy(*[F.desc(c) for c in order]).limit(n)
 
 
-def number_rows(df: DataFrame, order: list[str], name: str = "n", slices: int = 256) -> DataFrame:
-    """Global row numbers 1.. in the order given, without one task sorting all rows.
-
-    Rows are spread over slices of the first order column by its quantile-free
-    day; numbers run inside a slice and are shifted by the earlier slices' counts.
-    The first order column is a time; null times come first.
-    """
-    cut = df.withColumn("_slice", F.coalesce(F.unix_date(F.to_date(F.col(order[0]))), F.lit(-(10**9))))
-    local = cut.withColumn("_k", F.row_number().over(W.partitionBy("_slice").orderBy(*order)))
-    ahead = cut.groupBy("_slice").agg(F.count("*").alias("_c")).withColumn("_a", F.sum("_c").over(W.partitionBy(F.lit(1)).orderBy("_slice").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_c"))
-    return local.join(ahead.select("_slice", "_a"), "_slice").withColumn(name, F.col("_k") + F.col("_a")).drop("_slice", "_k", "_a")
+def number_rows(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
+    """Global row numbers 1.. in the order given, nulls first, without one task sorting all rows."""
+    return ordered.numbered(df, [], order, name)
 
 
 def chunks(df: DataFrame, order: list[str], size: int) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stackwave.operators import ordered
 from stackwave.operators.catalog import first_by
 from stackwave.plans.dist import arrow_schema, grouped_map
 
@@ -46,10 +47,10 @@ def healthy_batches(rows: DataFrame, station: str, least: int) -> DataFrame:
 
 def session_ids(rows: DataFrame, key: list[str], start: str, end: str, gap_us: int, tie: str) -> DataFrame:
     """Adds session: the number (from 1) of the run of rows of a key without a gap of more than gap_us."""
-    w = W.partitionBy(*key).orderBy(start, end, tie)
-    reach = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
-    x = rows.withColumn("_new", F.when(reach.isNull() | (F.col(start) - reach > gap_us), 1).otherwise(0))
-    return x.withColumn("session", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("_new")
+    order = [start, end, tie]
+    x = ordered.running(ordered.cells(rows, key, order), key, order, "_reach", F.col(end), "max", before=True)
+    new = F.when(F.col("_reach").isNull() | (F.col(start) - F.col("_reach") > gap_us), 1).otherwise(0).cast("long")
+    return ordered.running(x, key, order, "session", new, "sum").drop("_reach", ordered.CELL)
 
 
 _SEGMENTS = "nslc string, rate_hz double, tmin_us long, samples array<double>"
@@ -135,13 +136,11 @@ def complete(rows: DataFrame, start: str, end: str, want_start: int, want_end: i
 
 
 def rolling_count(rows: DataFrame, key: list[str], time_us: str, window_us: int, tie: str) -> DataFrame:
-    """Adds n: rows of the key in the last window_us up to each row's time."""
-    w = W.partitionBy(*key).orderBy(time_us).rangeBetween(-window_us, 0)
-    return rows.withColumn("n", F.count("*").over(w))
+    """Adds n: rows of the key in the last window_us up to each row's time; tie is unique."""
+    return ordered.counted_within(rows, key, time_us, tie, window_us)
 
 
 def rising_edges(rows: DataFrame, key: list[str], time_us: str, window_us: int, threshold: int, tie: str) -> DataFrame:
     """Rows at which the rolling count reaches the threshold after being below."""
-    x = rolling_count(rows, key, time_us, window_us, tie)
-    before = F.lag("n").over(W.partitionBy(*key).orderBy(time_us, tie))
-    return x.withColumn("_b", before).where((F.col("n") >= threshold) & (F.coalesce("_b", F.lit(0)) < threshold)).drop("_b")
+    x = ordered.previous(rolling_count(rows, key, time_us, window_us, tie), key, [time_us, tie], "_b", F.col("n"))
+    return x.where((F.col("n") >= threshold) & (F.coalesce("_b", F.lit(0)) < threshold)).drop("_b")

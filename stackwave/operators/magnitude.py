@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stackwave.operators import ordered
 from stackwave.plans.dist import arrow_schema, checkpointed, partitions
 
 
@@ -31,17 +32,30 @@ def network_magnitude(stations: DataFrame, k: float = 2.0, least: int = 3) -> Da
 def station_residuals(stations: DataFrame, least: int = 5) -> DataFrame:
     """Median of event minus station magnitude for stations with at least `least` finite ones."""
     v = stations.where("magnitude is not null and not isnan(magnitude) and abs(magnitude) < double('Infinity')")
-    j = v.join(v.groupBy("event_uid").agg(F.median("magnitude").alias("avg_m")), "event_uid")
-    return j.groupBy("nsl").agg(F.count("*").alias("n"), F.round(F.median(F.col("avg_m") - F.col("magnitude")), 6).alias("residual")).where(F.col("n") >= least)
+    j = v.join(v.groupBy("event_uid").agg(F.median("magnitude").alias("avg_m")), "event_uid").withColumn("residual", F.col("avg_m") - F.col("magnitude"))
+    return ordered.quantiles(j, ["nsl"], "residual", {"residual": 0.5}).where(F.col("n") >= least).select("nsl", "n", F.round("residual", 6).alias("residual"))
 
 
-def modelled_amplitudes(wanted: DataFrame, library: DataFrame, value: str, k: int = 25) -> DataFrame:
-    """Statistics of the k library amplitudes nearest in distance within the collection."""
-    s = library.where(f"{value} is not null and not isnan({value})").select(F.col("collection_id").alias("q_id"), "amp_id", "distance_epi", F.col(value).alias("v"))
-    j = wanted.join(s, "q_id").withColumn("_n", F.row_number().over(W.partitionBy("q_id", "k").orderBy(F.abs(F.col("distance_epi") - F.col("q_dist")), "amp_id"))).where(F.col("_n") <= k)
-    j = j.withColumn("med", F.median("v").over(W.partitionBy("q_id", "k")))
-    m = F.first("med")
-    return j.groupBy("q_id", "k").agg(F.count("*").alias("n"), F.round(F.log10(F.avg("v")), 6).alias("log_mean"), F.round(F.log10(m), 6).alias("log_median"), F.round(F.median(F.abs(F.col("v") - F.col("med"))) / m, 6).alias("rel_mad"))
+def nearest_depths(collections: DataFrame, key: str, depth: str, by: str) -> DataFrame:
+    """(key, z1, z2): least and greatest depth of the two other rows of by that are nearest in depth, the lesser keys of equals first; rows with fewer than two others have none.
+
+    Equal depths are one row with its two least keys, so that neighbours in
+    depth order are all that a row needs.
+    """
+    c = collections.select(F.col(key).alias("_k"), F.col(depth).cast("double").alias("_z"), F.col(by).alias("_b")).where("_z is not null and not isnan(_z)")
+    z = c.groupBy("_b", "_z").agg(F.count("*").alias("_c"), F.min("_k").alias("_first"))
+    second = c.join(z, ["_b", "_z"]).where(F.col("_k") != F.col("_first")).groupBy("_b", "_z").agg(F.min("_k").alias("_second"))
+    z = z.join(second, ["_b", "_z"], "left")
+    w = W.partitionBy("_b").orderBy("_z")
+    # the depths of a catalogue of collections: one row each
+    for name, f in (("l1", F.lag("n_", 1)), ("l2", F.lag("n_", 2)), ("h1", F.lead("n_", 1)), ("h2", F.lead("n_", 2))):
+        z = z.withColumn("n_", F.struct(F.col("_z").alias("z"), F.col("_first").alias("a"), F.col("_second").alias("b"))).withColumn(name, f.over(w))
+    one = lambda s, k: F.struct(F.abs(s["z"] - F.col("_z")).alias("d"), s[k].alias("k"), s["z"].alias("z"))
+    other = F.array(*[one(F.col(n), k) for n in ("l1", "l2", "h1", "h2") for k in ("a", "b")])
+    own = F.transform(F.sequence(F.lit(1), F.lit(2)), lambda i: F.when(F.col("_c") > i, F.struct(F.lit(0.0).alias("d"), F.lit(None).cast(c.schema["_k"].dataType).alias("k"), F.col("_z").alias("z"))))
+    best = F.slice(F.array_sort(F.filter(F.concat(own, other), lambda x: x.isNotNull() & x["z"].isNotNull() & ((x["d"] == 0) | x["k"].isNotNull()))), 1, 2)
+    z = z.select("_b", "_z", F.transform(best, lambda x: x["z"]).alias("_best")).where(F.size("_best") == 2)
+    return c.join(z, ["_b", "_z"]).select(F.col("_k").alias(key), F.array_min("_best").alias("z1"), F.array_max("_best").alias("z2"))
 
 
 _NEAR = "amp_id long, q_id long, n long, mean double, med double, mad double"
@@ -49,7 +63,7 @@ _EDGE = "part long, side long, q_id long, distance double, amp_id long, v double
 
 
 def modelled_for_all(library: DataFrame, value: str, k: int = 25) -> DataFrame:
-    """The same statistics for every amplitude of the library, (amp_id, q_id, n, log_mean, log_median, rel_mad).
+    """Statistics of the k amplitudes nearest in distance within its collection, for every amplitude of the library: (amp_id, q_id, n, log_mean, log_median, rel_mad).
 
     The rows are sorted by collection and distance over all tasks, and each task
     sees 2 k candidates beyond its ends, so a large collection is cut into many.

@@ -9,6 +9,7 @@ from stackwave.functions import attenuation, codes, geo
 from stackwave.operators import analytics as an
 from stackwave.operators import catalog as cat
 from stackwave.operators import magnitude as mag
+from stackwave.operators import ordered
 from stackwave.operators import picks as pk
 from stackwave.operators import stations as sta
 from stackwave.plans.dist import micros, table
@@ -145,7 +146,8 @@ def catalog_event_rows(spark: SparkSession, d: str) -> DataFrame:
 def catalog_overview(spark: SparkSession, d: str) -> DataFrame:
     e = ev(spark, d).join(table(spark, d, "picks").groupBy("event_uid").agg(F.count("observed_time").alias("n_picks")), "event_uid", "left").fillna(0, ["n_picks"])
     days = (F.max(micros("event_time")) - F.min(micros("event_time"))) / 86_400e6
-    return e.agg(F.count("*").alias("n_events"), F.round(days, 6).alias("days"), F.round(F.count("*") / days, 6).alias("per_day"), F.median("n_picks").alias("median_picks"), F.min("n_picks").alias("min_picks"), F.max("n_picks").alias("max_picks"))
+    one = e.agg(F.count("*").alias("n_events"), F.round(days, 6).alias("days"), F.round(F.count("*") / days, 6).alias("per_day"), F.min("n_picks").alias("min_picks"), F.max("n_picks").alias("max_picks"))
+    return one.crossJoin(ordered.median(e, [], "n_picks", "median_picks"))  # one row each
 
 
 # -- histograms, rates, b-values ----------------------------------------------------
@@ -192,7 +194,7 @@ def b_value_by_station(spark: SparkSession, d: str) -> DataFrame:
 def sliding_b_value(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "station_magnitudes").where("magnitude is not null and not isnan(magnitude)").groupBy("event_uid").agg(F.median("magnitude").alias("m"))
     e = ev(spark, d).join(m, "event_uid").select("seq", "event_time", "m")
-    return an.b_positive(an.differences(an.sliding_windows(e, ["event_time", "seq"], 500, 10), "m", ["event_time", "seq"], ["window"]), ["window"])
+    return an.b_positive(an.differences(an.sliding_windows(e, ["event_time", "seq"], 500, 10), "m", ["event_time", "seq"], ["window"], bounded=True), ["window"])
 
 
 @query(f"with {EV}, {_NETMAG} select seq, round(log10(sum(pow(10, 1.5 * average + 9.1)) over (order by event_time, seq rows unbounded preceding)), 6) as log_moment from ev join nm using (event_uid)")
@@ -255,25 +257,31 @@ def wadati_vp_vs(spark: SparkSession, d: str) -> DataFrame:
 def pick_performance(spark: SparkSession, d: str) -> DataFrame:
     p = pks(spark, d).where("observed_time is not null and not isnan(confidence)").withColumn("k", F.right("phase", F.lit(1)))
     c = lambda k: F.when(F.col("k") == k, F.col("confidence"))
-    return p.groupBy("nsl").agg(*[x for k in "PS" for x in (F.round(F.sum(c(k)), 6).alias(f"sum_{k.lower()}"), F.round(F.median(c(k)), 6).alias(f"median_{k.lower()}"))])
+    out = p.groupBy("nsl").agg(*[F.round(F.sum(c(k)), 6).alias(f"sum_{k.lower()}") for k in "PS"])
+    for k in "PS":
+        out = out.join(ordered.median(p.where(F.col("k") == k), ["nsl"], "confidence", f"median_{k.lower()}"), "nsl", "left")
+    return out.select("nsl", *[x for k in "ps" for x in (f"sum_{k}", F.round(f"median_{k}", 6).alias(f"median_{k}"))])
 
 
 @query(f"with {PK}, v as (select * from pk where delay is not null), l as (select phase, quantile_cont(delay, 0.02) as lo, quantile_cont(delay, 0.98) as hi from v group by 1), u as (select nsl, median(abs(delay)) as all_abs from v group by 1) select v.nsl, v.phase, count(*) as n, round(median(v.delay), 9) as med, round(any_value(u.all_abs), 9) as unclipped from v join l using (phase) join u using (nsl) where v.delay between lo and hi group by 1, 2")
 def residual_statistics(spark: SparkSession, d: str) -> DataFrame:
     v = pks(spark, d).withColumn("delay", pk.delay_s()).where("delay is not null")
-    u = v.groupBy("nsl").agg(F.round(F.median(F.abs("delay")), 9).alias("unclipped"))
-    return an.clipped_residuals(v, "delay", [], "phase").groupBy("nsl", "phase").agg(F.count("*").alias("n"), F.round(F.median("delay"), 9).alias("med")).join(u, "nsl")
+    u = ordered.median(v.withColumn("delay", F.abs("delay")), ["nsl"], "delay", "unclipped")
+    kept = ordered.quantiles(an.clipped_residuals(v, "delay", [], "phase"), ["nsl", "phase"], "delay", {"med": 0.5})
+    return kept.join(u, "nsl").select("nsl", "phase", "n", F.round("med", 9).alias("med"), F.round("unclipped", 9).alias("unclipped"))
 
 
 @query(f"with {PK}, v as (select * from pk where nsl = 'Q0.HUB00.00' and delay is not null), l as (select phase, quantile_cont(delay, 0.02) as lo, quantile_cont(delay, 0.98) as hi from v group by 1) select phase, count(*) as n, round(median(delay), 9) as med from v join l using (phase) where delay between lo and hi group by 1")
 def station_residuals(spark: SparkSession, d: str) -> DataFrame:
     v = pks(spark, d).where("nsl = 'Q0.HUB00.00'").withColumn("delay", pk.delay_s()).where("delay is not null")
-    return an.clipped_residuals(v, "delay", [], "phase").groupBy("phase").agg(F.count("*").alias("n"), F.round(F.median("delay"), 9).alias("med"))
+    kept = ordered.quantiles(an.clipped_residuals(v, "delay", [], "phase"), ["phase"], "delay", {"med": 0.5})
+    return kept.select("phase", "n", F.round("med", 9).alias("med"))
 
 
 @query(f"with {PK}, c as (select event_uid, count(distinct nsl) as n from pk group by 1) select median(n)::double as median_receivers, min(n) as least, max(n) as most from c")
 def station_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return pks(spark, d).groupBy("event_uid").agg(F.count_distinct("nsl").alias("n")).agg(F.median("n").alias("median_receivers"), F.min("n").alias("least"), F.max("n").alias("most"))
+    n = pks(spark, d).groupBy("event_uid").agg(F.count_distinct("nsl").alias("n"))
+    return n.agg(F.min("n").alias("least"), F.max("n").alias("most")).crossJoin(ordered.median(n, [], "n", "median_receivers"))  # one row each
 
 
 @query("select distinct phase from picks where phase is not null")
@@ -393,14 +401,7 @@ def attenuation_magnitudes(spark: SparkSession, d: str) -> DataFrame:
     return t.select("row_id", F.round(attenuation.magnitude(F.col("model"), F.col("peak_amp"), F.col("distance_hypo"), F.col("distance_epi")), 6).alias("m"))
 
 
-@query("with q as (select * from (select collection_id as q_id, distance_epi as q_dist, row_number() over (partition by collection_id order by amp_id) as k from site_amplitudes) where k <= 2), j as (select q.q_id, q.k, peak_horizontal as v, row_number() over (partition by q.q_id, q.k order by abs(distance_epi - q_dist), amp_id) as n from q join site_amplitudes s on s.collection_id = q.q_id where peak_horizontal is not null and not isnan(peak_horizontal)), m as (select *, median(v) over (partition by q_id, k) as med from j where n <= 25) select q_id, k, count(*) as n, round(log10(avg(v)), 6) as log_mean, round(log10(any_value(med)), 6) as log_median, round(median(abs(v - med)) / any_value(med), 6) as rel_mad from m group by 1, 2")
-def modelled_amplitudes(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "site_amplitudes")
-    q = cat.number_in(s, ["collection_id"], ["amp_id"], "k").where("k <= 2").select(F.col("collection_id").alias("q_id"), F.col("distance_epi").alias("q_dist"), "k")
-    return mag.modelled_amplitudes(q, s, "peak_horizontal", 25)
-
-
 @query("with j as (select q.amp_id, q.collection_id as q_id, s.peak_horizontal as v, row_number() over (partition by q.amp_id order by abs(s.distance_epi - q.distance_epi), s.amp_id) as n from site_amplitudes q join site_amplitudes s on s.collection_id = q.collection_id where s.peak_horizontal is not null and not isnan(s.peak_horizontal)), m as (select *, median(v) over (partition by amp_id) as med from j where n <= 25) select amp_id, any_value(q_id) as q_id, count(*) as n, round(log10(avg(v)), 6) as log_mean, round(log10(any_value(med)), 6) as log_median, round(median(abs(v - med)) / any_value(med), 6) as rel_mad from m group by 1")
-def modelled_amplitudes_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same for every amplitude."""
+def modelled_amplitudes(spark: SparkSession, d: str) -> DataFrame:
+    """Mean, median and spread of the 25 nearest of its collection, for every amplitude."""
     return mag.modelled_for_all(table(spark, d, "site_amplitudes"), "peak_horizontal", 25)

@@ -13,7 +13,7 @@ from stackwave.functions import codes
 from stackwave.functions.statistics import emr_fit, gaussian_density
 from stackwave.operators import analytics as an
 from stackwave.operators import catalog as cat
-from stackwave.operators import magnitude, octree, synthetic
+from stackwave.operators import magnitude, octree, ordered, synthetic
 from stackwave.operators import search as srch
 from stackwave.operators import traveltime
 from stackwave.plans.catalog_queries import PK, STS, ev, pks, sts
@@ -208,13 +208,9 @@ def moment_magnitudes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("with c as (select distinct on (collection_id) collection_id, source_depth as z, quantity, ref_magnitude from site_amplitudes order by collection_id, amp_id), q as (select collection_id, z, quantity, ref_magnitude from c), k as (select a.collection_id, b.z, row_number() over (partition by a.collection_id order by abs(b.z - a.z), b.collection_id) as k from q a join q b on a.collection_id <> b.collection_id and a.quantity = b.quantity) select collection_id, min(z) as z1, max(z) as z2 from k where k <= 2 group by 1 having count(*) = 2")
 def nearest_depths(spark: SparkSession, d: str) -> DataFrame:
-    """The two nearest other collections in depth of the same quantity (collections are a catalogue of hundreds)."""
-    from pyspark.sql import Window as W
-
-    c = cat.first_by(table(spark, d, "site_amplitudes"), ["collection_id"], ["amp_id"]).select("collection_id", F.col("source_depth").alias("z"), "quantity")
-    o = c.select(F.col("collection_id").alias("o_id"), F.col("z").alias("oz"), "quantity")
-    j = c.join(o, "quantity").where("collection_id <> o_id").withColumn("k", F.row_number().over(W.partitionBy("collection_id").orderBy(F.abs(F.col("oz") - F.col("z")), "o_id"))).where("k <= 2")
-    return j.groupBy("collection_id").agg(F.min("oz").alias("z1"), F.max("oz").alias("z2"), F.count("*").alias("n")).where("n = 2").drop("n")
+    """The two nearest other collections in depth of the same quantity."""
+    c = cat.first_by(table(spark, d, "site_amplitudes"), ["collection_id"], ["amp_id"])
+    return magnitude.nearest_depths(c, "collection_id", "source_depth", "quantity")
 
 
 # -- streams of stations, coverage, corrections --------------------------------------------
@@ -241,7 +237,7 @@ _DELAY = "dl as (select network || '.' || station || '.' || coalesce(location, '
 def station_delays(spark: SparkSession, d: str) -> DataFrame:
     """The median delay of each station and phase joined to the picks, 0 where none is known."""
     p = pks(spark, d)
-    dl = p.where("station_delay_s is not null and not isnan(station_delay_s)").groupBy("nsl", "phase").agg(F.median("station_delay_s").alias("delay_s"))
+    dl = ordered.median(p, ["nsl", "phase"], "station_delay_s", "delay_s")
     out = traveltime.with_delays(p.withColumn("tt", F.lit(0.0)), dl)
     return out.select("pick_id", F.round("tt", 6).alias("delay_s"))
 

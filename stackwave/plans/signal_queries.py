@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stackwave.operators import catalog as cat
@@ -69,12 +70,17 @@ def octree_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return octree.touching(octree.leaves(_split_some(spark)), SIZE).groupBy("node_id").agg(F.count("*").alias("n"))
 
 
-_SEMB = "s as (select n.*, v.x as semblance from leaf n join (select vec_id, embedding[1]::double as x from embeddings) v on v.vec_id = n.node_id % 97)"
+_SEMB = "lf as (select *, row_number() over (order by node_id) - 1 as place, count(*) over () as places from leaf), s as (select lf.node_id, east, north, depth, size, max(v.x) as semblance from lf join (select vec_id, embedding[1]::double as x from embeddings) v on v.vec_id % lf.places = lf.place group by all)"
 
 
 def _semblance(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("semblance"))
-    return octree.leaves(_split_some(spark)).join(e, F.col("node_id") % 97 == F.col("vec_id")).drop("vec_id")
+    """The greatest first component of the embeddings that fall on each leaf; all embeddings are spread over the leaves."""
+    w = W.partitionBy(F.lit(1))  # a fixed tree of about a thousand leaves
+    leaf = octree.leaves(_split_some(spark)).withColumn("place", F.row_number().over(w.orderBy("node_id")) - 1).withColumn("places", F.count("*").over(w))
+    n = leaf.select("places").limit(1)
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x")).crossJoin(F.broadcast(n))  # one row
+    best = e.groupBy((F.col("vec_id") % F.col("places")).alias("place")).agg(F.max("x").alias("semblance"))
+    return leaf.drop("places").join(best, "place").drop("place")
 
 
 @query(f"with {_KIDS}, {_LEAF}, {_SEMB} select east::double as east, north::double as north, size::double as size, max(semblance) as semblance from s group by all")
@@ -94,7 +100,7 @@ def octree_uncertainty(spark: SparkSession, d: str) -> DataFrame:
 
 # -- travel times and weights ---------------------------------------------------------
 
-_PAIR = f"{_ROOT}, {STS}, sx as (select sta_idx, (sta_idx * 7919 % 20000) - 10000.0 as se, (sta_idx * 104729 % 20000) - 10000.0 as sn from st where sta_idx <= 60), pr as (select node_id, sta_idx, sqrt(pow(east - se, 2) + pow(north - sn, 2) + pow(depth, 2)) as distance from root, sx)"
+_PAIR = f"{_ROOT}, {STS}, sx as (select sta_idx, (sta_idx::bigint * 7919 % 20000) - 10000.0 as se, (sta_idx::bigint * 104729 % 20000) - 10000.0 as sn from st), pr as (select node_id, sta_idx, sqrt(pow(east - se, 2) + pow(north - sn, 2) + pow(depth, 2)) as distance from root, sx)"
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -105,22 +111,12 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return s.crossJoin(F.broadcast(n)).select("node_id", "sta_idx", "depth", F.sqrt(F.pow(F.col("east") - F.col("se"), 2.0) + F.pow(F.col("north") - F.col("sn"), 2.0)).alias("offset"), dist.alias("distance"))
 
 
-_FIRST = "sta_idx <= 60"  # what the SQL of travel_time_span and distance_weights takes; their `_all` forms take every station
-_PAIR_ALL = _PAIR.replace(f" where {_FIRST}", "").replace("(sta_idx *", "(sta_idx::bigint *")
-
-
 def _span(p: DataFrame) -> DataFrame:
     return traveltime.span(p.withColumn("tt", traveltime.constant(F.col("distance"), 5000.0)), ["node_id"]).select("node_id", F.round("first", 6).alias("first"), F.round("last", 6).alias("last"))
 
 
 @query(f"with {_PAIR} select node_id::bigint as node_id, round(min(distance / 5000.0), 6) as first, round(max(distance / 5000.0), 6) as last from pr group by 1")
 def travel_time_span(spark: SparkSession, d: str) -> DataFrame:
-    return _span(_pairs(spark, d).where(_FIRST))
-
-
-@query(f"with {_PAIR_ALL} select node_id::bigint as node_id, round(min(distance / 5000.0), 6) as first, round(max(distance / 5000.0), 6) as last from pr group by 1")
-def travel_time_span_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same over every station."""
     return _span(_pairs(spark, d))
 
 
@@ -147,12 +143,6 @@ def _weights(p: DataFrame) -> DataFrame:
 
 @query(f"with {_PAIR}, k as (select *, row_number() over (partition by node_id order by distance, sta_idx) as k from pr), dk as (select *, max(case when k = 5 then distance end) over (partition by node_id) as dk from k), w as (select node_id, sta_idx, 0.9 * (case when distance <= dk then 1.0 else exp(-pow(distance - dk, 2) / (2 * pow(20000.0 / 2.355, 2))) end) + 0.1 as w from dk), n as (select node_id, sta_idx, w / sum(w) over (partition by node_id) as w from w) select node_id::bigint as node_id, sta_idx, round(case when w < 0.001 then 0 else w end, 6) as weight from n")
 def distance_weights(spark: SparkSession, d: str) -> DataFrame:
-    return _weights(_pairs(spark, d).where(_FIRST))
-
-
-@query(f"with {_PAIR_ALL}, k as (select *, row_number() over (partition by node_id order by distance, sta_idx) as k from pr), dk as (select *, max(case when k = 5 then distance end) over (partition by node_id) as dk from k), w as (select node_id, sta_idx, 0.9 * (case when distance <= dk then 1.0 else exp(-pow(distance - dk, 2) / (2 * pow(20000.0 / 2.355, 2))) end) + 0.1 as w from dk), n as (select node_id, sta_idx, w / sum(w) over (partition by node_id) as w from w) select node_id::bigint as node_id, sta_idx, round(case when w < 0.001 then 0 else w end, 6) as weight from n")
-def distance_weights_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same over every station: the fifth-nearest and the sum are of all."""
     return _weights(_pairs(spark, d))
 
 
@@ -189,15 +179,9 @@ def stack_maximum(spark: SparkSession, d: str) -> DataFrame:
     return stack.reduce_max(stack.stack_rows(*_traces(spark, d))).select("batch_id", "t", F.round("v", 6).alias("v"), "node_id")
 
 
-@query(f"with {_TR}, r as (select *, row_number() over (partition by batch_id, t order by v desc, node_id) as k from st) select batch_id::bigint as batch_id, t::bigint as t, round(v, 6) as v, node_id::bigint as node_id from r where k = 1 and t between 15 and 63")
+@query(f"with {_TR}, r as (select *, row_number() over (partition by batch_id, t order by v desc, node_id) as k from st) select batch_id::bigint as batch_id, t::bigint as t, round(v, 6) as v, node_id::bigint as node_id from r where k = 1")
 def stack_by_kernel(spark: SparkSession, d: str) -> DataFrame:
     """The array kernel, where every node has every trace."""
-    return stack.stack_kernel(*_traces(spark, d), tile=8).where("t between 15 and 63").select("batch_id", "t", F.round("v", 6).alias("v"), "node_id")
-
-
-@query(f"with {_TR}, r as (select *, row_number() over (partition by batch_id, t order by v desc, node_id) as k from st) select batch_id::bigint as batch_id, t::bigint as t, round(v, 6) as v, node_id::bigint as node_id from r where k = 1")
-def stack_by_kernel_all(spark: SparkSession, d: str) -> DataFrame:
-    """The array kernel over the whole extent."""
     return stack.stack_kernel(*_traces(spark, d), tile=8).select("batch_id", "t", F.round("v", 6).alias("v"), "node_id")
 
 
@@ -284,8 +268,8 @@ def healthy_batches(spark: SparkSession, d: str) -> DataFrame:
 
 @query("with d as (select seq, epoch_us(event_time) as t from detections where semblance >= 0.5 and not isnan(semblance)), n as (select *, count(*) over (order by t range between 86400000000 preceding and current row) as n from d), l as (select *, lag(n) over (order by t, seq) as b from n) select seq, n from l where n >= 5 and coalesce(b, 0) < 5")
 def swarm_alerts(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "detections").where("semblance >= 0.5 and not isnan(semblance)").select("seq", micros("event_time").alias("t"), F.lit(0).alias("k"))
-    return ingest.rising_edges(x, ["k"], "t", 86_400_000_000, 5, "seq").select("seq", "n")
+    x = table(spark, d, "detections").where("semblance >= 0.5 and not isnan(semblance)").select("seq", micros("event_time").alias("t"))
+    return ingest.rising_edges(x, [], "t", 86_400_000_000, 5, "seq").select("seq", "n")
 
 
 @query("with r as (select row_id, nsl, channel, starttime::date as day, case when starts_with(channel, 'HH') then 0 when starts_with(channel, 'EH') then 1 when starts_with(channel, 'BH') then 2 end as k from seedlink_stations where nsl is not null and starttime is not null and left(channel, 1) not in ('L', 'V', 'U', 'R', 'P', 'T', 'Q')), f as (select *, row_number() over (partition by nsl, day, right(channel, 1) order by k, channel, row_id) as n from r where k is not null) select nsl, day::varchar as day, right(channel, 1) as orientation, channel from f where n = 1")

@@ -318,12 +318,12 @@ def test_travel_times_and_weights_take_every_station(spark, tmp_path):
     nodes = sorted(octree.roots(spark, signal_queries.B, signal_queries.SIZE).collect(), key=lambda r: r.node_id)
     xyz = np.array([(r.east, r.north, r.depth) for r in nodes])
     d = np.sqrt((xyz[:, :1] - (ids * 7919 % 20000 - 10000.0)) ** 2 + (xyz[:, 1:2] - (ids * 104729 % 20000 - 10000.0)) ** 2 + xyz[:, 2:] ** 2)
-    span = signal_queries.travel_time_span_all(spark, at).toPandas().set_index("node_id").sort_index()
+    span = signal_queries.travel_time_span(spark, at).toPandas().set_index("node_id").sort_index()
     assert np.allclose(span["first"], d.min(1) / 5000, atol=1e-6) and np.allclose(span["last"], d.max(1) / 5000, atol=1e-6)
     dk = np.sort(d, axis=1)[:, 4:5]
     w = 0.9 * np.where(d <= dk, 1, np.exp(-((d - dk) ** 2) / (2 * (20_000 / 2.355) ** 2))) + 0.1
     w /= w.sum(1, keepdims=True)
-    got = signal_queries.distance_weights_all(spark, at).toPandas().pivot(index="node_id", columns="sta_idx", values="weight").sort_index()
+    got = signal_queries.distance_weights(spark, at).toPandas().pivot(index="node_id", columns="sta_idx", values="weight").sort_index()
     assert got.columns.tolist() == ids.tolist() and np.allclose(got.to_numpy(), np.where(w < 1e-3, 0, w), atol=1e-6)
     tt = signal_queries.layered_travel_times(spark, at)
     assert sorted(r[0] for r in tt.select("sta_idx").distinct().collect()) == ids.tolist() and tt.count() == 2 * d.size
