@@ -5,10 +5,10 @@ between the end of rank r and the start of rank r + 1 where that start is
 later than that end; the bounds of successive gaps, paired by their own rank,
 give the continuous periods.
 
-Ranks are computed without a window over a whole entity: equal times are
-counted together first, a time cell holds a bounded share of the largest
-entity, ranks run inside a cell and are shifted by the counts of the earlier
-cells. A third of all rows in one entity thus spreads over many tasks.
+Starts and ends are counted per time first. One pass over cells of a bounded
+number of times ranks both: ranks run inside a cell and are shifted by the
+counts of the earlier ones, so a third of all rows in one entity, or in one
+short burst, spreads over many tasks.
 
 Defined cases: rows with a null entity, a missing bound or end <= start cover
 nothing; intervals that touch leave no gap; repeated rows change nothing; an
@@ -18,68 +18,47 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stackwave.operators import ordered
 from stackwave.plans.dist import checkpointed
 
-CELL_ROWS = 50_000  # rows of the largest entity that one cell is meant to hold
-
-
 def valid_intervals(df: DataFrame, entity: str, start: str, end: str) -> DataFrame:
     """Columns _k, _s, _e (start and end are longs) of the rows that cover anything."""
     rows = df.select(F.col(entity).alias("_k"), F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"))
     return rows.where("_k is not null and _s is not null and _e is not null and _e > _s")
 
 
-def cell_width(rows: DataFrame, cell_rows: int = CELL_ROWS) -> int:
-    """Width of a time cell such that the largest entity has about cell_rows rows in one."""
-    per = rows.groupBy("_k").agg(F.count("*").alias("n"), F.min("_s").alias("lo"), F.max("_e").alias("hi"))
-    top = per.agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
-    if top is None or top["n"] is None:
-        return 1
-    cells = -(-top["n"] // cell_rows)
-    return max(1, (top["hi"] - top["lo"]) // cells + 1)
+def ranked(bounds: DataFrame) -> DataFrame:
+    """bounds(_k, t, _starts, _ends), unique in (_k, t): adds _sr and _er, the ranks of the last start and the last end up to t."""
+    return ordered.running_sums(ordered.cells(bounds, ["_k"], ["t"]), ["_k"], ["t"], {"_sr": F.col("_starts"), "_er": F.col("_ends")})
 
 
-def ranked(counts: DataFrame, width: int) -> DataFrame:
-    """counts(_k, t, n), unique in (_k, t): adds lo and hi, the first and last rank of the n equal times."""
-    cells = counts.withColumn("_cell", F.floor(F.col("t") / F.lit(width)).cast("long"))
-    within = W.partitionBy("_k", "_cell").orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = cells.withColumn("_cum", F.sum("n").over(within))
-    before = (
-        cells.groupBy("_k", "_cell").agg(F.sum("n").alias("_c"))
-        .withColumn("_before", F.sum("_c").over(W.partitionBy("_k").orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_c"))
-        .select("_k", "_cell", "_before")
-    )
-    hi = F.col("_before") + F.col("_cum")
-    return local.join(before, ["_k", "_cell"]).select("_k", "t", (hi - F.col("n") + 1).alias("lo"), hi.alias("hi"))
+def _counts(pairs: DataFrame) -> DataFrame:
+    """(_k, t, _starts, _ends) of pairs(_k, _s, _e); either bound may be null."""
+    one = lambda c, s, e: F.struct(F.col(c).alias("t"), F.lit(s).alias("s"), F.lit(e).alias("e"))
+    x = pairs.select("_k", F.explode(F.array(one("_s", 1, 0), one("_e", 0, 1))).alias("x")).select("_k", "x.*").where("t is not null")
+    return x.groupBy("_k", "t").agg(F.sum("s").alias("_starts"), F.sum("e").alias("_ends"))
 
 
-def coverage_gaps(df: DataFrame, entity: str, start: str, end: str, cell_rows: int = CELL_ROWS) -> DataFrame:
+def coverage_gaps(df: DataFrame, entity: str, start: str, end: str) -> DataFrame:
     """(entity, gap_start, gap_end): stretches between first start and last end that no interval covers."""
-    rows = valid_intervals(df, entity, start, end)
-    width = cell_width(rows, cell_rows)
-    return _gaps(rows, width).select(F.col("_k").alias(entity), "gap_start", "gap_end")
+    return _gaps(valid_intervals(df, entity, start, end)).select(F.col("_k").alias(entity), "gap_start", "gap_end")
 
 
-def _gaps(rows: DataFrame, width: int) -> DataFrame:
-    starts = ranked(rows.groupBy("_k", F.col("_s").alias("t")).agg(F.count("*").alias("n")), width)
-    ends = ranked(rows.groupBy("_k", F.col("_e").alias("t")).agg(F.count("*").alias("n")), width)
-    nexts = starts.where("lo > 1").select("_k", F.col("t").alias("gap_end"), (F.col("lo") - 1).alias("_r"))
-    lasts = ends.select("_k", F.col("t").alias("gap_start"), F.col("hi").alias("_r"))
+def _gaps(rows: DataFrame) -> DataFrame:
+    x = ranked(_counts(rows))
+    nexts = x.where("_starts > 0 and _sr > _starts").select("_k", F.col("t").alias("gap_end"), (F.col("_sr") - F.col("_starts")).alias("_r"))
+    lasts = x.where("_ends > 0").select("_k", F.col("t").alias("gap_start"), F.col("_er").alias("_r"))
     return lasts.join(nexts, ["_k", "_r"]).where("gap_end > gap_start").select("_k", "gap_start", "gap_end")
 
 
-def coverage_periods(df: DataFrame, entity: str, start: str, end: str, cell_rows: int = CELL_ROWS) -> DataFrame:
+def coverage_periods(df: DataFrame, entity: str, start: str, end: str) -> DataFrame:
     """(entity, period_start, period_end): the maximal continuous periods of cover."""
     rows = valid_intervals(df, entity, start, end)
-    width = cell_width(rows, cell_rows)
-    gaps = checkpointed(_gaps(rows, width))
-    outer = rows.groupBy("_k").agg(F.min("_s").alias("s"), F.max("_e").alias("e"))
-    one = F.lit(1).cast("long").alias("n")
-    opens = ranked(gaps.select("_k", F.col("gap_end").alias("t"), one).unionByName(outer.select("_k", F.col("s").alias("t"), one)), width)
-    closes = ranked(gaps.select("_k", F.col("gap_start").alias("t"), one).unionByName(outer.select("_k", F.col("e").alias("t"), one)), width)
-    a = opens.select("_k", F.col("lo").alias("_r"), F.col("t").alias("period_start"))
-    b = closes.select("_k", F.col("lo").alias("_r"), F.col("t").alias("period_end"))
+    outer = rows.groupBy("_k").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
+    bounds = checkpointed(_gaps(rows)).select("_k", F.col("gap_end").alias("_s"), F.col("gap_start").alias("_e")).unionByName(outer)
+    x = ranked(_counts(bounds))
+    a = x.where("_starts > 0").select("_k", F.col("_sr").alias("_r"), F.col("t").alias("period_start"))
+    b = x.where("_ends > 0").select("_k", F.col("_er").alias("_r"), F.col("t").alias("period_end"))
     return a.join(b, ["_k", "_r"]).select(F.col("_k").alias(entity), "period_start", "period_end")

@@ -61,6 +61,16 @@ def running(celled: DataFrame, by: list[str], order: list[str], name: str, value
     return x.withColumn(name, both).drop("_v", "_in", "_ahead")
 
 
+def running_sums(celled: DataFrame, by: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Adds several running sums, each row's own value included, in one pass; order is unique within the key."""
+    local = W.partitionBy(*by, CELL).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ahead = W.partitionBy(*by).orderBy(CELL).rowsBetween(W.unboundedPreceding, -1)
+    total = celled.groupBy(*by, CELL).agg(*[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()])
+    total = total.select(*by, CELL, *[F.coalesce(F.sum(f"_t_{n}").over(ahead), F.lit(0)).alias(f"_a_{n}") for n in sums])
+    x = carried(celled.select("*", *[F.sum(v).over(local).alias(f"_in_{n}") for n, v in sums.items()]), total, by, {f"_a_{n}": f"_a_{n}" for n in sums})
+    return x.select("*", *[(F.col(f"_in_{n}") + F.col(f"_a_{n}")).alias(n) for n in sums]).drop(*[f"{a}{n}" for n in sums for a in ("_in_", "_a_")])
+
+
 def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "n") -> DataFrame:
     """Adds the row's number from 1 within its key."""
     x = cells(df, by, order)

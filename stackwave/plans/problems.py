@@ -51,7 +51,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs[0].unionByName(pairs[1]).unionByName(pairs[2])
 
 
-_VALID = "v as (select nsl, epoch_us(starttime) as s, epoch_us(endtime) as e from seedlink_stations where endtime > starttime and nsl is not null), m as (select nsl, s, e, max(e) over (partition by nsl order by s, e rows between unbounded preceding and 1 preceding) as pe from v)"
+_VALID = "v as (select distinct nsl, epoch_us(starttime) as s, epoch_us(endtime) as e from seedlink_stations where endtime > starttime and nsl is not null), m as (select nsl, s, e, max(e) over (partition by nsl order by s, e rows between unbounded preceding and 1 preceding) as pe from v)"
 
 
 @query(f"with {_VALID} select nsl, pe as gap_start_us, s as gap_end_us from m where s > pe")
