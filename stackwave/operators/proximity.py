@@ -9,8 +9,10 @@ leaf with more points than `block` on a side is cut into sub-blocks that meet
 pairwise, so a place with a third of all points spreads over many tasks.
 
 in_regions: points are cut into strips of longitude; each strip gets the edges
-that cross it, and a sweep over the edge ends keeps the active edges, whose
-number above a point decides by parity.
+that cross it, and a sweep over the edge ends keeps the active edges. Between
+two ends the edges of a region lie one above the other, so a search in their
+order counts those above a point, and parity decides; where edges of a region
+cross there, each is compared.
 
 Defined cases: points lacking a coordinate, or with latitude outside -90..90
 or a coordinate that isn't finite, take no part; longitudes 360 apart are the
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,20 +155,24 @@ def bounded_sample(df: DataFrame, n: int, bound: int = SAMPLE) -> DataFrame:
     return df.sample(min(1.0, bound / max(n, 1)), seed=7).limit(2 * bound)
 
 
-def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, block: int = BLOCK) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, block: int = BLOCK, once: bool = False, apart: str | None = None) -> DataFrame:
     """(left_key, right_key, distance_m) of all pairs within radius_m on the sphere.
 
     left and right come from unit_vectors. Splits are fitted on at most
-    2 * SAMPLE points of each side; every point is indexed.
+    2 * SAMPLE points of each side; every point is indexed. With once only
+    pairs with left_key < right_key count (a table with itself); apart names a
+    text column of both sides that must differ (null equals null).
     """
     spark, r = left.sparkSession, chord(radius_m)
     nl, nr = left.count(), right.count()
     pts = [np.array([tuple(x) for x in bounded_sample(d.select("x", "y", "z"), n).collect()], float).reshape(-1, 3) for d, n in ((left, nl), (right, nr))]
     splits = Splits(np.concatenate(pts), max(1, -(-(nl + nr) // block)))
-    ddl = "key long, x double, y double, z double, leaf long"
+    tag = F.col(apart).cast("string") if apart else F.lit(None).cast("string")
+    left, right = (d.select("key", "x", "y", "z", tag.alias("name")) for d in (left, right))
+    ddl = "key long, x double, y double, z double, name string, leaf long"
     sch = arrow_schema(ddl)
     reach = r * (1 + 1e-9) + 1e-15
-    cols = ["key", "x", "y", "z"]
+    cols = ["key", "x", "y", "z", "name"]
     a = left.select(*cols).mapInArrow(_leaves(splits, reach, False, sch), ddl).withColumn("side", F.lit(0))
     b = right.select(*cols).mapInArrow(_leaves(splits, reach, True, sch), ddl).withColumn("side", F.lit(1))
     both = a.unionByName(b)
@@ -193,7 +200,13 @@ def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, block: int =
         if not le.any() or not ri.any():
             return
         lk, rk = key[le], key[ri]
+        code = pc.fill_null(t["name"].combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False) if apart else side
+        lc, rc = code[le], code[ri]
         for qi, pi, d2 in LocalTree(p[ri]).query(p[le], r):
+            keep = (lk[qi] < rk[pi]) | (not once)
+            if apart:
+                keep &= lc[qi] != rc[pi]
+            qi, pi, d2 = qi[keep], pi[keep], d2[keep]
             yield pa.Table.from_arrays([pa.array(lk[qi]), pa.array(rk[pi]), pa.array(2 * EARTH_M * np.arcsin(np.minimum(np.sqrt(d2) / 2, 1)))], schema=schema)
 
     return grouped_map(both, ["leaf", "bl", "br"], join, out)
@@ -236,16 +249,29 @@ def sweep(px: np.ndarray, py: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np
         if hi <= lo or not active:
             continue
         e = np.fromiter(active, np.int64)
-        names, which = np.unique(region[e], return_inverse=True)
-        slope = (y2[e] - y1[e]) / (x2[e] - x1[e])
-        for c in range(lo, hi, max(1, 2_000_000 // len(e))):
-            pts = order[c : min(hi, c + max(1, 2_000_000 // len(e)))]
-            above = y1[e] + slope * (px[pts][:, None] - x1[e]) > py[pts][:, None]
-            odd = np.zeros((len(pts), len(names)), np.int64)
-            np.add.at(odd.T, which, above.T.astype(np.int64))
-            i, j = np.nonzero(odd % 2)
-            rows.append(pts[i])
-            regs.append(names[j])
+        until = stops[k + 1] if k + 1 < len(stops) else s
+        at = lambda i, x: y1[i] + (y2[i] - y1[i]) / (x2[i] - x1[i]) * (x - x1[i])
+        e = e[np.lexsort((at(e, until), at(e, s), region[e]))]
+        edges = np.r_[np.flatnonzero(np.r_[True, np.diff(region[e]) != 0]), len(e)]
+        pts = order[lo:hi]
+        for a, b in zip(edges[:-1], edges[1:]):
+            mine = e[a:b]
+            if (np.diff(at(mine, until)) >= 0).all():
+                low, high = np.zeros(len(pts), np.int64), np.full(len(pts), b - a)
+                while (low < high).any():  # the first edge above each point
+                    mid = (low + high) // 2
+                    above = at(mine[np.minimum(mid, b - a - 1)], px[pts]) > py[pts]
+                    go = low < high
+                    low, high = np.where(go & ~above, mid + 1, low), np.where(go & above, mid, high)
+                n = b - a - low
+            else:
+                n = np.zeros(len(pts), np.int64)
+                for c in range(0, len(pts), max(1, 2_000_000 // len(mine))):
+                    u = slice(c, c + max(1, 2_000_000 // len(mine)))
+                    n[u] = (at(mine, px[pts[u]][:, None]) > py[pts[u]][:, None]).sum(1)
+            hit = pts[n % 2 == 1]
+            rows.append(hit)
+            regs.append(np.full(len(hit), region[mine[0]]))
     none = np.zeros(0, np.int64)
     return np.concatenate(rows or [none]), np.concatenate(regs or [none])
 

@@ -41,13 +41,11 @@ group by 1, 2 having count(*) % 2 = 1
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stations near stations, detections near stations, zones around stations."""
     stations = table(spark, sf_dir, "stations").withColumn("nsl", F.expr(NSL))
-    at = proximity.unit_vectors(stations, "sta_idx", "lat", "lon")
-    near = proximity.near_pairs(at, at, 500.0).where("left_key < right_key")
-    names = stations.select(F.col("sta_idx").cast("long").alias("k"), "nsl")
-    near = near.join(names.toDF("left_key", "n1"), "left_key").join(names.toDF("right_key", "n2"), "right_key").where("n1 <> n2")
+    at = proximity.unit_vectors(stations, "sta_idx", "lat", "lon", [F.col("nsl")])
+    near = proximity.near_pairs(at, at, 500.0, once=True, apart="nsl")
     seen = proximity.near_pairs(at, proximity.unit_vectors(table(spark, sf_dir, "detections"), "seq", "lat", "lon"), 1000.0)
     inside = proximity.in_regions(stations, "sta_idx", "lat", "lon", table(spark, sf_dir, "zones"), "zone_id", "ring_lon", "ring_lat")
-    pairs = [x.select(F.col(x.columns[i]).alias("low_id"), F.col(x.columns[j]).alias("high_id")) for x, i, j in ((near.select("left_key", "right_key"), 0, 1), (seen, 0, 1), (inside, 0, 1))]
+    pairs = [x.select(F.col(x.columns[i]).alias("low_id"), F.col(x.columns[j]).alias("high_id")) for x, i, j in ((near, 0, 1), (seen, 0, 1), (inside, 0, 1))]
     return pairs[0].unionByName(pairs[1]).unionByName(pairs[2])
 
 

@@ -67,6 +67,9 @@ def test_near_pairs(spark, block):
     d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
     want = {(ok[i][0], ok[j][0]) for i, j in zip(*np.nonzero(d <= proximity.chord(200_000.0)))}
     assert got == want
+    named = proximity.unit_vectors(df.withColumn("nsl", F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string"))), "id", "lat", "lon", [F.col("nsl")])
+    got = sorted((x[0], x[1]) for x in proximity.near_pairs(named, named, 200_000.0, block, once=True, apart="nsl").collect())
+    assert got == sorted((a, b) for a, b in want if a < b and a % 3 != b % 3)
     assert proximity.near_pairs(u.where("false"), u, 1.0).count() == 0
 
 
@@ -74,13 +77,13 @@ def test_near_pairs(spark, block):
 def test_in_regions(spark, block):
     r = np.random.RandomState(2)
     pts = [(i, float(a), float(o)) for i, (a, o) in enumerate(zip(r.uniform(-60, 60, 500), r.uniform(-180, 540, 500)))] + [(900 + i, 0.5, 179.5) for i in range(60)] + [(999, None, None)]
-    rings = [(1, [170.0, 200.0, 200.0, 170.0, 170.0], [-40.0, -40.0, 40.0, 40.0, -40.0]), (2, [0.0, 50.0, 25.0, 0.0], [0.0, 10.0, 50.0, 0.0]), (3, [-200.0, -150.0, -170.0, -200.0], [10.0, 12.0, 50.0, 10.0]), (4, [1.0], [1.0]), (5, None, None)]
+    rings = [(1, [170.0, 200.0, 200.0, 170.0, 170.0], [-40.0, -40.0, 40.0, 40.0, -40.0]), (2, [0.0, 50.0, 25.0, 0.0], [0.0, 10.0, 50.0, 0.0]), (3, [-200.0, -150.0, -170.0, -200.0], [10.0, 12.0, 50.0, 10.0]), (4, [1.0], [1.0]), (5, None, None), (6, [0.0, 60.0, 60.0, 0.0, 0.0], [-50.0, 50.0, -50.0, 50.0, -50.0])]
     p = spark.createDataFrame(pts, "id long, lat double, lon double")
     z = spark.createDataFrame(rings, "zone long, rx array<double>, ry array<double>")
     got = {tuple(x) for x in proximity.in_regions(p, "id", "lat", "lon", z, "zone", "rx", "ry", block).collect()}
     want = set()
     for k, a, o in pts[:-1]:
-        for zone, xs, ys in rings[:3]:
+        for zone, xs, ys in rings[:3] + rings[5:]:
             for turn in (-720, -360, 0, 360):
                 inside = False
                 for i in range(len(xs) - 1):
@@ -92,6 +95,20 @@ def test_in_regions(spark, block):
     assert proximity.in_regions(p.where("false"), "id", "lat", "lon", z, "zone", "rx", "ry").count() == 0
 
 
+def test_sweep_over_a_ring_of_many_edges():
+    r = np.random.RandomState(3)
+    w = np.linspace(0, 2 * np.pi, 20_000, endpoint=False)
+    rad = 10 + 3 * np.sin(7 * w) + r.uniform(-1, 1, len(w))
+    xs, ys = rad * np.cos(w), rad * np.sin(w)
+    x2, y2 = np.roll(xs, -1), np.roll(ys, -1)
+    flip = xs > x2
+    a = [np.where(flip, x2, xs), np.where(flip, y2, ys), np.where(flip, xs, x2), np.where(flip, ys, y2)]
+    px, py = r.uniform(-15, 15, (2, 3000))
+    got = set(proximity.sweep(px, py, *a, np.full(len(w), 5))[0].tolist())
+    want = {i for i in range(len(px)) if (((a[0] <= px[i]) & (px[i] < a[2])) & (a[1] + (a[3] - a[1]) / (a[2] - a[0]) * (px[i] - a[0]) > py[i])).sum() % 2}
+    assert got == want
+
+
 # -- anomalies
 
 
