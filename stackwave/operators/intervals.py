@@ -17,7 +17,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackwave.operators import ordered
@@ -46,11 +46,19 @@ def coverage_gaps(df: DataFrame, entity: str, start: str, end: str) -> DataFrame
     return _gaps(valid_intervals(df, entity, start, end)).select(F.col("_k").alias(entity), "gap_start", "gap_end")
 
 
+def _paired(x: DataFrame, start_rank: Column, start: str, end: str) -> DataFrame:
+    """(_k, start, end) of the start and the end that share a rank, each from one row of x(_k, t, ...)."""
+    one = lambda r, s, e: F.struct(r.alias("r"), s.cast("long").alias("s"), e.cast("long").alias("e"))
+    none = F.lit(None)
+    each = F.array(F.when(F.col("_starts") > 0, one(start_rank, F.col("t"), none)), F.when(F.col("_ends") > 0, one(F.col("_er"), none, F.col("t"))))
+    x = x.select("_k", F.explode(each).alias("x")).where("x is not null").select("_k", "x.*")
+    return x.groupBy("_k", "r").agg(F.max("s").alias(start), F.max("e").alias(end))
+
+
 def _gaps(rows: DataFrame) -> DataFrame:
-    x = ranked(_counts(rows))
-    nexts = x.where("_starts > 0 and _sr > _starts").select("_k", F.col("t").alias("gap_end"), (F.col("_sr") - F.col("_starts")).alias("_r"))
-    lasts = x.where("_ends > 0").select("_k", F.col("t").alias("gap_start"), F.col("_er").alias("_r"))
-    return lasts.join(nexts, ["_k", "_r"]).where("gap_end > gap_start").select("_k", "gap_start", "gap_end")
+    # the start of rank r + 1 beside the end of rank r; rank 0 has no end
+    pairs = _paired(ranked(_counts(rows)), F.col("_sr") - F.col("_starts"), "gap_end", "gap_start")
+    return pairs.where("gap_end > gap_start").select("_k", "gap_start", "gap_end")
 
 
 def coverage_periods(df: DataFrame, entity: str, start: str, end: str) -> DataFrame:
@@ -58,7 +66,4 @@ def coverage_periods(df: DataFrame, entity: str, start: str, end: str) -> DataFr
     rows = valid_intervals(df, entity, start, end)
     outer = rows.groupBy("_k").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
     bounds = checkpointed(_gaps(rows)).select("_k", F.col("gap_end").alias("_s"), F.col("gap_start").alias("_e")).unionByName(outer)
-    x = ranked(_counts(bounds))
-    a = x.where("_starts > 0").select("_k", F.col("_sr").alias("_r"), F.col("t").alias("period_start"))
-    b = x.where("_ends > 0").select("_k", F.col("_er").alias("_r"), F.col("t").alias("period_end"))
-    return a.join(b, ["_k", "_r"]).select(F.col("_k").alias(entity), "period_start", "period_end")
+    return _paired(ranked(_counts(bounds)), F.col("_sr"), "period_start", "period_end").select(F.col("_k").alias(entity), "period_start", "period_end")
