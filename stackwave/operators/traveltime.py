@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,46 +57,123 @@ def span(tt: DataFrame, by: list[str]) -> DataFrame:
     return tt.groupBy(*by).agg(F.min(ok).alias("first"), F.max(ok).alias("last"))
 
 
-def ray_table(model: list[tuple], phase: str, distances: np.ndarray, depths: np.ndarray, receiver: float = 0.0, rays: int = 400) -> np.ndarray:
-    """First arrivals (depths x distances, seconds) through flat layers: the upgoing ray, down-going turning rays and head waves; NaN where none."""
-    k = 2 if phase == "vp" else 3
-    tops, vel = np.array([m[0] for m in model]), np.array([m[k] for m in model])
-    out = np.full((len(depths), len(distances)), np.nan)
+class Layers:
+    """Flat layers of linear velocity: what a ray of parameter p crosses between two depths, or until it turns."""
+
+    def __init__(self, model: list[tuple], phase: str) -> None:
+        k, g = (2, 4) if phase == "vp" else (3, 5)
+        self.top, self.v, self.g = (np.array([m[i] for m in model], float) for i in (0, k, g))
+        self.bottom = np.r_[self.top[1:], np.inf]
 
-    def crossing(z0: float, z1: float) -> tuple[np.ndarray, np.ndarray]:
+    def velocity(self, n: int, z: float) -> float:
+        """In layer n at a depth; above the first layer its top's velocity holds."""
+        return self.v[n] + self.g[n] * max(z - self.top[n], 0.0)
+
+    def pieces(self, z0: float, z1: float):  # noqa: ANN201
+        """(thickness, upper and lower velocity, gradient) of each layer between two depths."""
         lo, hi = min(z0, z1), max(z0, z1)
-        bottoms = np.r_[tops[1:], np.inf]
-        h = np.clip(np.minimum(bottoms, hi) - np.maximum(tops, lo), 0, None)
-        h[0] += max(0.0, min(hi, tops[0]) - lo)
-        return h[h > 0], vel[h > 0]
+        if lo < self.top[0]:
+            yield min(hi, self.top[0]) - lo, self.v[0], self.v[0], 0.0
+        for n in range(len(self.top)):
+            a, b = max(lo, self.top[n]), min(hi, self.bottom[n])
+            if b > a:
+                yield b - a, self.velocity(n, a), self.velocity(n, b), self.g[n]
+
+    def fastest(self, z0: float, z1: float) -> float:
+        return max((max(a, b) for _, a, b, _ in self.pieces(z0, z1)), default=0.0)
+
+    def cross(self, p: np.ndarray, z0: float, z1: float) -> tuple[np.ndarray, np.ndarray]:
+        """Distance and time of rays between two depths."""
+        x, t = np.zeros(len(p)), np.zeros(len(p))
+        for h, va, vb, g in self.pieces(z0, z1):
+            ca, cb = (np.sqrt(np.maximum(1 - (p * v) ** 2, 1e-20)) for v in (va, vb))
+            if abs(vb - va) < 1e-9 * va:
+                x, t = x + h * p * va / ca, t + h / (va * ca)
+            else:
+                # (ca - cb) / (p g), without cancellation at small p
+                x = x + p * (vb * vb - va * va) / (g * (ca + cb))
+                t = t + np.log(vb * (1 + ca) / (va * (1 + cb))) / g
+        return x, t
+
+    def turn(self, p: np.ndarray, n: int, z: float) -> tuple[np.ndarray, np.ndarray]:
+        """Distance and time from a depth down to the turning point inside layer n."""
+        at = max(z, self.top[n])
+        x, t = self.cross(p, z, at)
+        v, g = self.velocity(n, at), self.g[n]
+        c = np.sqrt(np.maximum(1 - (p * v) ** 2, 0))
+        return x + c / (p * g), t + np.log((1 + c) / (p * v)) / g
+
+
+def _along(distances: np.ndarray, p: np.ndarray, x: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """First time at each distance of a family of rays: every branch of rising or falling x, cubic between rays as dt/dx = p."""
+    out = np.full(len(distances), np.nan)
+    d = np.sign(np.diff(x))
+    cut = np.r_[0, np.flatnonzero(d[1:] != d[:-1]) + 1, len(x) - 1]
+    for a, b in zip(cut[:-1], cut[1:]):
+        u = slice(a, b + 1)
+        xs, ts, ps = (v[u] if x[b] >= x[a] else v[u][::-1] for v in (x, t, p))
+        inside = np.flatnonzero((distances >= xs[0]) & (distances <= xs[-1]))
+        if not len(inside) or xs[-1] <= xs[0]:
+            continue
+        i = np.clip(np.searchsorted(xs, distances[inside], side="right") - 1, 0, len(xs) - 2)
+        h = np.maximum(xs[i + 1] - xs[i], 1e-12)
+        w = (distances[inside] - xs[i]) / h
+        y = (1 + 2 * w) * (1 - w) ** 2 * ts[i] + w * (1 - w) ** 2 * h * ps[i] + w * w * (3 - 2 * w) * ts[i + 1] - w * w * (1 - w) * h * ps[i + 1]
+        out[inside] = np.fmin(out[inside], y)
+    return out
 
+
+def ray_table(model: list[tuple], phase: str, distances: np.ndarray, depths: np.ndarray, receiver: float = 0.0, rays: int = 400) -> np.ndarray:
+    """First arrivals (depths x distances, seconds) through flat layers of linear velocity; NaN where none.
+
+    The ray between source and receiver, the rays that turn in a layer whose
+    velocity rises, and the head waves along layers faster than all above.
+    """
+    m = Layers(model, phase)
+    out = np.full((len(depths), len(distances)), np.nan)
+    near = np.sort(np.r_[np.linspace(1e-6, 1, rays, endpoint=False), 1 - np.logspace(-2, -10, rays)])
     for i, z in enumerate(depths):
-        h, v = crossing(receiver, z)
-        if len(h) == 0:
-            here = vel[max(0, np.searchsorted(tops, z, side="right") - 1)]
-            out[i] = distances / here
+        low, rows = max(z, receiver), []
+        if z != receiver:
+            p = near / m.fastest(z, receiver)
+            rows.append(_along(distances, p, *m.cross(p, z, receiver)))
+            rows.append(np.where(distances <= 0, m.cross(np.zeros(1), z, receiver)[1][0], np.nan))
+            # beyond the last of them, along the fastest place on the way
+            x, t = (v[0] for v in m.cross(p[-1:], z, receiver))
+            rows.append(np.where(distances >= x, t + (distances - x) * p[-1], np.nan))
         else:
-            p = np.r_[np.linspace(0, 1, rays, endpoint=False), 1 - np.logspace(-2, -10, rays)] / v.max()
-            p = np.sort(p)
-            c = np.sqrt(np.maximum(1 - (p[:, None] * v) ** 2, 1e-20))
-            x, t = (h * p[:, None] * v / c).sum(1), (h / (v * c)).sum(1)
-            out[i] = np.interp(distances, x, t, right=np.nan)
-        for n in range(len(tops)):
-            if tops[n] <= max(z, receiver) or not np.isfinite(tops[n]):
+            n = max(0, int(np.searchsorted(m.top, z, side="right")) - 1)
+            if m.g[n] <= 0:
+                rows.append(distances / m.velocity(n, z))
+            rows.append(np.where(distances <= 0, 0.0, np.nan))
+        above = m.fastest(z, receiver)
+        for n in range(len(m.top)):
+            if m.bottom[n] <= low:
                 continue
-            h1, v1 = crossing(z, tops[n])
-            h2, v2 = crossing(receiver, tops[n])
-            hh, vv = np.r_[h1, h2], np.r_[v1, v2]
-            if vel[n] <= vv.max():
-                continue
-            p = 1 / vel[n]
-            c = np.sqrt(1 - (p * vv) ** 2)
-            x0, t0 = (hh * p * vv / c).sum(), (hh / (vv * c)).sum()
-            head = np.where(distances >= x0, t0 + (distances - x0) * p, np.nan)
-            out[i] = np.fmin(out[i], head)
+            start = max(low, m.top[n])
+            above = max(above, m.fastest(min(z, receiver), start))
+            slow = max(above, m.velocity(n, start))
+            if m.g[n] > 0 and np.isfinite(m.bottom[n]) and m.velocity(n, m.bottom[n]) > slow:
+                fast = m.velocity(n, m.bottom[n])
+                grid = np.sort(np.r_[np.linspace(0, 1, rays), np.logspace(-10, -2, rays), 1 - np.logspace(-8, -2, rays)])
+                p = 1 / (slow + (fast - slow) * grid)
+                (x1, t1), (x2, t2) = m.turn(p, n, z), m.turn(p, n, receiver)
+                rows.append(_along(distances, p, x1 + x2, t1 + t2))
+            if m.top[n] > low and (m.v[n] > above or (m.v[n] == above and m.g[n] <= 0)):
+                p = np.array([1 / m.v[n]])
+                (x1, t1), (x2, t2) = m.cross(p, z, m.top[n]), m.cross(p, receiver, m.top[n])
+                rows.append(np.where(distances >= x1 + x2, t1 + t2 + (distances - x1 - x2) * p, np.nan))
+        for row in rows:
+            out[i] = np.fmin(out[i], row)
     return out
 
 
+def least_velocity(model: list[tuple], phase: str, upto: float = float("inf")) -> float:
+    """The least velocity anywhere from the top down to a depth."""
+    m = Layers(model, phase)
+    return min(v for n in range(len(m.top)) if m.top[n] <= upto for v in (m.v[n], m.velocity(n, min(m.bottom[n], upto)) if np.isfinite(min(m.bottom[n], upto)) else m.v[n]))
+
+
 def from_table(table: np.ndarray, distances: np.ndarray, depths: np.ndarray, x: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Bilinear interpolation on a regular grid; NaN outside or where a corner is NaN."""
     i = np.clip(np.searchsorted(distances, x, side="right") - 1, 0, len(distances) - 2)
@@ -105,37 +185,42 @@ def from_table(table: np.ndarray, distances: np.ndarray, depths: np.ndarray, x:
 
 
 def travel_times(pairs: DataFrame, model: list[tuple], phases: dict[str, str], step: float = 200.0, reach: float = 60_000.0, deep: float = 30_000.0) -> DataFrame:
-    """pairs(node_id, sta_idx, distance, depth) with tt for each phase (name -> vp or vs) from a table made once on the driver; NULL where no ray arrives."""
+    """pairs(node_id, sta_idx, distance, depth) with tt for each phase (name -> vp or vs) from a table made once on the driver; NULL where no ray arrives.
+
+    Slowness along the straight line is what the table holds and is
+    interpolated: it bends far less than time does near the source.
+    """
     xs, zs = np.arange(0, reach + step, step), np.arange(0, deep + step, step)
-    tables = {name: ray_table(model, k, xs, zs) for name, k in phases.items()}
+    far = np.hypot(xs[None], zs[:, None])
+    tables = {}
+    for name, k in phases.items():
+        with np.errstate(invalid="ignore"):
+            tables[name] = ray_table(model, k, xs, zs) / far
+        tables[name][0, 0] = tables[name][0, 1]
     names = list(phases)
 
-    def run(batches):  # noqa: ANN001, ANN202
-        import pyarrow as pa
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             d, z = b.column("distance").to_numpy(zero_copy_only=False), b.column("depth").to_numpy(zero_copy_only=False)
             for n in names:
-                t = from_table(tables[n], xs, zs, d, z)
+                t = from_table(tables[n], xs, zs, d, z) * np.hypot(d, z)
                 yield pa.RecordBatch.from_arrays([b.column("node_id"), b.column("sta_idx"), pa.array([n] * len(d)), pa.array(t, from_pandas=True)], names=["node_id", "sta_idx", "phase", "tt"])
 
     return pairs.select(F.col("node_id").cast("long"), F.col("sta_idx").cast("long"), F.col("distance").cast("double"), F.col("depth").cast("double")).mapInArrow(run, "node_id long, sta_idx long, phase string, tt double")
 
 
-def eikonal(slowness: np.ndarray, h: float, source: tuple[int, ...], sweeps: int = 4) -> np.ndarray:
-    """First-order travel times over a 2-d or 3-d grid by fast sweeping; straight rays within three cells of the source."""
-    t = np.full(slowness.shape, 1e20)
+def eikonal(slowness: np.ndarray, h: float, source: tuple[int, ...], sweeps: int = 100) -> np.ndarray:
+    """First-order travel times over a 2-d or 3-d grid by fast sweeping until nothing changes; straight rays within three cells of the source."""
     far = np.sqrt(sum((np.arange(n).reshape([-1 if a == b else 1 for b in range(slowness.ndim)]) - source[a]) ** 2.0 for a, n in enumerate(slowness.shape)))
-    t = np.where(far <= 3, far * h * slowness[source], t)
+    t = np.where(far <= 3, far * h * slowness[source], 1e20)
     nd = slowness.ndim
     for _ in range(sweeps):
         before = t.copy()
-        for flip in range(2**nd):
-            ax = [a for a in range(nd) if flip >> a & 1]
-            u, s = np.flip(t, ax), np.flip(slowness, ax)
-            # planes along the first axis in turn; the others relax by their neighbours
-            for i in range(u.shape[0]):
-                for _ in range(2):
+        # planes along each axis in turn, both ways
+        for axis in range(nd):
+            for way in (1, -1):
+                u, s = np.moveaxis(t, axis, 0)[::way], np.moveaxis(slowness, axis, 0)[::way]
+                for i in range(u.shape[0]):
                     near = [np.minimum(u[i - 1] if i else 1e20, u[i + 1] if i + 1 < u.shape[0] else 1e20)]
                     for a in range(nd - 1):
                         p = np.pad(u[i], [(1, 1) if b == a else (0, 0) for b in range(nd - 1)], constant_values=1e20)
@@ -149,7 +234,7 @@ def eikonal(slowness: np.ndarray, h: float, source: tuple[int, ...], sweeps: int
                         w = (sm + np.sqrt(np.maximum(disc, 0))) / k
                         v = np.where((disc >= 0) & (v > m[k - 1]), w, v)
                     u[i] = np.minimum(u[i], v)
-        if np.allclose(before, t, rtol=0, atol=1e-12):
+        if np.allclose(before, t, rtol=0, atol=1e-9):
             break
     return t
 

@@ -329,6 +329,26 @@ def test_travel_times_and_weights_take_every_station(spark, tmp_path):
     assert sorted(r[0] for r in tt.select("sta_idx").distinct().collect()) == ids.tolist() and tt.count() == 2 * d.size
 
 
+def test_rays_in_gradients_are_the_closed_form():
+    model = traveltime.layers(((0.0, 5.0, 3.0), (30.0, 8.0, 4.8)))
+    x, z = np.array([0.0, 10e3, 60e3, 100e3]), np.array([0.0, 1e3, 7.7e3, 20e3])
+    for phase, v0, g in (("vp", 5.0, 0.1), ("vs", 3.0, 0.06)):
+        want = np.arccosh(1 + g * g * ((x / 1e3) ** 2 + (z[:, None] / 1e3) ** 2) / (2 * v0 * (v0 + g * z[:, None] / 1e3))) / g
+        assert np.allclose(traveltime.ray_table(model, phase, x, z), want, rtol=1e-6, atol=1e-9)
+
+
+def test_rays_agree_with_the_eikonal_equation():
+    profile = ((0, 4.0, 2.0), (2, 5.0, 2.5), (2, 6.0, 3.0), (6, 5.5, 2.8), (6, 6.5, 3.5), (20, 7.5, 4.0))
+    model = traveltime.layers(profile)
+    n, h = 151, 200.0
+    depth, v = np.array([p[0] for p in profile], float), np.array([p[1] for p in profile])
+    at = np.interp(np.arange(n) * h / 1e3 + 1e-6, depth + np.arange(6) * 1e-9, v)
+    t = traveltime.eikonal(np.repeat((1e-3 / at)[None], n, 0), h, (0, 25))
+    rays = traveltime.ray_table(model, "vp", np.arange(n) * h, np.array([5000.0]))[0]
+    assert np.abs(t[20:, 0] / rays[20:] - 1).max() < 0.03
+    assert traveltime.least_velocity(model, "vp") == 4000 and traveltime.least_velocity(model, "vs", 1000.0) == 2000
+
+
 def test_modelled_amplitudes_of_every_row(spark):
     r = np.random.RandomState(5)
     rows = [(i, int(min(r.geometric(0.5), 4)), float(r.choice([r.randint(0, 40) * 10.0, r.uniform(0, 400)])), None if r.rand() < 0.1 else math.nan if r.rand() < 0.1 else float(r.lognormal())) for i in range(700)]
