@@ -44,16 +44,39 @@ def butterworth(order: int, freqs: tuple[float, ...], kind: str, rate: float) ->
     return np.array(sos)
 
 
+BLOCK = 256  # samples that a section filters at once
+
+
+def _responses(section: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n outputs, 2 states after each of n steps) of a unit impulse and of each unit state: arrays (3, n), (3, n, 2)."""
+    b0, b1, b2, _, a1, a2 = section
+    x = np.zeros((3, n))
+    x[0, 0] = 1
+    s = np.array([[0.0, 0.0], [1.0, 0.0], [0.0, 1.0]])
+    out, after = np.empty((3, n)), np.empty((3, n, 2))
+    for i in range(n):
+        o = b0 * x[:, i] + s[:, 0]
+        s = np.stack([b1 * x[:, i] - a1 * o + s[:, 1], b2 * x[:, i] - a2 * o], 1)
+        out[:, i], after[:, i] = o, s
+    return out, after
+
+
 def sos_filter(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Apply sections one way to each row of x (rows, samples)."""
+    """Apply sections one way to each row of x (rows, samples), block by block as matrix products."""
     y = np.atleast_2d(x).astype(float).copy()
-    for b0, b1, b2, _, a1, a2 in sos:
-        s1, s2 = np.zeros(len(y)), np.zeros(len(y))
-        for i in range(y.shape[1]):
-            v = y[:, i]
-            o = b0 * v + s1
-            s1, s2 = b1 * v - a1 * o + s2, b2 * v - a2 * o
-            y[:, i] = o
+    for section in sos:
+        n = min(BLOCK, y.shape[1])
+        if n == 0:
+            break
+        out, after = _responses(section, n)
+        lag = np.arange(n)[None] - np.arange(n)[:, None]
+        impulse = np.where(lag >= 0, out[0][np.maximum(lag, 0)], 0.0)  # input sample x output sample
+        state = np.zeros((len(y), 2))
+        for i in range(0, y.shape[1], n):
+            v = y[:, i : i + n].copy()
+            m = v.shape[1]
+            y[:, i : i + m] = v @ impulse[:m, :m] + state @ out[1:, :m]
+            state = v @ after[0][m - 1 - np.arange(m)] + state @ after[1:, m - 1]
     return y.reshape(np.shape(x))
 
 
@@ -110,6 +133,36 @@ def resample(x: np.ndarray, dt_in: float, dt_out: float, beta: float = 10.0, dem
     return out + mean
 
 
+def downsample(x: np.ndarray, factor: int, taps: int = 20, repeat: int = 1) -> np.ndarray:
+    """Every factor-th sample after a windowed-sinc low-pass at the new Nyquist; factors of many primes in turn; repeat says each sample so often first."""
+    y = np.repeat(np.asarray(x, float), repeat)
+    for q in _primes(factor):
+        k = np.arange(-taps * q, taps * q + 1)
+        h = np.sinc(k / q) * np.hamming(len(k))
+        padded = np.pad(y, taps * q, mode="edge")
+        y = np.convolve(padded, h / h.sum(), mode="valid")[::q]
+    return y
+
+
+def _primes(n: int) -> list[int]:
+    out, p = [], 2
+    while n > 1:
+        while n % p == 0:
+            out.append(p)
+            n //= p
+        p += 1
+    return out
+
+
+def resample_image(x: np.ndarray, rate_in: float, rate_out: float, normalise: bool = True) -> np.ndarray:
+    """An image trace at another rate, with its greatest value kept where normalise is set."""
+    y = resample(x, 1 / rate_in, 1 / rate_out)
+    top = float(np.max(x, initial=0.0))
+    if normalise and len(y) and y.max() > 0:
+        y = y * (top / y.max())
+    return y
+
+
 def sta_lta(x: np.ndarray, short: int, long: int) -> np.ndarray:
     """Ratio of the mean energy of the last `short` to that of the last `long` samples, in 0..1; 0 before `long` samples are there."""
     e = np.cumsum(np.r_[0.0, np.asarray(x, float) ** 2])

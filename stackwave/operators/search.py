@@ -9,12 +9,18 @@ After every split the threshold, the peaks of the whole batch and the nodes to
 split next are sought anew: each peak's node, the densest leaf at its sample
 and the leaves that touch them, until all of these are smallest.
 
+With core_us given, images are read with padding on both sides of a batch's
+core [batch_id * core_us + origin_us, + core_us); only peaks in the core count,
+so an event near an edge comes out of one batch. Images of a batch agree in
+rate, and a station has one image of a phase; else the batch is an error.
+
 Exact mode takes the maximum over all leaves; incremental mode compares only
 new nodes with the value before, as cheaper pipelines do.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -44,6 +50,8 @@ class Settings:
     waterlevel: float = 0.0
     border: float = 0.0
     incremental: bool = False
+    core_us: int | None = None
+    origin_us: int = 0
 
 
 def _tt(nodes: np.ndarray, stations: np.ndarray, v: float) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +90,15 @@ def search(images: DataFrame, stations: list[tuple[int, float, float, float]], s
     b = s.bounds
 
     def run(key: tuple, t: pa.Table) -> Iterator[pa.Table]:
-        rate, t0 = float(t["rate_hz"][0].as_py()), min(t["tmin_us"].to_pylist())
+        rates = set(t["rate_hz"].to_pylist())
+        if len(rates) > 1:
+            raise ValueError(f"images of batch {key[0]} differ in rate: {sorted(rates)}")
+        rate, t0 = float(rates.pop()), min(t["tmin_us"].to_pylist())
+        twice = [k for k, n in Counter(zip(t["sta_idx"].to_pylist(), t["phase"].to_pylist())).items() if n > 1]
+        if twice:
+            raise ValueError(f"batch {key[0]} has more than one image of {twice[0]}")
+        core = (-np.inf, np.inf) if s.core_us is None else (key[0] * s.core_us + s.origin_us, (key[0] + 1) * s.core_us + s.origin_us)
+        slack = 1e6 * (s.root_size / min(s.velocities.values()) + s.blinding_s)
         rows = [(i, p, round((m - t0) * rate / 1e6), np.array(x, float)) for i, p, m, x in zip(t["sta_idx"].to_pylist(), t["phase"].to_pylist(), t["tmin_us"].to_pylist(), t["samples"].to_pylist()) if i in where and p in s.velocities]
         if not rows:
             return
@@ -126,6 +142,8 @@ def search(images: DataFrame, stations: list[tuple[int, float, float, float]], s
         while True:
             gate = 10 * float(np.median(np.abs(best - np.median(best)))) if s.threshold == "MAD" else float(s.threshold)
             peaks = find_peaks(best, max(gate, 1e-9), max(1, int(s.blinding_s * rate)), gate)
+            times = t0 + peaks / rate * 1e6
+            peaks = peaks[(times >= core[0] - slack) & (times < core[1] + slack)]  # times still move while nodes are coarse
             wanted: set[int] = set()
             for at in peaks:
                 k = int(index[at])
@@ -151,13 +169,15 @@ def search(images: DataFrame, stations: list[tuple[int, float, float, float]], s
                 best, index = kernel(samples, offsets, sh, we, 0, n, skip=~leaf, floor=0.0)
         out = []
         for at in map(int, peaks):
-            k = int(index[at])
+            k, time = int(index[at]), t0 + round(at / rate * 1e6)
+            if not core[0] <= time < core[1]:
+                continue
             near = np.r_[k, touching(k)]
             place, size = nodes[k], float(sizes[k])
             if len(near) > 4:
                 place, _ = refine_maximum(nodes[near], snapshot(at, near), place, size / 1.5)
             edge = _border(place, b)
-            out.append((key[0], t0 + round(at / rate * 1e6), *map(float, place), float(best[at]), len({i for i, *_ in rows}), edge, size, edge > s.border))
+            out.append((key[0], time, *map(float, place), float(best[at]), len({i for i, *_ in rows}), edge, size, edge > s.border))
         yield pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.nulls(0, f.type) for f in schema], schema=schema)
 
     return grouped_map(images, ["batch_id"], run, _FOUND, order=["sta_idx", "phase"])

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-import tempfile
+import os
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stackwave.functions import codes
 from stackwave.functions.statistics import emr_fit, gaussian_density
@@ -17,7 +18,8 @@ from stackwave.operators import magnitude, octree, ordered, synthetic
 from stackwave.operators import search as srch
 from stackwave.operators import traveltime
 from stackwave.plans.catalog_queries import PK, STS, ev, pks, sts
-from stackwave.plans.dist import micros, table
+from stackwave.plans import pipeline
+from stackwave.plans.dist import checkpointed, micros, scratch, table
 from stackwave.sources import sinks
 from stackwave.streaming import live
 
@@ -84,26 +86,58 @@ def synthetic_events(spark: SparkSession, d: str) -> DataFrame:
     return synthetic.events(spark, 12, BOUNDS, 2_500.0, START + 15_000_000, 30_000_000, 11).select("event_id", "time_us")
 
 
+MIDNIGHT = START + 5 * 86_400_000_000
+PLANTED = 8
+
+
+def planted_archive(spark: SparkSession, root: str, rate: float = 50.0) -> DataFrame:
+    """Day files of image traces of events every 30 s around a midnight, each at an edge of a batch of 30 s; gives the events."""
+    start = MIDNIGHT - 120_000_000
+    e = synthetic.events(spark, PLANTED, BOUNDS, 2_500.0, start, 30_000_000, 5)
+    s = spark.createDataFrame(network(), "sta_idx long, east double, north double, elevation double")
+    x = synthetic.images(synthetic.arrivals(e, s, VELOCITIES), start - 45_000_000, 30_000_000, rate, 0.1)
+    sta = F.concat(F.lit("S"), F.lpad(F.col("sta_idx").cast("string"), 2, "0"))
+    t = x.select(F.lit("SY").alias("network"), sta.alias("station"), F.lit("").alias("location"), F.concat(F.lit("IM"), F.right("phase", F.lit(1))).alias("channel"), "tmin_us", "rate_hz", "samples")
+    sinks.write_traces(t, root).collect()
+    return e
+
+
+def archive_config(root: str) -> dict:
+    return {
+        "source": {"use": "archive", "path": root, "layout": "sds"}, "image": {"use": "as_is", "phases": {"P": "cake:P", "S": "cake:S"}}, "tracer": {"use": "constant", "velocities": VELOCITIES},
+        "batch_s": 30, "origin_us": MIDNIGHT, "stations": [{"nsl": f"SY.S{i:02}.", "at": at} for i, *at in network()],
+        "search": {"bounds": [list(BOUNDS.east), list(BOUNDS.north), list(BOUNDS.depth)], "root_size": 2_000.0, "levels": 4, "threshold": 0.6, "blinding_s": 2.0, "required_stations": 6},
+    }
+
+
+@query(f"select unnest(generate_series(0, {PLANTED - 1}))::bigint as event_id, 1::bigint as n_found, 0::bigint as n_false")
+def archive_search(spark: SparkSession, d: str) -> DataFrame:
+    """A configured run over day files: archive, merging over midnight, padded batches, images, search. Each planted event comes out once, at its time and place."""
+    root = scratch(spark, "archive")
+    e = planted_archive(spark, root)
+    found = checkpointed(pipeline.run(spark, archive_config(root)))
+    near = (F.abs(F.col("f.time_us") - F.col("e.time_us")) < 150_000) & (F.sqrt(sum((F.pow(F.col(f"f.{a}") - F.col(f"e.{a}"), 2.0) for a in ("east", "north", "depth")), F.lit(0.0))) < 700)
+    j = found.alias("f").join(F.broadcast(e.alias("e")), near, "full")  # PLANTED events
+    false = j.agg(F.count_if(F.col("event_id").isNull()).alias("n_false"))
+    return j.where("event_id is not null").groupBy("event_id").agg(F.count("f.time_us").alias("n_found")).crossJoin(F.broadcast(false))  # one row
+
+
 # -- streams -------------------------------------------------------------------------
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/{name}.parquet").schema
-    import os
-
     at = f"{d}/{name}.parquet"
     reader = spark.readStream.schema(schema)
     return reader.parquet(at) if os.path.isdir(at) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
-def _collected(spark: SparkSession, out: DataFrame, mode: str) -> DataFrame:
+def _collected(spark: SparkSession, out: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Run a stream over what is there into a folder beside the checkpoints; the rows of its last state."""
-    from stackwave.plans.dist import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    root = f"{spark.sparkContext.getCheckpointDir()}/stream-{next(tempfile._get_candidate_names())}"
+    root = scratch(spark, "stream")
     live.drive(out, f"{root}/state", live.idempotent_writer(f"{root}/rows"), mode)
-    return spark.read.schema(out.schema).option("recursiveFileLookup", "true").parquet(f"{root}/rows")
+    rows = spark.read.schema(T.StructType([*out.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{root}/rows")
+    return live.last_state(rows, mode, keys)
 
 
 @query("with w as (select epoch_us(ts) // 3600000000 as h, event_type, epoch_us(ts) as t, value from events) select (h * 3600000000)::bigint as start_us, event_type, count(*) as n, max(value) as most from w group by 1, 2")
@@ -125,12 +159,12 @@ def streaming_buffers(spark: SparkSession, d: str) -> DataFrame:
     """The rolling buffer of each code after the stream."""
     s = _stream(spark, d, "seedlink_stations").where("nsl is not null and endtime > starttime")
     s = s.select(F.concat_ws(".", "nsl", "channel").alias("nslc"), F.col("polled_at").cast("timestamp").alias("ts"), micros("starttime").alias("tmin_us"), micros("endtime").alias("tmax_us"))
-    return _collected(spark, live.rolling_buffers(s, 86_400_000_000, 1_000_000), "update")
+    return _collected(spark, live.rolling_buffers(s, 86_400_000_000, 1_000_000), "update", ["nslc"])
 
 
-@query("with d as (select seq, epoch_us(event_time) as t from detections where semblance >= 0.5 and not isnan(semblance)), n as (select *, count(*) over (order by t, seq rows unbounded preceding) - (select count(*) from d x where x.t < d.t - 86400000000) as n from d), l as (select *, lag(n) over (order by t, seq) as b from n) select seq, t as time_us from l where n >= 5 and coalesce(b, 0) < 5")
+@query("with d as (select seq, epoch_us(event_time) as t from detections where semblance >= 0.5 and not isnan(semblance)), n as (select *, count(*) over (order by t, seq rows unbounded preceding) - (select count(*) from d x where x.t < d.t - 86400000000) as n from d), l as (select *, lag(n) over (order by t, seq) as b from n) select seq, t as time_us from l where n >= 5 and coalesce(b, 0) < 5 and t < (select max(t) // 1000 * 1000 from d)")
 def streaming_swarm_alerts(spark: SparkSession, d: str) -> DataFrame:
-    """Alerts of keyed state over a stream: the daily count reaches five."""
+    """Alerts of keyed state over a stream: the daily count reaches five. What the watermark has not passed is withheld."""
     s = _stream(spark, d, "detections").where("semblance >= 0.5 and not isnan(semblance)").select(F.lit("all").alias("source"), "seq", micros("event_time").alias("time_us"))
     return _collected(spark, live.swarm_alerts(s, 86_400_000_000, 5), "append").select("seq", "time_us")
 

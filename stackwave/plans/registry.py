@@ -36,8 +36,9 @@ def build(kind: str, config: dict) -> Callable:
     if config.get("use") not in _known[kind]:
         raise ValueError(f"no {kind} named {config.get('use')!r}; known: {sorted(_known[kind])}")
     f = _known[kind][config["use"]]
-    unknown = set(given) - set(inspect.signature(f).parameters)
-    if unknown:
+    parameters = inspect.signature(f).parameters
+    unknown = set(given) - set(parameters)
+    if unknown and not any(p.kind is p.VAR_KEYWORD for p in parameters.values()):
         raise ValueError(f"{config['use']} takes no {sorted(unknown)}")
     return lambda *a: f(*a, **given)
 

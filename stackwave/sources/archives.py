@@ -8,7 +8,9 @@ driver; decoding runs in tasks, one per file group.
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Iterator
+from datetime import date, timedelta
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from stackwave.sources.mseed import records
 
+DAY_US = 86_400_000_000
 SEGMENTS = "network string, station string, location string, channel string, tmin_us long, tmax_us long, rate_hz double, samples array<double>"
 
 
@@ -49,12 +52,16 @@ def _wanted(path: str, options: dict) -> bool:
     got = parse_path(path)
     if got is None:
         return options.get("layout", "any") != "sds"
-    from datetime import date, timedelta
-
+    if options.get("stations") and ".".join(got[:3]) not in options["stations"].split(","):
+        return False
     day = date(got[4], 1, 1) + timedelta(days=got[5] - 1)
     lo, hi = options.get("startday"), options.get("endday")
     if (lo and day < date.fromisoformat(lo)) or (hi and day > date.fromisoformat(hi)):
         return False
+    # a day's file may begin before it and end after it
+    start = (day - date(1970, 1, 1)).days * DAY_US
+    if start + 2 * DAY_US < int(options.get("tmin_us", -(1 << 62))) or start - DAY_US > int(options.get("tmax_us", 1 << 62)):
+        return False
     codes = options.get("channels")
     if got[3][:1] in options.get("excludebands", "LVURPTQ"):
         return False
@@ -66,7 +73,7 @@ def _decode(paths: list[str], options: dict) -> Iterator[tuple]:
     for path in paths:
         try:
             data = Path(path).read_bytes()
-            for net, sta, loc, cha, t, rate, x in records(data):
+            for net, sta, loc, cha, t, rate, x in records(data, strict=options.get("ignorecorrupt", "true") != "true"):
                 end = t + round((len(x) - 1) / rate * 1e6) if rate else t
                 if end >= lo and t <= hi:
                     yield net, sta, loc, cha, t, end, float(rate), x.tolist()
@@ -89,29 +96,46 @@ class _Reader(DataSourceReader):
 
 
 class _Watcher(DataSourceStreamReader):
-    """A growing archive: the offset is the number of files in order of modification."""
+    """A growing archive: the offset is a time of modification, files of later times are new.
+
+    Files that changed within the last settle_s seconds wait. A file that
+    changes after it was read is read again; merging drops what it repeats.
+    """
 
     def __init__(self, options: dict) -> None:
         self.options = options
 
-    def _files(self) -> list[str]:
-        return sorted((p for p in _list(self.options["path"]) if _wanted(p, self.options)), key=lambda p: (os.stat(p).st_mtime_ns, p))
+    def _files(self) -> list[tuple[int, str]]:
+        out = []
+        for p in _list(self.options["path"]):
+            if _wanted(p, self.options):
+                try:
+                    out.append((os.stat(p).st_mtime_ns, p))
+                except FileNotFoundError:  # moved since it was listed
+                    continue
+        return sorted(out)
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"n": 0}
+        return {"upto_ns": 0}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        return {"n": len(self._files())}
+        settled = time.time_ns() - int(float(self.options.get("settle_s", "30")) * 1e9)
+        return {"upto_ns": max((t for t, _ in self._files() if t <= settled), default=0)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_Files([p]) for p in self._files()[start["n"] : end["n"]]]
+        return [_Files([p]) for t, p in self._files() if start["upto_ns"] < t <= end["upto_ns"]]
 
     def read(self, partition: _Files) -> Iterator[tuple]:
         yield from _decode(partition.paths, self.options)
 
 
 class TraceArchive(DataSource):
-    """format("traces"): options path, layout (any, sds), startday, endday, channels, tmin_us, tmax_us, filespertask, ignorecorrupt."""
+    """format("traces"): options path, layout (any, sds), startday, endday, stations (network.station.location), channels, tmin_us, tmax_us, filespertask, ignorecorrupt, settle_s (streams). Paths are of a folder that all nodes share.
+
+    Files and records are narrowed by options, not by pushed filters: Spark keeps
+    a Python source's pushed filters with the DataFrame, so that another query
+    of the same DataFrame would lose rows.
+    """
 
     @classmethod
     def name(cls) -> str:

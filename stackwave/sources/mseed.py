@@ -27,63 +27,102 @@ def _signed(words: np.ndarray, bits: int, count: int) -> np.ndarray:
     return np.where(v >= 1 << (bits - 1), v - (1 << bits), v)
 
 
+# Bits and number of differences of a word by its code (and, in version 2, its top two bits).
+_STEIM1_WORDS = {(1, None): (8, 4), (2, None): (16, 2), (3, None): (32, 1)}
+_STEIM2_WORDS = {(1, None): (8, 4), (2, 1): (30, 1), (2, 2): (15, 2), (2, 3): (10, 3), (3, 0): (6, 5), (3, 1): (5, 6), (3, 2): (4, 7)}
+
+
 def _steim(data: bytes, n: int, version: int) -> np.ndarray:
+    """All words of one kind are unpacked at once and put where the words before them end."""
     w = np.frombuffer(data[: len(data) // 64 * 64], ">u4").reshape(-1, 16)
     first = np.int64(np.int32(w[0, 1].astype(np.uint32).view(np.int32)))
-    nib = (w[:, :1].astype(np.int64) >> (30 - 2 * np.arange(16))) & 3
-    diffs: list[np.ndarray] = []
-    for i, (code, word) in enumerate(zip(nib.ravel(), w.ravel())):
-        if code == 0 or i % 16 == 0:
-            continue
-        one = np.array([word], np.uint32)
-        if code == 1:
-            diffs.append(_signed(one, 8, 4)[0])
-        elif version == 1:
-            diffs.append(_signed(one, 16, 2)[0] if code == 2 else _signed(one, 32, 1)[0])
-        else:
-            d = int(word) >> 30
-            kind = {(2, 1): (30, 1), (2, 2): (15, 2), (2, 3): (10, 3), (3, 0): (6, 5), (3, 1): (5, 6), (3, 2): (4, 7)}.get((int(code), d))
-            if kind is None:
-                raise ValueError("bad Steim 2 word")
-            diffs.append(_signed(one, *kind)[0])
-    d = np.concatenate(diffs)[:n].astype(np.int64)
+    code = (w[:, :1].astype(np.int64) >> (30 - 2 * np.arange(16))) & 3
+    code[:, 0] = 0
+    code, words = code.ravel(), w.ravel().astype(np.int64)
+    kinds, count = [], np.zeros(len(words), np.int64)
+    for (c, top), (bits, each) in (_STEIM1_WORDS if version == 1 else _STEIM2_WORDS).items():
+        at = np.flatnonzero((code == c) & ((words >> 30 == top) if top is not None else True))
+        count[at] = each
+        kinds.append((at, bits, each))
+    if (count[code > 0] == 0).any():
+        raise ValueError("bad Steim word")
+    begin = np.cumsum(count) - count
+    d = np.zeros(int(count.sum()), np.int64)
+    for at, bits, each in kinds:
+        d[begin[at][:, None] + np.arange(each)] = _signed(words[at], bits, each)
+    if len(d) < n:
+        raise ValueError("too few samples in a record")
+    d = d[:n]
     d[0] = first
     return np.cumsum(d)
 
 
-def records(data: bytes):  # noqa: ANN201
-    """(network, station, location, channel, tmin_us, rate_hz, samples) of each record; ends at the first that isn't one."""
+STEP = 128  # bytes; the least length of a record
+
+
+def _is_header(h: bytes) -> bool:
+    return len(h) >= 48 and h[:6].replace(b" ", b"0").isdigit() and h[6:7] in (b"D", b"R", b"Q", b"M")
+
+
+def records(data: bytes, strict: bool = False, skipped: list[int] | None = None):  # noqa: ANN201
+    """(network, station, location, channel, tmin_us, rate_hz, samples) of each record.
+
+    Where a record is damaged the search goes on at the next place that can
+    begin one; skipped collects such places. With strict they are errors.
+    """
     at = 0
     while at + 48 <= len(data):
-        h = data[at : at + 48]
-        if not h[:6].replace(b" ", b"0").isdigit() or h[6:7] not in b"DRQM":
-            return
-        sta, loc, cha, net = (h[a:b].decode("ascii").strip() for a, b in ((8, 13), (13, 15), (15, 18), (18, 20)))
-        year, day, hour, minute, sec, _, frac, n, factor, mult = struct.unpack(">HHBBBBHHhh", h[20:36])
-        correction, begin, block = struct.unpack(">iHH", h[40:48])
-        t = _EPOCH.replace(year=year) + timedelta(days=day - 1, hours=hour, minutes=minute, seconds=sec, microseconds=frac * 100)
-        tmin = round((t - _EPOCH) / timedelta(microseconds=1)) + (correction * 100 if not h[36] & 2 else 0)
-        encoding, length, rate, micro = STEIM1, 512, _rate(factor, mult), 0
-        while block:
-            kind, nxt = struct.unpack(">HH", data[at + block : at + block + 4])
-            if kind == 1000:
-                encoding, length = data[at + block + 4], 1 << data[at + block + 6]
-            elif kind == 1001:
-                micro = struct.unpack(">b", data[at + block + 5 : at + block + 6])[0]
-            elif kind == 100:
-                rate = struct.unpack(">f", data[at + block + 4 : at + block + 8])[0]
-            block = nxt
-        body = data[at + begin : at + length]
-        if n and begin:
-            if encoding in (STEIM1, STEIM2):
-                x = _steim(body, n, 1 if encoding == STEIM1 else 2)
-            else:
-                kind = {INT16: ">i2", INT32: ">i4", FLOAT32: ">f4", FLOAT64: ">f8"}[encoding]
-                x = np.frombuffer(body, kind, n)
-            yield net, sta, loc, cha, tmin + micro, rate, x.astype(float)
+        try:
+            if not _is_header(data[at : at + 48]):
+                raise ValueError(f"no record at byte {at}")
+            length, found = _record(data, at)
+        except (ValueError, IndexError, struct.error, UnicodeDecodeError, OverflowError, KeyError) as e:
+            if strict:
+                raise ValueError(str(e)) from e
+            if skipped is not None:
+                skipped.append(at)
+            at += STEP
+            while at + 48 <= len(data) and not _is_header(data[at : at + 48]):
+                at += STEP
+            continue
+        if found is not None:
+            yield found
         at += length
 
 
+def _record(data: bytes, at: int) -> tuple[int, tuple | None]:
+    """Length of the record at a place, and what it holds."""
+    h = data[at : at + 48]
+    sta, loc, cha, net = (h[a:b].decode("ascii").strip() for a, b in ((8, 13), (13, 15), (15, 18), (18, 20)))
+    year, day, hour, minute, sec, _, frac, n, factor, mult = struct.unpack(">HHBBBBHHhh", h[20:36])
+    correction, begin, block = struct.unpack(">iHH", h[40:48])
+    t = _EPOCH.replace(year=year) + timedelta(days=day - 1, hours=hour, minutes=minute, seconds=sec, microseconds=frac * 100)
+    tmin = round((t - _EPOCH) / timedelta(microseconds=1)) + (correction * 100 if not h[36] & 2 else 0)
+    encoding, length, rate, micro = STEIM1, 512, _rate(factor, mult), 0
+    before = 0
+    while block:
+        if block <= before:
+            raise ValueError("blockettes go in a circle")
+        before = block
+        kind, nxt = struct.unpack(">HH", data[at + block : at + block + 4])
+        if kind == 1000:
+            encoding, length = data[at + block + 4], 1 << data[at + block + 6]
+        elif kind == 1001:
+            micro = struct.unpack(">b", data[at + block + 5 : at + block + 6])[0]
+        elif kind == 100:
+            rate = struct.unpack(">f", data[at + block + 4 : at + block + 8])[0]
+        block = nxt
+    body = data[at + begin : at + length]
+    if not n or not begin:
+        return length, None
+    if encoding in (STEIM1, STEIM2):
+        x = _steim(body, n, 1 if encoding == STEIM1 else 2)
+    else:
+        kind = {INT16: ">i2", INT32: ">i4", FLOAT32: ">f4", FLOAT64: ">f8"}[encoding]
+        x = np.frombuffer(body, kind, n)
+    return length, (net, sta, loc, cha, tmin + micro, rate, x.astype(float))
+
+
 def _steim1(x: np.ndarray, frames: int, before: int) -> tuple[bytes, int]:
     """Steim-1 frames from the front of x, and how many samples they hold."""
     d = np.diff(np.r_[before, x]).astype(np.int64)

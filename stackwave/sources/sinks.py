@@ -9,7 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackwave.functions import codes
@@ -20,11 +20,33 @@ def append_events(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def _fs(spark: SparkSession, path: str):  # noqa: ANN202
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def restore(spark: SparkSession, path: str) -> None:
+    """Finish a rewrite that was cut off: the table is the old one until the new one has its name."""
+    fs, at = _fs(spark, path)
+    if not fs.exists(at(path)) and fs.exists(at(f"{path}.old")):
+        fs.rename(at(f"{path}.old"), at(path))
+    for leftover in (f"{path}.new", f"{path}.old"):
+        fs.delete(at(leftover), True)
+
+
 def rewrite(df: DataFrame, path: str) -> None:
-    """Overwrite a stored table, also one that df reads: by a new folder first."""
+    """Overwrite a stored table, also one that df reads: a new folder is written whole and takes its name by renaming; restore() mends a crash between."""
     spark = df.sparkSession
+    fs, at = _fs(spark, path)
+    restore(spark, path)
     df.write.mode("overwrite").parquet(f"{path}.new")
-    spark.read.parquet(f"{path}.new").write.mode("overwrite").parquet(path)
+    if fs.exists(at(path)) and not fs.rename(at(path), at(f"{path}.old")):
+        raise OSError(f"cannot move {path}")
+    if not fs.rename(at(f"{path}.new"), at(path)):
+        fs.rename(at(f"{path}.old"), at(path))
+        raise OSError(f"cannot move {path}.new")
+    fs.delete(at(f"{path}.old"), True)
+    spark.catalog.refreshByPath(path)
 
 
 def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:

@@ -58,27 +58,82 @@ def rolling_buffers(segments: DataFrame, max_length_us: int, max_gap_us: int, la
 
 
 _ALERT = "source string, seq long, time_us long, n long"
-_ALERT_STATE = "times array<long>, above boolean"
+_ALERT_STATE = "seqs array<long>, waiting array<long>, times array<long>, above boolean"
 
 
-def swarm_alerts(events: DataFrame, window_us: int, threshold: int) -> DataFrame:
-    """events(source, seq, time_us): a row where the count of the last window_us first reaches the threshold."""
+def swarm_alerts(events: DataFrame, window_us: int, threshold: int, late: str = "0 seconds", cell_windows: int = 8) -> DataFrame:
+    """events(source, seq, time_us): a row where the count of the last window_us first reaches the threshold (2 or more).
+
+    Rows wait until the watermark has passed them and then count in order of
+    time, so it doesn't matter in which batch a row comes; later ones are
+    dropped. A source's time is cut into cells of several windows. A cell also
+    sees the two windows before it, which is all that its first rows hang on,
+    so cells are apart and their state goes once the watermark has passed them.
+    """
+    cell = cell_windows * window_us
+    home = F.floor(F.col("time_us") / cell)
+    e = events.withColumn("ts", F.timestamp_micros("time_us")).withWatermark("ts", late)
+    e = e.withColumn("cell", F.explode(F.array_distinct(F.array(home, F.floor((F.col("time_us") + 2 * window_us) / cell)))))
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, above = state.get if state.exists else ([], False)
-        times, out = list(times), []
-        rows = pd.concat(list(frames)).sort_values(["time_us", "seq"])
-        for seq, t in zip(rows.seq, rows.time_us):
+        seqs, waiting, times, above = (list(x) if i < 3 else x for i, x in enumerate(state.get)) if state.exists else ([], [], [], False)
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames))
+            seqs, waiting = [*seqs, *rows.seq.tolist()], [*waiting, *rows.time_us.tolist()]
+        passed = state.getCurrentWatermarkMs() * 1000
+        out, later = [], []
+        for t, seq in sorted(zip(waiting, seqs)):
+            if t >= passed:
+                later.append((t, seq))
+                continue
             times = [x for x in times if x >= t - window_us] + [int(t)]
             now = len(times) >= threshold
-            if now and not above:
+            if now and not above and t // cell == key[1]:
                 out.append((key[0], int(seq), int(t), len(times)))
             above = now
-            times = times[-threshold:] if len(times) > threshold else times  # no more are needed to tell
-        state.update((times, above))
+            times = times[-threshold:]  # no more are needed to tell
+        end = (int(key[1]) + 1) * cell
+        if not later and passed >= end:
+            state.remove()
+        else:
+            state.update(([x for _, x in later], [x for x, _ in later], times, above))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (later[0][0] if later else end) // 1000 + 1))
         yield pd.DataFrame(out, columns=["source", "seq", "time_us", "n"]).astype({"seq": "int64", "time_us": "int64", "n": "int64"})
 
-    return events.groupBy("source").applyInPandasWithState(update, _ALERT, _ALERT_STATE, "append", GroupStateTimeout.NoTimeout)
+    return e.groupBy("source", "cell").applyInPandasWithState(update, _ALERT, _ALERT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def last_state(rows: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """What rows(batch, ...) of idempotent_writer hold in the end: all of an appending stream, the last batch of a complete one, the last row of each key of an updating one."""
+    if mode == "append":
+        return rows.drop("batch")
+    if mode == "complete":
+        last = rows.agg(F.max("batch").alias("_last"))
+        return rows.join(F.broadcast(last), F.col("batch") == F.col("_last")).drop("batch", "_last")  # one row
+    newest = rows.groupBy(*keys).agg(F.max("batch").alias("_last")).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_last")
+    same = F.col("batch") == F.col("_last")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(newest, same, "left_semi").drop("batch")
+
+
+def backfilled(rows: DataFrame, key: str, start: str, end: str, received: str, rate: float = 2.0) -> DataFrame:
+    """(key, fill_rate, backfill): span of data that came in over the span of time in which it came; above `rate` a source catches up."""
+    g = rows.groupBy(key).agg(F.sum(F.col(end) - F.col(start)).alias("data"), (F.max(received) - F.min(received)).alias("taken"))
+    fill = F.when(F.col("taken") > 0, F.col("data") / F.col("taken"))
+    return g.select(key, F.round(fill, 6).alias("fill_rate"), F.coalesce(fill > rate, F.lit(False)).alias("backfill"))
+
+
+def magnitude_alerts(events: DataFrame, magnitude: str, threshold: float) -> DataFrame:
+    """Events of at least the threshold; one without magnitude never alerts."""
+    return events.where(F.col(magnitude).isNotNull() & ~F.isnan(F.col(magnitude)) & (F.col(magnitude) >= threshold))
+
+
+def progress(done_us: int, start_us: int, end_us: int, n_bytes: int, seconds: float) -> dict[str, float]:
+    """Rates of a run: bytes a second, data time over time taken, percent done, seconds left."""
+    part = min(1.0, max(0.0, (done_us - start_us) / max(end_us - start_us, 1)))
+    speed = (done_us - start_us) / 1e6 / seconds if seconds > 0 else 0.0
+    return {"bytes_per_s": n_bytes / seconds if seconds > 0 else 0.0, "speed": speed, "percent": 100 * part, "remaining_s": (end_us - done_us) / 1e6 / speed if speed > 0 else float("inf")}
 
 
 def drive(out: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:

@@ -174,7 +174,7 @@ def test_records_round_trip(spark, tmp_path):
     day = archives.read_traces(spark, str(tmp_path / "sds"), layout="sds", startday="2023-11-15", channels="HH")
     assert {x.station for x in day.collect()} == {"STB"}
     assert archives.parse_path("/a/XX.STA.00.HHZ.D.2023.318") == ("XX", "STA", "00", "HHZ", 2023, 318)
-    q = archives.watch_traces(spark, str(tmp_path / "sds")).writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q = archives.watch_traces(spark, str(tmp_path / "sds"), settle_s="0").writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("seen").count() == back.count()
     merged = ingest.merge_gaps(back.select(F.concat_ws(".", "network", "station", "location", "channel").alias("nslc"), "rate_hz", "tmin_us", "samples"))
@@ -189,6 +189,162 @@ def test_gap_merge_policies(spark):
     assert got(max_gap_samples=2, overlap="last")[0] == (1.0, 0, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 9.0, 9.0])
 
 
+def test_merging_over_midnight_and_in_long_runs(spark):
+    day, r = 86_400_000_000, np.random.RandomState(4)
+    x = r.normal(size=4000)
+    cuts = [0, 300, 1000, 1900, 2600, 4000]
+    rows = [("a", 0.01, i * 100_000_000, x[i:j].tolist()) for i, j in zip(cuts, cuts[1:])]  # 4000 samples of 100 s are over four days
+    rows += [("a", 0.01, 950 * 100_000_000, x[950:1300].tolist()), ("b", 1.0, day - 2_000_000, [1.0, 2.0]), ("b", 1.0, day, [3.0, 4.0]), ("b", 1.0, day + 3_000_000, [5.0])]
+    s = spark.createDataFrame(rows, "nslc string, rate_hz double, tmin_us long, samples array<double>")
+    got = {(m.nslc, m.tmin_us): m.samples for m in ingest.merge_gaps(s).collect()}
+    assert got == {("a", 0): x.tolist(), ("b", day - 2_000_000): [1.0, 2.0, 3.0, 4.0], ("b", day + 3_000_000): [5.0]}
+    cut = sorted((m.tmin_us, m.samples) for m in ingest.merge_gaps(s, longest_us=day).where("nslc = 'a'").collect())
+    assert len(cut) == 5 and sum((v for _, v in cut), []) == x.tolist()
+    assert all(t % day == 0 for t, _ in cut)
+    assert ingest.merge_gaps(s.where("false")).count() == 0
+
+
+def test_chopping_padding_and_batches(spark):
+    s = spark.createDataFrame([("a", 10.0, 1_000_000, [float(i) for i in range(40)]), ("b", 10.0, 0, [1.0])], "nslc string, rate_hz double, tmin_us long, samples array<double>")
+    x = ingest.chop(s, F.lit(1_250_000), F.lit(1_500_000)).collect()
+    assert [(r.nslc, r.tmin_us, r.samples) for r in x] == [("a", 1_300_000, [3.0, 4.0])]
+    y = {r.nslc: (r.tmin_us, r.samples) for r in ingest.extend(s, F.lit(800_000), F.lit(5_200_000)).collect()}
+    assert y["a"] == (800_000, [0.0, 0.0, *[float(i) for i in range(40)], 0.0, 0.0]) and y["b"] == (0, [1.0] + [0.0] * 51)
+    b = ingest.trace_batches(s, 1_000_000, 200_000)
+    got = {(r.nslc, r.batch_id): (r.tmin_us, len(r.samples)) for r in b.collect()}
+    assert got[("a", 1)] == (1_000_000, 12) and got[("a", 2)] == (1_800_000, 14) and got[("b", 0)] == (0, 1)
+    assert {r.batch_id for r in ingest.long_enough(b, 1_200_000).collect()} == {2, 3, 4} - ({4} if got[("a", 4)][1] < 13 else set())
+    assert ingest.padding_us(1.0, 4.5, 0.5, 2.0) == 6_000_000
+
+
+def test_channels_combine_within_one_sample(spark):
+    rows = [("s", "HHE", 10.0, 0, [3.0, 3.0, 3.0]), ("s", "HHN", 10.0, 100_000, [4.0, 4.0]), ("t", "HHE", 10.0, 0, [1.0, 1.0]), ("t", "HHN", 10.0, 300_000, [1.0, 1.0]), ("u", "HHE", 10.0, 0, [1.0])]
+    t = spark.createDataFrame(rows, "nsl string, channel string, rate_hz double, tmin_us long, samples array<double>")
+    got = [(r.nsl, r.tmin_us, r.samples) for r in ingest.combine_channels(t, ["nsl"], "EN", 2).collect()]
+    assert got == [("s", 100_000, [5.0, 5.0])]
+    assert ingest.combine_channels(t, ["nsl"], "EN", 2, "avg").first().samples == [3.5, 3.5]
+
+
+def test_watched_archive_reads_every_file(spark, tmp_path):
+    import os
+    import time
+
+    root = tmp_path / "sds"
+    root.mkdir()
+    now = time.time() - 1000
+
+    def put(name, at):
+        (root / name).write_bytes(mseed.encode("XX", name, "", "HHZ", 0, 1.0, np.array([1.0])))
+        os.utime(root / name, (at, at))
+
+    def seen():
+        q = archives.watch_traces(spark, str(root), settle_s="30").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted(r.station for r in spark.read.schema(archives.SEGMENTS).parquet(str(tmp_path / "out")).collect())
+
+    put("A", now)
+    put("B", now + 1)
+    put("NEW", time.time())  # not settled
+    assert seen() == ["A", "B"]
+    put("C", now + 2)
+    put("A", now + 3)  # written again
+    assert seen() == ["A", "A", "B", "C"]
+    assert seen() == ["A", "A", "B", "C"]
+
+
+def test_damaged_records_are_passed_over():
+    a, b = mseed.encode("XX", "A", "", "HHZ", 0, 1.0, np.arange(900.0)), mseed.encode("XX", "B", "", "HHZ", 0, 1.0, np.array([5.0]))
+    bad = bytearray(a[:512])
+    bad[64:68] = b"\xff\xff\xff\xff"
+    bad[128:132] = b"\x00\x00\x00\x00"
+    skipped = []
+    got = list(mseed.records(a + b"?" * 512 + b + bytes(bad[:40]), skipped=skipped))
+    assert [g[1] for g in got][-1] == "B" and len(skipped) >= 1
+    with pytest.raises(ValueError):
+        list(mseed.records(a + b"?" * 512 + b, strict=True))
+
+
+def test_options_narrow_the_archive(spark, tmp_path):
+    day = 86_400_000_000
+    seg = spark.createDataFrame([("XX", s, "", "HHZ", k * day + 1, 1.0, [1.0, 2.0]) for s in ("A", "B") for k in range(6)], "network string, station string, location string, channel string, tmin_us long, rate_hz double, samples array<double>")
+    sinks.write_traces(seg, str(tmp_path / "sds")).collect()
+    t = archives.read_traces(spark, str(tmp_path / "sds"), filespertask="1")
+    one = archives.read_traces(spark, str(tmp_path / "sds"), filespertask="1", stations="XX.A.", tmin_us=str(2 * day), tmax_us=str(3 * day))
+    assert t.where("station = 'A'").count() == 6 and t.count() == 12
+    assert [(r.station, r.tmin_us) for r in one.collect()] == [("A", 2 * day + 1)]
+    assert one.rdd.getNumPartitions() < t.rdd.getNumPartitions() == 12
+
+
+def test_downsampled_and_image_traces():
+    t = np.arange(6000) / 100
+    slow = np.sin(2 * np.pi * 0.5 * t)
+    y = signal.downsample(slow + np.sin(2 * np.pi * 23 * t), 10)
+    assert len(y) == 600 and np.abs(y - slow[::10])[20:-20].max() < 0.02
+    assert len(signal.downsample(slow, 3, repeat=2)) == 4000
+    x = np.exp(-((t - 30) ** 2))
+    z = signal.resample_image(x, 100.0, 40.0)
+    assert len(z) == 2400 and z.max() == pytest.approx(x.max()) and abs(z.argmax() / 40 - 30) < 0.05
+
+
+def test_block_filter_is_the_recursion():
+    r = np.random.RandomState(5)
+    sos = signal.butterworth(4, (2.0, 20.0), "band", 100.0)
+    x = r.normal(size=(2, 777))
+    want = x.copy()
+    for b0, b1, b2, _, a1, a2 in sos:
+        s1 = s2 = np.zeros(2)
+        for i in range(777):
+            v = want[:, i]
+            o = b0 * v + s1
+            s1, s2 = b1 * v - a1 * o + s2, b2 * v - a2 * o
+            want[:, i] = o
+    assert np.allclose(signal.sos_filter(sos, x), want, atol=1e-10)
+
+
+def test_swarm_alerts_wait_for_the_watermark(spark, tmp_path):
+    r = np.random.RandomState(6)
+    rows = sorted({int(t) for t in np.r_[r.uniform(0, 10**9, 60), 5 * 10**8 + r.uniform(0, 10**7, 40)]})
+    rows = list(enumerate(rows))
+    r.shuffle(rows)
+    rows.append((1000, 3 * 10**9))
+    for k in range(8):  # in any order over eight batches
+        spark.createDataFrame([("x", int(i), int(t)) for i, t in (rows[k::8] if k < 7 else rows[7::8])], "source string, seq long, time_us long").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = live.read_table(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in/0")).schema, 1)
+    live.drive(live.swarm_alerts(stream, 10**7, 4, "4000 seconds"), str(tmp_path / "ck"), live.idempotent_writer(str(tmp_path / "out")))
+    spark.createDataFrame([("x", 2000, 9 * 10**9)], "source string, seq long, time_us long").coalesce(1).write.parquet(str(tmp_path / "in/9"))
+    live.drive(live.swarm_alerts(live.read_table(spark, str(tmp_path / "in"), stream.schema, 1), 10**7, 4, "4000 seconds"), str(tmp_path / "ck"), live.idempotent_writer(str(tmp_path / "out")))
+    got = sorted(x.time_us for x in spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out")).collect())
+    times, want, above = sorted(t for _, t in rows), [], False
+    for i, t in enumerate(times):
+        n = sum(t - 10**7 <= u <= t for u in times[: i + 1])
+        if n >= 4 and not above:
+            want.append(t)
+        above = n >= 4
+    assert len(want) > 1 and got == want
+
+
+def test_last_state_of_streams(spark):
+    rows = spark.createDataFrame([("a", 1, 0), ("b", 1, 0), ("a", 2, 1)], "k string, n long, batch long")
+    key = lambda m: sorted((r.k, r.n) for r in live.last_state(rows, m, ["k"]).collect())
+    assert key("append") == [("a", 1), ("a", 2), ("b", 1)] and key("complete") == [("a", 2)] and key("update") == [("a", 2), ("b", 1)]
+
+
+def test_a_rewrite_that_was_cut_off_is_mended(spark, tmp_path):
+    at = str(tmp_path / "t")
+    spark.range(5).write.parquet(f"{at}.old")
+    spark.range(9).write.parquet(f"{at}.new")
+    sinks.restore(spark, at)
+    assert spark.read.parquet(at).count() == 5 and sorted(x.name for x in tmp_path.iterdir() if not x.name.startswith(".")) == ["t"]
+
+
+def test_search_takes_cores_and_refuses_mixed_images(spark):
+    e, images = pipeline_queries._images(spark, 2)
+    mixed = images.withColumn("rate_hz", F.when(F.col("sta_idx") == 3, 25.0).otherwise(F.col("rate_hz")))
+    for bad, text in ((mixed, "differ in rate"), (images.unionByName(images.where("sta_idx = 1")), "more than one image")):
+        with pytest.raises(Exception, match=text):
+            pipeline_queries.srch.search(bad, pipeline_queries.network(), pipeline_queries.settings()).collect()
+
+
 def test_inventories_and_catalogs(spark, tmp_path):
     (tmp_path / "s.xml").write_text('<FDSNStationXML><Network code="XX"><Station code="STA"><Latitude>1.5</Latitude><Longitude>2.5</Longitude><Elevation>10</Elevation><Channel code="HHZ" locationCode="00"><Latitude>1.6</Latitude><Longitude>2.6</Longitude><Elevation>11</Elevation><Depth>2</Depth></Channel></Station><Station code="STB"><Latitude>3</Latitude><Longitude>4</Longitude><Elevation>0</Elevation></Station></Network></FDSNStationXML>')
     got = {(x.station, x.location): (x.lat, x.depth) for x in archives.read_station_xml(spark, str(tmp_path / "s.xml")).collect()}
