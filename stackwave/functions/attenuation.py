@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stackwave.functions import codes
+
 # Tchebychev terms of the integrated California network.
 TCHEBYCHEV = (0.056, -0.031, -0.053, -0.080, -0.028, 0.015)
 
@@ -25,6 +27,8 @@ class Model:
     term: Callable[[Column, Column], Column]
     amplitude: Callable[[Column], Column] = lambda a: F.log10(a * 1000.0)
     peak: str = "peak-to-peak"
+    instrument: str | None = "wood-anderson"  # what the traces are simulated as; without one they are velocities
+    highpass_hz: float | None = None
 
 
 def _log(k: float, x: Column, ref: float = 1.0) -> Column:
@@ -47,13 +51,13 @@ def _reference(k: float, g: float, ref: float, base: float) -> Callable[[Column,
 MODELS = {
     m.name: m
     for m in (
-        Model("WebnetWesternBohemia", ("hypo", 0, 100), "all-abs", lambda r, e: _log(2.1, r) - F.log10(F.pi()) - 1.7, lambda a: F.log10(a * 1e6), "max-amplitude"),
+        Model("WebnetWesternBohemia", ("hypo", 0, 100), "all-abs", lambda r, e: _log(2.1, r) - F.log10(F.pi()) - 1.7, lambda a: F.log10(a * 1e6), "max-amplitude", None, 1.0),
         Model("IaspeiSouthernCalifornia", ("hypo", 10, 700), "north-east-separate", lambda r, e: _log(1.11, r) + 0.00189 * r - 2.09, lambda a: F.log10(a * 1e9 / 2080.0)),
         Model("SouthernCalifornia", ("hypo", 10, 700), "north-east-separate", _reference(1.11, 0.00189, 100.0, 3.0)),
         Model("CentralCalifornia", ("epi", 0, 400), "horizontal-avg", lambda r, e: _log(1.0, r) + 0.00301 * r + 0.7),
-        Model("CaliforniaIntegratedSeismicNetwork", ("epi", 0, 450), "horizontal-separate", _cisn, peak="max-amplitude"),
+        Model("CaliforniaIntegratedSeismicNetwork", ("epi", 0, 450), "horizontal-separate", _cisn, peak="max-amplitude", instrument="wood-anderson-old"),
         Model("EasternNorthAmerica", ("epi", 100, 800), "north-east-separate", lambda r, e: _log(1.55, e) - 0.22),
-        Model("ArgentiereGlacier", ("hypo", 0, 100), "north-east-separate", lambda r, e: _log(-6.0, r) - 1.2),
+        Model("ArgentiereGlacier", ("hypo", 0, 100), "north-east-separate", lambda r, e: _log(-6.0, r) - 1.2, instrument="wood-anderson-2800"),
         Model("Albania", ("epi", 10, 600), "north-east-separate", lambda r, e: _log(1.6627, e) + 0.0008 * e - 0.433),
         Model("SouthWestGermany", ("hypo", 10, 1000), "vertical", lambda r, e: _log(1.11, r) + 0.00095 * r + 0.69),
         Model("SouthAustralia", ("epi", 40, 700), "vertical", lambda r, e: _log(1.1, e) + 0.0013 * e + 0.7),
@@ -65,7 +69,7 @@ MODELS = {
         Model("Azores", ("epi", 10, 800), "north-east-separate", lambda r, e: _log(0.89, e, 100.0) + 0.00256 * (e - 100.0) + 3.0),
         Model("ArgentinaVolcanoes", ("epi", 0, 100), "north-east-separate", lambda r, e: _log(2.76, e) - 2.48),
         Model("NetherlandsGroningen", ("epi", 0, 80), "horizontal-avg", lambda r, e: _log(1.33, r) + 0.00139 * r + 0.424),
-        Model("CampiFlegrei", ("epi", 0.2, 8), "horizontal-avg", lambda r, e: _log(0.95, r) + 0.09 * r - 0.1),
+        Model("CampiFlegrei", ("epi", 0.2, 8), "horizontal-avg", lambda r, e: _log(0.95, r) + 0.09 * r - 0.1, instrument="wood-anderson-2800"),
     )
 }
 
@@ -94,3 +98,8 @@ def magnitude_error(model: Column, amp: Column, noise: Column, hypo_m: Column, e
     """Half the spread of the magnitude at amp +- noise; a lower bound that isn't finite mirrors the upper one."""
     mid, up, low = (magnitude(model, a, hypo_m, epi_m) for a in (amp, amp + noise, amp - noise))
     return (F.abs(up - mid) + F.coalesce(F.abs(mid - low), F.abs(up - mid))) / 2
+
+
+def model_by_code(nsl: Column, rules: list[tuple[str, str]]) -> Column:
+    """Name of the model of the first rule (code pattern, model name) that matches; null where none does."""
+    return F.coalesce(*[F.when(codes.nsl_matches(nsl, pattern), F.lit(name)) for pattern, name in rules], F.lit(None).cast("string"))

@@ -8,7 +8,9 @@ import numpy as np
 
 # Wood-Anderson poles, zeros and gains.
 WOOD_ANDERSON = (np.array([-5.49779 + 5.60886j, -5.49779 - 5.60886j]), np.zeros(2), 2080.0)
-WOOD_ANDERSON_OLD = (np.array([-6.283 + 4.7124j, -6.283 - 4.7124j]), np.zeros(2), 2800.0)
+WOOD_ANDERSON_OLD = (np.array([-6.283 + 4.7124j, -6.283 - 4.7124j]), np.zeros(2), 2080.0)
+WOOD_ANDERSON_2800 = (np.array([-6.283 + 4.7124j, -6.283 - 4.7124j]), np.zeros(2), 2800.0)
+INSTRUMENTS = {"wood-anderson": WOOD_ANDERSON, "wood-anderson-old": WOOD_ANDERSON_OLD, "wood-anderson-2800": WOOD_ANDERSON_2800}
 
 
 def butterworth(order: int, freqs: tuple[float, ...], kind: str, rate: float) -> np.ndarray:

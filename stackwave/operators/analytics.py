@@ -122,3 +122,36 @@ def clipped_residuals(df: DataFrame, value: str, by: list[str], group: str, lo:
     v = df.withColumn("_v", real(value)).where("_v is not null")
     lim = ordered.quantiles(v, [group], "_v", {"_lo": lo, "_hi": hi}).drop("n").withColumnRenamed(group, "_g")
     return v.join(lim, F.col(group) == F.col("_g")).where("_v between _lo and _hi").drop("_g", "_lo", "_hi", "_v")
+
+
+def event_magnitudes(stations: DataFrame) -> DataFrame:
+    """(event_uid, nsl, magnitude, snr_share, mean, med): snr_share is where log snr lies between the event's least and greatest."""
+    w = W.partitionBy("event_uid")
+    log = F.when(F.col("snr") > 0, F.log("snr"))
+    x = stations.withColumn("_l", log).withColumn("_lo", F.min("_l").over(w)).withColumn("_hi", F.max("_l").over(w))
+    share = F.when(F.col("_hi") > F.col("_lo"), (F.col("_l") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+    return x.select("event_uid", "nsl", "magnitude", F.round(share, 6).alias("snr_share"), F.round(F.avg("magnitude").over(w), 6).alias("mean"), F.round(F.median("magnitude").over(w), 6).alias("med"))
+
+
+def confidence_over_time(picks: DataFrame, events: DataFrame) -> DataFrame:
+    """(nsl, phase, month, n, confidence): median confidence of a station's observed picks of each phase and month of their events."""
+    p = picks.where("observed_time is not null and confidence is not null and not isnan(confidence)").join(events.select("event_uid", "event_time"), "event_uid")
+    p = p.withColumn("month", F.date_format("event_time", "yyyy-MM"))
+    return ordered.quantiles(p, ["nsl", "phase", "month"], "confidence", {"confidence": 0.5}).select("nsl", "phase", "month", "n", F.round("confidence", 6).alias("confidence"))
+
+
+def model_wadati(picks: DataFrame, events: DataFrame) -> DataFrame:
+    """(event_uid, ratio): the median over receivers of modelled S over P travel time."""
+    kind = F.right("phase", F.lit(1))
+    t = micros("model_time") - micros("event_time")
+    g = picks.join(events.select("event_uid", "event_time"), "event_uid").groupBy("event_uid", "network", "station", "location").agg(F.min(F.when(kind == "P", t)).alias("p"), F.min(F.when(kind == "S", t)).alias("s"))
+    return g.where("p > 0 and s is not null").groupBy("event_uid").agg(F.round(F.median(F.col("s") / F.col("p")), 6).alias("ratio"))
+
+
+def by_label(events: DataFrame, label: str, value: str) -> DataFrame:
+    """(label, n, least, med, most, all_least, all_most) of a value in each cluster, noise (-1) last by place."""
+    v = events.where(F.col(value).isNotNull() & ~F.isnan(value))
+    g = ordered.quantiles(v, [label], value, {"least": 0.0, "med": 0.5, "most": 1.0})
+    all_ = v.agg(F.min(value).alias("all_least"), F.max(value).alias("all_most"))
+    place = F.when(F.col(label) < 0, F.lit(1)).otherwise(F.lit(0))
+    return g.crossJoin(F.broadcast(all_)).select(label, "n", *[F.round(c, 6).alias(c) for c in ("least", "med", "most", "all_least", "all_most")], place.alias("last"))  # one row

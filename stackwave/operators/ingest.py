@@ -98,6 +98,19 @@ def long_enough(batches: DataFrame, least_us: int) -> DataFrame:
     return batches.join(span.select("batch_id"), "batch_id", "left_semi")
 
 
+def batch_sizes(batches: DataFrame) -> DataFrame:
+    """(batch_id, n_traces, n_bytes, cumulative_s): size at 8 bytes a sample, and the summed duration of the traces."""
+    n = F.size("samples")
+    return batches.groupBy("batch_id").agg(F.count("*").alias("n_traces"), (F.sum(n.cast("long")) * 8).alias("n_bytes"), F.round(F.sum(n / F.col("rate_hz")), 6).alias("cumulative_s"))
+
+
+def blinded(image: DataFrame, blinding_s: float) -> DataFrame:
+    """Image traces with the blinding at both ends set to zero."""
+    k = F.floor(F.col("rate_hz") * blinding_s)
+    n = F.size("samples")
+    return image.withColumn("samples", F.transform("samples", lambda x, i: F.when((i >= k) & (i < n - k), x.cast("double")).otherwise(0.0)))
+
+
 def merge_gaps(segments: DataFrame, max_gap_samples: int = 0, overlap: str = "first", longest_us: int = 10 * 86_400_000_000) -> DataFrame:
     """Merge segments(nslc, rate_hz, tmin_us, samples) of a code and rate that touch or overlap, over midnight too.
 

@@ -58,6 +58,52 @@ def nearest_depths(collections: DataFrame, key: str, depth: str, by: str) -> Dat
     return c.join(z, ["_b", "_z"]).select(F.col("_k").alias(key), F.array_min("_best").alias("z1"), F.array_max("_best").alias("z2"))
 
 
+def network_moment(stations: DataFrame, k: float = 3.0) -> DataFrame:
+    """(event_uid, n, average, error): median and its absolute deviation of the station magnitudes within k population deviations of their mean."""
+    v = stations.where("magnitude is not null and not isnan(magnitude)")
+    w = W.partitionBy("event_uid")
+    kept = v.withColumn("_mu", F.avg("magnitude").over(w)).withColumn("_sd", F.stddev_pop("magnitude").over(w)).where(F.abs(F.col("magnitude") - F.col("_mu")) <= k * F.col("_sd"))
+    kept = kept.withColumn("_med", F.median("magnitude").over(w))
+    return kept.groupBy("event_uid").agg(F.count("*").alias("n"), F.round(F.first("_med"), 6).alias("average"), F.round(F.median(F.abs(F.col("magnitude") - F.col("_med"))), 6).alias("error"))
+
+
+def reference_search(estimates: Column, initial: float = 1.0, rounds: int = 3) -> Column:
+    """The estimate that agrees with the reference magnitude it came from.
+
+    estimates maps a whole reference magnitude to the magnitude that it gives.
+    From the initial one, its rounded estimate and the two beside it are tried;
+    the middle one ends the search when it agrees best, else the best one is
+    next. Null where a reference that is needed is missing.
+    """
+    at = lambda m: F.try_element_at(estimates, m.cast("int"))
+    out, ref, done = F.lit(None).cast("double"), F.lit(int(initial)), F.lit(False)
+    for k in range(rounds):
+        near = F.rint(at(ref))
+        off = [F.abs(at(near + d) - (near + d)) for d in (-1, 0, 1)]
+        none = off[0].isNull() | off[1].isNull() | off[2].isNull()
+        best = F.when(none, F.lit(None)).when((off[0] <= off[1]) & (off[0] <= off[2]), near - 1).when(off[1] <= off[2], near).otherwise(near + 1)
+        hit = ~done & ((best == near) | F.lit(k == rounds - 1))
+        out = F.when(hit, at(best)).otherwise(out)
+        done = done | F.coalesce(hit, F.lit(True))
+        ref = best.cast("int")
+    return out
+
+
+def local_and_moment(events: DataFrame, kind: str = "magnitude", average: str = "average") -> DataFrame:
+    """(event_uid, local, moment, difference) of events that have both; rows are (event_uid, kind, average)."""
+    one = lambda k: F.max(F.when(F.col(kind).startswith(k), F.col(average)))
+    g = events.groupBy("event_uid").agg(one("Local").alias("local"), one("Moment").alias("moment")).where("local is not null and moment is not null")
+    return g.withColumn("difference", F.round(F.col("local") - F.col("moment"), 6))
+
+
+def suited(collections: DataFrame, wanted: dict[str, object], max_distance: float) -> DataFrame:
+    """Libraries with equal parameters that reach at least max_distance."""
+    ok = F.col("max_distance") >= max_distance
+    for c, v in wanted.items():
+        ok = ok & (F.col(c) == F.lit(v))
+    return collections.where(ok)
+
+
 _NEAR = "amp_id long, q_id long, n long, mean double, med double, mad double"
 _EDGE = "part long, side long, q_id long, distance double, amp_id long, v double"
 

@@ -7,11 +7,14 @@ the roots, roots count from 0 with east fastest, in steps of ROOTS per level.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackwave.functions import geo
+
 
 @dataclass(frozen=True)
 class Bounds:
@@ -119,3 +122,44 @@ def uncertainty(nodes: DataFrame, width: float = 0.02) -> DataFrame:
 
 def identity(*columns: str) -> Column:
     return F.sha1(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]))
+
+
+def can_split(levels: int) -> Column:
+    return F.col("level") + 1 < levels
+
+
+def reset(nodes: DataFrame) -> DataFrame:
+    """The roots alone, their semblance zero."""
+    r = nodes.where("level = 0")
+    return r.withColumn("semblance", F.lit(0.0)) if "semblance" in nodes.columns else r
+
+
+def radius() -> Column:
+    """Of the sphere around a node's cube."""
+    return F.sqrt(F.lit(3.0)) / 2 * F.col("size")
+
+
+def node_distance(east: float, north: float, depth: float) -> Column:
+    return F.sqrt(F.pow(F.col("east") - east, 2.0) + F.pow(F.col("north") - north, 2.0) + F.pow(F.col("depth") - depth, 2.0))
+
+
+def corners(b: Bounds) -> list[tuple[float, float, float]]:
+    return [(e, n, d) for e in b.east for n in b.north for d in b.depth]
+
+
+def with_location(nodes: DataFrame, lat: float, lon: float, depth: float = 0.0) -> DataFrame:
+    """Adds lat, lon (on a sphere, by the reference's local plane) and effective_depth of each node."""
+    up = F.degrees(F.col("north") / geo.EARTH_M)
+    out = nodes.withColumn("lat", lat + up).withColumn("lon", lon + F.degrees(F.col("east") / (geo.EARTH_M * F.cos(F.radians(F.lit(lat))))))
+    return out.withColumn("effective_depth", F.col("depth") + depth)
+
+
+def above(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Nodes of at least the threshold; zero keeps all."""
+    return nodes.where(F.col("semblance") >= threshold) if threshold else nodes
+
+
+def axis_through_zero(lo: float, hi: float, step: float) -> list[float]:
+    """Grid places from at most lo to at least hi with zero among them where it lies between."""
+    first, last = math.floor(lo / step), math.ceil(hi / step)
+    return [i * step for i in range(first, last + 1)]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stackwave.functions import geo
+from stackwave.functions import codes, geo
 from stackwave.plans.dist import micros
 
 
@@ -82,3 +82,47 @@ def receiver_azimuths(events: DataFrame, picks: DataFrame, stations: DataFrame)
     seen = picks.where("observed_time is not null").select("event_uid", "nsl").distinct()
     j = events.select("event_uid", F.col("lat").alias("elat"), F.col("lon").alias("elon")).join(seen, "event_uid").join(stations.select("nsl", "lat", "lon"), "nsl")
     return j.select("event_uid", "nsl", geo.sphere_azimuth("elat", "elon", "lat", "lon").alias("azimuth"), geo.sphere_distance("elat", "elon", "lat", "lon").alias("distance"))
+
+
+RECEIVER = ["event_uid", "network", "station", "location"]
+
+
+def merge_receivers(picks: DataFrame) -> DataFrame:
+    """One row a receiver with its arrivals as a map phase -> (model_time, observed_time, confidence, station_delay_s); of repeats the first pick_id."""
+    first = picks.where("phase is not null").groupBy(*RECEIVER, "phase").agg(F.min_by(F.struct("model_time", "observed_time", "confidence", "station_delay_s"), "pick_id").alias("a"))
+    return first.groupBy(*RECEIVER).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("phase", "a")))).alias("arrivals"))
+
+
+def add_phase(receivers: DataFrame, more: DataFrame) -> DataFrame:
+    """Full outer merge of two receiver tables: arrivals of both; those of `more` win."""
+    m = more.withColumnRenamed("arrivals", "_more")
+    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}")) for c in RECEIVER]
+    j = receivers.alias("r").join(m.alias("m"), on[0] & on[1] & on[2] & on[3], "full")
+    keep = F.map_filter("arrivals", lambda k, _: F.col("_more").isNull() | ~F.map_contains_key("_more", k))
+    empty = lambda c: F.coalesce(F.col(c), F.when(F.lit(False), F.col(c)))
+    both = F.when(F.col("arrivals").isNull(), F.col("_more")).when(F.col("_more").isNull(), empty("arrivals")).otherwise(F.map_concat(keep, F.col("_more")))
+    return j.select(*[F.coalesce(f"r.{c}", f"m.{c}").alias(c) for c in RECEIVER], both.alias("arrivals"))
+
+
+def one_or_error(rows: DataFrame, where: Column, what: str) -> Row:
+    """The first row that holds a condition; an error where none does."""
+    got = rows.where(where).limit(1).collect()
+    if not got:
+        raise KeyError(f"no {what}")
+    return got[0]
+
+
+def repeated_phases(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Keys that name a phase more than once; a run demands that there are none."""
+    return rows.groupBy(*key, "phase").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def within_epicentral(receivers: DataFrame, distance: str, least: float, most: float, nsl: list[str] | None = None) -> DataFrame:
+    """Receivers at a distance in [least, most], and, where given, of codes that match."""
+    ok = F.col(distance).between(least, most)
+    if nsl is not None:
+        hit = F.lit(False)
+        for p in nsl:
+            hit = hit | codes.nsl_matches(F.col("nsl"), p)
+        ok = ok & hit
+    return receivers.where(ok)

@@ -28,6 +28,21 @@ def blacklist(stations: DataFrame, patterns: list[str]) -> DataFrame:
     return stations.where(~hit)
 
 
+def looked_up(traces: DataFrame, stations: DataFrame) -> DataFrame:
+    """Traces with their station's columns; codes of no station are an error."""
+    missing = [r.nsl for r in traces.select("nsl").distinct().join(stations, "nsl", "left_anti").limit(5).collect()]
+    if missing:
+        raise KeyError(f"no station {', '.join(map(str, missing))}")
+    return traces.join(stations, "nsl")
+
+
+def remaining(stations: DataFrame) -> DataFrame:
+    """The stations, or an error where a black list has left none."""
+    if stations.isEmpty():
+        raise ValueError("no station is left")
+    return stations
+
+
 def within(stations: DataFrame, lat: float, lon: float, metres: float) -> DataFrame:
     return stations.where(geo.sphere_distance("lat", "lon", lat, lon) <= metres)
 

@@ -13,6 +13,7 @@ from stackwave.operators import ordered
 from stackwave.operators import picks as pk
 from stackwave.operators import stations as sta
 from stackwave.plans.dist import micros, table
+from stackwave.streaming import live
 
 QUERIES = {}
 SQL = {}
@@ -318,6 +319,64 @@ def pick_export_quality(spark: SparkSession, d: str) -> DataFrame:
     return p.select("pick_id", codes.quality_class(F.col("confidence")).alias("quality"))
 
 
+@query(f"with {EV}, p as (select {NSL} as nsl, phase, strftime(event_time, '%Y-%m') as month, confidence from picks join ev using (event_uid) where observed_time is not null and confidence is not null and not isnan(confidence)) select nsl, phase, month, count(*) as n, round(median(confidence), 6) as confidence from p group by 1, 2, 3")
+def confidence_over_time(spark: SparkSession, d: str) -> DataFrame:
+    """Median confidence of each station's picks by phase and month."""
+    return an.confidence_over_time(pks(spark, d), ev(spark, d))
+
+
+@query(f"with {EV}, t as (select event_uid, network, station, location, min(case when right(phase, 1) = 'P' then epoch_us(model_time) - epoch_us(event_time) end) as p, min(case when right(phase, 1) = 'S' then epoch_us(model_time) - epoch_us(event_time) end) as s from picks join ev using (event_uid) group by all) select event_uid, round(median(s / p), 6) as ratio from t where p > 0 and s is not null group by 1")
+def model_wadati(spark: SparkSession, d: str) -> DataFrame:
+    """The modelled ratio of S to P travel times of each event."""
+    return an.model_wadati(table(spark, d, "picks"), ev(spark, d))
+
+
+@query("with f as (select *, row_number() over (partition by event_uid, network, station, location, phase order by pick_id) as n from picks where phase is not null) select event_uid, network, station, location, count(*) as n_phases, count(observed_time) as n_picks, any_value(model_time) filter (where phase = 'cake:P') as p_model from f where n = 1 group by event_uid, network, station, location")
+def receivers_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Receivers of two phases, each read apart, merged to one row a receiver."""
+    p = table(spark, d, "picks")
+    r = pk.add_phase(pk.merge_receivers(p.where("phase like '%P'")), pk.merge_receivers(p.where("phase not like '%P'")))
+    a = F.map_values("arrivals")
+    return r.select(*pk.RECEIVER, F.size("arrivals").cast("long").alias("n_phases"), F.size(F.filter(a, lambda x: x["observed_time"].isNotNull())).cast("long").alias("n_picks"), F.col("arrivals")["cake:P"]["model_time"].alias("p_model"))
+
+
+@query(f"with {PK} select event_uid, nsl, count(distinct case when observed_time is not null then phase end) as n_picks from pk group by 1, 2")
+def picks_per_receiver(spark: SparkSession, d: str) -> DataFrame:
+    return pks(spark, d).groupBy("event_uid", "nsl").agg(F.count_distinct(F.when(F.col("observed_time").isNotNull(), F.col("phase"))).alias("n_picks"))
+
+
+@query("select seq, event_uid, semblance, round(sum(coalesce(case when not isnan(semblance) then semblance end, 0)) over (order by event_time, seq rows unbounded preceding), 5) as cumulative from detections")
+def cumulative_semblance(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "detections").select("seq", "event_uid", "event_time", "semblance")
+    return an.running_sum(x, an.real("semblance"), ["event_time", "seq"], "cumulative").select("seq", "event_uid", "semblance", F.round("cumulative", 5).alias("cumulative"))
+
+
+@query("select event_uid, phase, network, station, coalesce(location, '') as location, count(*) as n from picks group by all having count(*) > 1")
+def phases_repeated(spark: SparkSession, d: str) -> DataFrame:
+    """Receivers that name a phase more than once."""
+    return pk.repeated_phases(table(spark, d, "picks").withColumn("location", F.coalesce("location", F.lit(""))), pk.RECEIVER)
+
+
+@query(f"with {_AZ}, d as (select event_uid, nsl, 2 * 6371000 * asin(sqrt(least(1, pow(sin((radians(a) - radians(b)) / 2), 2) + cos(radians(a)) * cos(radians(b)) * pow(sin(radians(o - u) / 2), 2)))) as dist from az where a is not null and o is not null and not isnan(a) and not isnan(o)) select event_uid, nsl from d where dist between 1000 and 100000 and nsl like 'Q0.HUB%'")
+def receivers_in_range(spark: SparkSession, d: str) -> DataFrame:
+    """Receivers of a code pattern between 1 and 100 km from their event."""
+    e = ev(spark, d).where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
+    return pk.within_epicentral(pk.receiver_azimuths(e, pks(spark, d), sts(spark, d)), "distance", 1_000.0, 100_000.0, ["Q0.HUB*"]).select("event_uid", "nsl")
+
+
+@query("select seq, event_uid from detections where semblance >= 0.9 and not isnan(semblance)")
+def magnitude_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """Events whose size reaches a threshold."""
+    return live.magnitude_alerts(table(spark, d, "detections"), "semblance", 0.9).select("seq", "event_uid")
+
+
+@query("with g as (select nsl, sum(epoch_us(endtime) - epoch_us(starttime)) as a, max(epoch_us(polled_at)) - min(epoch_us(polled_at)) as b from seedlink_stations where nsl is not null and endtime > starttime and polled_at is not null group by 1) select nsl, round(case when b > 0 then a / b end, 6) as fill_rate, coalesce(case when b > 0 then a / b end > 2, false) as backfill from g")
+def stream_backfill(spark: SparkSession, d: str) -> DataFrame:
+    """Sources whose data came in faster than it was written."""
+    x = table(spark, d, "seedlink_stations").where("nsl is not null and endtime > starttime and polled_at is not null").select("nsl", micros("starttime").alias("s"), micros("endtime").alias("e"), micros("polled_at").alias("r"))
+    return live.backfilled(x, "nsl", "s", "e", "r")
+
+
 # -- stations -------------------------------------------------------------------------
 
 
@@ -383,16 +442,32 @@ def station_magnitude_residuals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _terms() -> str:
-    r, e = "(distance_hypo / 1000)", "(distance_epi / 1000)"
+    r, e, mm = "(distance_hypo / 1000)", "(distance_epi / 1000)", "log10(peak_amp * 1000)"
+    at17 = lambda k, g: f"{k} * log10({r} / 17) + {g} * ({r} - 17) + 2"
+    z = f"(1.11366 * log10({r}) - 2.00574)"
+    cisn = f"1.11 * log10({r}) + 0.00189 * {r} + 0.591 + " + " + ".join(f"({t}) * cos({i} * acos({z}))" for i, t in enumerate(attenuation.TCHEBYCHEV, 1))
     t = {
-        "SouthWestGermany": ("r between 10 and 1000", f"1.11 * log10({r}) + 0.00095 * {r} + 0.69"),
-        "IcelandReykjanes": ("r between 0 and 40", f"0.6902 * log10({r} / 17) + 0.0318 * ({r} - 17) + 2"),
-        "NetherlandsGroningen": ("e between 0 and 80", f"1.33 * log10({r}) + 0.00139 * {r} + 0.424"),
-        "CampiFlegrei": ("e between 0.2 and 8", f"0.95 * log10({r}) + 0.09 * {r} - 0.1"),
-        "Albania": ("e between 10 and 600", f"1.6627 * log10({e}) + 0.0008 * {e} - 0.433"),
-        "NorwayFennoscandia": ("r between 0 and 1500", f"0.91 * log10({r}) + 0.00087 * {r} + 1.01"),
+        "WebnetWesternBohemia": (f"{r} between 0 and 100", "log10(peak_amp * 1e6)", f"2.1 * log10({r}) - log10(pi()) - 1.7"),
+        "IaspeiSouthernCalifornia": (f"{r} between 10 and 700", "log10(peak_amp * 1e9 / 2080)", f"1.11 * log10({r}) + 0.00189 * {r} - 2.09"),
+        "SouthernCalifornia": (f"{r} between 10 and 700", mm, f"1.11 * log10({r} / 100) + 0.00189 * ({r} - 100) + 3"),
+        "CentralCalifornia": (f"{e} between 0 and 400", mm, f"log10({r}) + 0.00301 * {r} + 0.7"),
+        "CaliforniaIntegratedSeismicNetwork": (f"{e} between 0 and 450 and abs({z}) <= 1", mm, cisn),
+        "EasternNorthAmerica": (f"{e} between 100 and 800", mm, f"1.55 * log10({e}) - 0.22"),
+        "ArgentiereGlacier": (f"{r} between 0 and 100", mm, f"-6.0 * log10({r}) - 1.2"),
+        "Albania": (f"{e} between 10 and 600", mm, f"1.6627 * log10({e}) + 0.0008 * {e} - 0.433"),
+        "SouthWestGermany": (f"{r} between 10 and 1000", mm, f"1.11 * log10({r}) + 0.00095 * {r} + 0.69"),
+        "SouthAustralia": (f"{e} between 40 and 700", mm, f"1.1 * log10({e}) + 0.0013 * {e} + 0.7"),
+        "NorwayFennoscandia": (f"{r} between 0 and 1500", mm, f"0.91 * log10({r}) + 0.00087 * {r} + 1.01"),
+        "IcelandAskja": (f"{r} between 0 and 150", mm, at17(1.4406, 0.003)),
+        "IcelandBardabunga": (f"{r} between 0 and 150", mm, at17(1.2534, -0.0032)),
+        "IcelandAskjaBardabungaCombined": (f"{r} between 0 and 150", mm, at17(1.1999, -0.0016)),
+        "IcelandReykjanes": (f"{r} between 0 and 40", mm, at17(0.6902, 0.0318)),
+        "Azores": (f"{e} between 10 and 800", mm, f"0.89 * log10({e} / 100) + 0.00256 * ({e} - 100) + 3"),
+        "ArgentinaVolcanoes": (f"{e} between 0 and 100", mm, f"2.76 * log10({e}) - 2.48"),
+        "NetherlandsGroningen": (f"{e} between 0 and 80", mm, f"1.33 * log10({r}) + 0.00139 * {r} + 0.424"),
+        "CampiFlegrei": (f"{e} between 0.2 and 8", mm, f"0.95 * log10({r}) + 0.09 * {r} - 0.1"),
     }
-    return " ".join(f"when '{k}' then case when {g} then log10(peak_amp * 1000) + {f} end" for k, (g, f) in t.items())
+    return " ".join(f"when '{k}' then case when {g} then {a} + {f} end" for k, (g, a, f) in t.items())
 
 
 @query(f"select row_id, round(case when peak_amp > 0 and r > 0 and e > 0 then case model {_terms()} end end, 6) as m from (select *, distance_hypo / 1000 as r, distance_epi / 1000 as e from station_magnitudes where not isinf(peak_amp) and not isnan(peak_amp))")
@@ -401,6 +476,43 @@ def attenuation_magnitudes(spark: SparkSession, d: str) -> DataFrame:
     return t.select("row_id", F.round(attenuation.magnitude(F.col("model"), F.col("peak_amp"), F.col("distance_hypo"), F.col("distance_epi")), 6).alias("m"))
 
 
+@query(f"select row_id, model, round(case when peak_amp > 0 and r > 0 and e > 0 then case model {_terms()} end end, 6) as m from (select row_id, peak_amp, distance_hypo, distance_epi, distance_hypo / 1000 as r, distance_epi / 1000 as e, unnest([{', '.join(repr(k) for k in attenuation.MODELS if k != 'CaliforniaIntegratedSeismicNetwork')}]) as model from station_magnitudes where not isinf(peak_amp) and not isnan(peak_amp))")
+def attenuation_of_every_model(spark: SparkSession, d: str) -> DataFrame:
+    """Every reading by every model but the one whose series holds on a part of distances only."""
+    t = table(spark, d, "station_magnitudes").where("peak_amp is not null and not isnan(peak_amp) and abs(peak_amp) < double('Infinity')")
+    each = F.array(*[F.struct(F.lit(n).alias("model"), F.round(attenuation.magnitude_of(m, F.col("peak_amp"), F.col("distance_hypo"), F.col("distance_epi")), 6).alias("m")) for n, m in attenuation.MODELS.items() if n != "CaliforniaIntegratedSeismicNetwork"])
+    return t.select("row_id", F.explode(each).alias("x")).select("row_id", "x.model", "x.m")
+
+
+MODEL_RULES = [("Q0.HUB*", "SouthWestGermany"), ("W?", "IcelandAskja"), ("*", "Albania")]
+
+
+@query(f"select row_id, case when nsl like 'Q0.HUB%' then 'SouthWestGermany' when regexp_matches(nsl, '^W.[.]') then 'IcelandAskja' else 'Albania' end as model from station_magnitudes where nsl is not null")
+def model_of_code(spark: SparkSession, d: str) -> DataFrame:
+    """The attenuation model of each reading's code: the first pattern that matches."""
+    t = table(spark, d, "station_magnitudes").where("nsl is not null")
+    return t.select("row_id", attenuation.model_by_code(F.col("nsl"), MODEL_RULES).alias("model"))
+
+
+@query("with v as (select event_uid, magnitude as m from station_magnitudes where magnitude is not null and not isnan(magnitude)), s as (select *, avg(m) over (partition by event_uid) as mu, stddev_pop(m) over (partition by event_uid) as sd from v), k as (select * from s where abs(m - mu) <= 3 * sd), c as (select event_uid, count(*) as n, median(m) as med from k group by 1) select event_uid, any_value(n) as n, round(any_value(med), 6) as average, round(median(abs(m - med)), 6) as error from k join c using (event_uid) group by 1")
+def network_moment(spark: SparkSession, d: str) -> DataFrame:
+    """The moment magnitude's network value: median and its absolute deviation."""
+    return mag.network_moment(table(spark, d, "station_magnitudes"))
+
+
+@query("with e as (select event_uid, magnitude_type as k, median(magnitude) as a from station_magnitudes where magnitude is not null and not isnan(magnitude) group by 1, 2), p as (select event_uid, max(case when starts_with(k, 'Local') then a end) as l, max(case when starts_with(k, 'Moment') then a end) as m from e group by 1) select event_uid, l as local, m as moment, round(l - m, 6) as difference from p where l is not null and m is not null")
+def local_against_moment(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "station_magnitudes").where("magnitude is not null and not isnan(magnitude)")
+    return mag.local_and_moment(v.groupBy("event_uid", F.col("magnitude_type").alias("magnitude")).agg(F.median("magnitude").alias("average")))
+
+
+@query("select event_uid, nsl, magnitude, round(case when snr > 0 and hi > lo then (ln(snr) - lo) / (hi - lo) end, 6) as snr_share, round(mean, 6) as mean, round(med, 6) as med from (select *, min(case when snr > 0 and not isinf(snr) then ln(snr) end) over w as lo, max(case when snr > 0 and not isinf(snr) then ln(snr) end) over w as hi, avg(magnitude) over w as mean, median(magnitude) over w as med from station_magnitudes where magnitude is not null and not isnan(magnitude) and not isnan(snr) and not isinf(snr) window w as (partition by event_uid))")
+def event_station_magnitudes(spark: SparkSession, d: str) -> DataFrame:
+    """Station magnitudes of each event with the place of their log ratio to noise in the event's range, the mean and the median."""
+    t = table(spark, d, "station_magnitudes").where("magnitude is not null and not isnan(magnitude) and snr is not null and not isnan(snr) and abs(snr) < double('Infinity')")
+    return an.event_magnitudes(t)
+
+
 @query("with j as (select q.amp_id, q.collection_id as q_id, s.peak_horizontal as v, row_number() over (partition by q.amp_id order by abs(s.distance_epi - q.distance_epi), s.amp_id) as n from site_amplitudes q join site_amplitudes s on s.collection_id = q.collection_id where s.peak_horizontal is not null and not isnan(s.peak_horizontal)), m as (select *, median(v) over (partition by amp_id) as med from j where n <= 25) select amp_id, any_value(q_id) as q_id, count(*) as n, round(log10(avg(v)), 6) as log_mean, round(log10(any_value(med)), 6) as log_median, round(median(abs(v - med)) / any_value(med), 6) as rel_mad from m group by 1")
 def modelled_amplitudes(spark: SparkSession, d: str) -> DataFrame:
     """Mean, median and spread of the 25 nearest of its collection, for every amplitude."""

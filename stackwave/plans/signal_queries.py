@@ -98,6 +98,23 @@ def octree_uncertainty(spark: SparkSession, d: str) -> DataFrame:
     return octree.uncertainty(_semblance(spark, d), 0.4).select("east_min", "east_max", "north_min", "north_max", "depth_min", "depth_max")
 
 
+@query(f"with {_KIDS}, n as (select node_id, level, east, north, depth, size from root union all select node_id, level, east, north, depth, size from kids where parent_id % 7 = 0) select node_id::bigint as node_id, level + 1 < 2 as splits, round(sqrt(3.0) / 2 * size, 6) as radius, round(sqrt(pow(east - 500, 2) + pow(north + 500, 2) + pow(depth - 1000, 2)), 6) as distance, round(12.5 + degrees(north / 6371000), 9) as lat, round(44.5 + degrees(east / (6371000 * cos(radians(12.5)))), 9) as lon, depth + 300.0 as effective_depth from n")
+def octree_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Place, reach and distance of nodes, and whether they may split."""
+    n = octree.with_location(_split_some(spark), 12.5, 44.5, 300.0)
+    return n.select("node_id", octree.can_split(2).alias("splits"), F.round(octree.radius(), 6).alias("radius"), F.round(octree.node_distance(500.0, -500.0, 1000.0), 6).alias("distance"), F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "effective_depth")
+
+
+@query(f"with {_KIDS}, {_LEAF}, {_SEMB} select node_id::bigint as node_id from s where semblance >= 0.1")
+def octree_above(spark: SparkSession, d: str) -> DataFrame:
+    return octree.above(_semblance(spark, d), 0.1).select("node_id")
+
+
+@query(f"with {_ROOT} select node_id::bigint as node_id, 0.0::double as semblance from root")
+def octree_reset(spark: SparkSession, d: str) -> DataFrame:
+    return octree.reset(_split_some(spark).withColumn("semblance", F.lit(1.0))).select("node_id", "semblance")
+
+
 # -- travel times and weights ---------------------------------------------------------
 
 _PAIR = f"{_ROOT}, {STS}, sx as (select sta_idx, (sta_idx::bigint * 7919 % 20000) - 10000.0 as se, (sta_idx::bigint * 104729 % 20000) - 10000.0 as sn from st), pr as (select node_id, sta_idx, sqrt(pow(east - se, 2) + pow(north - sn, 2) + pow(depth, 2)) as distance from root, sx)"
@@ -266,6 +283,26 @@ def filtered_traces(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, samples array<double>, trigger double, n_peaks int")
 
 
+@query("select label::bigint as batch_id, count(*) as n_traces, sum(len(embedding))::bigint * 8 as n_bytes, round(sum(len(embedding)) / 50.0, 6) as cumulative_s from embeddings group by 1")
+def batch_sizes(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("batch_id"), F.col("embedding").alias("samples"), F.lit(50.0).alias("rate_hz"))
+    return ingest.batch_sizes(e)
+
+
+@query("select vec_id, list_sum(list_transform(embedding[9:56], lambda x: x::double)) as total from embeddings")
+def blinded_images(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of image traces without the blinding at both ends."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("samples"), F.lit(50.0).alias("rate_hz"))
+    return ingest.blinded(e, 0.16).select("vec_id", F.aggregate("samples", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("select vec_id, 10 as n, embedding[11]::double as first, embedding[20]::double as last from embeddings")
+def chopped_traces(spark: SparkSession, d: str) -> DataFrame:
+    """Ten samples of each trace, by time."""
+    e = table(spark, d, "embeddings").select("vec_id", F.lit(0).cast("long").alias("tmin_us"), F.lit(50.0).alias("rate_hz"), F.col("embedding").alias("samples"))
+    return ingest.chop(e, F.lit(200_000), F.lit(400_000)).select("vec_id", F.size("samples").alias("n"), F.get("samples", F.lit(0)).cast("double").alias("first"), F.get("samples", F.lit(9)).cast("double").alias("last"))
+
+
 # -- windows ----------------------------------------------------------------------------
 
 _EVT = "(select seq, epoch_us(event_time) as t from detections where event_time is not null)"

@@ -219,6 +219,17 @@ def read_corrections(spark: SparkSession, path: str) -> DataFrame:
     return m.select(F.explode("m").alias("nsl", "d")).select("nsl", F.explode("d").alias("phase", "delay_s"))
 
 
+_SITE = "struct<magnitude:double,distance_epi:double,peak_horizontal:double,peak_vertical:double,peak_absolute:double>"
+STORE_SCHEMA = f"uuid string, gf_store_id string, quantity string, reference_magnitude double, max_distance double, stress_drop array<double>, rupture_velocities array<double>, frequency_range array<double>, amplitude_collections array<struct<source_depth:double,quantity:string,site_amplitudes:array<{_SITE}>>>"
+
+
+def read_amplitude_library(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each amplitude of the stores' JSON files: the store's parameters, source_depth and the peaks."""
+    s = spark.read.schema(STORE_SCHEMA).option("multiLine", True).json(path).where("uuid is not null")
+    c = s.select("uuid", "gf_store_id", "quantity", "reference_magnitude", "max_distance", F.explode("amplitude_collections").alias("c"))
+    return c.select(*[x for x in c.columns if x != "c"], F.col("c.source_depth").alias("source_depth"), F.explode("c.site_amplitudes").alias("a")).select("*", "a.*").drop("a")
+
+
 def find_runs(root: str) -> list[str]:
     """Folders that hold a search.json, by name."""
     return sorted(str(p.parent) for p in Path(root).glob("*/search.json"))
