@@ -17,7 +17,7 @@ from stackwave.operators import catalog as cat
 from stackwave.operators import magnitude, octree, ordered, synthetic
 from stackwave.operators import search as srch
 from stackwave.operators import traveltime
-from stackwave.plans.catalog_queries import PK, STS, ev, pks, sts
+from stackwave.plans.catalog_queries import EV, PK, STS, ev, pks, sts
 from stackwave.plans import pipeline
 from stackwave.plans.dist import checkpointed, micros, scratch, table
 from stackwave.sources import sinks
@@ -86,6 +86,28 @@ def synthetic_events(spark: SparkSession, d: str) -> DataFrame:
     return synthetic.events(spark, 12, BOUNDS, 2_500.0, START + 15_000_000, 30_000_000, 11).select("event_id", "time_us")
 
 
+def _matched(events: DataFrame, found: DataFrame) -> DataFrame:
+    """(event_id, n_found, n_false): detections at the time and place of each planted event, and those at none."""
+    near = (F.abs(F.col("f.time_us") - F.col("e.time_us")) < 150_000) & (F.sqrt(sum((F.pow(F.col(f"f.{a}") - F.col(f"e.{a}"), 2.0) for a in ("east", "north", "depth")), F.lit(0.0))) < 700)
+    j = checkpointed(found).alias("f").join(events.alias("e"), near, "full")
+    false = j.agg(F.count_if(F.col("event_id").isNull()).alias("n_false"))
+    return j.where("event_id is not null").groupBy("event_id").agg(F.count("f.time_us").alias("n_found")).crossJoin(F.broadcast(false))  # one row
+
+
+@query("select mode, event_id::bigint as event_id, 1::bigint as n_found, 0::bigint as n_false from (select unnest(['exact', 'incremental']) as mode), (select unnest(generate_series(0, 11)) as event_id)")
+def synthetic_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each planted event comes out once, at its time and place, in both modes."""
+    e, images = _images(spark, 12)
+    out = [_matched(e, srch.search(images, network(), settings(incremental=i))).select(F.lit(m).alias("mode"), "event_id", "n_found", "n_false") for m, i in (("exact", False), ("incremental", True))]
+    return out[0].unionByName(out[1])
+
+
+@query("select 'true' as model, 6::bigint as n")
+def velocity_model_best(spark: SparkSession, d: str) -> DataFrame:
+    """The velocity model of most semblance is the one that the images were made with."""
+    return velocity_model_scores(spark, d).orderBy(F.desc_nulls_last("score")).limit(1).select("model", "n")
+
+
 MIDNIGHT = START + 5 * 86_400_000_000
 PLANTED = 8
 
@@ -115,11 +137,7 @@ def archive_search(spark: SparkSession, d: str) -> DataFrame:
     """A configured run over day files: archive, merging over midnight, padded batches, images, search. Each planted event comes out once, at its time and place."""
     root = scratch(spark, "archive")
     e = planted_archive(spark, root)
-    found = checkpointed(pipeline.run(spark, archive_config(root)))
-    near = (F.abs(F.col("f.time_us") - F.col("e.time_us")) < 150_000) & (F.sqrt(sum((F.pow(F.col(f"f.{a}") - F.col(f"e.{a}"), 2.0) for a in ("east", "north", "depth")), F.lit(0.0))) < 700)
-    j = found.alias("f").join(F.broadcast(e.alias("e")), near, "full")  # PLANTED events
-    false = j.agg(F.count_if(F.col("event_id").isNull()).alias("n_false"))
-    return j.where("event_id is not null").groupBy("event_id").agg(F.count("f.time_us").alias("n_found")).crossJoin(F.broadcast(false))  # one row
+    return _matched(e, pipeline.run(spark, archive_config(root)))
 
 
 # -- streams -------------------------------------------------------------------------
@@ -147,14 +165,14 @@ def streaming_windows(spark: SparkSession, d: str) -> DataFrame:
     return _collected(spark, s.groupBy("start_us", "event_type").agg(F.count("*").alias("n"), F.max("value").alias("most")), "complete")
 
 
-@query()
+@query("with e as (select epoch_us(ts) as t, event_type from events), w as (select t // 300000000 * 300000000 as start_us, event_type, count(*) as n from e group by 1, 2) select start_us::bigint as start_us, event_type, n from w where start_us + 300000000 <= (select max(t) // 1000 * 1000 - 20000000 from e)")
 def streaming_late_data(spark: SparkSession, d: str) -> DataFrame:
     """Five-minute windows behind a watermark of 20 seconds; windows not passed yet are withheld."""
     s = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return _collected(spark, live.windowed_counts(s, "ts", "5 minutes", "20 seconds", ["event_type"]).select(F.col("window.start").alias("start"), "event_type", "n"), "append")
+    return _collected(spark, live.windowed_counts(s, "ts", "5 minutes", "20 seconds", ["event_type"]).select(F.unix_micros("window.start").alias("start_us"), "event_type", "n"), "append")
 
 
-@query()
+@query("with x as (select nsl || '.' || channel as nslc, epoch_us(starttime) as s, epoch_us(endtime) as e from seedlink_stations where nsl is not null and endtime > starttime), w as (select *, max(e) over (partition by nslc order by s, e rows between unbounded preceding and 1 preceding) as r, row_number() over (partition by nslc order by s, e) as i from x), k as (select *, max(case when r is null or s - r > 1000000 then i end) over (partition by nslc) as first from w) select nslc, greatest(min(s), max(e) - 86400000000)::bigint as tmin_us, max(e)::bigint as tmax_us, count(*)::bigint as n from k where i >= first group by 1")
 def streaming_buffers(spark: SparkSession, d: str) -> DataFrame:
     """The rolling buffer of each code after the stream."""
     s = _stream(spark, d, "seedlink_stations").where("nsl is not null and endtime > starttime")
@@ -172,9 +190,13 @@ def streaming_swarm_alerts(spark: SparkSession, d: str) -> DataFrame:
 # -- exports --------------------------------------------------------------------------
 
 
-@query()
+_HEAD = "strftime(event_time, '%y%m%d %H%M %S') || '.' || lpad((epoch_us(event_time) // 10000 % 100)::varchar, 2, '0') || ' ' || printf('%8.4f', abs(lat)::varchar::decimal(18, 4)::double) || case when lat >= 0 then 'N' else 'S' end || ' ' || printf('%9.4f', abs(lon)::varchar::decimal(18, 4)::double) || case when lon >= 0 then 'E' else 'W' end || printf('%8.3f', ((depth - elevation) / 1000)::varchar::decimal(18, 3)::double)"
+_PICK_LINE = "printf('  %-6s%s%d%6.2f', station, right(phase, 1), case when confidence >= 1 or confidence >= 0.8 then 0 when confidence >= 0.6 then 1 when confidence >= 0.4 then 2 when confidence >= 0 then 3 end, ((epoch_us(observed_time) - epoch_us(event_time)) / 1e6)::varchar::decimal(18, 2)::double)"
+
+
+@query(f"with {EV}, p as (select * from picks where observed_time is not null and confidence > 0.2 and not isnan(confidence) and abs(epoch_us(observed_time) - epoch_us(model_time)) / 1e6 <= 5), ok as (select event_uid from p where right(phase, 1) = 'P' group by 1 having count(*) >= 2), e as (select * from ev where not isnan(lat) and not isnan(lon) and not isnan(depth - elevation) and semblance >= 0.3 and not isnan(semblance) and distance_border >= 0 and not isnan(distance_border) and event_uid in (select event_uid from ok)), l as (select event_uid, 0 as pick_id, {_HEAD} as line from e union all select p.event_uid, pick_id, {_PICK_LINE} from p join e using (event_uid)) select event_uid, (row_number() over (partition by event_uid order by pick_id) - 1)::int as line_no, line from l")
 def velest_export(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.velest_lines(ev(spark, d).where("not isnan(lat) and not isnan(lon)"), table(spark, d, "picks"), 0.3, 2, 0.0, 0.2, 5.0)
+    return sinks.velest_lines(ev(spark, d), table(spark, d, "picks"), 0.3, 2, 0.0, 0.2, 5.0)
 
 
 @query(f"with {PK} select pick_id, 'phase: ' || strftime(coalesce(observed_time, model_time), '%Y-%m-%d %H:%M:%S.%g') || ' ' || nsl || ' ' || event_uid || ' ' || phase || ' ' || case when observed_time is null then 'modelled' else 'automatic' end as line from pk")
@@ -210,7 +232,7 @@ def magnitude_fit(spark: SparkSession, d: str) -> DataFrame:
     return h.withColumn("k", F.lit(1)).groupBy("k").applyInPandas(fit, "b double, mu double, sigma double, log_likelihood double")
 
 
-@query()
+@query("with v as (select semblance as v from detections where semblance is not null and not isnan(semblance)), l as (select min(v) as lo, max(v) as hi from v), b as (select round(lo + (hi - lo) * k / 500, 9) as x, count(v) as n from (select least(floor((v - lo) / (hi - lo) * 500), 499)::int as k, v, lo, hi from v, l) group by 1), t as (select sum(n) as n, sum(x * n) / sum(n) as mu from b), h as (select t.n, sqrt(sum(pow(x - mu, 2) * b.n) / (any_value(t.n) - 1)) * pow(t.n, -0.2) as h from b, t group by t.n), g as (select round(lo + (hi - lo) * 499 / 500, 9) as last, round(lo, 9) as first from l), a as (select first + (last - first) * i / 49 as x from g, (select unnest(generate_series(0, 49)) as i)) select round(a.x, 6) as x, round(sum(exp(-pow(a.x - b.x, 2) / (2 * h.h * h.h)) * b.n) / (any_value(h.n) * any_value(h.h) * sqrt(2 * pi())), 6) as density from a, b, h group by 1")
 def semblance_density(spark: SparkSession, d: str) -> DataFrame:
     """Gaussian kernel density of semblances at 50 places, over counts in 500 bins."""
     b = an.equal_bins(table(spark, d, "detections"), "semblance", 500)
@@ -223,7 +245,7 @@ def semblance_density(spark: SparkSession, d: str) -> DataFrame:
         at = np.linspace(x[0], x[-1], 50)
         return pd.DataFrame({"x": at, "density": gaussian_density(x, n, at)})
 
-    return b.withColumn("k", F.lit(1)).groupBy("k").applyInPandas(run, "x double, density double")
+    return b.withColumn("k", F.lit(1)).groupBy("k").applyInPandas(run, "x double, density double").select(F.round("x", 6).alias("x"), F.round("density", 6).alias("density"))
 
 
 @query("select row_id, round(log10(pow(10, 1.5 * (magnitude + 10.7)) * 1e-7), 6) as log_m0 from station_magnitudes where magnitude is not null and not isnan(magnitude)")

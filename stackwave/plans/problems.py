@@ -66,19 +66,47 @@ def p3_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.coverage_periods(df, "nsl", "s", "e").toDF("nsl", "period_start_us", "period_end_us")
 
 
+# The definition in SQL. Stations: beyond the first gap of a factor of ten on either side of a source's median. Amplitudes: a decade from
+# the median of those near in distance, then checked against the near ones that aren't.
+_ANOMALIES = """
+with raw as (
+  select 'peak_amp' as field, row_id, nsl as source, event_time as t, case when not isnan(peak_amp) then peak_amp end as v, true as zero, null as d, false as below from station_magnitudes
+  union all select 'snr', row_id, nsl, event_time, case when not isnan(snr) and snr <> 0 then snr end, false, null, false from station_magnitudes
+  union all select 'peak_absolute', amp_id, collection_id::varchar, timestamp '1970-01-01' + to_microseconds(amp_id), case when not isnan(peak_absolute) then peak_absolute end, true,
+    case when distance_epi > 0 and distance_epi < 1e30 then distance_epi end, coalesce(peak_absolute < case when not isnan(peak_horizontal) then peak_horizontal end, false) or coalesce(peak_absolute < case when not isnan(peak_vertical) then peak_vertical end, false) from site_amplitudes),
+r as (select *, v is not null and (v < 0 or v >= 1e30 or (zero and v = 0) or below) as bad from raw),
+tm as (select field, source, t, row_number() over (partition by field, source order by t) as k from (select distinct field, source, t from r where source is not null and t is not null)),
+vk as (select distinct r.field, r.source, v, tm.k from r join tm on r.field = tm.field and r.source = tm.source and r.t = tm.t where v is not null),
+isl as (select *, k - row_number() over (partition by field, source, v order by k) as g from vk),
+runs as (select field, source, v, g, min(k) as a, max(k) as b from isl group by all having count(*) >= 5),
+m as (select r.*, tm.k, exists (select 1 from runs u where u.field = r.field and u.source = r.source and u.v = r.v and tm.k between u.a and u.b) as stuck, count(*) over (partition by r.field, r.source) as n from r join tm on r.field = tm.field and r.source = tm.source and r.t = tm.t),
+snd as (select * from m where v is not null and not bad and not stuck and n >= 30),
+st as (select *, row_number() over w as i, count(*) over (partition by field, source) as c, lag(v) over w as p, lead(v) over w as q from snd where field <> 'peak_absolute' window w as (partition by field, source order by v, row_id)),
+lim as (select field, source, min(case when i > c / 2 and v >= 10 * p then v end) as high, max(case when i < (c + 1) / 2 and q >= 10 * v and field <> 'snr' then v end) as low from st group by 1, 2),
+near as (select a.row_id, a.source, a.v, median(log10(b.v)) as med from snd a join snd b on a.field = b.field and a.source = b.source and b.d between a.d / 1.5 and a.d * 1.5 where a.field = 'peak_absolute' group by all),
+cand as (select *, abs(log10(v) - med) > 0.9 as c from near),
+site as (select a.row_id from cand a join snd x on x.field = 'peak_absolute' and x.row_id = a.row_id join snd b on b.field = 'peak_absolute' and b.source = x.source and b.d between x.d / 1.5 and x.d * 1.5 join cand k on k.row_id = b.row_id where a.c and not k.c group by a.row_id, a.v having a.v >= 10 * max(b.v) or a.v <= min(b.v) / 10),
+found as (
+  select field, row_id, 1 as why from r where bad
+  union all select field, row_id, 2 from m where stuck
+  union all select st.field, st.row_id, 3 from st join lim using (field, source) where v >= high or v <= low
+  union all select 'peak_absolute', row_id, 3 from site)
+"""
+
+
 def _implausible(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = anomalies.station_anomalies(table(spark, sf_dir, "station_magnitudes"), "row_id", "nsl", micros("event_time"), {"peak_amp": True, "snr": False})
     site = anomalies.site_anomalies(table(spark, sf_dir, "site_amplitudes"), "amp_id", "collection_id", "peak_absolute", "distance_epi", ["peak_horizontal", "peak_vertical"])
     return at.unionByName(site)
 
 
-@query()
+@query(_ANOMALIES + "select distinct field, row_id from found")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings that do not fit their own source."""
     return _implausible(spark, sf_dir).select("field", "row_id")
 
 
-@query()
+@query(_ANOMALIES + "select field, ['impossible', 'stuck', 'spike'][why] as reason, count(*) as n from (select field, row_id, min(why) as why from found group by 1, 2) group by 1, 2")
 def p4_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many readings each test of p4 found."""
     return _implausible(spark, sf_dir).groupBy("field", "reason").agg(F.count("*").alias("n"))
@@ -108,3 +136,18 @@ def p5_without_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _times(spark, sf_dir, servers.withColumn("date_order", F.lit(None).cast("string"))).where("n_readings > 1 and not repeated and layout is not null")
     stated = servers.select(F.col("server_id").alias("source"), F.when(F.col("date_order") == "mdy", "mdy").otherwise("dmy").alias("stated")).dropDuplicates(["source"])
     return t.join(stated, "source").groupBy(F.col("source").alias("server_id")).agg(F.count("*").alias("n_open"), F.count_if(F.col("layout").endswith(F.col("stated"))).alias("n_right"))
+
+
+@query("""
+with x as (select line_id, 'starttime' as field, regexp_replace(starttime, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') as s from stream_lines union all select line_id, 'endtime', regexp_replace(endtime, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') from stream_lines),
+u as (select *, case when regexp_full_match(s, '[0-9]{10}') then s::bigint * 1000000 when regexp_full_match(s, '[0-9]{13}') then s::bigint * 1000 when regexp_full_match(s, '[0-9]{16}') then s::bigint
+  when regexp_full_match(s, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z') then epoch_us(try_cast(left(s, 19) as timestamp))
+  when regexp_full_match(s, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}[+-][0-9]{2}:[0-9]{2}') then epoch_us(try_cast(left(s, 19) as timestamp)) - (case when s[20] = '+' then 1 else -1 end) * (s[21:22]::bigint * 60 + s[24:25]::bigint) * 60000000 end as e from x)
+select line_id, field, e as epoch_us from u where e is not null
+""")
+def p5_absolute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instants of p5_found whose texts stand for themselves in a plain form, which SQL can read too."""
+    lines = table(spark, sf_dir, "stream_lines")
+    texts = lines.select("line_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("starttime", "endtime")])).alias("x")).select("line_id", "x.*")
+    form = F.expr(r"regexp_replace(text, '^\\s+|\\s+$', '') rlike '^([0-9]{10}|[0-9]{13}|[0-9]{16}|[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(Z|[+-][0-9]{2}:[0-9]{2}))$'")
+    return p5_found(spark, sf_dir).join(texts.where(form), ["line_id", "field"], "left_semi").select("line_id", "field", "epoch_us")

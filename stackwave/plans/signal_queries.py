@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stackwave.operators import analytics
 from stackwave.operators import catalog as cat
 from stackwave.operators import cluster, ingest, magnitude, octree, stack, traveltime
 from stackwave.functions import codes, geo, signal
@@ -355,7 +356,21 @@ def event_segments(spark: SparkSession, d: str) -> DataFrame:
 # -- clusters ------------------------------------------------------------------------
 
 
-@query()
+_CLUSTERS = """
+with recursive e as (select seq, depth, lat, lon from (select *, row_number() over (partition by event_uid order by seq) as n from detections) where n = 1 and lat is not null and lon is not null and depth is not null and not isnan(lat) and not isnan(lon) and abs(lat) <= 90),
+a as (select seq, depth, 2 * 6378137.0 * asin(sqrt(least(1, pow(sin((radians(lat) - radians(12.5)) / 2), 2) + cos(radians(12.5)) * cos(radians(lat)) * pow(sin(radians(lon - 44.5) / 2), 2)))) as d, atan2(sin(radians(lon - 44.5)) * cos(radians(lat)), cos(radians(12.5)) * sin(radians(lat)) - sin(radians(12.5)) * cos(radians(lat)) * cos(radians(lon - 44.5))) as z from e),
+p as (select seq, d * sin(z) as x, d * cos(z) as y, depth as w from a where not isnan(depth)),
+g as (select a.seq as a, b.seq as b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.w - b.w, 2)) as d from p a join p b on abs(a.x - b.x) <= 1000 and abs(a.y - b.y) <= 1000 and abs(a.w - b.w) <= 1000 and sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.w - b.w, 2)) <= 1000),
+core as (select a as id from g group by a having count(*) >= 30),
+link as (select g.* from g join core c on c.id = g.a join core k on k.id = g.b),
+cc(id, root) using key (id) as (select id, id from core union select l.b, min(cc.root) from cc join link l on cc.id = l.a join recurring.cc as r on r.id = l.b where cc.root < r.root group by l.b),
+border as (select g.a as id, arg_min(g.b, (g.d, g.b)) as k from g join core c on c.id = g.b where g.a not in (select id from core) group by 1),
+named as (select id, root from cc union all select border.id, cc.root from border join cc on cc.id = border.k),
+labels as (select e.seq, coalesce(named.root, -1)::bigint as label from e left join named on named.id = e.seq)
+"""
+
+
+@query(_CLUSTERS + "select seq, label from labels")
 def clusters(spark: SparkSession, d: str) -> DataFrame:
     """Density clusters of the first exports of all located detections; metres around a reference."""
     e = cat.first_by(table(spark, d, "detections"), ["event_uid"], ["seq"]).where("lat is not null and lon is not null and depth is not null and not isnan(lat) and not isnan(lon) and abs(lat) <= 90")
@@ -363,7 +378,27 @@ def clusters(spark: SparkSession, d: str) -> DataFrame:
     return cluster.dbscan(e.select("seq", east.alias("east"), north.alias("north"), "depth"), "seq", ["east", "north", "depth"], 1_000.0, 30)
 
 
-@query()
+@query(_CLUSTERS + "select count(distinct case when label >= 0 then label end) as clusters, count(case when label < 0 then 1 end) as noise, count(case when label >= 0 then 1 end) as clustered from labels")
 def cluster_counts(spark: SparkSession, d: str) -> DataFrame:
     c = clusters(spark, d)
     return c.agg(F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("clusters"), F.count_if(F.col("label") < 0).alias("noise"), F.count_if(F.col("label") >= 0).alias("clustered"))
+
+
+_EVENT_SIZE = "sz as (select event_uid, median(magnitude) as m from station_magnitudes where magnitude is not null and not isnan(magnitude) group by 1), lm as (select l.label, d.seq, d.event_time, sz.m from labels l join detections d using (seq) join sz using (event_uid))"
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "station_magnitudes").where("magnitude is not null and not isnan(magnitude)").groupBy("event_uid").agg(F.median("magnitude").alias("m"))
+    return clusters(spark, d).join(table(spark, d, "detections").select("seq", "event_uid", "event_time"), "seq").join(m, "event_uid").select("label", "seq", "event_time", "m")
+
+
+@query(_CLUSTERS.rstrip() + f", {_EVENT_SIZE} select label, count(*) as n, round(min(m), 6) as least, round(median(m), 6) as med, round(max(m), 6) as most, round(any_value(a), 6) as all_least, round(any_value(b), 6) as all_most, (label < 0)::int as last from lm, (select min(m) as a, max(m) as b from lm) group by 1")
+def magnitude_by_cluster(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of the events of each cluster; noise last."""
+    return analytics.by_label(_labelled(spark, d), "label", "m")
+
+
+@query(_CLUSTERS.rstrip() + f", {_EVENT_SIZE}, x as (select label, m - lag(m) over (partition by label order by event_time, seq) as diff from lm), ag as (select label, count(*) as n_values, count(case when diff >= 0.5 then 1 end) as n, avg(case when diff >= 0.5 then diff - 0.5 end) as m from x group by 1) select label, n_values, n, round(case when n >= 10 and n_values >= 5 and m > 0 then 1 / (ln(10) * m) end, 6) as b, round(case when n >= 10 and n_values >= 5 and m > 0 then 1 / (ln(10) * m) / sqrt(n) end, 6) as error from ag")
+def b_value_by_cluster(spark: SparkSession, d: str) -> DataFrame:
+    x = analytics.differences(_labelled(spark, d), "m", ["event_time", "seq"], ["label"])
+    return analytics.b_positive(x, ["label"], 0.5, 5, 10)

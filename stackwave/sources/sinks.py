@@ -65,7 +65,13 @@ def write_simple(events: DataFrame, picks: DataFrame, path: str, min_semblance:
 
 
 def velest_lines(events: DataFrame, picks: DataFrame, min_semblance: float = 0.0, min_p_picks: int = 4, min_border: float = 0.0, min_confidence: float = 0.0, max_delay_s: float = 1e9) -> DataFrame:
-    """(event_uid, line_no, line): an event's header and its picks in fixed width, with quality classes by confidence."""
+    """(event_uid, line_no, line): an event's header and its picks in fixed width, with quality classes by confidence.
+
+    Events lacking a coordinate have no line; a missing or NaN measure passes no bound.
+    """
+    for c in ("lat", "lon", "depth", "elevation", "semblance", "distance_border"):
+        events = events.where(F.col(c).isNotNull() & ~F.isnan(c))
+    picks = picks.where(~F.isnan("confidence"))
     delay = F.abs((F.unix_micros(F.col("observed_time").cast("timestamp")) - F.unix_micros(F.col("model_time").cast("timestamp"))) / 1e6)
     p = picks.where(F.col("observed_time").isNotNull() & (F.col("confidence") > min_confidence) & (delay <= max_delay_s))
     kind = F.right("phase", F.lit(1))

@@ -15,13 +15,24 @@ from stackwave.plans import catalog_queries, pipeline_queries, registry, signal_
 from stackwave.sources import archives, mseed, sinks
 from stackwave.streaming import live
 
-REST = [(m, k) for m in (signal_queries, pipeline_queries, catalog_queries) for k in m.QUERIES if k not in m.SQL and not k.startswith(("synthetic", "velocity_model"))]
+def test_trace_functions_over_a_table(spark, data):
+    e = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()}
+    got = {r.vec_id: r for r in signal_queries.filtered_traces(spark, data).collect()}
+    assert set(got) == set(e)
+    for k in sorted(e)[:20]:
+        y = signal.band_filter(e[k], 100.0, 2.0, 20.0)
+        assert np.allclose(got[k].samples, signal.resample(y, 0.01, 0.02)) and got[k].trigger == pytest.approx(signal.sta_lta(y, 4, 16).max())
 
 
-@pytest.mark.parametrize("module,name", REST, ids=[k for _, k in REST])
-def test_runs(spark, data, module, name):
-    df = module.QUERIES[name](spark, data)
-    assert df.columns and df.count() >= 0
+def test_layered_times_are_those_of_the_rays(spark, data):
+    got = signal_queries.layered_travel_times(spark, data).where("phase = 'cake:P'").join(signal_queries._pairs(spark, data), ["node_id", "sta_idx"]).limit(300).collect()
+    for r in got[::10]:
+        assert r.tt == pytest.approx(traveltime.ray_table(traveltime.layers(), "vp", np.array([r.offset]), np.array([r.depth]))[0, 0], rel=2e-3)
+
+
+def test_magnitude_fit_is_the_likeliest(spark, data):
+    r = pipeline_queries.magnitude_fit(spark, data).first()
+    assert r.b > 0 and r.sigma > 0 and math.isfinite(r.mu) and r.log_likelihood < 0
 
 
 @pytest.mark.parametrize("incremental", [False, True])
