@@ -105,6 +105,17 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "source", "text", targets), targets)
 
 
+@query("select t.source, true as within, true as capped from mix_targets t where t.source in (select source from documents where strlen(text) > 0)")
+def p7_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares held against the targets (over those of sources that have records): within a hundredth of a percent or two texts, and no text too often."""
+    s = p7_shares(spark, sf_dir).where("tokens > 0 or docs > 0")
+    all_ = s.agg(F.sum("target_share").alias("t"), F.sum("tokens").alias("n"))
+    most = table(spark, sf_dir, "documents").where("octet_length(text) > 0").groupBy("source").agg(F.max(F.octet_length("text")).alias("longest"))
+    off = F.abs(F.col("actual_share") - F.col("target_share") / F.col("t"))
+    j = s.crossJoin(F.broadcast(all_)).join(most, "source")  # one row
+    return j.select("source", (off <= F.greatest(F.lit(1e-4), 2 * F.col("longest") / F.col("n"))).alias("within"), (F.col("most_copies") <= F.col("max_repeats")).alias("capped"))
+
+
 @query()
 def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of the documents of more than 4,096 tokens."""
@@ -115,3 +126,15 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that were cut."""
     return p8_pieces(spark, sf_dir).where("piece = 0").select("doc_id")
+
+
+@query("select doc_id, strlen(text)::bigint as n_bytes, true as within, true as whole, true as shared from documents where strlen(text) > 4096")
+def p8_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pieces hold: the whole text in order, none over the limit, 256 tokens (to a character) in common with the one before."""
+    p = p8_pieces(spark, sf_dir)
+    rows = p.groupBy("doc_id").agg(
+        F.max("byte_end").alias("n_bytes"), F.max("n_tokens").alias("most"), F.sum(F.col("byte_end") - F.col("byte_start")).alias("own"), F.count("*").alias("n"), F.max("piece").alias("last"),
+        F.min(F.when(F.col("piece") > 0, F.col("shared_bytes"))).alias("least_shared"), F.max("shared_bytes").alias("most_shared"), F.min("byte_start").alias("first"),
+    )
+    whole = (F.col("own") == F.col("n_bytes")) & (F.col("first") == 0) & (F.col("n") == F.col("last") + 1)
+    return rows.select("doc_id", "n_bytes", (F.col("most") <= 4096).alias("within"), whole.alias("whole"), ((F.col("least_shared") >= 256) & (F.col("most_shared") <= 259)).alias("shared"))
