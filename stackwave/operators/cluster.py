@@ -15,17 +15,43 @@ are opened, and only where they decide. A cell has at most FINE ** axes of them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackwave.plans.dist import checkpointed
 
 FINE = 12
+FEW = 200_000  # links up to which one task unites them; beyond, rounds over tables do
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, root) of links (u, v), by union and find."""
+    up: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        root = k
+        while up.setdefault(root, root) != root:
+            root = up[root]
+        while up[k] != root:
+            up[k], k = root, up[k]
+        return root
+
+    for b in batches:
+        for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist()):
+            x, y = find(u), find(v)
+            up[max(x, y)] = min(x, y)
+    ids = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(k) for k in ids], pa.int64())], names=["id", "root"])
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, root): the least id of each component of links(a, b); large-star and small-star rounds on checkpointed tables."""
-    e = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    e = checkpointed(links.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u > v").distinct())
+    if e.count() <= FEW:
+        return e.repartition(1).mapInArrow(_united, "id long, root long")
     while True:
         # large star: each node's greater neighbours go to its least neighbour (or itself)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -47,22 +73,24 @@ def dbscan(points: DataFrame, key: str, axes: list[str], eps: float, least_point
     n = len(axes)
     xs, cs = [f"x{i}" for i in range(n)], [f"c{i}" for i in range(n)]
     side = eps / n**0.5 * (1 - 1e-12)
-    reach = int(-(-eps // side))
     p = points.select(F.col(key).cast("long").alias("id"), *[F.col(a).cast("double").alias(x) for a, x in zip(axes, xs)])
     p = p.where(" and ".join(f"{x} is not null and not isnan({x})" for x in xs))
-    p = p.select("*", *[F.floor(F.col(x) / side).alias(c) for x, c in zip(xs, cs)], F.concat_ws(",", *[F.floor(F.col(x) / (side / FINE)).cast("string") for x in xs]).alias("sub"))
+    ks = [f"k{i}" for i in range(n)]
+    # cells, coarse cells of side eps, and sub-cells (each in one cell and one coarse cell)
+    p = p.select("*", *[F.floor(F.col(x) / side).alias(c) for x, c in zip(xs, cs)], *[F.floor(F.col(x) / (eps * (1 + 1e-12))).alias(k) for x, k in zip(xs, ks)])
+    p = p.withColumn("sub", F.concat_ws(",", *[F.floor(F.col(x) / (side / FINE)).cast("string") for x in xs], *ks))
 
     def subs(q: DataFrame) -> DataFrame:
-        """Sub-cells with their number and bounds, keyed by n<cell>."""
-        a = q.groupBy(*cs, "sub").agg(F.count("*").alias("n"), *[f(x).alias(f"{h}_{x}") for x in xs for h, f in (("lo", F.min), ("hi", F.max))])
-        for c in cs:
+        """Sub-cells with their number and bounds, keyed by n<cell>, n<coarse cell> and sub."""
+        a = q.groupBy(*cs, *ks, "sub").agg(F.count("*").alias("n"), *[f(x).alias(f"{h}_{x}") for x in xs for h, f in (("lo", F.min), ("hi", F.max))])
+        for c in (*cs, *ks):
             a = a.withColumnRenamed(c, f"n{c}")
         return a
 
     def around(q: DataFrame) -> DataFrame:
-        """Each row once for every cell within reach, as n<cell>."""
-        for c in cs:
-            q = q.withColumn(f"n{c}", F.explode(F.sequence(F.col(c) - reach, F.col(c) + reach)))
+        """Each row once for every coarse cell that it may reach into, as n<coarse cell>."""
+        for k in ks:
+            q = q.withColumn(f"n{k}", F.explode(F.array(*[F.col(k) + i for i in (-1, 0, 1)])))
         return q
 
     def beside(cells: DataFrame) -> DataFrame:
@@ -71,10 +99,8 @@ def dbscan(points: DataFrame, key: str, axes: list[str], eps: float, least_point
             cells = cells.withColumn(k, F.explode(F.array(*[F.col(k) + i for i in (-1, 0, 1)])))
         return cells
 
-    ks = [f"k{i}" for i in range(n)]
-    p = p.select("*", *[F.floor(F.col(x) / (eps * (1 + 1e-12))).alias(k) for x, k in zip(xs, ks)])
     busy = beside(p.groupBy(*ks).agg(F.count("*").alias("n"))).groupBy(*ks).agg(F.sum("n").alias("n")).where(F.col("n") >= least_points).select(*ks)
-    ncs = [f"n{c}" for c in cs]
+    ncs, nks = [f"n{c}" for c in cs], [f"n{k}" for k in ks]
     root = lambda parts: F.sqrt(sum(parts, F.lit(0.0)))
     zero = F.lit(0.0)
     nearest: Column = root(F.pow(F.greatest(F.col(f"lo_{x}") - F.col(x), F.col(x) - F.col(f"hi_{x}"), zero), 2.0) for x in xs)
@@ -89,7 +115,7 @@ def dbscan(points: DataFrame, key: str, axes: list[str], eps: float, least_point
     full = p.groupBy(*cs).agg(F.count("*").alias("n")).where(F.col("n") >= least_points).select(*cs)
     dense = p.join(full, cs, "left_semi")
     thin = p.join(full, cs, "left_anti")
-    seen = around(thin.join(busy, ks, "left_semi").drop("sub", *ks)).join(subs(p), ncs).where(nearest <= eps).withColumn("sure", farthest <= eps)
+    seen = around(thin.join(busy, ks, "left_semi").drop("sub")).join(subs(p), nks).where(nearest <= eps).withColumn("sure", farthest <= eps)
     bounds = seen.groupBy("id").agg(F.sum(F.when(F.col("sure"), F.col("n")).otherwise(0)).alias("least"), F.sum("n").alias("most"))
     bounds = checkpointed(bounds.where(F.col("most") >= least_points))
     open_ = seen.where("not sure").drop("n").join(bounds.where(F.col("least") < least_points).select("id", "least"), "id")
@@ -101,10 +127,11 @@ def dbscan(points: DataFrame, key: str, axes: list[str], eps: float, least_point
     heads = core.groupBy(*cs).agg(F.min("id").alias("head"))
     boxes = subs(core)
     mine = boxes
-    for c in cs:
+    for c in (*cs, *ks):
         mine = mine.withColumnRenamed(f"n{c}", c)
-    mine = around(mine.select(*cs, F.col("sub").alias("a_sub"), *[F.col(f"{h}_{x}").alias(f"{h}2_{x}") for x in xs for h in ("lo", "hi")])).where(" or ".join(f"(n{c} > {c}" + "".join(f" and n{d} = {d}" for d in cs[:i]) + ")" for i, c in enumerate(cs)))
-    b = mine.join(boxes, ncs)
+    mine = around(mine.select(*cs, *ks, F.col("sub").alias("a_sub"), *[F.col(f"{h}_{x}").alias(f"{h}2_{x}") for x in xs for h in ("lo", "hi")]))
+    once = (" or ".join(f"(n{c} > {c}" + "".join(f" and n{d} = {d}" for d in cs[:i]) + ")" for i, c in enumerate(cs)))
+    b = mine.join(boxes, nks).where(once)
     gap = root(F.pow(F.greatest(F.col(f"lo_{x}") - F.col(f"hi2_{x}"), F.col(f"lo2_{x}") - F.col(f"hi_{x}"), zero), 2.0) for x in xs)
     width = root(F.pow(F.greatest(F.col(f"hi_{x}") - F.col(f"lo2_{x}"), F.col(f"hi2_{x}") - F.col(f"lo_{x}")), 2.0) for x in xs)
     b = b.withColumn("gap", gap).where(F.col("gap") <= eps).withColumn("sure", width <= eps)
@@ -121,7 +148,7 @@ def dbscan(points: DataFrame, key: str, axes: list[str], eps: float, least_point
 
     # border points: the nearest core point, looked for in the sub-cells that may hold it
     rest = thin.join(beside(core.select(*ks).distinct()).distinct(), ks, "left_semi").join(core.select("id"), "id", "left_anti")
-    may = around(rest.drop("sub", *ks)).join(boxes.drop("n"), ncs).withColumn("near", nearest).where(F.col("near") <= eps).withColumn("far", farthest)
+    may = around(rest.drop("sub")).join(boxes.drop("n"), nks).withColumn("near", nearest).where(F.col("near") <= eps).withColumn("far", farthest)
     best = may.groupBy("id").agg(F.min("far").alias("far_best"))
     may = may.join(best, "id").where("near <= far_best")
     border = opened(may, named, ["label"]).where(F.col("d") <= eps).groupBy("id").agg(F.min(F.struct("d", "o_id", "label")).alias("m")).select("id", F.col("m.label").alias("label"))
