@@ -127,3 +127,29 @@ def location_hash(*columns: Column | str) -> Column:
 def jitter(c: Column | str, metres: float, seed: int) -> Column:
     """Uniform in +-metres/2, repeatable by seed."""
     return _c(c) + (F.rand(seed) - 0.5) * metres
+
+
+def offset_3d(lat0, lon0, elevation0, lat, lon, elevation) -> tuple[Column, Column, Column]:
+    """(east, north, down) metres of a point from a reference."""
+    e, n = offset_from(lat0, lon0, lat, lon)
+    return e, n, _c(elevation0) - _c(elevation)
+
+
+def shifted(lat, lon, east, north, depth, by_east: float, by_north: float, by_depth: float = 0.0) -> tuple[Column, Column, Column, Column, Column]:
+    """(lat, lon, east, north, depth) with shifts added; the origin stays."""
+    return _c(lat), _c(lon), _c(east) + by_east, _c(north) + by_north, _c(depth) + by_depth
+
+
+def origin(lat, lon) -> tuple[Column, Column, Column, Column]:
+    """(lat, lon, east, north) of a location's origin: without its shifts."""
+    return _c(lat), _c(lon), F.lit(0.0), F.lit(0.0)
+
+
+def to_origin(lat, lon, east, north) -> tuple[Column, Column, Column, Column]:
+    """(lat, lon, east, north) with the shifts worked into lat and lon."""
+    return effective_lat(lat, lon, east, north), effective_lon(lat, lon, east, north), F.lit(0.0), F.lit(0.0)
+
+
+def distance_without_elevation(surface: Column, depth) -> Column:
+    """Hypocentral distance as older catalogues have it: the depth below zero alone."""
+    return F.sqrt(F.pow(surface, 2.0) + F.pow(_c(depth), 2.0))

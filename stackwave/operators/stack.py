@@ -37,13 +37,17 @@ def resume(before: DataFrame, after: DataFrame) -> DataFrame:
     return reduce_max(before.unionByName(after))
 
 
-def snapshot(stack: DataFrame, t: int) -> DataFrame:
-    """The value of every node at one sample."""
-    return stack.where(F.col("t") == t).select("batch_id", "node_id", "v")
+def snapshot(stack: DataFrame, t: int, leaves: DataFrame | None = None) -> DataFrame:
+    """The value of every node at one sample; of the given leaves alone where there are any."""
+    out = stack.where(F.col("t") == t).select("batch_id", "node_id", "v")
+    return out if leaves is None else out.join(leaves.select("node_id"), "node_id", "left_semi").select("batch_id", "node_id", "v")
 
 
-def extent(images: DataFrame, shifts: DataFrame) -> DataFrame:
-    """(batch_id, first, last): the samples that any pair of trace and node reaches."""
+def extent(images: DataFrame, shifts: DataFrame, shift_range: tuple[int, int] | None = None) -> DataFrame:
+    """(batch_id, first, last): the samples that any pair of trace and node reaches, or that shifts in a given range would reach."""
+    if shift_range is not None:
+        lo, hi = shift_range
+        return images.groupBy("batch_id").agg((F.min("offset") + lo).alias("first"), (F.max(F.col("offset") + F.size("samples")) + hi).alias("last"))
     j = images.join(shifts, "trace_id")
     return j.groupBy("batch_id").agg(F.min(F.col("offset") + F.col("shift")).alias("first"), F.max(F.col("offset") + F.col("shift") + F.size("samples")).alias("last"))
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackwave.functions import signal
 from stackwave.operators.octree import Bounds
 
 
@@ -40,3 +43,18 @@ def images(arr: DataFrame, start_us: int, length_us: int, rate: float, width_s:
 def perturb(model: list[tuple], factors: list[float]) -> list[tuple]:
     """Scale each layer's velocities by a factor, so vp / vs stays."""
     return [(t, b, vp * f, vs * f, gp * f, gs * f) for (t, b, vp, vs, gp, gs), f in zip(model, factors)]
+
+
+def spans(arr: DataFrame) -> DataFrame:
+    """(first_arrival_us, start_us, end_us): the least arrival, and the span of all."""
+    return arr.agg(F.min("time_us").alias("first_arrival_us"), F.min("time_us").alias("start_us"), F.max("time_us").alias("end_us"))
+
+
+def concatenated(pieces: DataFrame, order: list[str], taper: float = 0.2) -> DataFrame:
+    """(nslc, samples): selected pieces of each trace joined in order, detrended and tapered into each other. A selection is a few events."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        return pd.DataFrame({"nslc": [pdf.nslc.iloc[0]], "samples": [signal.overlap_concat([np.asarray(x, float) for x in pdf.samples], taper).tolist()]})
+
+    return pieces.groupBy("nslc").applyInPandas(run, "nslc string, samples array<double>")

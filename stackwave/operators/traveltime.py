@@ -270,6 +270,45 @@ def exponential_weight(distance: Column, radius: float, exponent: float, waterle
     return (1 - waterlevel) / (1 + F.pow(distance / radius, F.lit(float(exponent)))) + waterlevel
 
 
+def exponential_weights(d: DataFrame, radius: float, exponent: float, waterlevel: float = 0.0) -> DataFrame:
+    """Adds weight, divided by the greatest of all rows."""
+    x = d.withColumn("weight", exponential_weight(F.col("distance"), radius, exponent, waterlevel))
+    top = x.agg(F.max("weight").alias("_top"))
+    return x.crossJoin(F.broadcast(top)).withColumn("weight", F.try_divide(F.col("weight"), F.col("_top"))).drop("_top")  # one row
+
+
+def velocity_least_at(model: list[tuple], depth: float) -> float:
+    """The lesser of vp and vs at a depth, on the profile's lines."""
+    out = []
+    for phase in ("vp", "vs"):
+        m = Layers(model, phase)
+        n = max(0, int(np.searchsorted(m.top, depth, side="right")) - 1)
+        out.append(m.velocity(n, depth))
+    return min(out)
+
+
+def fill_from_grid(nodes: DataFrame, grids: dict[int, np.ndarray], axes: tuple[list[float], list[float], list[float]]) -> DataFrame:
+    """(node_id, sta_idx, tt): each station's grid of times (east, north, depth) at every node, linear between grid places; NULL outside. A run's few hundred grids travel with the tasks."""
+    ax = [np.asarray(a, float) for a in axes]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = [b.column(c).to_numpy(zero_copy_only=False) for c in ("east", "north", "depth")]
+            inside = np.all([(v >= a[0]) & (v <= a[-1]) for v, a in zip(p, ax)], axis=0)
+            at = [np.clip(np.searchsorted(a, v, side="right") - 1, 0, len(a) - 2) for v, a in zip(p, ax)]
+            w = [(v - a[i]) / (a[i + 1] - a[i]) for v, a, i in zip(p, ax, at)]
+            for sta, g in grids.items():
+                t = np.zeros(b.num_rows)
+                for e in (0, 1):
+                    for n in (0, 1):
+                        for d in (0, 1):
+                            part = [x if k else 1 - x for x, k in zip(w, (e, n, d))]
+                            t += part[0] * part[1] * part[2] * g[at[0] + e, at[1] + n, at[2] + d]
+                yield pa.RecordBatch.from_arrays([b.column("node_id"), pa.array(np.full(b.num_rows, sta)), pa.array(np.where(inside, t, np.nan), from_pandas=True)], names=["node_id", "sta_idx", "tt"])
+
+    return nodes.select(F.col("node_id").cast("long"), *[F.col(c).cast("double") for c in ("east", "north", "depth")]).mapInArrow(run, "node_id long, sta_idx long, tt double")
+
+
 def normalise_weights(d: DataFrame, by: list[str], least: float = 1e-3) -> DataFrame:
     """Zero where the travel time is missing, divided by the group's sum, zero below `least` (not normalised again)."""
     x = d.withColumn("weight", F.when(F.col("tt").isNull() | F.isnan("tt"), F.lit(0.0)).otherwise(F.col("weight")))

@@ -13,6 +13,7 @@ from stackwave.operators import ordered
 from stackwave.operators import picks as pk
 from stackwave.operators import stations as sta
 from stackwave.plans.dist import micros, table
+from stackwave.sources import sinks
 from stackwave.streaming import live
 
 QUERIES = {}
@@ -151,6 +152,62 @@ def catalog_overview(spark: SparkSession, d: str) -> DataFrame:
     return one.crossJoin(ordered.median(e, [], "n_picks", "median_picks"))  # one row each
 
 
+@query(f"with {EV}, {_NETMAG}, {PK}, r as (select event_uid, avg(rms) as rms from (select event_uid, phase, sqrt(avg(delay * delay)) as rms from pk where observed_time is not null group by 1, 2) group by 1) select round(avg(case when not isnan(semblance) then semblance end), 6) as mean_semblance, count(average) as n_magnitudes, round(min(average), 6) as least_magnitude, round(max(average), 6) as most_magnitude, round(median(rms), 6) as median_rms, round(max(rms), 6) as most_rms from ev left join nm using (event_uid) left join r using (event_uid)")
+def catalog_measures(spark: SparkSession, d: str) -> DataFrame:
+    """Magnitudes, residuals and semblance of a catalogue."""
+    m = table(spark, d, "station_magnitudes").where("magnitude is not null and not isnan(magnitude)").groupBy("event_uid").agg(F.median("magnitude").alias("average"))
+    e = ev(spark, d).join(m, "event_uid", "left").join(pk.phase_rms(table(spark, d, "picks")).groupBy("event_uid").agg(F.avg("rms").alias("rms")), "event_uid", "left")
+    one = e.agg(F.round(F.avg(an.real("semblance")), 6).alias("mean_semblance"), F.count("average").alias("n_magnitudes"), F.round(F.min("average"), 6).alias("least_magnitude"), F.round(F.max("average"), 6).alias("most_magnitude"), F.round(F.max("rms"), 6).alias("most_rms"))
+    return one.crossJoin(ordered.median(e, [], "rms", "m").select(F.round("m", 6).alias("median_rms")))  # one row each
+
+
+@query(f"with {EV}, {_NETMAG} select event_uid, seq, list_filter([case when average is not null then struct_pack(magnitude := 'LocalMagnitude', average := round(average, 6)) end], lambda x: x is not null)[1].average as magnitude, count(*) over () as n_rows from ev join nm using (event_uid)")
+def catalog_with_magnitudes(spark: SparkSession, d: str) -> DataFrame:
+    """The flat export's magnitude column: the first of an event's list; events without one are left out."""
+    m = table(spark, d, "station_magnitudes").where("magnitude is not null and not isnan(magnitude)").groupBy("event_uid").agg(F.median("magnitude").alias("average"))
+    e = ev(spark, d).join(m, "event_uid").withColumn("magnitudes", F.array(F.struct(F.lit("LocalMagnitude").alias("magnitude"), F.round("average", 6).alias("average"))))
+    n = e.agg(F.count("*").alias("n_rows"))
+    return e.crossJoin(F.broadcast(n)).select("event_uid", "seq", F.get("magnitudes", F.lit(0))["average"].alias("magnitude"), "n_rows")  # one row
+
+
+@query(f"with {EV} select event_uid, 'event: ' || strftime(event_time, '%Y-%m-%d %H:%M:%S.%g') || ' ' || printf('%.5f', lat::varchar::decimal(18, 5)::double) || ' ' || printf('%.5f', lon::varchar::decimal(18, 5)::double) || ' ' || printf('%.1f', depth::varchar::decimal(18, 1)::double) || ' ' || printf('%.5f', semblance::varchar::decimal(18, 5)::double) as line from ev where not isnan(lat) and not isnan(lon) and not isnan(depth) and not isnan(semblance)")
+def event_markers(spark: SparkSession, d: str) -> DataFrame:
+    """Marker lines of the events with a place and a semblance."""
+    e = ev(spark, d).where(" and ".join(f"{c} is not null and not isnan({c})" for c in ("lat", "lon", "depth", "semblance")))
+    return sinks.event_markers(e)
+
+
+@query(f"with {STS} select nsl, printf('%-6s', station) || printf('%8.4f', abs(lat)::varchar::decimal(18, 4)::double) || case when lat >= 0 then 'N' else 'S' end || ' ' || printf('%9.4f', abs(lon)::varchar::decimal(18, 4)::double) || case when lon >= 0 then 'E' else 'W' end || printf(' %5d', round(elevation - depth)::int) as line from st where not isnan(elevation - depth)")
+def station_lines(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.station_lines(sts(spark, d).where("not isnan(elevation - depth) and elevation - depth is not null"))
+
+
+@query("with g as (select nsl, min(epoch_us(starttime)) as s, max(epoch_us(endtime)) as e from seedlink_stations where nsl is not null and endtime is not null and starttime is not null group by 1) select min(s)::bigint as start_us, min(1700000000000000 - e)::bigint as delay_us, count(*) as n_online from g where 1700000000000000 - e <= 86400000000")
+def stream_state(spark: SparkSession, d: str) -> DataFrame:
+    """Start, delay and number of the online sources."""
+    s = table(spark, d, "seedlink_stations").where("nsl is not null and endtime is not null and starttime is not null").select("nsl", micros("starttime").alias("s"), micros("endtime").alias("e"))
+    return live.stream_state(s, "nsl", "s", "e", 1_700_000_000_000_000, 86_400_000_000)
+
+
+@query("select seq, event_uid from detections where event_time < timestamp '2023-06-01'")
+def catalog_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """What a run keeps that goes on from a time."""
+    x = table(spark, d, "detections").withColumn("t", micros("event_time"))
+    return live.resumed(x, "t", 1_685_577_600_000_000).select("seq", "event_uid")
+
+
+@query(f"with {PK}, a as (select nsl, sum(confidence) as total, count(*) as n from pk where observed_time is not null and not isnan(confidence) group by 1) select nsl, n, round(total, 6) as total, row_number() over (order by round(total, 6) desc, nsl) as place from a")
+def pick_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """Stations by the summed confidence of their picks; one row a station."""
+    p = pks(spark, d).where("observed_time is not null and not isnan(confidence)").groupBy("nsl").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 6).alias("total"))
+    return ordered.numbered(p.withColumn("_m", -F.col("total")), [], ["_m", "nsl"], "place").select("nsl", "n", "total", "place")
+
+
+@query("with c as (select event_uid, count(observed_time) as v from picks group by 1) select median(v)::double as median, count(*) as n from c")
+def pick_count_median(spark: SparkSession, d: str) -> DataFrame:
+    return ordered.quantiles(pk.pick_counts(table(spark, d, "picks"), ["event_uid"]), [], "n_picks", {"median": 0.5}).select("median", "n")
+
+
 # -- histograms, rates, b-values ----------------------------------------------------
 
 _SIZE = "sz as (select seq, event_time, magnitude as m from (select row_id as seq, event_time, magnitude from station_magnitudes where magnitude is not null and not isnan(magnitude)))"

@@ -110,6 +110,9 @@ def run(spark: SparkSession, config: dict) -> DataFrame:
     merged = ingest.merge_gaps(source, int(config.get("max_gap_samples", 0)))
     batches = ingest.trace_batches(merged, length, pad, origin)
     batches = ingest.long_enough(batches, round(float(config.get("least_s", 0.0)) * 1e6))
+    if config.get("least_stations"):
+        nsl = F.regexp_extract("nslc", r"^(.*)\.[^.]*$", 1)
+        batches = ingest.healthy_batches(batches.withColumn("nsl", nsl), "nsl", int(config["least_stations"])).drop("nsl")
     traces = registry.chain("preprocess", config.get("preprocess", []))(batches)
     images = assemble(registry.build("image", config["image"])(traces), known)
     more = {k: v for k, v in config["search"].items() if k not in ("bounds", "root_size", "levels")}

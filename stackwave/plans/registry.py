@@ -55,6 +55,14 @@ def chain(kind: str, configs: list[dict]) -> Callable:
     return run
 
 
+def tracer_for(phase: str, tracers: list[tuple[set[str], Callable]]) -> Callable:
+    """The first tracer (phases it offers, function) that offers a phase; an error where none does."""
+    for phases, f in tracers:
+        if phase in phases:
+            return f
+    raise ValueError(f"no tracer offers {phase}")
+
+
 def load_script(path: str) -> object:
     """A user's script that offers load()."""
     spec = importlib.util.spec_from_file_location(Path(path).stem, path)

@@ -187,6 +187,29 @@ def distance_weights(spark: SparkSession, d: str) -> DataFrame:
     return _weights(_pairs(spark, d))
 
 
+@query(f"with {_PAIR}, w as (select node_id, sta_idx, 0.9 / (1 + pow(distance / 5000.0, 2.0)) + 0.1 as w from pr) select node_id::bigint as node_id, sta_idx, round(w / (select max(w) from w), 6) as weight from w")
+def exponential_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Weights that fall with distance, against the greatest of all pairs."""
+    return traveltime.exponential_weights(_pairs(spark, d), 5_000.0, 2.0, 0.1).select("node_id", "sta_idx", F.round("weight", 6).alias("weight"))
+
+
+@query(f"with {_ROOT} select node_id::bigint as node_id, sta_idx::bigint as sta_idx, round((east + 2 * north - 3 * depth) * sta_idx, 3) as tt from root, (select unnest([1, 2]) as sta_idx)")
+def grid_travel_times(spark: SparkSession, d: str) -> DataFrame:
+    """Times of nodes between the places of a grid, where the field is linear."""
+    ax = tuple(octree.axis_through_zero(*b, 1_500.0) for b in (B.east, B.north, B.depth))
+    e, n, z = np.meshgrid(*ax, indexing="ij")
+    t = traveltime.fill_from_grid(octree.roots(spark, B, SIZE), {k: (e + 2 * n - 3 * z) * k for k in (1, 2)}, ax)
+    return t.select("node_id", "sta_idx", F.round("tt", 3).alias("tt"))
+
+
+@query(f"with {STS} select sta_idx, round(6371000.0 * 0.0 + (300.0 - (elevation - depth)), 6) as down, round(sqrt(pow(1000.0, 2) + pow(depth, 2)), 6) as old_distance from st where not isnan(elevation - depth)")
+def station_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """How far stations lie below a reference, and the distance that leaves elevations out."""
+    s = sts(spark, d).where("elevation - depth is not null and not isnan(elevation - depth)")
+    _, _, down = geo.offset_3d(F.lit(12.5), F.lit(44.5), F.lit(300.0), "lat", "lon", F.col("elevation") - F.col("depth"))
+    return s.select("sta_idx", F.round(down, 6).alias("down"), F.round(geo.distance_without_elevation(F.lit(1000.0), "depth"), 6).alias("old_distance"))
+
+
 @query(f"with {STS} select sta_idx, round(2 * 6371000 * asin(sqrt(least(1, pow(sin((radians(lat) - radians(12.5)) / 2), 2) + cos(radians(lat)) * cos(radians(12.5)) * pow(sin(radians(lon - 44.5) / 2), 2)))) / 1000, 4) as km, round(degrees(atan2(sin(radians(lon - 44.5)) * cos(radians(lat)), cos(radians(12.5)) * sin(radians(lat)) - sin(radians(12.5)) * cos(radians(lat)) * cos(radians(lon - 44.5)))), 5) as azimuth from st")
 def distances_and_azimuths(spark: SparkSession, d: str) -> DataFrame:
     return sts(spark, d).select("sta_idx", F.round(geo.sphere_distance("lat", "lon", 12.5, 44.5) / 1000, 4).alias("km"), F.round(geo.sphere_azimuth(12.5, 44.5, "lat", "lon"), 5).alias("azimuth"))
@@ -239,6 +262,17 @@ def stack_extent(spark: SparkSession, d: str) -> DataFrame:
     return stack.extent(*_traces(spark, d))
 
 
+@query(f"with {_TR} select batch_id::bigint as batch_id, (min(\"offset\") - 20)::bigint as first, (max(\"offset\" + 64) + 5)::bigint as last from tr group by 1")
+def stack_extent_of_range(spark: SparkSession, d: str) -> DataFrame:
+    return stack.extent(*_traces(spark, d), shift_range=(-20, 5))
+
+
+@query(f"with {_TR} select batch_id::bigint as batch_id, node_id::bigint as node_id, round(v, 6) as v from st where t = 40 and node_id % 3 = 0")
+def stack_snapshot_of_leaves(spark: SparkSession, d: str) -> DataFrame:
+    leaves = spark.range(20).withColumnRenamed("id", "node_id").where("node_id % 3 = 0")
+    return stack.snapshot(stack.stack_rows(*_traces(spark, d)), 40, leaves).select("batch_id", "node_id", F.round("v", 6).alias("v"))
+
+
 @query(f"with {_TR}, m as (select batch_id, t, max(v) as v from st group by 1, 2), w as (select *, lag(v) over (partition by batch_id order by t) as p, lead(v) over (partition by batch_id order by t) as n from m) select batch_id::bigint as batch_id, t::bigint as t, round(v, 6) as v from w where (p is null or v > p) and (n is null or v > n)")
 def stack_peaks(spark: SparkSession, d: str) -> DataFrame:
     return stack.local_maxima(stack.reduce_max(stack.stack_rows(*_traces(spark, d)))).select("batch_id", "t", F.round("v", 6).alias("v"))

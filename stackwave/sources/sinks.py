@@ -92,6 +92,45 @@ def markers(picks: DataFrame) -> DataFrame:
     return picks.select(F.concat_ws(" ", F.lit("phase:"), F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSS"), codes.nsl(F.col("network"), F.col("station"), F.col("location")), "event_uid", "phase", F.when(F.col("observed_time").isNotNull(), F.lit("automatic")).otherwise(F.lit("modelled"))).alias("line"))
 
 
+def write_stations(stations: DataFrame, path: str) -> None:
+    """An inventory as CSV with fixed columns and as a YAML list, by code; an inventory is thousands of rows."""
+    cols = ["network", "station", "location", "lat", "lon", "elevation", "depth"]
+    s = stations.select(*cols).orderBy(*cols[:3])
+    write_csv(s, f"{path}/csv", cols[:3])
+    text = lambda c: F.concat(F.lit(f"  {c}: "), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    line = F.concat_ws("\n", F.concat(F.lit("- network: "), F.col("network")), F.concat(F.lit("  station: "), F.col("station")), F.concat(F.lit("  location: '"), F.coalesce("location", F.lit("")), F.lit("'")), *[text(c) for c in cols[3:]])
+    s.select(line.alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/yaml")
+
+
+def station_lines(stations: DataFrame) -> DataFrame:
+    """(nsl, line): fixed-width station lines of the location exporter."""
+    return stations.select("nsl", F.concat(F.format_string("%-6s", "station"), codes.hemisphere(F.col("lat"), "N", "S"), F.lit(" "), codes.hemisphere(F.col("lon"), "E", "W", 9), F.format_string(" %5d", F.round(F.col("elevation") - F.col("depth")).cast("int"))).alias("line"))
+
+
+def append_trace(df: DataFrame, path: str) -> None:
+    """Append semblance traces (batch_id, tmin_us, rate_hz, samples) as whole numbers, one folder a day."""
+    x = df.select("batch_id", "tmin_us", "rate_hz", scaled("samples").alias("samples"), F.to_date(F.timestamp_micros("tmin_us")).alias("day"))
+    x.write.mode("append").partitionBy("day").parquet(path)
+
+
+def append_csv(df: DataFrame, path: str) -> None:
+    """Append rows to a folder of CSV files, each with its header; missing is empty text."""
+    df.write.mode("append").option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
+
+
+def event_markers(events: DataFrame) -> DataFrame:
+    """(event_uid, line): event marker lines of time, place and semblance."""
+    at = F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSS")
+    return events.select("event_uid", F.concat_ws(" ", F.lit("event:"), at, F.format_string("%.5f", "lat"), F.format_string("%.5f", "lon"), F.format_string("%.1f", "depth"), F.format_string("%.5f", "semblance")).alias("line"))
+
+
+def write_synthetic(events: DataFrame, images: DataFrame, path: str) -> None:
+    """Planted events as CSV and JSON, their image traces as a table."""
+    write_csv(events, f"{path}/csv")
+    events.write.mode("overwrite").json(f"{path}/json")
+    images.write.mode("overwrite").parquet(f"{path}/traces")
+
+
 def velocity_lines(model: list[tuple]) -> list[str]:
     """Fixed-width model lines, the first row of each depth."""
     seen: set[float] = set()

@@ -129,6 +129,27 @@ def magnitude_alerts(events: DataFrame, magnitude: str, threshold: float) -> Dat
     return events.where(F.col(magnitude).isNotNull() & ~F.isnan(F.col(magnitude)) & (F.col(magnitude) >= threshold))
 
 
+def resumed(events: DataFrame, time_us: str, last_end_us: int) -> DataFrame:
+    """Events kept when a run goes on after last_end_us: later ones are searched again and would come twice."""
+    return events.where(F.col(time_us) < last_end_us)
+
+
+def latest(catalog: DataFrame, time: str, tie: str, n: int = 10_000) -> DataFrame:
+    """What a live view shows: the newest n rows."""
+    return catalog.orderBy(F.desc(time), F.desc(tie)).limit(n)
+
+
+def stream_state(rows: DataFrame, key: str, start: str, end: str, now_us: int, timeout_us: int) -> DataFrame:
+    """One row: least start and delay over the online sources, and how many are online."""
+    g = rows.groupBy(key).agg(F.min(start).alias("s"), F.max(end).alias("e")).where(F.lit(now_us) - F.col("e") <= timeout_us)
+    return g.agg(F.min("s").alias("start_us"), F.min(F.lit(now_us) - F.col("e")).alias("delay_us"), F.count("*").alias("n_online"))
+
+
+def replay(segments: DataFrame, time_us: str, start_us: int, speed: float) -> DataFrame:
+    """Adds due_us: when a player at a speed, begun at 0, hands out each segment."""
+    return segments.withColumn("due_us", F.round((F.col(time_us) - start_us) / speed).cast("long"))
+
+
 def progress(done_us: int, start_us: int, end_us: int, n_bytes: int, seconds: float) -> dict[str, float]:
     """Rates of a run: bytes a second, data time over time taken, percent done, seconds left."""
     part = min(1.0, max(0.0, (done_us - start_us) / max(end_us - start_us, 1)))

@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stackwave.functions import attenuation, signal
-from stackwave.operators import ingest, local_magnitude, magnitude, octree, picks, stations
-from stackwave.sources import archives
+from stackwave.functions import attenuation, geo, signal
+from stackwave.operators import ingest, local_magnitude, magnitude, octree, picks, stations, synthetic, traveltime
+from stackwave.plans import registry
+from stackwave.sources import archives, sinks
 from stackwave.streaming import live
 
 RATE, N = 100.0, 6000
@@ -116,3 +117,38 @@ def test_small_helpers(spark):
     b = ingest.blinded(spark.createDataFrame([(10.0, [1.0] * 6)], "rate_hz double, samples array<double>"), 0.2).first().samples
     assert b == [0.0, 0.0, 1.0, 1.0, 0.0, 0.0]
     assert live.magnitude_alerts(spark.createDataFrame([(1.0,), (None,), (math.nan,), (3.0,)], "m double"), "m", 1.0).count() == 2
+
+
+def test_small_sinks(spark, tmp_path):
+    s = spark.createDataFrame([("B", "S2", None, 1.0, 2.0, 3.0, 0.0), ("A", "S1", "00", 1.0, 2.0, None, 0.0)], "network string, station string, location string, lat double, lon double, elevation double, depth double")
+    sinks.write_stations(s, str(tmp_path / "st"))
+    back = archives.read_station_yaml(spark, next(str(p) for p in (tmp_path / "st/yaml").glob("part-*")))
+    assert [(r.network, r.station, r.location, r.lat) for r in back.collect()] == [("A", "S1", "00", 1.0), ("B", "S2", "", 1.0)]
+    t = spark.createDataFrame([(1, 0, 10.0, [0.1234, 0.5])], "batch_id long, tmin_us long, rate_hz double, samples array<double>")
+    for _ in range(2):
+        sinks.append_trace(t, str(tmp_path / "tr"))
+        sinks.append_csv(s, str(tmp_path / "csv"))
+    rows = spark.read.parquet(str(tmp_path / "tr")).collect()
+    assert len(rows) == 2 and rows[0].samples == [123, 500]
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 4
+    sinks.write_synthetic(s, t, str(tmp_path / "syn"))
+    assert spark.read.json(str(tmp_path / "syn/json")).count() == 2
+
+
+def test_more_helpers(spark):
+    assert registry.tracer_for("S", [({"P"}, min), ({"P", "S"}, max)]) is max
+    with pytest.raises(ValueError, match="no tracer offers X"):
+        registry.tracer_for("X", [({"P"}, min)])
+    a = spark.createDataFrame([(5,), (3,), (9,)], "time_us long")
+    assert tuple(synthetic.spans(a).first()) == (3, 3, 9)
+    assert [r.time_us for r in live.latest(a, "time_us", "time_us", 2).collect()] == [9, 5]
+    assert [r.due_us for r in live.replay(a, "time_us", 3, 2.0).orderBy("time_us").collect()] == [0, 1, 3]
+    x = np.sin(np.arange(50))
+    p = spark.createDataFrame([("a", k, x.tolist()) for k in (1, 0)], "nslc string, k int, samples array<double>")
+    assert np.allclose(synthetic.concatenated(p, ["k"]).first().samples, signal.overlap_concat([x, x], 0.2))
+    assert traveltime.velocity_least_at(traveltime.layers(((0.0, 5.0, 3.0), (10.0, 6.0, 3.5))), 5000.0) == 3250.0
+    c = spark.createDataFrame([(10.0, 20.0, 1000.0, 0.0, 5.0)], "lat double, lon double, e double, n double, d double")
+    assert tuple(c.select(*geo.shifted("lat", "lon", "e", "n", "d", 1.0, 2.0, 3.0)).first()) == (10.0, 20.0, 1001.0, 2.0, 8.0)
+    assert tuple(c.select(*geo.origin("lat", "lon")).first()) == (10.0, 20.0, 0.0, 0.0)
+    moved = c.select(*geo.to_origin("lat", "lon", "e", "n")).first()
+    assert moved[0] == pytest.approx(10.0, abs=1e-3) and moved[1] > 20.0 and moved[2:] == (0.0, 0.0)
