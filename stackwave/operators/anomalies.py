@@ -14,7 +14,10 @@ while it is at least `factor` times every sound reading it is compared with
 Scale. A source goes to one task whole; the few with more than PART_ROWS rows
 are cut by time. Each of their parts gives counts, minima and maxima per matrix
 entry and value bin, a bounded number, and the readings at its first and last
-times, where runs across parts are settled. Only ids of cases leave a task.
+times, where runs across parts are settled. Where such bins leave open whether
+a reading lies in the distance window of another, the readings of the open bins
+are checked by their own distances, against the few sound ones that can decide.
+Only ids of cases leave a task.
 
 Defined cases: null and NaN are neither cases nor sound and end a run, as does
 a time at which the source lacks the value; a source of fewer than `least`
@@ -184,20 +187,33 @@ def _range_max(v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def settle_near(vmin, vmax, dmin, dmax, cand, factor: float, width: float) -> np.ndarray:  # noqa: ANN001
-    """The same where readings compare at distances within a factor of width (or those without distance with none)."""
+def settle_near(vmin, vmax, dmin, dmax, cand, factor: float, width: float, sure: bool = False) -> np.ndarray:  # noqa: ANN001
+    """The same where readings compare at distances within a factor of width (those without distance with none).
+
+    For entries of several readings the result is the cases whatever lies where:
+    partly overlapping entries count as near. With sure it is those that may be
+    cases: only entries near for all readings of both count, and one reading of
+    an entry is enough.
+    """
     case = cand & ~np.isnan(dmin)
     o = np.flatnonzero(~np.isnan(dmin))
     o = o[np.argsort(dmin[o], kind="stable")]
-    start, end = dmin[o], np.maximum.accumulate(dmax[o])
+    low, high = dmin[o], np.maximum.accumulate(dmax[o])
     while case.any():
         at = np.flatnonzero(case)
-        lo, hi = np.searchsorted(end * width, dmin[at], "left"), np.searchsorted(start, dmax[at] * width, "right")
+        if sure:  # each surely near entry begins late enough and ends early enough; as ends follow starts up to a bin, the last ones are tried
+            lo, hi = np.searchsorted(low * width, dmax[at], "left"), np.searchsorted(high, dmin[at] * width, "right")
+        else:
+            lo, hi = np.searchsorted(high * width, dmin[at], "left"), np.searchsorted(low, dmax[at] * width, "right")
         sound = ~case[o]
-        top = _range_max(np.where(sound, vmax[o], -np.inf), lo, hi)
-        bottom = -_range_max(np.where(sound, -vmin[o], -np.inf), lo, hi)
+        some = hi > lo
+        top, bottom = np.full(len(at), -np.inf), np.full(len(at), np.inf)
+        top[some] = _range_max(np.where(sound, vmax[o], -np.inf), lo[some], hi[some])
+        bottom[some] = -_range_max(np.where(sound, -vmin[o], -np.inf), lo[some], hi[some])
         still = case.copy()
-        still[at] = np.isfinite(top) & ((vmin[at] >= factor * top) | (vmax[at] <= bottom / factor))
+        v1, v2 = (vmax[at], vmin[at]) if sure else (vmin[at], vmax[at])
+        off = (v1 >= factor * top) | (v2 <= bottom / factor)
+        still[at] = (off | ~np.isfinite(top)) if sure else (np.isfinite(top) & off)
         if (still == case).all():
             break
         case = still
@@ -240,10 +256,10 @@ def runs_of(group: np.ndarray, rank: np.ndarray, v: np.ndarray, run: int) -> np.
 
 
 def spikes_of(source, total, row, slot, v1, v2, d1, d2, n, least: int, factor: float, both: bool, width: float | None) -> np.ndarray:  # noqa: ANN001
-    """Row numbers of the entries that are spikes; source sorted, total its number of rows, v1..v2 and d1..d2 the values and distances of an entry."""
+    """(row numbers, whether open) of the entries that are spikes or, where distances of several readings leave it open, may be; source sorted, total its number of rows, v1..v2 and d1..d2 the values and distances of an entry."""
     use = np.flatnonzero(total >= least)
     if not len(use):
-        return use
+        return use, np.zeros(0, bool)
     _, s = np.unique(source[use], return_inverse=True)
     logv = (np.log10(v1[use]) + np.log10(v2[use])) / 2
     row, slot = row[use].astype(np.int64), slot[use].astype(np.int64)
@@ -260,13 +276,19 @@ def spikes_of(source, total, row, slot, v1, v2, d1, d2, n, least: int, factor: f
             _, su = np.unique(s[u], return_inverse=True)
             cand[u] = candidates(su, step[u], row[u], logv[u], n[use][u].astype(float), SITE_SLOTS, SITE_ROWS, x[u])
     out: list[np.ndarray] = []
+    unsure: list[np.ndarray] = []
     edges = np.r_[np.flatnonzero(np.r_[True, s[1:] != s[:-1]]), len(s)]
     some = np.add.reduceat(cand, edges[:-1]) > 0
     for a, b in zip(edges[:-1][some], edges[1:][some]):
         u = use[a:b]
-        hit = settle(v1[u], v2[u], cand[a:b], factor, both) if width is None else settle_near(v1[u], v2[u], d1[u], d2[u], cand[a:b], factor, width)
-        out.append(u[hit])
-    return np.concatenate(out or [use[:0]])
+        if width is None:
+            hit = may = settle(v1[u], v2[u], cand[a:b], factor, both)
+        else:
+            hit = settle_near(v1[u], v2[u], d1[u], d2[u], cand[a:b], factor, width)
+            may = hit if (d1[u] == d2[u])[~np.isnan(d1[u])].all() else hit | settle_near(v1[u], v2[u], d1[u], d2[u], cand[a:b], factor, width, sure=True)
+        out.append(u[may])
+        unsure.append(~hit[may])
+    return np.concatenate(out or [use[:0]]), np.concatenate(unsure or [np.zeros(0, bool)])
 
 
 def _entries(field: str, t: pa.Table, src: np.ndarray, at: np.ndarray, c: dict, v: np.ndarray, vb: np.ndarray) -> pa.Table:
@@ -317,7 +339,7 @@ def _first_pass(fields: list[str], two_sided: tuple[str, ...], least: int, facto
             yield _notes(len(hit), kind=0, field=f, id=ids[hit], reason=2)
             whole = np.flatnonzero(sound & ~cut)
             if len(whole):
-                w = spikes_of(src[whole], total[whole], c["row"][whole], c["slot"][whole], v[whole], v[whole], c["d"][whole], c["d"][whole], np.ones(len(whole)), least, factor, f in two_sided, width)
+                w, _ = spikes_of(src[whole], total[whole], c["row"][whole], c["slot"][whole], v[whole], v[whole], c["d"][whole], c["d"][whole], np.ones(len(whole)), least, factor, f in two_sided, width)
                 yield _notes(len(w), kind=0, field=f, id=ids[whole[w]], reason=3)
             if not cut.any():
                 continue
@@ -362,7 +384,7 @@ def _border_pass(run: int):
     return analyse
 
 
-_SPIKES = "field string, source string, fbin int, vbin int"
+_SPIKES = "field string, source string, fbin int, vbin int, open boolean"
 
 
 def _cut_sources(two_sided: tuple[str, ...], least: int, factor: float, width: float | None):
@@ -379,12 +401,71 @@ def _cut_sources(two_sided: tuple[str, ...], least: int, factor: float, width: f
             u = np.flatnonzero((field == f) & (c["n"] > 0))
             if not len(u):
                 continue
-            k = u[spikes_of(source[u], total[u], c["row"][u], c["slot"][u], c["vmin"][u], c["vmax"][u], c["dmin"][u], c["dmax"][u], c["n"][u], least, factor, f in two_sided, width)]
-            yield pa.Table.from_arrays([t["field"].take(pa.array(k)), t["source"].take(pa.array(k)), pa.array(c["fbin"][k].astype(np.int32)), pa.array(c["vbin"][k].astype(np.int32))], schema=schema)
+            k, unsure = spikes_of(source[u], total[u], c["row"][u], c["slot"][u], c["vmin"][u], c["vmax"][u], c["dmin"][u], c["dmax"][u], c["n"][u], least, factor, f in two_sided, width)
+            k = u[k]
+            yield pa.Table.from_arrays([t["field"].take(pa.array(k)), t["source"].take(pa.array(k)), pa.array(c["fbin"][k].astype(np.int32)), pa.array(c["vbin"][k].astype(np.int32)), pa.array(unsure)], schema=schema)
 
     return run
 
 
+_POINTS = "source string, fbin int, id long, d double, value double, open boolean"
+
+
+def _frontier(key: tuple, t: pa.Table) -> Iterator[pa.Table]:
+    """Of the sound readings of a distance bin those that can be the greatest or least up to, or from, some distance in it."""
+    d, v = t["d"].to_numpy(), t["value"].to_numpy()
+    keep = np.zeros(len(d), bool)
+    for o in (np.lexsort((v, d)), np.lexsort((v, d))[::-1]):
+        for x in (v[o], -v[o]):
+            keep[o] |= x > np.r_[-np.inf, np.maximum.accumulate(x)[:-1]]
+    yield t.select(arrow_schema(_POINTS).names).filter(pa.array(keep))
+
+
+def _settle_open(factor: float, width: float):
+    """The open readings of a source against its frontier points and each other: which are spikes."""
+
+    def run(key: tuple, t: pa.Table) -> Iterator[pa.Table]:
+        d, v, unsure = t["d"].to_numpy(), t["value"].to_numpy(), t["open"].to_numpy(zero_copy_only=False).astype(bool)
+        hit = settle_near(v, v, d, d, unsure, factor, width)
+        yield pa.table({"id": t["id"].filter(pa.array(hit))})
+
+    return run
+
+
+def _open_spikes(flat: DataFrame, bins: DataFrame, known: DataFrame, factor: float, width: float) -> DataFrame:
+    """(field, id) of the spikes among the readings of open bins, by their own distances.
+
+    Sound readings go by the bins that can't hold spikes, less what is known;
+    a distance bin passes on only its frontier, in two rounds, so that neither
+    a bin nor a source gathers in one task.
+    """
+    keys = ["field", "source", "fbin", "vbin"]
+    mine = flat.where("d is not null").join(bins.where("open").select("field", "source").distinct(), ["field", "source"], "left_semi")
+    open_ = mine.join(bins.where("open").select(*keys), keys, "left_semi")
+    sound = mine.join(bins.select(*keys), keys, "left_anti").join(known.select("field", "id"), ["field", "id"], "left_anti")
+    cols = ["field", "source", "fbin", "id", "d", "value"]
+    sound = sound.select(*cols, F.lit(False).alias("open"))
+    for by in (["field", "source", "fbin", "salt"], ["field", "source", "fbin"]):
+        sound = _reduced(sound, by)
+    both = sound.unionByName(open_.select(*cols, F.lit(True).alias("open")))
+    found = grouped_map(both, ["field", "source"], _settle_open(factor, width), "id long", order=["d", "value", "id"])
+    return open_.select("field", "id").join(found.distinct(), "id", "left_semi")
+
+
+SALTS = 64
+
+
+def _reduced(points: DataFrame, by: list[str]) -> DataFrame:
+    out = f"field string, {_POINTS}"
+    names = arrow_schema(out).names
+
+    def run(key: tuple, t: pa.Table) -> Iterator[pa.Table]:
+        for x in _frontier(key, t):
+            yield x.append_column("field", pa.array([key[0]] * x.num_rows, pa.string())).select(names)
+
+    return grouped_map(points.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))), by, run, out).select(*names)
+
+
 SMALL = 100_000  # rows up to which a set of found keys is broadcast
 
 
@@ -416,12 +497,15 @@ def _anomalies(rows: DataFrame, fields: list[str], two_sided: tuple[str, ...], l
     entries = notes.where("kind = 1").unionByName(beside.where("kind = 1")).groupBy("field", "source", "row", "slot", "fbin", "vbin").agg(
         F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax"), F.min("dmin").alias("dmin"), F.max("dmax").alias("dmax")
     )
-    bins = checkpointed(chunked_map(entries, ["field", "source"], _cut_sources(two_sided, least, factor, width), _SPIKES).distinct())
+    bins = chunked_map(entries, ["field", "source"], _cut_sources(two_sided, least, factor, width), _SPIKES)
+    bins = checkpointed(bins.groupBy("field", "source", "fbin", "vbin").agg(F.max("open").alias("open")))
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.when(~F.col(f"bad_{f}"), F.col(f)).alias("value")) for f in fields])).alias("x")
-    flat = rows.where("source is not null and t is not null").select("id", "source", "t", "fbin", each).select("id", "source", "t", "fbin", "x.*").where("value is not null").withColumn("vbin", vbin(F.col("value")))
-    out = out.unionByName(_rows_with(flat, bins, ["field", "source", "fbin", "vbin"]).select("field", "id", F.lit(3).alias("reason")))
+    flat = rows.where("source is not null and t is not null").select("id", "source", "t", "d", "fbin", each).select("id", "source", "t", "d", "fbin", "x.*").where("value is not null").withColumn("vbin", vbin(F.col("value")))
     held = beside.where("kind = 3").select("field", "source", "t", "value").distinct()
     out = out.unionByName(_rows_with(flat, held, ["field", "source", "t", "value"]).select("field", "id", F.lit(2).alias("reason")))
+    if width is not None and not bins.where("open").isEmpty():
+        out = out.unionByName(_open_spikes(flat, bins, out, factor, width).withColumn("reason", F.lit(3)))
+    out = out.unionByName(_rows_with(flat, bins.where("not open"), ["field", "source", "fbin", "vbin"]).select("field", "id", F.lit(3).alias("reason")))
     why = F.element_at(F.array(*[F.lit(x) for x in ("impossible", "stuck", "spike")]), F.min("reason"))
     return out.groupBy("field", F.col("id").alias("row_id")).agg(why.alias("reason"))
 

@@ -164,6 +164,19 @@ def test_site_anomalies(spark, part_rows):
     assert got == {(40, "spike"), (41, "spike"), (60, "impossible")}
 
 
+@pytest.mark.parametrize("part_rows", [40, 100_000])
+def test_the_edge_of_the_distance_window_is_exact(spark, part_rows):
+    r = random.Random(13)
+    for beyond in (False, True):
+        rows = [[i, 3, 1000.0 * 1.5 ** (r.random() * 2), 10 ** r.uniform(-0.1, 0.1), 0.0, 0.0] for i in range(400)]
+        rows = [x for x in rows if not 1490 < x[2] < 1510]
+        rows.append([500, 3, 1000.0, 30.0, 0.0, 0.0])
+        rows.append([501, 3, 1500.0 + (0.5 if beyond else -0.5), 6.0, 0.0, 0.0])  # a tenth of it is too much, if it is near enough
+        df = spark.createDataFrame([tuple(x) for x in rows], "amp_id long, cid long, dist double, peak double, h double, v double")
+        got = {(x.row_id, x.reason) for x in anomalies.site_anomalies(df, "amp_id", "cid", "peak", "dist", ["h", "v"], part_rows=part_rows).collect()}
+        assert got == ({(500, "spike")} if beyond else set())
+
+
 def two_levels():
     r = random.Random(9)
     rows = [[i, "d", i * 10_800_000_000, 1e-6 * (40 if i % 8 >= 6 else 1) * 10 ** r.gauss(0, 0.1)] for i in range(600)]
