@@ -12,7 +12,7 @@ while it is at least `factor` times every sound reading it is compared with
 (or, two-sided, at most 1 / factor of each); one that isn't becomes sound.
 
 Scale. A source goes to one task whole; the few with more than PART_ROWS rows
-are cut by time. Each of their parts gives counts, minima and maxima per matrix
+are cut by time, into parts of equal size. Each of their parts gives counts, minima and maxima per matrix
 entry and value bin, a bounded number, and the readings at its first and last
 times, where runs across parts are settled. Where such bins leave open whether
 a reading lies in the distance window of another, the readings of the open bins
@@ -32,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackwave.plans.dist import arrow_schema, checkpointed, chunked_map, grouped_map
+from stackwave.plans.dist import arrow_schema, checkpointed, chunked_map, grouped_map, sorted_chunks
 
 ROWS, SLOTS = 64, 4  # of a daily profile matrix
 SITE_ROWS, SITE_SLOTS = 16, 24
@@ -45,6 +45,7 @@ OFF = 0.9  # decades from the normal level that make a candidate
 HUGE = 1e30
 PART_ROWS = 50_000  # rows beyond which a source is cut by time
 BUCKETS = 1 << 20
+MOST_PARTS = 100_000
 RUN = 5
 
 
@@ -310,8 +311,8 @@ def _entries(field: str, t: pa.Table, src: np.ndarray, at: np.ndarray, c: dict,
 
 
 def _bins(v: np.ndarray) -> np.ndarray:
-    with np.errstate(all="ignore"):
-        return np.where(v > 0, np.floor(np.log10(np.where(v > 0, v, 1.0)) * VBINS), 0).astype(np.int64)
+    ok = (v > 0) & np.isfinite(v)
+    return np.where(ok, np.floor(np.log10(np.where(ok, v, 1.0)) * VBINS), 0).astype(np.int64)
 
 
 def _first_pass(fields: list[str], two_sided: tuple[str, ...], least: int, factor: float, width: float | None, run: int):
@@ -478,20 +479,27 @@ def _anomalies(rows: DataFrame, fields: list[str], two_sided: tuple[str, ...], l
     """rows(id, source, t, d, row, slot, fbin, fields, bad_fields): (field, row_id, reason).
 
     Sources enter one task whole, but for those in a bucket of more than
-    part_rows rows, which are cut by time.
+    part_rows rows, which are cut by time into parts of about that size.
     """
     placed = rows.where("source is not null and t is not null").withColumn("bucket", F.pmod(F.xxhash64("source"), F.lit(BUCKETS)))
-    big = placed.groupBy("bucket").agg(F.count("*").alias("c"), F.min("t").alias("lo"), F.max("t").alias("hi")).where(F.col("c") > part_rows)
-    big = big.withColumn("parts", F.ceil(F.col("c") / part_rows).cast("long"))
-    placed = placed.join(F.broadcast(big.drop("c")), "bucket", "left")  # BUCKETS rows at most
-    part = F.floor((F.col("t") - F.col("lo")) / (F.floor((F.col("hi") - F.col("lo")) / F.col("parts")) + 1)).cast("long")
-    placed = placed.withColumn("part", F.coalesce(part, F.lit(0).cast("long"))).withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).drop("bucket", "lo", "hi")
-    notes = checkpointed(chunked_map(placed, ["source", "part"], _first_pass(fields, two_sided, least, factor, width, run), _NOTES, order=["t", "id"]))
+    big = checkpointed(placed.groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") > part_rows))
+    cut_rows = big.agg(F.sum("c")).first()[0] or 0
+    placed = placed.join(F.broadcast(big.select("bucket", F.lit(True).alias("cut"))), "bucket", "left").drop("bucket")  # a row for part_rows rows, BUCKETS at most
+    first, order = _first_pass(fields, two_sided, least, factor, width, run), ["t", "id"]
+    one = F.lit(1).cast("long")
+    notes = chunked_map(placed.where("cut is null").drop("cut").withColumn("part", F.lit(0).cast("long")).withColumn("parts", one), ["source", "part"], first, _NOTES, order=order)
+    if cut_rows:
+        # parts of equal size in order of time, whatever the times' distribution; equal times of a source stay together
+        parts = placed.where("cut").drop("cut").repartitionByRange(min(MOST_PARTS, -(-cut_rows // part_rows)), "source", "t").withColumn("part", F.spark_partition_id().cast("long")).withColumn("parts", one + 1)
+        notes = notes.unionByName(sorted_chunks(parts, ["source", "part"], first, _NOTES, order=order))
+    notes = checkpointed(notes)
     out = notes.where("kind = 0").select("field", "id", "reason")
     for f in fields:
         out = out.unionByName(rows.where(F.col(f"bad_{f}")).select(F.lit(f).alias("field"), "id", F.lit(1).alias("reason")))
+    # parts that hold anything, counted per source, so that the parts beside a block are those of the times beside it
+    numbers = notes.where("kind = 2").select("field", "source", "part").distinct().withColumn("_i", F.row_number().over(Window.partitionBy("field", "source").orderBy("part")))
     home = F.floor(F.col("part") / 1000)
-    edges = notes.where("kind = 2").withColumn("blk", F.explode(F.array_distinct(F.array(home, F.floor((F.col("part") - 10) / 1000), F.floor((F.col("part") + 10) / 1000)))))
+    edges = notes.where("kind = 2").join(numbers, ["field", "source", "part"]).withColumn("part", F.col("_i").cast("long")).drop("_i").withColumn("blk", F.explode(F.array_distinct(F.array(home, F.floor((F.col("part") - 10) / 1000), F.floor((F.col("part") + 10) / 1000)))))
     edges = edges.withColumn("own", F.col("blk") == home).withColumn("blk", F.col("blk").cast("long"))
     beside = checkpointed(grouped_map(edges, ["field", "source", "blk"], _border_pass(run), _NOTES))
     entries = notes.where("kind = 1").unionByName(beside.where("kind = 1")).groupBy("field", "source", "row", "slot", "fbin", "vbin").agg(
@@ -511,7 +519,7 @@ def _anomalies(rows: DataFrame, fields: list[str], two_sided: tuple[str, ...], l
 
 
 def vbin(v: Column) -> Column:
-    return F.when(v > 0, F.floor(F.log10(v) * VBINS)).otherwise(0).cast("int")
+    return F.when((v > 0) & (v < float("inf")), F.floor(F.log10(v) * VBINS)).otherwise(0).cast("int")
 
 
 def station_anomalies(rows: DataFrame, rid: str, source: str, time_us: Column, fields: dict[str, bool], least: int = 30, factor: float = 10.0, part_rows: int = PART_ROWS) -> DataFrame:

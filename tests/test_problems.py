@@ -138,7 +138,7 @@ def anomaly_rows():
     return [tuple(x) for x in rows], want
 
 
-@pytest.mark.parametrize("part_rows", [37, 100, 100_000])
+@pytest.mark.parametrize("part_rows", [7, 37, 100, 100_000])
 def test_station_anomalies(spark, part_rows):
     rows, want = anomaly_rows()
     df = spark.createDataFrame(rows, "row_id long, nsl string, t long, amp double, field string")
