@@ -166,7 +166,13 @@ def search(images: DataFrame, stations: list[tuple[int, float, float, float]], s
                 got, which = kernel(samples, offsets, ksh, kwe, 0, n, best=best)
                 index, best = np.where(got > best, old + which, index), got
             else:
-                best, index = kernel(samples, offsets, sh, we, 0, n, skip=~leaf, floor=0.0)
+                # samples that a split node held are stacked anew over all leaves, the others compare with the new ones
+                lost = np.isin(index, parents)
+                got, which = kernel(samples, offsets, ksh, kwe, 0, n, best=best)
+                index, best = np.where(got > best, old + which, index), got
+                edge = np.flatnonzero(np.diff(np.r_[False, lost, False]))
+                for a, b_ in zip(edge[::2], edge[1::2]):
+                    best[a:b_], index[a:b_] = kernel(samples, offsets, sh, we, a, b_, skip=~leaf, floor=0.0)
         out = []
         for at in map(int, peaks):
             k, time = int(index[at]), t0 + round(at / rate * 1e6)

@@ -60,6 +60,9 @@ def local_maxima(maxima: DataFrame, height: float | None = None) -> DataFrame:
     return out if height is None else out.where(F.col("v") >= height)
 
 
+SHORT = 4096  # samples of a stack up to which windows are taken at once
+
+
 def kernel(samples: list[np.ndarray], offsets: np.ndarray, shifts: np.ndarray, weights: np.ndarray, first: int, last: int, skip: np.ndarray | None = None, best: np.ndarray | None = None, index: np.ndarray | None = None, floor: float = -np.inf, absent: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """(best, index) over [first, last) for nodes x traces shifts and weights: never holds node x sample.
 
@@ -69,10 +72,24 @@ def kernel(samples: list[np.ndarray], offsets: np.ndarray, shifts: np.ndarray, w
     n = last - first
     best = np.full(n, floor) if best is None else best.copy()
     index = np.zeros(n, np.int64) if index is None else index.copy()
+    nodes = np.arange(len(shifts)) if skip is None else np.flatnonzero(~skip)
+    if absent == 0 and 0 < n <= SHORT and len(samples):
+        # short stacks: all traces side by side, a node's windows taken at once and summed as a product
+        at = np.asarray(offsets)[None] + shifts - first
+        pad = int(max(0, at.max(initial=0)))
+        wide = np.zeros((len(samples), max(pad - int(min(0, at.min(initial=0))) + n, pad + max(map(len, samples)))))
+        for k, x in enumerate(samples):
+            wide[k, pad : pad + len(x)] = x
+        windows = np.lib.stride_tricks.sliding_window_view(wide, n, axis=1)
+        for node in nodes:
+            use = np.flatnonzero(weights[node])
+            row = weights[node, use] @ windows[use, pad - at[node, use]]
+            up = row > best
+            best[up] = row[up]
+            index[up] = node
+        return best, index
     row, met = np.empty(n), np.empty(n, bool)
-    for node in range(len(shifts)):
-        if skip is not None and skip[node]:
-            continue
+    for node in nodes:
         row[:], met[:] = 0.0, False
         for k, x in enumerate(samples):
             w = weights[node, k]

@@ -112,12 +112,48 @@ def p4_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _implausible(spark, sf_dir).groupBy("field", "reason").agg(F.count("*").alias("n"))
 
 
+_TIMES = r"""
+with t as (select line_id, server_id, 'starttime' as field, starttime as s from stream_lines union all select line_id, server_id, 'endtime', endtime from stream_lines),
+x as (select line_id, field, regexp_replace(s, '^[\s\x{00a0}]+|[\s\x{00a0}]+$', '', 'g') as s, tz_name as tz, date_order as o, std_abbr, dst_abbr from t left join servers using (server_id) where s is not null),
+n as (select *, regexp_full_match(s, '-?[0-9]{1,20}([.][0-9]+)?') as num,
+  regexp_extract(s, '^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})(?:T|\s+)(.*)$', ['y', 'm', 'd', 'r']) as a,
+  regexp_extract(s, '^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})(?:T|,?\s+)(.*)$', ['p', 'q', 'y', 'r']) as b,
+  regexp_extract(s, '^([0-9]{4})[-,.]([0-9]{3})(?:[T,]|\s+)(.*)$', ['y', 'j', 'r']) as c,
+  regexp_extract(s, '^(?:[A-Za-z]{3,9},?\s+)?([0-9]{1,2})[ -]([A-Za-z]{3,9})[ -]([0-9]{4})\s+(.*)$', ['d', 'm', 'y', 'r']) as e,
+  regexp_extract(s, '^([A-Za-z]{3,9})\s+([0-9]{1,2}),?\s+([0-9]{4})\s+(.*)$', ['m', 'd', 'y', 'r']) as f,
+  regexp_extract(s, '^([0-9]{4})([0-9]{2})([0-9]{2})(?:T|\s)?([0-9]{2})([0-9]{2})([0-9]{2})(.*)$', ['y', 'm', 'd', 'h', 'n', 's', 'r']) as g from x),
+d as (select *, case when a.y <> '' then try_cast(a.y || '-' || a.m || '-' || a.d as date)
+    when b.y <> '' then case when o = 'mdy' then coalesce(try_cast(b.y || '-' || b.p || '-' || b.q as date), try_cast(b.y || '-' || b.q || '-' || b.p as date)) else coalesce(try_cast(b.y || '-' || b.q || '-' || b.p as date), try_cast(b.y || '-' || b.p || '-' || b.q as date)) end
+    when c.y <> '' then case when try_cast(c.j as int) >= 1 and year(try_cast(c.y || '-01-01' as date) + (try_cast(c.j as int) - 1)) = try_cast(c.y as int) then try_cast(c.y || '-01-01' as date) + (try_cast(c.j as int) - 1) end
+    when e.y <> '' then try_cast(try_strptime(e.y || ' ' || left(e.m, 3) || ' ' || e.d, '%Y %b %d') as date)
+    when f.y <> '' then try_cast(try_strptime(f.y || ' ' || left(f.m, 3) || ' ' || f.d, '%Y %b %d') as date)
+    when g.y <> '' then try_cast(g.y || '-' || g.m || '-' || g.d as date) end as day,
+  case when a.y <> '' then a.r when b.y <> '' then b.r when c.y <> '' then c.r when e.y <> '' then e.r when f.y <> '' then f.r when g.y <> '' then g.h || ':' || g.n || ':' || g.s || g.r end as r from n),
+h as (select *, regexp_extract(r, '^([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:[.,]([0-9]+))?)?(?:\s*([AaPp][Mm]))?(?:\s*([+-][0-9]{2}(?::?[0-9]{2})?)|\s*[(]?([A-Za-z]{1,5})[)]?)?(?:\[([A-Za-z0-9_/+-]+)\])?$', ['h', 'm', 's', 'f', 'ap', 'off', 'ab', 'id']) as k from d),
+v as (select *, case when k.ap <> '' then try_cast(k.h as int) % 12 + 12 * (lower(k.ap) = 'pm')::int else try_cast(k.h as int) end as hh, coalesce(try_cast(k.s as int), 0) as ss, coalesce(try_cast(rpad(left(k.f, 6), 6, '0') as bigint), 0) * (k.f <> '')::int as us from h where day is not null and k.h <> ''),
+w as (select *, day::timestamp + to_microseconds(((hh * 60 + try_cast(k.m as bigint)) * 60 + ss) * 1000000 + us) as ts from v
+  where try_cast(k.m as int) <= 59 and ss <= 59 and case when k.ap <> '' then try_cast(k.h as int) between 1 and 12 else hh <= 23 or (hh = 24 and try_cast(k.m as int) = 0 and ss = 0 and us = 0) end),
+z as (select *, replace(k.off, ':', '') as off, case when k.off <> '' or k.ab <> '' then null when k.id <> '' then k.id else tz end as zone from w),
+y as (select line_id, field, ts, zone, case
+    when off <> '' then epoch_us(ts) - (case when left(off, 1) = '+' then 1 else -1 end) * (try_cast(off[2:3] as bigint) * 60 + coalesce(try_cast(off[4:5] as bigint), 0)) * 60000000
+    when k.ab in ('Z', 'UTC', 'GMT') then epoch_us(ts)
+    when k.ab = std_abbr then epoch_us(ts) - least(epoch_us(jan) - epoch_us(timezone(tz, jan)), epoch_us(jul) - epoch_us(timezone(tz, jul)))
+    when k.ab = dst_abbr then epoch_us(ts) - greatest(epoch_us(jan) - epoch_us(timezone(tz, jan)), epoch_us(jul) - epoch_us(timezone(tz, jul)))
+    when zone is not null then epoch_us(timezone(zone, ts)) end as e from (select *, make_timestamp(year(ts), 1, 15, 12, 0, 0) as jan, make_timestamp(year(ts), 7, 15, 12, 0, 0) as jul from z)),
+u as (select *, make_timestamptz(e) as i from y where e is not null),
+one as (select line_id, field, e from u where zone is null or (timezone(zone, i) = ts and not (timezone(zone, i + to_minutes(30)) = ts or timezone(zone, i - to_minutes(30)) = ts or timezone(zone, i + to_minutes(60)) = ts or timezone(zone, i - to_minutes(60)) = ts))),
+cnt as (select line_id, field, case when abs(try_cast(split_part(s, '.', 1) as double)) < 1e11 then try_cast(s as decimal(38, 9)) * 1000000 when abs(try_cast(split_part(s, '.', 1) as double)) < 1e14 then try_cast(s as decimal(38, 9)) * 1000 when abs(try_cast(split_part(s, '.', 1) as double)) < 1e17 then try_cast(s as decimal(38, 9)) else try_cast(s as decimal(38, 9)) / 1000 end as e
+  from n where num and not regexp_full_match(s, '[0-9]{4}') and not (regexp_full_match(s, '[0-9]{8}') and try_strptime(s, '%Y%m%d') is not null) and not exists (select 1 from w where w.line_id = n.line_id and w.field = n.field))
+select line_id, field, e as epoch_us from one union all select line_id, field, trunc(e)::bigint from cnt
+"""
+
+
 def _times(spark: SparkSession, sf_dir: str, servers: DataFrame | None = None) -> DataFrame:
     servers = table(spark, sf_dir, "servers") if servers is None else servers
     return timestamps.normalise_times(table(spark, sf_dir, "stream_lines"), servers, "line_id", "server_id", ["starttime", "endtime"])
 
 
-@query()
+@query(_TIMES)
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one instant of each time text that denotes exactly one."""
     return _times(spark, sf_dir).where("epoch_us is not null and not repeated and not against").select(F.col("rid").alias("line_id"), "field", "epoch_us")
@@ -136,18 +172,3 @@ def p5_without_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _times(spark, sf_dir, servers.withColumn("date_order", F.lit(None).cast("string"))).where("n_readings > 1 and not repeated and layout is not null")
     stated = servers.select(F.col("server_id").alias("source"), F.when(F.col("date_order") == "mdy", "mdy").otherwise("dmy").alias("stated")).dropDuplicates(["source"])
     return t.join(stated, "source").groupBy(F.col("source").alias("server_id")).agg(F.count("*").alias("n_open"), F.count_if(F.col("layout").endswith(F.col("stated"))).alias("n_right"))
-
-
-@query("""
-with x as (select line_id, 'starttime' as field, regexp_replace(starttime, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') as s from stream_lines union all select line_id, 'endtime', regexp_replace(endtime, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') from stream_lines),
-u as (select *, case when regexp_full_match(s, '[0-9]{10}') then s::bigint * 1000000 when regexp_full_match(s, '[0-9]{13}') then s::bigint * 1000 when regexp_full_match(s, '[0-9]{16}') then s::bigint
-  when regexp_full_match(s, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z') then epoch_us(try_cast(left(s, 19) as timestamp))
-  when regexp_full_match(s, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}[+-][0-9]{2}:[0-9]{2}') then epoch_us(try_cast(left(s, 19) as timestamp)) - (case when s[20] = '+' then 1 else -1 end) * (s[21:22]::bigint * 60 + s[24:25]::bigint) * 60000000 end as e from x)
-select line_id, field, e as epoch_us from u where e is not null
-""")
-def p5_absolute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The instants of p5_found whose texts stand for themselves in a plain form, which SQL can read too."""
-    lines = table(spark, sf_dir, "stream_lines")
-    texts = lines.select("line_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("starttime", "endtime")])).alias("x")).select("line_id", "x.*")
-    form = F.expr(r"regexp_replace(text, '^\\s+|\\s+$', '') rlike '^([0-9]{10}|[0-9]{13}|[0-9]{16}|[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(Z|[+-][0-9]{2}:[0-9]{2}))$'")
-    return p5_found(spark, sf_dir).join(texts.where(form), ["line_id", "field"], "left_semi").select("line_id", "field", "epoch_us")
