@@ -29,9 +29,9 @@ def valid_intervals(df: DataFrame, entity: str, start: str, end: str) -> DataFra
     return rows.where("_k is not null and _s is not null and _e is not null and _e > _s")
 
 
-def ranked(bounds: DataFrame) -> DataFrame:
-    """bounds(_k, t, _starts, _ends), unique in (_k, t): adds _sr and _er, the ranks of the last start and the last end up to t."""
-    return ordered.running_sums(ordered.cells(bounds, ["_k"], ["t"]), ["_k"], ["t"], {"_sr": F.col("_starts"), "_er": F.col("_ends")})
+def ranked(bounds: DataFrame, rows: DataFrame) -> DataFrame:
+    """bounds(_k, t, _starts, _ends) of rows, unique in (_k, t): adds _sr and _er, the ranks of the last start and the last end up to t."""
+    return ordered.running_sums(ordered.cells(bounds, ["_k"], ["t"], rows), ["_k"], ["t"], {"_sr": F.col("_starts"), "_er": F.col("_ends")})
 
 
 def _counts(pairs: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def _paired(x: DataFrame, start_rank: Column, start: str, end: str) -> DataFrame
 
 def _gaps(rows: DataFrame) -> DataFrame:
     # the start of rank r + 1 beside the end of rank r; rank 0 has no end
-    pairs = _paired(ranked(_counts(rows)), F.col("_sr") - F.col("_starts"), "gap_end", "gap_start")
+    pairs = _paired(ranked(_counts(rows), rows), F.col("_sr") - F.col("_starts"), "gap_end", "gap_start")
     return pairs.where("gap_end > gap_start").select("_k", "gap_start", "gap_end")
 
 
@@ -66,4 +66,4 @@ def coverage_periods(df: DataFrame, entity: str, start: str, end: str) -> DataFr
     rows = valid_intervals(df, entity, start, end)
     outer = rows.groupBy("_k").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
     bounds = checkpointed(_gaps(rows)).select("_k", F.col("gap_end").alias("_s"), F.col("gap_start").alias("_e")).unionByName(outer)
-    return _paired(ranked(_counts(bounds)), F.col("_sr"), "period_start", "period_end").select(F.col("_k").alias(entity), "period_start", "period_end")
+    return _paired(ranked(_counts(bounds), bounds), F.col("_sr"), "period_start", "period_end").select(F.col("_k").alias(entity), "period_start", "period_end")

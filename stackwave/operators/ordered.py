@@ -6,6 +6,9 @@ cell needs of the cells before it, a count, a sum, a maximum or a last value,
 is carried over a table of one row for each key and cell. Cells are written to
 the checkpoint folder first, so both passes see the same ones.
 
+Where no key has more than WHOLE rows, keys stay whole and nothing is carried;
+the results are the same.
+
 Defined cases: a null key is a key; null order values come first; rows equal in
 the whole order share a cell or not, in no defined order; an empty table gives
 an empty result.
@@ -20,10 +23,18 @@ from pyspark.sql import functions as F
 from stackwave.plans.dist import checkpointed
 
 CELL = "_cell"
+WHOLE = 200_000
+
+
+def largest(df: DataFrame, by: list[str]) -> int:
+    """Rows of the largest key; pre-aggregated where they are read."""
+    return df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
-def cells(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """df with _cell, rising with (by, order)."""
+def cells(df: DataFrame, by: list[str], order: list[str], sized: DataFrame | None = None) -> DataFrame:
+    """df with _cell, rising with (by, order), or df as it is where each key is small. sized has the keys and at least the rows of df, if it is cheaper to count."""
+    if largest(df if sized is None else sized, by) <= WHOLE:
+        return df
     return checkpointed(df.repartitionByRange(*by, *order).withColumn(CELL, F.spark_partition_id()))
 
 
@@ -43,6 +54,8 @@ def carried(celled: DataFrame, totals: DataFrame, by: list[str], names: dict[str
 def running(celled: DataFrame, by: list[str], order: list[str], name: str, value: Column, how: str, before: bool = False) -> DataFrame:
     """Adds name: the running sum, max or last of value over all earlier rows of the key, and the row itself unless `before`; null where there is none."""
     fn = {"sum": F.sum, "max": F.max, "last": F.last}[how]
+    if CELL not in celled.columns:
+        return celled.withColumn(name, fn(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if before else W.currentRow)))
     local = W.partitionBy(*by, CELL).orderBy(*order)
     x = celled.withColumn("_v", value)
     x = x.withColumn("_in", fn("_v").over(local.rowsBetween(W.unboundedPreceding, -1 if before else W.currentRow)))
@@ -63,6 +76,9 @@ def running(celled: DataFrame, by: list[str], order: list[str], name: str, value
 
 def running_sums(celled: DataFrame, by: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
     """Adds several running sums, each row's own value included, in one pass; order is unique within the key."""
+    if CELL not in celled.columns:
+        w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return celled.select("*", *[F.sum(v).over(w).alias(n) for n, v in sums.items()])
     local = W.partitionBy(*by, CELL).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     ahead = W.partitionBy(*by).orderBy(CELL).rowsBetween(W.unboundedPreceding, -1)
     total = celled.groupBy(*by, CELL).agg(*[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()])
@@ -82,10 +98,14 @@ def previous(df: DataFrame, by: list[str], order: list[str], name: str, value: C
     return running(cells(df, by, order), by, order, name, value, "last", before=True).drop(CELL)
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float], sized: DataFrame | None = None) -> DataFrame:
     """(by..., n, one column a quantile): exact, on a line between the two values beside position q * (n - 1); null and NaN do not count."""
     v = F.col(value).cast("double")
-    x = cells(df.select(*by, F.when(~F.isnan(v), v).alias("_q")).where("_q is not null"), by, ["_q"])
+    x = cells(df.select(*by, F.when(~F.isnan(v), v).alias("_q")).where("_q is not null"), by, ["_q"], sized)
+    if CELL not in x.columns:
+        p = F.percentile("_q", F.array(*[F.lit(float(q)) for q in qs.values()]))
+        out = x.groupBy(*by).agg(F.count("*").alias("n"), p.alias("_p")).where("n > 0")
+        return out.select(*by, "n", *[F.col("_p")[i].alias(k) for i, k in enumerate(qs)])
     per = x.groupBy(*by, CELL).agg(F.count("*").alias("_c"))
     whole = W.partitionBy(*by)
     per = per.withColumn("n", F.sum("_c").over(whole)).withColumn("_ahead", F.coalesce(F.sum("_c").over(whole.orderBy(CELL).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))

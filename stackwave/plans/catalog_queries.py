@@ -325,14 +325,14 @@ def pick_performance(spark: SparkSession, d: str) -> DataFrame:
 def residual_statistics(spark: SparkSession, d: str) -> DataFrame:
     v = pks(spark, d).withColumn("delay", pk.delay_s()).where("delay is not null")
     u = ordered.median(v.withColumn("delay", F.abs("delay")), ["nsl"], "delay", "unclipped")
-    kept = ordered.quantiles(an.clipped_residuals(v, "delay", [], "phase"), ["nsl", "phase"], "delay", {"med": 0.5})
+    kept = ordered.quantiles(an.clipped_residuals(v, "delay", [], "phase"), ["nsl", "phase"], "delay", {"med": 0.5}, sized=v)
     return kept.join(u, "nsl").select("nsl", "phase", "n", F.round("med", 9).alias("med"), F.round("unclipped", 9).alias("unclipped"))
 
 
 @query(f"with {PK}, v as (select * from pk where nsl = 'Q0.HUB00.00' and delay is not null), l as (select phase, quantile_cont(delay, 0.02) as lo, quantile_cont(delay, 0.98) as hi from v group by 1) select phase, count(*) as n, round(median(delay), 9) as med from v join l using (phase) where delay between lo and hi group by 1")
 def station_residuals(spark: SparkSession, d: str) -> DataFrame:
     v = pks(spark, d).where("nsl = 'Q0.HUB00.00'").withColumn("delay", pk.delay_s()).where("delay is not null")
-    kept = ordered.quantiles(an.clipped_residuals(v, "delay", [], "phase"), ["phase"], "delay", {"med": 0.5})
+    kept = ordered.quantiles(an.clipped_residuals(v, "delay", [], "phase"), ["phase"], "delay", {"med": 0.5}, sized=v)
     return kept.select("phase", "n", F.round("med", 9).alias("med"))
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stackwave.functions.timetext import interpret, interpret_all
-from stackwave.operators import anomalies, intervals, proximity, timestamps
+from stackwave.operators import anomalies, intervals, ordered, proximity, timestamps
 from stackwave.plans import problems
 
 # -- intervals
@@ -35,10 +35,11 @@ def cover(rows):
     return sorted(periods), sorted(gaps)
 
 
-@pytest.mark.parametrize("seed", [1, 7])
-def test_intervals(spark, seed):
+@pytest.mark.parametrize("seed", [1, 7, 8])
+def test_intervals(spark, monkeypatch, seed):
     r = random.Random(seed)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(seed == 7).lower())  # an entity in many cells, or in one
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(seed == 7).lower())  # an entity in many cells, or in few, or whole
+    monkeypatch.setattr(ordered, "WHOLE", 0 if seed < 8 else ordered.WHOLE)
     rows = [(r.choice("aaaaab") if i % 50 else None, r.randrange(3000), None) for i in range(800)]
     rows = [(k, s, s + r.randrange(-1, 6) if r.random() > 0.02 else None) for k, s, _ in rows] + [("a", 5, 9)] * 3 + [("b", -(10**15), -(10**15) + 1), ("b", 10**17, 10**17 + 5), ("c", 1, 2), ("c", 2, 3)]
     df = spark.createDataFrame([(k, s, e, "x") for k, s, e in rows], "ent string, s long, e long, t string")
