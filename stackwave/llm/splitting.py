@@ -32,8 +32,7 @@ from stackwave.plans.dist import arrow_schema
 INSIDE, WORD, SENTENCE, LINE, CUE = range(5)
 _CUE = re.compile(rb"(?:\r\n|\n|\r)(?:[ \t]*(?:\r\n|\n|\r))+")
 _LINE = re.compile(rb"\r\n|\n|\r")
-_STOPS = "|".join(c.encode().hex() for c in ("…", "。", "！", "？", "؟", "।"))
-_SENTENCE = re.compile(rb"(?:[.!?]+|" + b"|".join(re.escape(bytes.fromhex(h)) for h in _STOPS.split("|")) + rb")[\"')\]]*[ \t]+")
+_SENTENCE = re.compile("(?:[.!?]+|…|。|！|？|؟|।)[\"')\\]]*[ \t]+".encode())
 _WORD = re.compile(rb"[ \t]+")
 _LEVELS = ((CUE, _CUE), (LINE, _LINE), (SENTENCE, _SENTENCE), (WORD, _WORD))
 
