@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stackwave.functions import codes
+from stackwave.functions import attenuation, codes, signal
 from stackwave.functions.statistics import emr_fit, gaussian_density
 from stackwave.operators import analytics as an
 from stackwave.operators import catalog as cat
-from stackwave.operators import magnitude, octree, ordered, synthetic
+from stackwave.operators import local_magnitude, magnitude, octree, ordered, synthetic
 from stackwave.operators import search as srch
 from stackwave.operators import traveltime
 from stackwave.plans.catalog_queries import EV, PK, STS, ev, pks, sts
@@ -269,6 +269,48 @@ def nearest_depths(spark: SparkSession, d: str) -> DataFrame:
     return magnitude.nearest_depths(c, "collection_id", "source_depth", "quantity")
 
 
+SENSOR = ([-4.44, 4.44, -4.44, -4.44], [0.0, 0.0, 0.0, 0.0], 4e8)  # poles, zeros and constant of the planted traces' seismometer
+
+
+def planted_ground_motion(spark: SparkSession, events: int = 6, stations: int = 8, rate: float = 100.0, n: int = 6000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(traces, responses, arrivals) of 5 Hz pulses of known amplitudes, as a seismometer writes them."""
+    cplx = lambda v: np.array(v[::2]) + 1j * np.array(v[1::2])
+    sensor = signal.pole_zero(cplx(SENSOR[0]), cplx(SENSOR[1]), SENSOR[2])
+
+    def write(batches):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        t = np.arange(n) / rate - 32.0
+        spectrum = np.fft.rfft(np.exp(-((t / 0.8) ** 2)) * np.cos(2 * np.pi * 5.0 * t)) * sensor(np.fft.rfftfreq(n, 1 / rate))
+        unit = np.fft.irfft(spectrum, n)
+        for pdf in batches:
+            out = pdf[["event_uid", "nsl"]].assign(rate_hz=rate, tmin_us=1_000_000_000)
+            yield pd.concat([out.assign(channel=c, samples=[(a * part * unit).tolist() for a in pdf.amp]) for c, part in (("HHN", 1.0), ("HHE", 0.4), ("HHZ", 0.2))])[["event_uid", "nsl", "channel", "rate_hz", "tmin_us", "samples"]]
+
+    pairs = spark.range(events * stations).select(
+        F.concat(F.lit("e"), F.floor(F.col("id") / stations)).alias("event_uid"), F.concat(F.lit("PL.S"), F.col("id") % stations, F.lit(".")).alias("nsl"),
+        F.pow(F.lit(10.0), F.floor(F.col("id") / stations) / 2 - 7).alias("amp"), (20_000.0 + 10_000.0 * (F.col("id") % stations)).alias("distance"),
+    )
+    traces = pairs.mapInPandas(write, local_magnitude._SHAPED)
+    codes_ = pairs.select("nsl").distinct()
+    real = lambda v: F.array(*[F.lit(x) for x in v])
+    responses = codes_.select("nsl", F.explode(F.array(*[F.lit(c) for c in ("HHN", "HHE", "HHZ")])).alias("channel"), F.lit(0).cast("long").alias("start_us"), F.lit(None).cast("long").alias("end_us"), real(SENSOR[0]).alias("poles"), real(SENSOR[1]).alias("zeros"), F.lit(SENSOR[2]).alias("constant"))
+    arrivals = pairs.select("event_uid", "nsl", F.lit(1_030_000_000).cast("long").alias("p_us"), F.col("distance").alias("distance_hypo"), F.col("distance").alias("distance_epi"), "amp")
+    return traces, responses, arrivals
+
+
+@query("select 'e' || (i // 8)::int as event_uid, 'PL.S' || (i % 8) || '.' as nsl, true as close, 'valid' as flag from (select unnest(generate_series(0, 47)) as i)")
+def local_magnitudes_from_traces(spark: SparkSession, d: str) -> DataFrame:
+    """Station magnitudes of planted ground motions: whether they are those of the known amplitudes on the model's instrument."""
+    traces, responses, arrivals = planted_ground_motion(spark)
+    model = attenuation.MODELS["SouthernCalifornia"]
+    got = local_magnitude.station_magnitudes(traces, responses, arrivals.drop("amp"), model)
+    gain = float(abs(signal.pole_zero(*signal.INSTRUMENTS[model.instrument])(np.array([5.0]))[0]))
+    want = attenuation.magnitude_of(model, F.col("amp") * gain, F.col("a.distance_hypo"), F.col("a.distance_epi"))
+    j = got.alias("g").join(arrivals.alias("a"), ["event_uid", "nsl"])
+    return j.select("event_uid", "nsl", (F.abs(F.col("magnitude") - want) < 0.03).alias("close"), "flag")
+
+
 # -- streams of stations, coverage, corrections --------------------------------------------
 
 
