@@ -217,7 +217,7 @@ def sizes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "station_magnitudes").where("magnitude is not null and not isnan(magnitude)").select(F.col("row_id").alias("seq"), "event_time", "nsl", F.col("magnitude").alias("m"))
 
 
-@query("with w as (select case when d <= 1 / 24 then 60 when d <= 0.25 then 600 when d <= 2 then 3600 when d <= 14 then 21600 when d <= 60 then 43200 else 86400 end * 1000000 as w from (select (max(epoch_us(event_time)) - min(epoch_us(event_time))) / 86400e6 as d from detections)), n as (select epoch_us(event_time) // w * w as b, count(*) as n from detections, w where event_time is not null group by 1), a as (select unnest(generate_series((select min(b) from n), (select max(b) from n), (select w from w))) as b) select a.b::bigint as bin_start_us, coalesce(n.n, 0) as n, (sum(coalesce(n.n, 0)) over (order by a.b))::bigint as cumulative from a left join n using (b)")
+@query("with w as (select case when d <= 1 / 24 then 60 when d <= 0.25 then 600 when d <= 2 then 3600 when d <= 14 then 21600 when d <= 60 then 43200 else 86400 end * 1000000::bigint as w from (select (max(epoch_us(event_time)) - min(epoch_us(event_time))) / 86400e6 as d from detections)), n as (select epoch_us(event_time) // w * w as b, count(*) as n from detections, w where event_time is not null group by 1), a as (select unnest(generate_series((select min(b) from n), (select max(b) from n), (select w from w))) as b) select a.b::bigint as bin_start_us, coalesce(n.n, 0) as n, (sum(coalesce(n.n, 0)) over (order by a.b))::bigint as cumulative from a left join n using (b)")
 def event_rate(spark: SparkSession, d: str) -> DataFrame:
     """Events in bins whose width follows the catalogue's duration."""
     e = table(spark, d, "detections")
