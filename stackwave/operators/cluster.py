@@ -74,7 +74,7 @@ def dbscan(points: DataFrame, key: str, axes: list[str], eps: float, least_point
     xs, cs = [f"x{i}" for i in range(n)], [f"c{i}" for i in range(n)]
     side = eps / n**0.5 * (1 - 1e-12)
     p = points.select(F.col(key).cast("long").alias("id"), *[F.col(a).cast("double").alias(x) for a, x in zip(axes, xs)])
-    p = p.where(" and ".join(f"{x} is not null and not isnan({x})" for x in xs))
+    p = checkpointed(p.where(" and ".join(f"{x} is not null and not isnan({x})" for x in xs)))  # read a dozen times below
     ks = [f"k{i}" for i in range(n)]
     # cells, coarse cells of side eps, and sub-cells (each in one cell and one coarse cell)
     p = p.select("*", *[F.floor(F.col(x) / side).alias(c) for x, c in zip(xs, cs)], *[F.floor(F.col(x) / (eps * (1 + 1e-12))).alias(k) for x, k in zip(xs, ks)])
